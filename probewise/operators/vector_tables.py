@@ -11,8 +11,8 @@ from probewise.functions.vectors import VALID, cosine, l2_distance, max_abs_diff
 
 # fixed values: tolerances of the parity check
 MAX_ABS_TOLERANCE = 1e-4
-L2_TOLERANCE = 1e-3
-NORM_TOLERANCE = 1e-2
+L2_TOLERANCE = 1e-5
+NORM_TOLERANCE = 1e-3
 
 
 def validate_vectors(df: DataFrame, dim: int, vec: str = "v") -> DataFrame:
@@ -46,7 +46,7 @@ def parity_check(
         F.round(l2_distance("_a", "_b"), 6).alias("l2_diff"),
         F.round(norm("_a"), 6).alias("norm_a"),
     )
-    agrees = (F.col("max_abs_diff") <= max_abs) & (F.col("l2_diff") <= max_l2)
+    agrees = (F.col("max_abs_diff") < max_abs) & (F.col("l2_diff") <= max_l2)
     norm_ok = F.round(F.abs(F.col("norm_a") - 1), 6) <= norm_tolerance
     return measured.withColumns({"norm_ok": norm_ok, "passed": F.col("dim_ok") & agrees & norm_ok})
 

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from probewise.operators.ordered import RANGE_ROWS, row_numbers, running_sums
 from probewise.session import durable
@@ -312,7 +313,7 @@ def kfold_verification(pairs: DataFrame, folds: int = 10) -> tuple[DataFrame, Da
     binned = (
         pairs.withColumn("fold", fold)
         .where(F.col("status") == "ok")
-        .groupBy("fold", F.when(grid_bin(F.col("score")) < 0, -1).otherwise(grid_bin(F.col("score"))).alias("bin"))
+        .groupBy("fold", grid_bin(F.col("score")).alias("bin"))
         .agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
     )
     binned = durable(binned)
@@ -378,8 +379,6 @@ def fold_tar_name(target: float) -> str:
 
 def _upward(filled: DataFrame, by: list[str]) -> DataFrame:
     """Pairs at or above each grid bin; a group has one row per bin."""
-    from pyspark.sql.window import Window
-
     window = Window.partitionBy(*by).orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return filled.select(*by, "bin", F.sum("pos").over(window).alias("acc_pos"), F.sum("neg").over(window).alias("acc_neg"))
 
