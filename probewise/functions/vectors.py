@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values of the stored payload format
 PAYLOAD_PREFIX = b"ENC1"
@@ -47,13 +48,13 @@ def encrypt_payload(plain: Column | str, key_hex: str, aad: str = VECTOR_AAD) ->
     return F.concat(F.lit(PAYLOAD_PREFIX), sealed)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def _from_bytes(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in payloads:
         yield batch.map(lambda raw: None if raw is None else np.frombuffer(raw, dtype="<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _to_bytes(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in vectors:
         yield batch.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from probewise.operators.ordered import RANGE_ROWS, row_numbers, running_sums
@@ -27,13 +28,13 @@ COUNTS = ("tp", "fp", "tn", "fn")
 RATES = ("far", "frr", "tar", "accuracy")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _next_below(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in values:
         yield pd.Series(np.nextafter(batch.to_numpy(), -np.inf))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _next_above(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in values:
         yield pd.Series(np.nextafter(batch.to_numpy(), np.inf))
