@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -74,6 +74,15 @@ def doubles(vector: Column | str) -> Column:
     return as_column(vector).cast("array<double>")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row.
+
+    A column expression named inside a lambda is computed again for every
+    element; a lambda argument is not.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     products = F.zip_with(doubles(a), doubles(b), lambda x, y: x * y)
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
@@ -86,18 +95,20 @@ def norm(vector: Column | str) -> Column:
 def l2_normalize(vector: Column | str, on_zero: str = "null") -> Column:
     """Unit vector; a zero vector is kept (``keep``) or becomes null (``null``)."""
     vector = doubles(vector)
-    length = norm(vector)
-    unit = F.transform(vector, lambda x: x / length)
-    if on_zero == "keep":
-        return F.when(length > 0, unit).otherwise(vector)
-    return F.when(length > 0, unit)
+    zero = F.lit(None) if on_zero == "null" else None
+
+    def scale(r: Column) -> Column:
+        unit = F.transform(r["v"], lambda x: x / r["n"])
+        return F.when(r["n"] > 0, unit).otherwise(r["v"] if zero is None else zero)
+
+    return bind(F.struct(vector.alias("v"), norm(vector).alias("n")), scale)
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine; null where a vector is zero or the lengths differ."""
     comparable = F.size(as_column(a)) == F.size(as_column(b))
-    lengths = norm(a) * norm(b)
-    return F.when(comparable & (lengths > 0), dot(a, b) / F.nullif(lengths, F.lit(0.0)))
+    parts = F.struct(dot(a, b).alias("d"), (norm(a) * norm(b)).alias("n"))
+    return F.when(comparable, bind(parts, lambda r: F.when(r["n"] > 0, r["d"] / r["n"])))
 
 
 def cosine_distance(a: Column | str, b: Column | str) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from probewise.functions.vectors import l2_normalize
 from probewise.operators.ordered import HASH_SPACE
 from probewise.operators.similarity import (
     BLOCK_ROWS,
@@ -21,6 +22,7 @@ from probewise.operators.similarity import (
     blocked_scores,
     keep_best,
     rescore,
+    unit_matrix,
     vector_width,
 )
 from probewise.session import durable
@@ -53,7 +55,7 @@ def check_model_size(values: int) -> None:
 
 
 def train_centroids(vectors: DataFrame, k: int, seed: int, measure: str) -> np.ndarray:
-    features = vectors.select(array_to_vector("v").alias("features"))
+    features = vectors.select(array_to_vector(F.col("v").cast("array<double>")).alias("features"))
     model = KMeans(k=k, seed=seed, distanceMeasure=measure, maxIter=10).fit(features)
     return np.asarray(model.clusterCenters(), dtype=np.float64)
 
@@ -120,13 +122,14 @@ def check_code_shape(dim: int, rows: int, nlist: int, parts: int, bits: int) ->
 def pq_train(gallery: DataFrame, parts: int, bits: int, seed: int = SEED, train_rows: int = TRAIN_ROWS) -> np.ndarray:
     """Codebooks ``[part, code, element]``: one clustering per slice of the vector."""
     dim = vector_width(gallery)
-    sample = durable(training_sample(gallery, train_rows, seed))
+    sample = training_sample(gallery, train_rows, seed)
     check_code_shape(dim, sample.count(), 1, parts, bits)
     check_model_size(dim * 2**bits)
     width = dim // parts
+    units = durable(sample.select(l2_normalize("v", "keep").alias("v")))
 
     def train(part: int) -> np.ndarray:
-        piece = sample.select(F.slice("v", part * width + 1, width).alias("v"))
+        piece = units.select(F.slice("v", part * width + 1, width).alias("v"))
         found = train_centroids(piece, 2**bits, seed, "euclidean")
         # equal vectors can give fewer centres than asked for
         return np.vstack([found, np.repeat(found[:1], 2**bits - len(found), axis=0)])
@@ -148,7 +151,7 @@ def pq_encode(gallery: DataFrame, codebooks: np.ndarray) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            pieces = as_matrix(batch.column("v")).reshape(batch.num_rows, parts, width)
+            pieces = unit_matrix(batch.column("v")).reshape(batch.num_rows, parts, width)
             codes = np.empty((batch.num_rows, parts), dtype=np.int32)
             for part in range(parts):
                 codes[:, part] = np.argmin(half[part] - pieces[:, part] @ books[part].T, axis=1)

@@ -1,8 +1,9 @@
 """Similarity joins: exact top-k, re-scoring, hydration, pair scoring.
 
-Probes are ``(probe_id, v)``, a gallery is ``(id, v)``; both vectors are
-``array<double>``. Scores are inner products of unit vectors rounded to six
-digits, ties go to the smaller id.
+Probes are ``(probe_id, v)``, a gallery is ``(id, v)``; vectors are float or
+double arrays of one length and are made unit vectors where they are scored.
+Scores are inner products rounded to six digits, ties go to the smaller id; a
+zero vector scores 0.
 """
 
 from __future__ import annotations
@@ -28,9 +29,14 @@ BLOCK_ROWS = 16_384
 PROBE_CHUNK = 1_024
 
 
-def unit_vectors(df: DataFrame, vec: str, key: str, alias: str | None = None, on_zero: str = "null") -> DataFrame:
-    """``(alias, v)`` with unit vectors; rows without one are dropped."""
-    return df.select(F.col(key).alias(alias or key), l2_normalize(vec, on_zero).alias("v")).where("v IS NOT NULL")
+def as_probes(df: DataFrame, vec: str, key: str) -> DataFrame:
+    """``(probe_id, v)`` of the rows that have a vector."""
+    return df.select(F.col(key).alias("probe_id"), F.col(vec).alias("v")).where("v IS NOT NULL")
+
+
+def as_gallery(df: DataFrame, vec: str, key: str) -> DataFrame:
+    """``(id, v)`` of the rows that have a vector."""
+    return df.select(F.col(key).alias("id"), F.col(vec).alias("v")).where("v IS NOT NULL")
 
 
 def vector_width(df: DataFrame, vec: str = "v") -> int:
@@ -47,6 +53,13 @@ def as_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def unit_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """List column as a matrix of unit rows; zero rows stay zero."""
+    matrix = as_matrix(column).astype(np.float64, copy=False)
+    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(lengths > 0, lengths, 1.0)
+
+
 def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of the ``k`` best of every row; ties by id."""
     columns = scores.shape[1]
@@ -100,7 +113,7 @@ def keep_best(scored: DataFrame, k: int) -> DataFrame:
     )
 
 
-def broadcast_scores(probes: DataFrame, gallery: DataFrame, k: int, read=as_matrix) -> DataFrame:
+def broadcast_scores(probes: DataFrame, gallery: DataFrame, k: int, read=unit_matrix) -> DataFrame:
     """Local top-k per gallery partition, all probes held by every task.
 
     Only for probes whose size was checked; the gallery is read once and not
@@ -109,7 +122,7 @@ def broadcast_scores(probes: DataFrame, gallery: DataFrame, k: int, read=as_matr
     schema = result_schema(probes, gallery)
     table = probes.select("probe_id", "v").toArrow()
     held = probes.sparkSession.sparkContext.broadcast(
-        (table["probe_id"].to_numpy(), as_matrix(table["v"]) if len(table) else np.zeros((0, 1)))
+        (table["probe_id"].to_numpy(), unit_matrix(table["v"]))
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +152,7 @@ def cell_plan(probes: DataFrame, gallery: DataFrame, block_rows: int) -> DataFra
 
 
 def blocked_scores(
-    probes: DataFrame, gallery: DataFrame, k: int, block_rows: int = BLOCK_ROWS, read=as_matrix
+    probes: DataFrame, gallery: DataFrame, k: int, block_rows: int = BLOCK_ROWS, read=unit_matrix
 ) -> DataFrame:
     """Local top-k per pair of blocks. Both sides carry a ``cell`` column.
 
@@ -174,7 +187,7 @@ def blocked_scores(
             return as_table(schema, ([], [], []))
         found = score_block(
             left_block["probe_id"].to_numpy(),
-            as_matrix(left_block["v"]),
+            unit_matrix(left_block["v"]),
             right_block["id"].to_numpy(),
             read(right_block["v"]),
             k,
@@ -285,7 +298,7 @@ def centroid_predictions(df: DataFrame, label: str, vec: str, key: str) -> DataF
     Classes go through the same top-k join as any gallery, so their number
     needs no bound.
     """
-    unit = df.select(F.col(key).alias("probe_id"), F.col(label).alias("label"), l2_normalize(vec, "keep").alias("v"))
+    unit = df.select(F.col(key).alias("probe_id"), F.col(label).alias("label"), F.col(vec).alias("v"))
     centroids = combine_views(unit, "label", "v").withColumnRenamed("label", "id")
     best = topk_exact(unit.select("probe_id", "v"), centroids, 1)
     return best.select("probe_id", F.col("id").alias("predicted"), "score").join(

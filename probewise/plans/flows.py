@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probewise.functions.vectors import decode_vector, decrypt_payload, l2_normalize
+from probewise.functions.vectors import decode_vector, decrypt_payload
 from probewise.operators.approximate import CellIndex, Search, ivf_build, search_dynamic
 from probewise.operators.decisions import (
     aggregate_identities,
@@ -18,7 +18,7 @@ from probewise.operators.decisions import (
     summarize_search,
 )
 from probewise.operators.gallery import live_embeddings
-from probewise.operators.similarity import hydrate, rescore, topk_exact, unit_vectors
+from probewise.operators.similarity import as_gallery, as_probes, hydrate, rescore, topk_exact
 from probewise.operators.vector_tables import valid_rows, validate_vectors
 
 
@@ -52,9 +52,9 @@ def search_images(
     ``embeddings`` needs a ``v`` column and may hold several spaces and rows
     that are not live; ``search`` defaults to exact search over the space.
     """
-    probes = unit_vectors(faces, "v", "probe_id")
+    probes = as_probes(faces, "v", "probe_id")
     stored = embeddings.where(F.col("pipeline") == pipeline)
-    indexed = unit_vectors(stored, "v", "id", on_zero="keep")
+    indexed = as_gallery(stored, "v", "id")
     if search is None:
 
         def search(wanted: DataFrame, width: int, _nprobe: int) -> DataFrame:
@@ -90,7 +90,7 @@ def build_index(
     payload = decrypt_payload("vector", key_hex) if key_hex else F.col("vector")
     decoded = live.select("id", decode_vector(payload, dim).alias("v"))
     good = valid_rows(validate_vectors(decoded, dim))
-    return ivf_build(good.select("id", l2_normalize("v").alias("v")), nlist)
+    return ivf_build(good.select("id", "v"), nlist)
 
 
 def write_index(index: CellIndex, path: str) -> None:

@@ -13,7 +13,7 @@ from probewise.plans import tables
 from probewise.plans.flows import SearchStages, search_images
 from probewise.plans.registry import query
 from probewise.plans.sql_tables import cos
-from probewise.plans.vector_queries import gallery_units, probe_units
+from probewise.plans.vector_queries import gallery_rows, probe_rows
 
 # the custom space is searched with its calibrated threshold
 THRESHOLD = 0.205047
@@ -188,7 +188,7 @@ EXACT = {
     extra=EXACT,
 )
 def b1(spark, sf_dir):
-    probes, gallery = probe_units(spark, sf_dir), gallery_units(spark, sf_dir)
+    probes, gallery = probe_rows(spark, sf_dir), gallery_rows(spark, sf_dir)
     space = tables.gallery(spark, sf_dir).where("pipeline = 'custom'").select("id")
     exact = sim.topk_exact(probes, gallery, 10)
     other = sim.topk_exact(probes, gallery.join(space, "id", "left_semi"), 10)
@@ -196,7 +196,7 @@ def b1(spark, sf_dir):
 
 
 def labelled_results(spark, sf_dir, k: int):
-    found = sim.topk_exact(probe_units(spark, sf_dir), gallery_units(spark, sf_dir), k)
+    found = sim.topk_exact(probe_rows(spark, sf_dir), gallery_rows(spark, sf_dir), k)
     labels = tables.vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "label")
     return found.join(labels, "id")
 
@@ -297,14 +297,14 @@ def b6(spark, sf_dir):
               FROM vec p CROSS JOIN vec g) WHERE rank <= 5""",
 )
 def b7(spark, sf_dir):
-    gallery = gallery_units(spark, sf_dir)
+    gallery = gallery_rows(spark, sf_dir)
     names = tables.vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("label").alias("identity"))
     return ret.self_match(gallery, None, 5, sim.topk_exact, names).drop("distance")
 
 
 @query("b8_benchmark_grid")
 def b8(spark, sf_dir):
-    probes, gallery = probe_units(spark, sf_dir), gallery_units(spark, sf_dir)
+    probes, gallery = probe_rows(spark, sf_dir), gallery_rows(spark, sf_dir)
     exact = sim.topk_exact(probes, gallery, 10)
     index = ann.ivf_build(gallery, 16)
     configs = {"flat": lambda: sim.topk_exact(probes, gallery, 10)}

@@ -204,37 +204,37 @@ TOPK_SQL = f"""
 VEC_GALLERY = {"vec_gallery": "SELECT vec_id AS id, v FROM vec"}
 
 
-def probe_units(spark, sf_dir):
-    return sim.unit_vectors(tables.probes(spark, sf_dir), "v", "probe_id")
+def probe_rows(spark, sf_dir):
+    return sim.as_probes(tables.probes(spark, sf_dir), "v", "probe_id")
 
 
-def gallery_units(spark, sf_dir):
-    return sim.unit_vectors(tables.vectors(spark, sf_dir), "v", "vec_id", "id")
+def gallery_rows(spark, sf_dir):
+    return sim.as_gallery(tables.read(spark, sf_dir, "embeddings"), "embedding", "vec_id")
 
 
 @query("j1_topk_exact", TOPK_SQL, extra=VEC_GALLERY)
 def j1(spark, sf_dir):
-    return sim.topk_exact(probe_units(spark, sf_dir), gallery_units(spark, sf_dir), 10)
+    return sim.topk_exact(probe_rows(spark, sf_dir), gallery_rows(spark, sf_dir), 10)
 
 
 @query("j2_topk_blocked", TOPK_SQL, extra=VEC_GALLERY)
 def j2(spark, sf_dir):
-    return sim.topk_blocked(probe_units(spark, sf_dir), gallery_units(spark, sf_dir), 10, block_rows=256)
+    return sim.topk_blocked(probe_rows(spark, sf_dir), gallery_rows(spark, sf_dir), 10, block_rows=256)
 
 
 def cell_index(spark, sf_dir, nlist: int = 16) -> ann.CellIndex:
-    return ann.ivf_build(gallery_units(spark, sf_dir), nlist)
+    return ann.ivf_build(gallery_rows(spark, sf_dir), nlist)
 
 
 # with every cell probed the answer is the exact one
 @query("j3_ivf_search_all_cells", TOPK_SQL, extra=VEC_GALLERY)
 def j3_all(spark, sf_dir):
-    return ann.ivf_search(probe_units(spark, sf_dir), cell_index(spark, sf_dir), 10, nprobe=16)
+    return ann.ivf_search(probe_rows(spark, sf_dir), cell_index(spark, sf_dir), 10, nprobe=16)
 
 
 @query("j3_ivf_search")
 def j3(spark, sf_dir):
-    return ann.ivf_search(probe_units(spark, sf_dir), cell_index(spark, sf_dir), 10, nprobe=4)
+    return ann.ivf_search(probe_rows(spark, sf_dir), cell_index(spark, sf_dir), 10, nprobe=4)
 
 
 @query("j3_ivf_build")
@@ -244,17 +244,17 @@ def j3_build(spark, sf_dir):
 
 @query("j4_pq_search")
 def j4(spark, sf_dir):
-    gallery = gallery_units(spark, sf_dir)
+    gallery = gallery_rows(spark, sf_dir)
     books = ann.pq_train(gallery, parts=8, bits=4)
-    return ann.pq_search(probe_units(spark, sf_dir), cell_index(spark, sf_dir), books, 10, nprobe=8)
+    return ann.pq_search(probe_rows(spark, sf_dir), cell_index(spark, sf_dir), books, 10, nprobe=8)
 
 
 @query("j4_pq_search_rescored")
 def j4_rescored(spark, sf_dir):
-    gallery = gallery_units(spark, sf_dir)
+    gallery = gallery_rows(spark, sf_dir)
     books = ann.pq_train(gallery, parts=8, bits=4)
     index = cell_index(spark, sf_dir)
-    return ann.pq_search(probe_units(spark, sf_dir), index, books, 10, nprobe=16, rescore_from=gallery)
+    return ann.pq_search(probe_rows(spark, sf_dir), index, books, 10, nprobe=16, rescore_from=gallery)
 
 
 @query(
@@ -273,7 +273,7 @@ def j5(spark, sf_dir):
     own = base.select(F.col("vec_id").alias("probe_id"), F.col("vec_id").alias("id"))
     other = base.select(F.col("vec_id").alias("probe_id"), ((F.col("vec_id") * 7 + 3) % n).alias("id"))
     near = own.unionByName(other).distinct().withColumn("score", F.lit(0.0))
-    return sim.rescore(near, probe_units(spark, sf_dir), gallery_units(spark, sf_dir))
+    return sim.rescore(near, probe_rows(spark, sf_dir), gallery_rows(spark, sf_dir))
 
 
 @query(
