@@ -132,7 +132,12 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select(
+    return as_audit(read(spark, sf_dir, "events"))
+
+
+def as_audit(events: DataFrame) -> DataFrame:
+    """Events, also streamed ones, as audit rows."""
+    return events.select(
         "event_id",
         "event_type",
         F.when(F.col("value") >= 100, "admin").otherwise("operator").alias("actor_role"),

@@ -34,6 +34,10 @@ def limit_column(limits: Mapping[str, int]) -> Column:
     return limit.cast("long")
 
 
+def event_micros() -> Column:
+    return F.unix_micros(F.col("ts").cast("timestamp"))
+
+
 def admit(allowed: deque, now: int, limit: int, window: int) -> tuple[bool, int, int]:
     """Judge one event at ``now``; returns (allowed, remaining, retry after)."""
     if limit <= 0:
@@ -70,7 +74,7 @@ def throttle(
     times of the segment it is reading.
     """
     window = int(window_seconds * MICROS)
-    timed = events.select("event_id", *KEYS, F.unix_micros("ts").alias("at"), limit_column(limits).alias("limit"))
+    timed = events.select("event_id", *KEYS, event_micros().alias("at"), limit_column(limits).alias("limit"))
     runs = [*KEYS, "segment"]
     ordered = (
         with_idle_segments(timed, window, range_rows)
@@ -118,8 +122,7 @@ def throttle_stream(
         allowed, waiting = deque(allowed), list(zip(waiting_at, waiting_id))
         limit = limits.get(key[0], 0)
         for batch in batches:
-            at = batch["ts"].astype("datetime64[us]").astype("int64")
-            waiting.extend(zip(at.tolist(), batch["event_id"].tolist()))
+            waiting.extend(zip(batch["at"].tolist(), batch["event_id"].tolist()))
         passed = state.getCurrentWatermarkMs() * 1000
         waiting.sort()
         ready = [w for w in waiting if w[0] <= passed]
@@ -136,7 +139,7 @@ def throttle_stream(
         state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
     return (
-        events.select("event_id", *KEYS, "ts")
+        events.select("event_id", *KEYS, F.col("ts").cast("timestamp").alias("ts"), event_micros().alias("at"))
         .withWatermark("ts", delay)
         .groupBy(*KEYS)
         .applyInPandasWithState(judge, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
