@@ -44,21 +44,21 @@ def e2(spark, sf_dir):
 
 THROTTLED = {
     "request_ranks": """
-        SELECT event_id, event_type AS category, user_id::VARCHAR AS identity, epoch_us(ts) AS at,
+        SELECT event_id, event_type AS category, user_id::VARCHAR AS identity, epoch_us(ts) AS us,
                CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 WHEN 'error' THEN 2 ELSE 0 END AS lim,
                row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS place
         FROM events""",
     "judged": """
-        SELECT r.*, lim <= 0 OR true AS allowed, CASE WHEN lim <= 0 THEN []::BIGINT[] ELSE [at] END AS log,
+        SELECT r.*, lim <= 0 OR true AS allowed, CASE WHEN lim <= 0 THEN []::BIGINT[] ELSE [us] END AS log,
                CASE WHEN lim <= 0 THEN 0 ELSE lim - 1 END AS remaining, 0::BIGINT AS retry_after
         FROM request_ranks r WHERE place = 1
         UNION ALL
-        SELECT event_id, category, identity, at, lim, place, lim <= 0 OR len(log) < lim,
-               CASE WHEN lim > 0 AND len(log) < lim THEN list_append(log, at) ELSE log END,
+        SELECT event_id, category, identity, us, lim, place, lim <= 0 OR len(log) < lim,
+               CASE WHEN lim > 0 AND len(log) < lim THEN list_append(log, us) ELSE log END,
                CASE WHEN lim > 0 AND len(log) < lim THEN lim - len(log) - 1 ELSE 0 END,
                CASE WHEN lim > 0 AND len(log) >= lim
-                    THEN greatest(1, ceil((log[1] + 86400000000 - at) / 1000000))::BIGINT ELSE 0 END
-        FROM (SELECT n.*, list_filter(j.log, lambda t: t > n.at - 86400000000) AS log
+                    THEN greatest(1, ceil((log[1] + 86400000000 - us) / 1000000))::BIGINT ELSE 0 END
+        FROM (SELECT n.*, list_filter(j.log, lambda t: t > n.us - 86400000000) AS log
               FROM judged j JOIN request_ranks n
                 ON n.category = j.category AND n.identity = j.identity AND n.place = j.place + 1)""",
 }
