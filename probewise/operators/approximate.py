@@ -96,7 +96,7 @@ def ivf_build(gallery: DataFrame, nlist: int = NLIST, seed: int = SEED, train_ro
     check_model_size(nlist * vector_width(gallery))
     centroids = train_centroids(sample, nlist, seed, "cosine")
     centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
-    return CellIndex(centroids, nearest_cells(gallery, "id", centroids, 1))
+    return CellIndex(centroids, durable(nearest_cells(gallery, "id", centroids, 1)))
 
 
 def ivf_search(
@@ -104,7 +104,7 @@ def ivf_search(
 ) -> DataFrame:
     """Top-k among the ``nprobe`` best cells of every probe, scored exactly."""
     nprobe = max(1, min(nprobe, len(index.centroids)))
-    probed = nearest_cells(probes, "probe_id", index.centroids, nprobe)
+    probed = durable(nearest_cells(probes, "probe_id", index.centroids, nprobe))
     return keep_best(blocked_scores(probed, index.assigned, k, block_rows), k)
 
 
@@ -188,7 +188,7 @@ def pq_search(
         return books[np.arange(books.shape[0]), codes].reshape(len(codes), -1)
 
     nprobe = max(1, min(nprobe, len(index.centroids)))
-    probed = nearest_cells(probes, "probe_id", index.centroids, nprobe)
+    probed = durable(nearest_cells(probes, "probe_id", index.centroids, nprobe))
     if rescore_from is None:
         return keep_best(blocked_scores(probed, coded, k, block_rows, decode), k)
     short = keep_best(blocked_scores(probed, coded, widen * k, block_rows, decode), widen * k)

@@ -110,8 +110,8 @@ def soft_delete(subjects: DataFrame, embeddings: DataFrame, ids: DataFrame) -> t
 
 def newest_per_label(subjects: DataFrame, keep: str = "newest") -> DataFrame:
     """``(label, id)``: the active subject that stands for each label."""
-    stamp = F.col("created_at").cast("double")
-    age = -stamp if keep == "newest" else stamp
+    micros = F.unix_micros(F.col("created_at").cast("timestamp"))
+    age = -micros if keep == "newest" else micros
     return (
         subjects.where("status = 'active' AND label IS NOT NULL")
         .groupBy("label")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from probewise.session import durable
+
 RANGE_ROWS = 1_000_000
 MAX_RANGES = 512
 SAMPLE_PER_RANGE = 64
@@ -137,7 +139,7 @@ def exact_quantiles(
     """
     keys = list(by) or ["_all"]
     df = df if by else df.withColumn("_all", F.lit(0))
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = durable(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
     ranked = running_sums(counts, [(value, True)], {"_n": "_upto"}, keys, range_rows)
     totals = counts.groupBy(*keys).agg((F.sum("_n") - 1).alias("_last"))
     wanted = totals.withColumn("fraction", F.explode(F.array(*[F.lit(float(q)) for q in fractions])))

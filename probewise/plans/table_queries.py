@@ -540,7 +540,7 @@ def g7(spark, sf_dir):
         F.lit("m").alias("model"),
         F.lit(512).alias("dim"),
         F.lit(None).cast("binary").alias("vector"),
-        F.lit(tables.EPOCH).cast("timestamp").alias("created_at"),
+        F.lit(tables.EPOCH).cast("timestamp_ntz").alias("created_at"),
     )
     people_after, rows_after = gal.enroll(people, rows, batch)
     added = rows_after.join(rows.select("id"), "id", "left_anti").join(
@@ -566,7 +566,7 @@ def g8(spark, sf_dir):
         {"id": F.col("id").cast("string"), "person_id": F.col("person_id").cast("string"), "vector": F.lit(None).cast("array<double>")}
     )
     config = gal.ImportConfig("custom", "m_import", "Import")
-    people, rows = gal.import_gallery(mapping, base, people, rows, config, F.lit(tables.EPOCH).cast("timestamp"))
+    people, rows = gal.import_gallery(mapping, base, people, rows, config, F.lit(tables.EPOCH).cast("timestamp_ntz"))
     live = gal.live_embeddings(rows, people, "custom", "m_import")
     named = live.join(people.select(F.col("id").alias("person_id"), "label"), "person_id")
     return named.groupBy("label").agg(F.count(F.lit(1)).alias("embeddings"), F.max("dim").alias("dim"))

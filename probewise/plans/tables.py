@@ -20,7 +20,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def minutes_after_epoch(count: Column) -> Column:
-    return F.lit(EPOCH).cast("timestamp") + F.make_dt_interval(mins=count)
+    return F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(mins=count)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,7 +67,9 @@ def activity_counts(
     events: DataFrame, window: str = "1 hour", watermark: str = "10 minutes", by: Sequence[str] = ("event_type", "actor_role")
 ) -> DataFrame:
     """Events per tumbling window; rows later than the watermark are dropped in a stream."""
-    events = events.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    source = events.withWatermark("created_at", watermark) if events.isStreaming else events
+    source = events
+    if events.isStreaming:
+        stamped = events.withColumn("created_at", F.col("created_at").cast("timestamp"))
+        source = stamped.withWatermark("created_at", watermark)
     counted = source.groupBy(F.window("created_at", window).alias("w"), *by).agg(F.count(F.lit(1)).alias("events"))
     return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "events")

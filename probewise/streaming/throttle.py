@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,17 +39,35 @@ def event_micros() -> Column:
     return F.unix_micros(F.col("ts").cast("timestamp"))
 
 
-def admit(allowed: deque, now: int, limit: int, window: int) -> tuple[bool, int, int]:
-    """Judge one event at ``now``; returns (allowed, remaining, retry after)."""
+def judge_run(at: np.ndarray, allowed: deque, limit: int, window: int) -> pd.DataFrame:
+    """Verdicts for events of one key at sorted times ``at``.
+
+    ``allowed`` holds the allowed times still in the window and is updated.
+    While the log is full, all events up to the next free place are refused at
+    once, so the steps taken grow with the allowed events only.
+    """
+    n = len(at)
+    granted = np.zeros(n, dtype=bool)
+    remaining = np.zeros(n, dtype=np.int64)
+    wait = np.zeros(n, dtype=np.int64)
     if limit <= 0:
-        return True, 0, 0
-    while allowed and allowed[0] <= now - window:
-        allowed.popleft()
-    if len(allowed) >= limit:
-        wait = -(-(allowed[0] + window - now) // MICROS)
-        return False, 0, max(1, wait)
-    allowed.append(now)
-    return True, limit - len(allowed), 0
+        granted[:] = True
+        return pd.DataFrame({"allowed": granted, "remaining": remaining, "retry_after": wait})
+    i = 0
+    while i < n:
+        now = int(at[i])
+        while allowed and allowed[0] <= now - window:
+            allowed.popleft()
+        if len(allowed) < limit:
+            allowed.append(now)
+            granted[i], remaining[i] = True, limit - len(allowed)
+            i += 1
+            continue
+        free = allowed[0] + window
+        end = i + int(np.searchsorted(at[i:], free, "left"))
+        wait[i:end] = np.maximum(1, -((at[i:end] - free) // MICROS))
+        i = end
+    return pd.DataFrame({"allowed": granted, "remaining": remaining, "retry_after": wait})
 
 
 def with_idle_segments(events: DataFrame, window: int, range_rows: int) -> DataFrame:
@@ -71,7 +90,8 @@ def throttle(
     """``(event_id, category, identity, allowed, remaining, retry_after)`` per event.
 
     Each segment is one sorted run of rows; a task keeps only the allowed
-    times of the segment it is reading.
+    times of the segment it is reading. The rule is sequential, so a key that
+    never pauses for a window stays one run.
     """
     window = int(window_seconds * MICROS)
     timed = events.select("event_id", *KEYS, event_micros().alias("at"), limit_column(limits).alias("limit"))
@@ -85,12 +105,17 @@ def throttle(
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, allowed = None, deque()
         for batch in batches:
+            keys = list(batch[runs].itertuples(index=False, name=None))
+            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            at, limits_here = batch["at"].to_numpy(), batch["limit"].to_numpy()
             verdicts = []
-            for *current, at, limit in batch[[*runs, "at", "limit"]].itertuples(index=False, name=None):
-                if current != run:
-                    run, allowed = current, deque()
-                verdicts.append(admit(allowed, at, limit, window))
-            yield with_verdicts(batch, verdicts)
+            for start, end in zip(starts, [*starts[1:], len(keys)]):
+                if keys[start] != run:
+                    run, allowed = keys[start], deque()
+                verdicts.append(judge_run(at[start:end], allowed, int(limits_here[start]), window))
+            if verdicts:
+                judged = pd.concat(verdicts, ignore_index=True)
+                yield pd.concat([batch[["event_id", *KEYS]].reset_index(drop=True), judged], axis=1)
 
     return ordered.mapInPandas(judge, output_schema(events))
 
@@ -101,11 +126,6 @@ def output_schema(events: DataFrame) -> T.StructType:
     return T.StructType([*fields, *T.StructType.fromDDL(added).fields])
 
 
-def with_verdicts(rows: pd.DataFrame, verdicts: list[tuple]) -> pd.DataFrame:
-    added = pd.DataFrame(verdicts, columns=["allowed", "remaining", "retry_after"], index=rows.index)
-    return pd.concat([rows[["event_id", *KEYS]], added.astype({"allowed": bool})], axis=1)
-
-
 def throttle_stream(
     events: DataFrame, limits: Mapping[str, int], window_seconds: float = WINDOW_SECONDS, delay: str = "0 seconds"
 ) -> DataFrame:
@@ -127,9 +147,10 @@ def throttle_stream(
         waiting.sort()
         ready = [w for w in waiting if w[0] <= passed]
         waiting = waiting[len(ready) :]
-        rows = pd.DataFrame({"event_id": [i for _, i in ready], "category": key[0], "identity": key[1]})
         if ready:
-            yield with_verdicts(rows, [admit(allowed, at, limit, window) for at, _ in ready])
+            rows = judge_run(np.array([at for at, _ in ready]), allowed, limit, window)
+            rows.insert(0, "event_id", [i for _, i in ready])
+            yield rows.assign(category=key[0], identity=key[1])[schema.names]
         if not waiting and (not allowed or allowed[-1] <= passed - window):
             if state.exists:
                 state.remove()
