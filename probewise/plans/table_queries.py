@@ -416,8 +416,10 @@ def g1(spark, sf_dir):
 
 @query(
     "g2_page",
-    """SELECT id, label, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, count(*) OVER () AS total
-       FROM subjects WHERE status = 'active' AND contains(lower(label), 'mach') ORDER BY subjects.created_at DESC, id LIMIT 50 OFFSET 100""",
+    """SELECT id, label, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, total
+       FROM (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY created_at DESC, id) AS n
+             FROM subjects WHERE status = 'active' AND contains(lower(label), 'mach'))
+       WHERE (n - 1) // 50 = least(2, (total - 1) // 50)""",
 )
 def g2(spark, sf_dir):
     rows = gal.page(tables.subjects(spark, sf_dir), limit=50, offset=100, q="mach")
