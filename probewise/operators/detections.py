@@ -29,10 +29,9 @@ def quality_gate(
     Columns: ``bbox``, ``det_score``, ``width``, ``height``, ``blur``. The crop
     checks run only where the image size is known.
     """
-    box = F.col("bbox")
-    crop = clipped_crop(box, "width", "height")
+    box, crop = F.col("bbox"), F.col("_crop")
     sized = F.col("width").isNotNull() & F.col("height").isNotNull()
-    area = (F.get(crop, F.lit(2)) - F.get(crop, F.lit(0))) * (F.get(crop, F.lit(3)) - F.get(crop, F.lit(1)))
+    area = (crop[2] - crop[0]) * (crop[3] - crop[1])
     ratio = F.try_divide(area.cast("double"), (F.col("width") * F.col("height")).cast("double"))
     checks: list[tuple[Column, str]] = [(F.col("det_score") < min_score, "low_score")]
     if min_side > 0:
@@ -46,7 +45,9 @@ def quality_gate(
     reason = F.lit(None).cast("string")
     for failed, name in reversed(checks):
         reason = F.when(failed, name).otherwise(reason)
-    return df.withColumn("reject_reason", reason)
+    # the crop is a column of its own, so it is computed once per row
+    cropped = df.withColumn("_crop", clipped_crop(box, "width", "height"))
+    return cropped.withColumn("reject_reason", reason).drop("_crop")
 
 
 def pick_detection(df: DataFrame, policy: str = "largest") -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ from probewise.functions.labels import is_scale_label
 from probewise.functions.vectors import cosine, l2_normalize
 
 SCORE_DIGITS = 6
-# probes of a broadcast search: at most this many bytes of float64
+# a side held by every task: at most this many bytes of float64
 BROADCAST_BYTES = 64 << 20
 # rows of one block of a blocked search, and rows scored in one product
 BLOCK_ROWS = 16_384
@@ -113,29 +114,51 @@ def keep_best(scored: DataFrame, k: int) -> DataFrame:
     )
 
 
-def broadcast_scores(probes: DataFrame, gallery: DataFrame, k: int, read=unit_matrix) -> DataFrame:
-    """Local top-k per gallery partition, all probes held by every task.
+def hold(df: DataFrame, key: str) -> Broadcast:
+    """Ids and unit vectors of a table of checked size, for every task."""
+    table = df.select(key, "v").toArrow()
+    return df.sparkSession.sparkContext.broadcast((table[key].to_numpy(), unit_matrix(table["v"])))
 
-    Only for probes whose size was checked; the gallery is read once and not
-    shuffled. ``read`` turns the gallery's ``v`` column into a matrix.
+
+def scan_gallery(probes: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
+    """Top-k with all probes held by every task; only for few probes.
+
+    The gallery is read once and not shuffled, only local top-k rows are.
     """
     schema = result_schema(probes, gallery)
-    table = probes.select("probe_id", "v").toArrow()
-    held = probes.sparkSession.sparkContext.broadcast(
-        (table["probe_id"].to_numpy(), unit_matrix(table["v"]))
-    )
+    held = hold(probes, "probe_id")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe_ids, matrix = held.value
-        if not len(probe_ids):
-            return
         for batch in batches:
-            if batch.num_rows:
+            if batch.num_rows and len(probe_ids):
                 ids = batch.column("id").to_numpy(zero_copy_only=False)
-                found = score_block(probe_ids, matrix, ids, read(batch.column("v")), k)
+                found = score_block(probe_ids, matrix, ids, unit_matrix(batch.column("v")), k)
                 yield from as_table(schema, found).to_batches()
 
-    return gallery.select("id", "v").mapInArrow(scan, schema)
+    return keep_best(gallery.select("id", "v").mapInArrow(scan, schema), k)
+
+
+def scan_probes(probes: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
+    """Top-k with the whole gallery held by every task; only for a small one.
+
+    Every probe is finished where it is read: nothing is shuffled.
+    """
+    schema = result_schema(probes, gallery).add("distance", T.DoubleType()).add("rank", T.IntegerType())
+    held = hold(gallery, "id")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = held.value
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                keys = batch.column("probe_id").to_numpy(zero_copy_only=False)
+                # row numbers stand for the probes, so equal ids stay apart
+                rows, found, scores = score_block(np.arange(len(keys)), unit_matrix(batch.column("v")), ids, matrix, k)
+                rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+                distance = np.round(1 - scores, SCORE_DIGITS)
+                yield from as_table(schema, (keys[rows], found, scores, distance, rank)).to_batches()
+
+    return probes.select("probe_id", "v").mapInArrow(scan, schema)
 
 
 def cell_plan(probes: DataFrame, gallery: DataFrame, block_rows: int) -> DataFrame:
@@ -204,20 +227,26 @@ def topk_blocked(probes: DataFrame, gallery: DataFrame, k: int, block_rows: int
     return keep_best(local, k)
 
 
-def fits_broadcast(df: DataFrame, limit: int, vec: str = "v") -> bool:
-    """Whether the vectors of ``df`` take at most ``limit`` bytes as float64."""
-    values = df.agg(F.sum(F.size(vec).cast("long"))).first()[0] or 0
-    return 8 * values <= limit
+def fits_broadcast(df: DataFrame, limit: int) -> bool:
+    """Whether the vectors of ``df`` take at most ``limit`` bytes as float64.
+
+    ``take`` reads partitions until there are too many rows, so a large table
+    is not read through.
+    """
+    most = limit // (8 * max(vector_width(df), 1))
+    return len(df.select(F.lit(1)).take(most + 1)) <= most
 
 
 def topk_exact(probes: DataFrame, gallery: DataFrame, k: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Exact ``k`` best gallery rows of every probe.
 
-    Probes of a checked small size are sent to the gallery's partitions;
-    beyond that both sides are cut into blocks.
+    A gallery or probes of checked small size are held by every task while the
+    other side is read in place; two large sides are cut into blocks.
     """
+    if fits_broadcast(gallery, broadcast_bytes):
+        return scan_probes(probes, gallery, k)
     if fits_broadcast(probes, broadcast_bytes):
-        return keep_best(broadcast_scores(probes, gallery, k), k)
+        return scan_gallery(probes, gallery, k)
     return topk_blocked(probes, gallery, k)
 
 

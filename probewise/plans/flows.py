@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,60 +20,79 @@ from probewise.operators.decisions import (
 from probewise.operators.gallery import live_embeddings
 from probewise.operators.similarity import as_gallery, as_probes, hydrate, rescore, topk_exact
 from probewise.operators.vector_tables import valid_rows, validate_vectors
+from probewise.session import durable
 
 
-@dataclass
-class SearchStages:
-    """The tables between the steps of a search, from candidates to answers."""
-
-    candidates: DataFrame
-    probe_info: DataFrame
-    scored: DataFrame
-    identities: DataFrame
-    gated: DataFrame
-    ranked: DataFrame
-    results: DataFrame
-    summary: DataFrame
-
-
-def search_images(
-    faces: DataFrame,
-    embeddings: DataFrame,
-    subjects: DataFrame,
-    pipeline: str,
-    threshold: float,
-    k: int,
-    mode: str = "dynamic",
-    search: Search | None = None,
-    **widths: int,
-) -> SearchStages:
+class ImageSearch:
     """Identify the faces ``(image_id, face_index, probe_id, v)`` of many images.
 
     ``embeddings`` needs a ``v`` column and may hold several spaces and rows
-    that are not live; ``search`` defaults to exact search over the space.
+    that are not live; ``search`` defaults to exact search over the space. The
+    tables between the steps are attributes, computed when first asked for;
+    those read more than once are written to the checkpoint folder.
     """
-    probes = as_probes(faces, "v", "probe_id")
-    stored = embeddings.where(F.col("pipeline") == pipeline)
-    indexed = as_gallery(stored, "v", "id")
-    if search is None:
-
-        def search(wanted: DataFrame, width: int, _nprobe: int) -> DataFrame:
-            return topk_exact(wanted, indexed, width)
-
-    candidates, info = search_dynamic(probes, search, k, threshold, mode, **widths)
-    hydrated = hydrate(candidates, embeddings, subjects, pipeline)
-    places = faces.select("probe_id", "image_id", "face_index")
-    scored = rescore(hydrated, probes, indexed).join(places, "probe_id").withColumns(
-        {"pipeline": F.lit(pipeline), "threshold": F.lit(float(threshold))}
-    )
-    identities = aggregate_identities(scored)
-    gated = gate_identities(identities, places)
-    ranked = rank_identities(reject_ambiguous(gated), k)
-    results = dedup_identities(ranked)
-    probe_info = places.join(info, "probe_id")
-    return SearchStages(
-        candidates, probe_info, scored, identities, gated, ranked, results, summarize_search(results, probe_info)
-    )
+
+    def __init__(
+        self,
+        faces: DataFrame,
+        embeddings: DataFrame,
+        subjects: DataFrame,
+        pipeline: str,
+        threshold: float,
+        k: int,
+        mode: str = "dynamic",
+        search: Search | None = None,
+        **widths: int,
+    ) -> None:
+        self.faces = durable(faces.select("image_id", "face_index", "probe_id", "v"))
+        self.places = self.faces.select("probe_id", "image_id", "face_index")
+        self.probes = as_probes(self.faces, "v", "probe_id")
+        self.embeddings, self.subjects = embeddings, subjects
+        self.pipeline, self.threshold, self.k = pipeline, float(threshold), k
+        self.indexed = as_gallery(embeddings.where(F.col("pipeline") == pipeline), "v", "id")
+        self.mode, self.widths = mode, widths
+        self.search = search or (lambda probes, width, nprobe: topk_exact(probes, self.indexed, width))
+
+    @cached_property
+    def found(self) -> tuple[DataFrame, DataFrame]:
+        return search_dynamic(self.probes, self.search, self.k, self.threshold, self.mode, **self.widths)
+
+    @property
+    def candidates(self) -> DataFrame:
+        return self.found[0]
+
+    @property
+    def probe_info(self) -> DataFrame:
+        """One row per face: how it was searched and its best raw score."""
+        return self.places.join(self.found[1], "probe_id")
+
+    @property
+    def scored(self) -> DataFrame:
+        """Live candidates with their exact scores."""
+        hydrated = hydrate(self.candidates, self.embeddings, self.subjects, self.pipeline)
+        exact = rescore(hydrated, self.probes, self.indexed).join(self.places, "probe_id")
+        return exact.withColumns({"pipeline": F.lit(self.pipeline), "threshold": F.lit(self.threshold)})
+
+    @cached_property
+    def identities(self) -> DataFrame:
+        return durable(aggregate_identities(self.scored))
+
+    @property
+    def gated(self) -> DataFrame:
+        return gate_identities(self.identities, self.places)
+
+    @property
+    def ranked(self) -> DataFrame:
+        return rank_identities(reject_ambiguous(self.gated), self.k)
+
+    @property
+    def results(self) -> DataFrame:
+        return dedup_identities(self.ranked)
+
+    @property
+    def summary(self) -> DataFrame:
+        """One row per image."""
+        return summarize_search(self.results, self.probe_info)
 
 
 def build_index(

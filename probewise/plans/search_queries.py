@@ -10,7 +10,7 @@ from probewise.operators import decisions as dec
 from probewise.operators import retrieval as ret
 from probewise.operators import similarity as sim
 from probewise.plans import tables
-from probewise.plans.flows import SearchStages, search_images
+from probewise.plans.flows import ImageSearch
 from probewise.plans.registry import query
 from probewise.plans.sql_tables import cos
 from probewise.plans.vector_queries import gallery_rows, probe_rows
@@ -20,8 +20,8 @@ THRESHOLD = 0.205047
 FAST, SAFE, K = 20, 60, 5
 
 
-def stages(spark, sf_dir) -> SearchStages:
-    return search_images(
+def stages(spark, sf_dir) -> ImageSearch:
+    return ImageSearch(
         tables.probes(spark, sf_dir),
         tables.gallery(spark, sf_dir),
         tables.people(spark, sf_dir),

@@ -39,35 +39,40 @@ def event_micros() -> Column:
     return F.unix_micros(F.col("ts").cast("timestamp"))
 
 
-def judge_run(at: np.ndarray, allowed: deque, limit: int, window: int) -> pd.DataFrame:
-    """Verdicts for events of one key at sorted times ``at``.
-
-    ``allowed`` holds the allowed times still in the window and is updated.
-    While the log is full, all events up to the next free place are refused at
-    once, so the steps taken grow with the allowed events only.
-    """
-    n = len(at)
-    granted = np.zeros(n, dtype=bool)
-    remaining = np.zeros(n, dtype=np.int64)
-    wait = np.zeros(n, dtype=np.int64)
-    if limit <= 0:
-        granted[:] = True
-        return pd.DataFrame({"allowed": granted, "remaining": remaining, "retry_after": wait})
-    i = 0
-    while i < n:
-        now = int(at[i])
-        while allowed and allowed[0] <= now - window:
-            allowed.popleft()
-        if len(allowed) < limit:
-            allowed.append(now)
-            granted[i], remaining[i] = True, limit - len(allowed)
-            i += 1
-            continue
-        free = allowed[0] + window
-        end = i + int(np.searchsorted(at[i:], free, "left"))
-        wait[i:end] = np.maximum(1, -((at[i:end] - free) // MICROS))
-        i = end
-    return pd.DataFrame({"allowed": granted, "remaining": remaining, "retry_after": wait})
+class Verdicts:
+    """Verdicts for the rows of one batch, filled run by run."""
+
+    def __init__(self, rows: int) -> None:
+        self.allowed = np.zeros(rows, dtype=bool)
+        self.remaining = np.zeros(rows, dtype=np.int64)
+        self.retry_after = np.zeros(rows, dtype=np.int64)
+
+    def judge(self, at: np.ndarray, i: int, end: int, log: deque, limit: int, window: int) -> None:
+        """Judge rows ``i`` to ``end``, events of one key at sorted times ``at``.
+
+        ``log`` holds the allowed times still in the window and is updated.
+        While it is full, all events up to the next free place are refused at
+        once, so the steps taken grow with the allowed events only.
+        """
+        if limit <= 0:
+            self.allowed[i:end] = True
+            return
+        while i < end:
+            now = int(at[i])
+            while log and log[0] <= now - window:
+                log.popleft()
+            if len(log) < limit:
+                log.append(now)
+                self.allowed[i], self.remaining[i] = True, limit - len(log)
+                i += 1
+                continue
+            free = log[0] + window
+            stop = i + int(np.searchsorted(at[i:end], free, "left"))
+            self.retry_after[i:stop] = np.maximum(1, -((at[i:stop] - free) // MICROS))
+            i = stop
+
+    def beside(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(allowed=self.allowed, remaining=self.remaining, retry_after=self.retry_after)
 
 
 def with_idle_segments(events: DataFrame, window: int, range_rows: int) -> DataFrame:
@@ -103,19 +108,17 @@ def throttle(
     )
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, allowed = None, deque()
+        run, log = None, deque()
         for batch in batches:
             keys = list(batch[runs].itertuples(index=False, name=None))
             starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
-            at, limits_here = batch["at"].to_numpy(), batch["limit"].to_numpy()
-            verdicts = []
+            at, limit = batch["at"].to_numpy(), batch["limit"].to_numpy()
+            verdicts = Verdicts(len(keys))
             for start, end in zip(starts, [*starts[1:], len(keys)]):
                 if keys[start] != run:
-                    run, allowed = keys[start], deque()
-                verdicts.append(judge_run(at[start:end], allowed, int(limits_here[start]), window))
-            if verdicts:
-                judged = pd.concat(verdicts, ignore_index=True)
-                yield pd.concat([batch[["event_id", *KEYS]].reset_index(drop=True), judged], axis=1)
+                    run, log = keys[start], deque()
+                verdicts.judge(at, start, end, log, int(limit[start]), window)
+            yield verdicts.beside(batch[["event_id", *KEYS]])
 
     return ordered.mapInPandas(judge, output_schema(events))
 
@@ -148,9 +151,10 @@ def throttle_stream(
         ready = [w for w in waiting if w[0] <= passed]
         waiting = waiting[len(ready) :]
         if ready:
-            rows = judge_run(np.array([at for at, _ in ready]), allowed, limit, window)
-            rows.insert(0, "event_id", [i for _, i in ready])
-            yield rows.assign(category=key[0], identity=key[1])[schema.names]
+            verdicts = Verdicts(len(ready))
+            verdicts.judge(np.array([at for at, _ in ready]), 0, len(ready), allowed, limit, window)
+            rows = pd.DataFrame({"event_id": [i for _, i in ready], "category": key[0], "identity": key[1]})
+            yield verdicts.beside(rows)
         if not waiting and (not allowed or allowed[-1] <= passed - window):
             if state.exists:
                 state.remove()

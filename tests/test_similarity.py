@@ -36,9 +36,10 @@ def tables(spark):
     return probes, gallery, p, g
 
 
-def test_exact_equals_brute_force(tables):
+@pytest.mark.parametrize("search", [sim.topk_exact, sim.scan_gallery, sim.scan_probes])
+def test_exact_equals_brute_force(tables, search):
     probes, gallery, p, g = tables
-    assert rows_of(sim.topk_exact(p, g, 7)) == brute_force(probes, gallery, 7)
+    assert rows_of(search(p, g, 7)) == brute_force(probes, gallery, 7)
 
 
 @pytest.mark.parametrize("block_rows", [16, 50, 10_000])
@@ -47,9 +48,12 @@ def test_blocked_equals_brute_force(tables, block_rows):
     assert rows_of(sim.topk_blocked(p, g, 7, block_rows)) == brute_force(probes, gallery, 7)
 
 
-def test_large_probe_side_takes_blocks(tables):
+def test_two_large_sides_take_blocks(tables):
     probes, gallery, p, g = tables
-    assert not sim.fits_broadcast(p, 100)
+    assert not sim.fits_broadcast(p, 100) and not sim.fits_broadcast(g, 100)
+    assert sim.fits_broadcast(p, 8 * 8 * 30) and not sim.fits_broadcast(p, 8 * 8 * 30 - 1)
+    # the probes fit, the gallery does not
+    assert rows_of(sim.topk_exact(p, g, 3, broadcast_bytes=8 * 8 * 40)) == brute_force(probes, gallery, 3)
     assert rows_of(sim.topk_exact(p, g, 3, broadcast_bytes=100)) == brute_force(probes, gallery, 3)
 
 
@@ -59,12 +63,13 @@ def test_k_is_clamped_and_empty_sides_give_nothing(spark, tables):
     assert sim.topk_exact(p, g.limit(0), 5).count() == 0
     assert sim.topk_exact(p.limit(0), g, 5).count() == 0
     assert sim.topk_blocked(p, g.limit(0), 5).count() == 0
+    assert sim.scan_gallery(p.limit(0), g, 5).count() == 0
 
 
 def test_text_ids_and_float_vectors(spark):
     g = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [0.0, 1.0, 0.0]), ("c", [2.0, 0.0, 0.0])], "id string, v array<float>")
     p = spark.createDataFrame([("x", [1.0, 0.0, 0.0])], "probe_id string, v array<float>")
-    for found in (sim.topk_exact(p, g, 2), sim.topk_blocked(p, g, 2)):
+    for found in (sim.scan_probes(p, g, 2), sim.scan_gallery(p, g, 2), sim.topk_blocked(p, g, 2)):
         rows = found.orderBy("rank").collect()
         assert [(r["id"], r["score"], r["distance"]) for r in rows] == [("a", 1.0, 0.0), ("c", 1.0, 0.0)]
 
