@@ -11,11 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from probewise.functions.boxes import box_area, box_height, box_width, clipped_crop, has_box
+from probewise.session import durable
 
 # fixed values: small term that keeps an overlap ratio defined; tie-break weight
 IOU_EPSILON = 1e-6
 SCORE_WEIGHT = 1e-3
 
+# boxes of an image that is cut into tiles, tiles per side, and undecided boxes
+# of one tile that are looked at in a round
+CROWDED = 20_000
+TILES = 64
+MOST_DOUBTFUL = 2_000
+DROP, WAIT, KEEP = -1, 0, 1
+
 
 def quality_gate(
     df: DataFrame,
@@ -76,46 +84,133 @@ def single_face_status(images: DataFrame, detections: DataFrame) -> DataFrame:
     )
 
 
-def nms(df: DataFrame, iou: float = 0.4) -> DataFrame:
-    """Greedy suppression of overlapping boxes per image.
-
-    Rows ``(image_id, face_index, bbox, det_score)``; equal scores go to the
-    smaller face index. Copies of one box are merged before the shuffle: all
-    but the best overlap it fully and could never stay. Each image is then one
-    sorted run of rows, and a task holds only the boxes kept so far.
-    """
+def merge_copies(df: DataFrame, iou: float) -> DataFrame:
+    """Keep the best of the copies of one box: it overlaps the others fully,
+    so they could never stay."""
     x1, y1, x2, y2 = (F.get("bbox", F.lit(i)) for i in range(4))
     area = (x2 - x1) * (y2 - y1)
     merges = area / (area + IOU_EPSILON) > iou
     copy_key = F.when(merges, F.lit(-1).cast("long")).otherwise(F.col("face_index").cast("long"))
     first = F.min(F.struct((-F.col("det_score")).alias("s"), F.col("face_index").alias("face_index")))
-    merged = (
+    return (
         df.groupBy("image_id", "bbox", copy_key.alias("_copy"))
         .agg(first.alias("b"))
         .select("image_id", F.col("b.face_index").alias("face_index"), "bbox", (-F.col("b.s")).alias("det_score"))
     )
-    schema = T.StructType([merged.schema[name] for name in merged.columns])
 
+
+def nms(df: DataFrame, iou: float = 0.4, crowded: int = CROWDED) -> DataFrame:
+    """Greedy suppression of overlapping boxes per image.
+
+    Rows ``(image_id, face_index, bbox, det_score)``; equal scores go to the
+    smaller face index. An image is one sorted run of rows of which a task
+    holds the kept boxes; images with more than ``crowded`` boxes are cut into
+    tiles first.
+    """
+    boxes = durable(merge_copies(df, iou))
+    sizes = boxes.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowded)
+    full = durable(sizes.select("image_id"))
+    if full.isEmpty():
+        return suppress_runs(boxes, iou)
+    calm = suppress_runs(boxes.join(full, "image_id", "left_anti"), iou)
+    return calm.unionByName(suppress_tiles(boxes.join(full, "image_id", "left_semi"), iou))
+
+
+def suppress_runs(boxes: DataFrame, iou: float) -> DataFrame:
     def suppress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        image, kept = None, []
+        image, kept = None, BoxList()
         for batch in batches:
-            boxes = np.array(batch["bbox"].tolist(), dtype=float).reshape(-1, 4)
             stays = np.zeros(len(batch), dtype=bool)
-            for i, current in enumerate(batch["image_id"]):
+            for i, (current, box) in enumerate(zip(batch["image_id"], batch["bbox"])):
                 if current != image:
-                    image, kept = current, []
-                stays[i] = not kept or not overlaps(boxes[i], np.asarray(kept), iou)
+                    image, kept = current, BoxList()
+                stays[i] = not kept.overlap(box, iou)
                 if stays[i]:
-                    kept.append(boxes[i])
+                    kept.add(box)
             yield batch[stays]
 
-    ordered = merged.repartition("image_id").sortWithinPartitions("image_id", F.col("det_score").desc(), "face_index")
-    return ordered.mapInPandas(suppress, schema)
+    ordered = boxes.repartition("image_id").sortWithinPartitions("image_id", F.col("det_score").desc(), "face_index")
+    return ordered.mapInPandas(suppress, boxes.schema)
+
 
+def suppress_tiles(boxes: DataFrame, iou: float) -> DataFrame:
+    """The same result for crowded images, tile by tile in rounds.
 
-def overlaps(box: np.ndarray, kept: np.ndarray, iou: float) -> bool:
-    """Whether ``box`` overlaps any kept box by more than ``iou``."""
-    sides = np.minimum(box[2:], kept[:, 2:]) - np.maximum(box[:2], kept[:, :2])
-    shared = np.prod(np.maximum(sides, 0), axis=1)
-    areas = np.prod(kept[:, 2:] - kept[:, :2], axis=1)
-    return bool((shared / (np.prod(box[2:] - box[:2]) + areas - shared + IOU_EPSILON) > iou).any())
+    Overlapping boxes share a tile. A box is dropped if any of its tiles has a
+    kept box over it, and kept if none of them has an undecided or kept better
+    box over it. The best undecided box is always decided, and each round
+    reads the undecided and the kept boxes only.
+    """
+    corner = [F.get("bbox", F.lit(i)) for i in range(4)]
+    ends = boxes.groupBy("image_id").agg(
+        *[F.min(corner[i]).alias(f"_low{i}") for i in (0, 1)], *[F.max(corner[i + 2]).alias(f"_high{i}") for i in (0, 1)]
+    )
+
+    def tile(i: int, axis: int):
+        low, high = F.col(f"_low{axis}"), F.col(f"_high{axis}")
+        place = F.floor((corner[i] - low) / F.greatest(high - low, F.lit(IOU_EPSILON)) * TILES)
+        return F.least(place, F.lit(TILES - 1))
+
+    spans = {"tx1": tile(0, 0), "ty1": tile(1, 1), "tx2": tile(2, 0), "ty2": tile(3, 1)}
+    placed = boxes.join(ends, "image_id").withColumns(spans).select(*boxes.columns, *spans)
+    left = durable(placed.withColumn("kept", F.lit(False)))
+    key, tiles = ["image_id", "face_index"], ["image_id", "tx", "ty"]
+    schema = T.StructType([boxes.schema[name] for name in key] + [T.StructField("verdict", T.IntegerType())])
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, kept, doubtful = None, BoxList(), BoxList()
+        for batch in batches:
+            verdicts = np.zeros(len(batch), dtype=np.int32)
+            rows = zip(zip(*(batch[t] for t in tiles)), batch["bbox"], batch["kept"], batch["alone"])
+            for i, (current, box, is_kept, alone) in enumerate(rows):
+                if current != place:
+                    place, kept, doubtful = current, BoxList(), BoxList()
+                if is_kept:
+                    verdicts[i] = KEEP
+                elif kept.overlap(box, iou):
+                    verdicts[i] = DROP
+                elif doubtful.n >= MOST_DOUBTFUL or doubtful.overlap(box, iou):
+                    verdicts[i] = WAIT
+                else:
+                    verdicts[i] = KEEP
+                if verdicts[i] == KEEP and (is_kept or alone):
+                    kept.add(box)
+                elif verdicts[i] != DROP and doubtful.n < MOST_DOUBTFUL:
+                    doubtful.add(box)
+            yield batch[key].assign(verdict=verdicts)
+
+    while not left.where("NOT kept").isEmpty():
+        copies = (
+            left.withColumn("alone", (F.col("tx1") == F.col("tx2")) & (F.col("ty1") == F.col("ty2")))
+            .withColumn("tx", F.explode(F.sequence("tx1", "tx2")))
+            .withColumn("ty", F.explode(F.sequence("ty1", "ty2")))
+        )
+        ordered = copies.repartition(*tiles).sortWithinPartitions(*tiles, F.col("det_score").desc(), "face_index")
+        verdicts = ordered.select(*tiles, "face_index", "bbox", "kept", "alone").mapInPandas(judge, schema)
+        decided = verdicts.groupBy(*key).agg(F.min("verdict").alias("verdict"))
+        judged = left.drop("kept").join(decided, key).where(F.col("verdict") != DROP)
+        left = durable(judged.withColumn("kept", F.col("verdict") == KEEP).drop("verdict"))
+    return left.select(*boxes.columns)
+
+
+class BoxList:
+    """Growing list of boxes that answers whether a box overlaps one of them."""
+
+    def __init__(self) -> None:
+        self.rows, self.n = np.empty((16, 4)), 0
+
+    def add(self, box: np.ndarray) -> None:
+        if self.n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        self.rows[self.n] = box
+        self.n += 1
+
+    def overlap(self, box: np.ndarray, iou: float) -> bool:
+        if not self.n:
+            return False
+        box, held = np.asarray(box, dtype=float), self.rows[: self.n]
+        sides = np.minimum(box[2:], held[:, 2:]) - np.maximum(box[:2], held[:, :2])
+        shared = np.prod(np.maximum(sides, 0), axis=1)
+        areas = np.prod(held[:, 2:] - held[:, :2], axis=1)
+        ratio = shared / (np.prod(box[2:] - box[:2]) + areas - shared + IOU_EPSILON)
+        return bool((ratio > iou).any())

@@ -46,6 +46,15 @@ def test_nms_equals_the_loop(spark, iou):
     assert sorted((r["image_id"], r["face_index"]) for r in found.collect()) == loop_nms(rows, iou)
 
 
+@pytest.mark.parametrize("iou, doubtful, tiles, spread", [(0.4, 2000, 4, 60.0), (0.3, 5, 8, 60.0), (0.0, 2000, 3, 300.0), (0.4, 3, 2, 5.0)])
+def test_crowded_images_in_tiles(spark, monkeypatch, iou, doubtful, tiles, spread):
+    monkeypatch.setattr(det, "MOST_DOUBTFUL", doubtful)
+    monkeypatch.setattr(det, "TILES", tiles)
+    rows = random_boxes(160, 4, 5, spread)
+    found = det.nms(spark.createDataFrame(rows, SCHEMA), iou, crowded=40)
+    assert sorted((r["image_id"], r["face_index"]) for r in found.collect()) == loop_nms(rows, iou)
+
+
 GATE = "bbox array<double>, det_score double, width int, height int, blur double"
 
 
