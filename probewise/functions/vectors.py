@@ -124,6 +124,17 @@ def max_abs_difference(a: Column | str, b: Column | str) -> Column:
     return F.array_max(F.zip_with(doubles(a), doubles(b), lambda x, y: F.abs(x - y)))
 
 
+def is_usable(vector: Column | str) -> Column:
+    """True for a vector with finite elements that are not all zero.
+
+    Filters use this and not a null score: a filter on a score would make
+    Spark compute the score twice.
+    """
+    vector = doubles(vector)
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
 def vector_problem(vector: Column | str, dim: int) -> Column:
     """First reason a vector is unusable, else ``ok``."""
     vector = doubles(vector)

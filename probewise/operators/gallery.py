@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probewise.functions.labels import matches_query, strip
-from probewise.functions.vectors import l2_normalize, uuid5
+from probewise.functions.vectors import is_usable, l2_normalize, uuid5
 from probewise.operators.ordered import RANGE_ROWS, row_numbers
 
 # fixed values: retention and paging defaults
@@ -244,11 +244,8 @@ def import_gallery(
 
     space_parts = [F.lit(config.pipeline), F.lit(config.model)]
     person = uuid5(F.lit("import-subject"), *space_parts, F.lit(config.prefix), "identity")
-    rows = (
-        import_join(mapping, vectors)
-        .withColumn("unit", l2_normalize("v"))
-        .where("unit IS NOT NULL AND NOT exists(unit, x -> isnan(x))")
-    )
+    joined = import_join(mapping, vectors)
+    rows = joined.where(is_usable("v")).withColumn("unit", l2_normalize("v"))
     people = mapping.select("identity").distinct().select(
         person.alias("id"),
         F.concat(F.lit(config.prefix + " "), F.col("identity")).alias("label"),

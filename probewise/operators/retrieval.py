@@ -128,8 +128,11 @@ def latency_summary(
 
 
 def sample_queries(df: DataFrame, n: int, seed: int, key: str = "id", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """``min(n, rows)`` distinct rows, the same ones for the same seed."""
-    hashed = df.withColumn("_h", F.xxhash64(key, F.lit(seed)))
+    """``min(n, rows)`` distinct rows, the same ones for the same seed.
+
+    The order is that of a digest of seed and key, so any engine can repeat it.
+    """
+    hashed = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))))
     numbered = row_numbers(hashed.select("_h", key), [("_h", True), (key, True)], (), "_n", range_rows)
     chosen = numbered.where(F.col("_n") <= n).select(key)
     return df.join(chosen, key, "left_semi")

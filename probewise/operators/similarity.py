@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from probewise.functions.labels import is_scale_label
-from probewise.functions.vectors import cosine, l2_normalize
+from probewise.functions.vectors import cosine, is_usable, l2_normalize
 
 SCORE_DIGITS = 6
 # a side held by every task: at most this many bytes of float64
@@ -255,12 +255,14 @@ def rescore(candidates: DataFrame, probes: DataFrame, gallery: DataFrame) -> Dat
 
     Candidates whose stored vector is missing or zero are dropped.
     """
+    stored = gallery.where(is_usable("v")).select("id", F.col("v").alias("_g"))
+    asked = probes.where(is_usable("v")).select("probe_id", F.col("v").alias("_p"))
     scored = (
         candidates.drop("score", "distance", "rank")
-        .join(gallery.select("id", F.col("v").alias("_g")), "id")
-        .join(probes.select("probe_id", F.col("v").alias("_p")), "probe_id")
+        .join(stored, "id")
+        .join(asked, "probe_id")
+        .where(F.size("_g") == F.size("_p"))
         .withColumn("score", F.round(cosine("_p", "_g"), SCORE_DIGITS))
-        .where("score IS NOT NULL")
         .drop("_g", "_p")
     )
     return scored.withColumn("distance", F.round(1 - F.col("score"), SCORE_DIGITS))
@@ -297,17 +299,17 @@ def score_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
         F.when(F.col("_s1").isNull(), F.col("key1").cast("string")),
         F.when(F.col("_s2").isNull(), F.col("key2").cast("string")),
     )
-    similarity = cosine("_v1", "_v2")
+    comparable = is_usable("_v1") & is_usable("_v2") & (F.size("_v1") == F.size("_v2"))
     status = (
         F.when(F.col("_s1").isNull() | F.col("_s2").isNull(), "missing_image")
         .when(F.col("_s1") != "ok", F.col("_s1"))
         .when(F.col("_s2") != "ok", F.col("_s2"))
-        .when(similarity.isNull(), "error")
+        .when(~comparable, "error")
         .otherwise("ok")
     )
     return joined.select(
         *[F.col(name) for name in pairs.columns],
-        F.when(status == "ok", F.round(similarity, SCORE_DIGITS)).alias("score"),
+        F.when(status == "ok", F.round(cosine("_v1", "_v2"), SCORE_DIGITS)).alias("score"),
         status.alias("status"),
         F.when(status == "missing_image", missing).when(status != "ok", status).otherwise("").alias("error"),
     )
@@ -349,11 +351,11 @@ def similarity_profile(probe: DataFrame, gallery: DataFrame) -> DataFrame:
     """
     one = probe.select(F.col("v").alias("_p")).limit(1)
     scored = gallery.withColumn("_p", one.scalar()).withColumn("score", cosine("_p", "v"))
-    stats = scored.where("score IS NOT NULL").groupBy("identity").agg(
+    stats = scored.groupBy("identity").agg(
         F.count("score").alias("items"),
         F.round(F.avg("score"), SCORE_DIGITS).alias("avg_score"),
         F.round(F.max("score"), SCORE_DIGITS).alias("max_score"),
         F.round(F.min("score"), SCORE_DIGITS).alias("min_score"),
-    )
+    ).where("items > 0")
     best = stats.agg(F.min(F.struct(-F.col("avg_score"), F.col("identity").alias("identity")))["identity"].alias("b"))
     return stats.withColumn("is_best", F.col("identity") == best.scalar())

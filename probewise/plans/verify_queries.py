@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from probewise.operators import similarity as sim
 from probewise.operators import verification as ver
-from probewise.plans import tables
+from probewise.plans import sql_tables, tables
 from probewise.plans.registry import query
+from probewise.plans.sql_tables import with_tables
 
 
 def pair_rows(spark, sf_dir) -> DataFrame:
@@ -173,8 +174,16 @@ def a9(spark, sf_dir):
     return ver.verification_summary(pair_rows(spark, sf_dir))
 
 
-# the same per space: no SQL text, each group equals the ungrouped run on it
-@query("a9_verification_summary_by_space")
+def space_summary(space: str) -> str:
+    """The summary over the pairs of one space."""
+    own = {
+        "all_rows": sql_tables.TABLES["pair_rows"],
+        "pair_rows": f"SELECT * FROM all_rows WHERE pipeline = '{space}'",
+    }
+    return f"SELECT '{space}' AS pipeline, * FROM ({with_tables(SUMMARY, {**EER, **TARS, **own})})"
+
+
+@query("a9_verification_summary_by_space", " UNION ALL ".join(map(space_summary, ("custom", "pretrained"))), embed=False)
 def a9_by_space(spark, sf_dir):
     return ver.verification_summary(pair_rows(spark, sf_dir), ["pipeline"])
 
