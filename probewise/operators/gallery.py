@@ -22,6 +22,8 @@ SNAPSHOT_RETENTION = 3
 PAGE_SIZE = 200
 # most embeddings in one row of the nested view
 PROFILE_ROWS = 10_000
+# pages that end within this many rows are found as a top-k
+SHALLOW_ROWS = 100_000
 
 
 def live_embeddings(
@@ -51,17 +53,30 @@ def gallery_stats(embeddings: DataFrame, subjects: DataFrame) -> DataFrame:
     return per_space.withColumn("active_persons", F.lit(None).cast("long")).unionByName(total)
 
 
-def page(df: DataFrame, limit: int = PAGE_SIZE, offset: int = 0, q: str | None = None, fix_offset: bool = True) -> DataFrame:
+def page(
+    df: DataFrame,
+    limit: int = PAGE_SIZE,
+    offset: int = 0,
+    q: str | None = None,
+    fix_offset: bool = True,
+    range_rows: int = RANGE_ROWS,
+) -> DataFrame:
     """One page of active subjects, newest first, with the total of all matches.
 
-    An offset past the end shows the last page.
+    An offset past the end shows the last page. Pages near the start are a
+    top-k; deep ones are found by row number.
     """
     found = df.where((F.col("status") == "active") & matches_query("label", "id", q))
     total = found.count()
     if fix_offset and total and offset >= total:
         offset = (total - 1) // limit * limit
-    ordered = found.orderBy(F.col("created_at").desc(), F.col("id").asc())
-    return ordered.offset(offset).limit(limit).withColumn("total", F.lit(total).cast("long"))
+    if offset + limit <= SHALLOW_ROWS:
+        ordered = found.orderBy(F.col("created_at").desc(), F.col("id").asc())
+        shown = ordered.offset(offset).limit(limit)
+    else:
+        numbered = row_numbers(found, [("created_at", False), ("id", True)], (), "_n", range_rows)
+        shown = numbered.where((F.col("_n") > offset) & (F.col("_n") <= offset + limit)).drop("_n")
+    return shown.withColumn("total", F.lit(total).cast("long"))
 
 
 def profile(

@@ -25,9 +25,11 @@ from probewise.functions.vectors import cosine, is_usable, l2_normalize
 SCORE_DIGITS = 6
 # a side held by every task: at most this many bytes of float64
 BROADCAST_BYTES = 64 << 20
-# rows of one block of a blocked search, and rows scored in one product
+# rows of one block of a blocked search, and probes scored in one product
 BLOCK_ROWS = 16_384
-PROBE_CHUNK = 1_024
+PROBE_CHUNK = 512
+# rounding error of one single-precision operation
+SINGLE_ERROR = 2.0**-24
 
 
 def as_probes(df: DataFrame, vec: str, key: str) -> DataFrame:
@@ -61,31 +63,53 @@ def unit_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return matrix / np.where(lengths > 0, lengths, 1.0)
 
 
-def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the ``k`` best of every row; ties by id."""
-    columns = scores.shape[1]
-    if columns > k:
-        floor = np.partition(scores, columns - k, axis=1)[:, columns - k]
-        row, col = np.nonzero(scores >= floor[:, None])
+def first_k(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best entries of every row, best first; ties by id."""
+    order = np.lexsort((ids, -scores, row))
+    row = row[order]
+    return order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+
+
+def near_rows(probes: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs that can be among the ``k`` best of a probe, with exact scores.
+
+    The product is done in single precision; the few pairs within its error of
+    the k-th best are scored again in double precision, so none is missed.
+    """
+    rough = probes.astype(np.float32) @ vectors.astype(np.float32).T
+    count, width = vectors.shape
+    if count > k:
+        slack = np.float32(2 * (width + 2) * SINGLE_ERROR + 10.0**-SCORE_DIGITS)
+        floor = np.partition(rough, count - k, axis=1)[:, count - k] - slack
+        row, col = np.divmod(np.flatnonzero(rough >= floor[:, None]), count)
     else:
-        row, col = (a.ravel() for a in np.indices(scores.shape))
-    order = np.lexsort((ids[col], -scores[row, col], row))
-    row, col = row[order], col[order]
-    first = np.searchsorted(row, np.arange(scores.shape[0]))
-    keep = np.arange(len(row)) - first[row] < k
-    return row[keep], col[keep]
+        row, col = (a.ravel() for a in np.indices(rough.shape))
+    exact = np.empty(len(row))
+    for start in range(0, len(row), BLOCK_ROWS):
+        part = slice(start, start + BLOCK_ROWS)
+        exact[part] = np.einsum("ij,ij->i", probes[row[part]], vectors[col[part]])
+    return row, col, np.round(exact, SCORE_DIGITS) + 0.0
 
 
 def score_block(
     probe_ids: np.ndarray, probes: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Local top-k of every probe against one block: (probe ids, ids, scores)."""
+    """Top-k of every probe against a set of vectors: (probe ids, ids, scores).
+
+    Probes and vectors are taken in slices, so the score matrix stays small.
+    """
     parts = []
     for start in range(0, len(probe_ids), PROBE_CHUNK):
-        chunk = slice(start, start + PROBE_CHUNK)
-        scores = np.round(probes[chunk] @ vectors.T, SCORE_DIGITS) + 0.0
-        row, col = best_rows(scores, ids, k)
-        parts.append((probe_ids[chunk][row], ids[col], scores[row, col]))
+        chunk = probes[start : start + PROBE_CHUNK]
+        row, col, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for low in range(0, len(ids), BLOCK_ROWS):
+            more = near_rows(chunk, vectors[low : low + BLOCK_ROWS], k)
+            row = np.concatenate([row, more[0]])
+            col = np.concatenate([col, more[1] + low])
+            score = np.concatenate([score, more[2]])
+            best = first_k(row, ids[col], score, k)
+            row, col, score = row[best], col[best], score[best]
+        parts.append((probe_ids[start + row], ids[col], score))
     return tuple(np.concatenate(column) for column in zip(*parts))
 
 
@@ -171,7 +195,8 @@ def cell_plan(probes: DataFrame, gallery: DataFrame, block_rows: int) -> DataFra
     def blocks(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
 
-    return blocks(probes, "psubs").join(blocks(gallery, "gsubs"), "cell")
+    # one row per cell, and the centroids of all cells fit into a task
+    return F.broadcast(blocks(probes, "psubs").join(blocks(gallery, "gsubs"), "cell"))
 
 
 def blocked_scores(

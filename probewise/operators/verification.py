@@ -74,25 +74,25 @@ def confusion_curve(
     """
     by = list(by)
     histogram = durable(score_histogram(scored, by))
-    totals = histogram.groupBy(*by).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     if thresholds is None:
         grid = default_thresholds(histogram.select(*by, "score", F.lit(0).alias("label")), by)
         grid = grid.withColumn("position", F.lit(None).cast("long"))
     else:
-        grid = thresholds.select(F.col("position").cast("long").alias("position"), "threshold")
-        if by:
-            grid = histogram.select(*by).distinct().withColumn("_k", F.lit(1)).join(
-                F.broadcast(grid.withColumn("_k", F.lit(1))), "_k"
-            ).drop("_k")
+        listed = F.collect_list(F.struct(F.col("position").cast("long").alias("position"), "threshold"))
+        grid = thresholds if not by else (
+            histogram.select(*by).distinct().select(*by, F.inline(thresholds.agg(listed).scalar()))
+        )
     zero = F.lit(0).cast("long")
     marks = histogram.select(*by, F.col("score").alias("threshold"), "pos", "neg", zero.alias("mark"), F.lit(None).cast("long").alias("position"))
     asked = grid.select(*by, "threshold", zero.alias("pos"), zero.alias("neg"), F.lit(1).cast("long").alias("mark"), "position")
     order = [("threshold", False), ("mark", True)]
     summed = running_sums(marks.unionByName(asked), order, {"pos": "tp", "neg": "fp"}, by, range_rows).where("mark = 1")
+    sums = [F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg")]
     if by:
-        joined = summed.join(totals, by)
+        joined = summed.join(histogram.groupBy(*by).agg(*sums), by)
     else:
-        joined = summed.withColumn("_k", F.lit(1)).join(F.broadcast(totals.withColumn("_k", F.lit(1))), "_k")
+        totals = {f"_{c}": histogram.agg(F.sum(c)).scalar() for c in ("pos", "neg")}
+        joined = summed.withColumns(totals)
     curve = joined.select(
         *by, "position", "threshold", "tp", "fp", (F.col("_neg") - F.col("fp")).alias("tn"), (F.col("_pos") - F.col("tp")).alias("fn")
     )

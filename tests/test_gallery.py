@@ -46,6 +46,11 @@ def test_stats(people, rows):
     assert found == {("custom", "m"): (1, None), ("pretrained", "m"): (1, None), ("custom", "old"): (1, None), (None, None): (3, 4)}
 
 
+def test_deep_pages(people, monkeypatch):
+    monkeypatch.setattr(gal, "SHALLOW_ROWS", 0)
+    assert [[r["id"] for r in gal.page(people, 2, n, range_rows=1).orderBy("created_at").collect()] for n in (0, 2)] == [["p4", "p5"], ["p1", "p3"]]
+
+
 def test_pages(people):
     first = gal.page(people, 2, 0).collect()
     assert [r["id"] for r in first] == ["p5", "p4"] and {r["total"] for r in first} == {4}

@@ -125,6 +125,13 @@ def test_curve_in_many_ranges_equals_brute_force(spark, range_rows):
         assert {r["threshold"]: (r["tp"], r["fp"], r["tn"], r["fn"]) for r in found if r["g"] == g} == reference_curve(part)
 
 
+def test_listed_grid_per_group(spark):
+    data = [("a", 0.9, 1), ("a", 0.1, 0), ("b", 0.4, 1)]
+    df = spark.createDataFrame(data, "g string, score double, label int")
+    rows = ver.confusion_curve(df, grid(spark, [0.5, 0.2]), ["g"]).collect()
+    assert sorted((r["g"], r["position"], r["tp"], r["fp"]) for r in rows) == [("a", 0, 1, 0), ("a", 1, 1, 0), ("b", 0, 0, 0), ("b", 1, 1, 0)]
+
+
 def test_rates_are_monotone(spark):
     rnd = random.Random(4)
     df = scored(spark, [rnd.gauss(0.4, 0.2) for _ in range(80)], [rnd.gauss(0, 0.2) for _ in range(80)])
