@@ -158,24 +158,27 @@ def benchmark_grid(
     exact: DataFrame,
     configs: Mapping[str, Callable[[], DataFrame]],
     ks: Sequence[int] = OVERLAP_KS,
+    notes: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Overlap of every configuration with the exact result.
 
-    A configuration that cannot be built stays in the table with its error.
+    A configuration that cannot be built stays in the table with its error;
+    ``notes`` are remarks by configuration, such as a thin training set.
     """
+    notes = notes or {}
     found, states = None, []
     for name, run in configs.items():
         try:
             result = run().select(F.lit(name).alias("config"), "probe_id", "id", "rank")
             found = result if found is None else found.unionByName(result)
-            states.append((name, "ok", ""))
+            states.append((name, "ok", "", notes.get(name, "")))
         except ValueError as problem:
-            states.append((name, "failed", str(problem)))
-    status = exact.sparkSession.createDataFrame(states, "config string, status string, error string")
+            states.append((name, "failed", str(problem), notes.get(name, "")))
+    status = exact.sparkSession.createDataFrame(states, "config string, status string, error string, notes string")
     rows = status.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
     if found is None:
         return rows.withColumn("overlap", F.lit(None).cast("double"))
-    built = [F.lit(name) for name, state, _ in states if state == "ok"]
+    built = [F.lit(name) for name, state, *_ in states if state == "ok"]
     truth = exact.withColumn("config", F.explode(F.array(*built)))
     return rows.join(topk_overlap(truth, found, ks, ["config"]), ["config", "k"], "left")
 

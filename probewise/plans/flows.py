@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probewise.functions.vectors import decode_vector, decrypt_payload
@@ -113,5 +114,19 @@ def build_index(
 
 
 def write_index(index: CellIndex, path: str) -> None:
-    """Store an index as parquet, one folder per cell."""
-    index.assigned.write.mode("overwrite").partitionBy("cell").parquet(path)
+    """Store an index as parquet, one folder per cell.
+
+    Rebalancing splits the files of a large cell over several tasks and puts
+    small cells together.
+    """
+    spark = index.assigned.sparkSession
+    index.assigned.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+    rows = [(cell, centroid.tolist()) for cell, centroid in enumerate(index.centroids)]
+    centroids = spark.createDataFrame(rows, "cell int, v array<double>")
+    centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+
+
+def read_index(spark: SparkSession, path: str) -> CellIndex:
+    """A stored index; the centroids are as many as were checked when training."""
+    rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
+    return CellIndex(np.array([row["v"] for row in rows]), spark.read.parquet(f"{path}/vectors"))

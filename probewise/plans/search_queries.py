@@ -318,7 +318,8 @@ def b8(spark, sf_dir):
         configs[f"pq_parts{parts}"] = lambda parts=parts: ann.pq_search(
             probes, index, ann.pq_train(gallery, parts, 4), 10, 16
         )
-    return ret.benchmark_grid(exact, configs)
+    note = ann.check_code_shape(64, gallery.count(), 16, 8, 4)
+    return ret.benchmark_grid(exact, configs, notes={"pq_parts8": note})
 
 
 # a run per nation: its customers' balances stand for the metrics of a model

@@ -219,7 +219,7 @@ def j1(spark, sf_dir):
 
 @query("j2_topk_blocked", TOPK_SQL, extra=VEC_GALLERY)
 def j2(spark, sf_dir):
-    return sim.topk_blocked(probe_rows(spark, sf_dir), gallery_rows(spark, sf_dir), 10, block_rows=256)
+    return sim.topk_blocked(probe_rows(spark, sf_dir), gallery_rows(spark, sf_dir), 10, block_rows=1024)
 
 
 def cell_index(spark, sf_dir, nlist: int = 16) -> ann.CellIndex:

@@ -152,6 +152,12 @@ def parse_checksums(lines: DataFrame) -> DataFrame:
     )
 
 
+def read_manifest_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, expected)`` from the ``files`` list of a JSON manifest."""
+    manifest = spark.read.schema("files array<struct<path: string, sha256: string>>").json(path, multiLine=True)
+    return manifest.select(F.inline("files")).select("path", F.col("sha256").alias("expected"))
+
+
 def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Status of every manifest row ``(path, expected)`` against ``(path, content)``.
 

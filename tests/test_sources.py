@@ -66,3 +66,12 @@ def test_checksums(spark):
     stored = spark.createDataFrame([("a", b"data"), ("b", b"other")], "path string, content binary")
     found = src.verify_manifest(stored, src.parse_checksums(lines)).collect()
     assert {r["line_number"]: r["status"] for r in found} == {1: "ok", 2: "mismatch", 3: "missing", 4: "malformed"}
+
+
+def test_json_manifest(spark, tmp_path):
+    good = hashlib.sha256(b"data").hexdigest()
+    files = [{"path": "a", "sha256": good}, {"path": "b", "sha256": "0"}, {"path": "c"}, {"sha256": good}]
+    (tmp_path / "m.json").write_text(json.dumps({"name": "x", "files": files}, indent=1))
+    stored = spark.createDataFrame([("a", b"data"), ("b", b"other")], "path string, content binary")
+    found = src.verify_manifest(stored, src.read_manifest_files(spark, str(tmp_path / "m.json"))).collect()
+    assert sorted((r["path"] or "", r["status"]) for r in found) == [("", "malformed"), ("a", "ok"), ("b", "mismatch"), ("c", "malformed")]
