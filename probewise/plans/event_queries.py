@@ -18,16 +18,19 @@ WINDOW_SECONDS = 24 * 3600
 LIMITS = {"search": 60, "click": 1, "view": 2, "purchase": 3, "signup": 0, "error": 2}
 
 
+def events_stream(spark, sf_dir) -> DataFrame:
+    """The given events as a file stream."""
+    schema = tables.read(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+
+
 @query(
     "e1_append_audit",
     """SELECT event_type, actor_role, route, status_code, details, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM audit""",
 )
 def e1(spark, sf_dir):
-    source = tables.read(spark, sf_dir, "events")
-    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/event[s].parquet")
-    rows = tables.as_audit(stream)
     path = scratch(spark)
-    ev.append_audit(rows, f"{path}/audit", f"{path}/state").awaitTermination()
+    ev.append_audit(tables.as_audit(events_stream(spark, sf_dir)), f"{path}/audit", f"{path}/state").awaitTermination()
     stored = spark.read.parquet(f"{path}/audit")
     return stored.withColumn("created_at", F.date_format("created_at", STAMP))
 
@@ -83,31 +86,21 @@ def run_to_table(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-# the stream holds back what its watermark has not passed; a marker event after
-# the last real one lets it pass
+# the stream holds back what its watermark has not passed; one event after the
+# last real one lets it pass
 @query("e3_throttle_stream", JUDGED, extra=THROTTLED, recursive=True)
 def e3_stream(spark, sf_dir):
     path = scratch(spark)
-    requests = tables.requests(spark, sf_dir)
-    marker = requests.agg(
+    last = tables.requests(spark, sf_dir).agg(
         F.lit(-1).cast("long").alias("event_id"),
         F.lit("none").alias("category"),
-        F.lit("marker").alias("identity"),
+        F.lit("end").alias("identity"),
         (F.max("ts") + F.expr("interval 1 second")).alias("ts"),
     )
-    with_marker = by_time_files(requests, marker, path + "/in")
-    judged = run_to_table(throttle_stream(with_marker, LIMITS, WINDOW_SECONDS), path)
-    return judged.where("event_id >= 0")
-
-
-def by_time_files(df: DataFrame, last: DataFrame, path: str) -> DataFrame:
-    """``df`` as a stream: one file per week, then the ``last`` rows; one file a batch."""
-    spark = df.sparkSession
-    weeks = [row[0] for row in df.select(F.date_trunc("week", "ts").alias("w")).distinct().orderBy("w").collect()]
-    for week in weeks:
-        df.where(F.date_trunc("week", "ts") == F.lit(week)).coalesce(1).write.mode("append").parquet(path)
-    last.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    last.write.parquet(f"{path}/last")
+    end = spark.readStream.schema(last.schema).parquet(f"{path}/last")
+    requests = tables.as_requests(events_stream(spark, sf_dir)).unionByName(end)
+    return run_to_table(throttle_stream(requests, LIMITS, WINDOW_SECONDS), path).where("event_id >= 0")
 
 
 @query(
@@ -181,9 +174,7 @@ def e6(spark, sf_dir):
 
 @query("e6_stabilize_stream", STABLE, extra=SMOOTHED, recursive=True)
 def e6_stream(spark, sf_dir):
-    path = scratch(spark)
-    frames = tables.frames(spark, sf_dir)
-    return run_to_table(stabilize_stream(by_time_files(frames, frames.where("false"), path + "/in")), path)
+    return run_to_table(stabilize_stream(tables.as_frames(events_stream(spark, sf_dir))), scratch(spark))
 
 
 @query(

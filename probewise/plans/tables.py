@@ -152,14 +152,22 @@ def as_audit(events: DataFrame) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Throttle input: one key per event type and user."""
-    return read(spark, sf_dir, "events").select(
+    return as_requests(read(spark, sf_dir, "events"))
+
+
+def as_requests(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id", F.col("event_type").alias("category"), F.col("user_id").cast("string").alias("identity"), "ts"
     )
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live frames: one session per user."""
-    return read(spark, sf_dir, "events").select(
+    return as_frames(read(spark, sf_dir, "events"))
+
+
+def as_frames(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("user_id").alias("session"),
         "ts",
         F.col("event_id").alias("frame_id"),
