@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from probewise.functions.labels import is_scale_label
-from probewise.functions.vectors import cosine, is_usable, l2_normalize
+from probewise.functions.vectors import cosine, is_usable
 
 SCORE_DIGITS = 6
 # a side held by every task: at most this many bytes of float64
@@ -58,7 +58,10 @@ def as_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def unit_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """List column as a matrix of unit rows; zero rows stay zero."""
-    matrix = as_matrix(column).astype(np.float64, copy=False)
+    return unit_rows(as_matrix(column).astype(np.float64, copy=False))
+
+
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(lengths > 0, lengths, 1.0)
 
@@ -340,12 +343,53 @@ def score_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     )
 
 
+def sum_by_key(keys: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sum of the vectors of each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[starts], np.add.reduceat(vectors[order], starts, axis=0)
+
+
 def combine_views(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """Sum the unit vectors of each key and make the sum a unit vector."""
-    elements = df.select(key, F.posexplode(l2_normalize(vec, "keep")).alias("pos", "x"))
-    sums = elements.groupBy(key, "pos").agg(F.sum("x").alias("x"))
-    arrays = sums.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("_e"))
-    return arrays.select(key, l2_normalize(F.transform("_e", lambda e: e["x"]), "keep").alias("v"))
+    """Sum the unit vectors of each key and make the sum a unit vector.
+
+    Vectors are summed batch by batch before the shuffle, so a key with many
+    rows sends few; after it each key is a sorted run that is summed in
+    passing.
+    """
+    rows = df.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(key, F.col(vec).alias("v"))
+    schema = T.StructType([rows.schema[key], T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def batch_of(keys: np.ndarray, sums: np.ndarray) -> list[pa.RecordBatch]:
+        offsets = pa.array(np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32))
+        return as_table(schema, (keys, pa.ListArray.from_arrays(offsets, pa.array(sums.ravel())))).to_batches()
+
+    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                yield from batch_of(*sum_by_key(keys, unit_matrix(batch.column(1))))
+
+    def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last key of a batch may go on in the next one
+        open_key, open_sum = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, sums = sum_by_key(batch.column(0).to_numpy(zero_copy_only=False), as_matrix(batch.column(1)))
+            if open_sum is not None and open_key == keys[0]:
+                sums[0] += open_sum
+            elif open_sum is not None:
+                yield from batch_of(np.array([open_key]), unit_rows(open_sum[None, :]))
+            open_key, open_sum = keys[-1], sums[-1].copy()
+            if len(keys) > 1:
+                yield from batch_of(keys[:-1], unit_rows(sums[:-1]))
+        if open_sum is not None:
+            yield from batch_of(np.array([open_key]), unit_rows(open_sum[None, :]))
+
+    ordered = rows.mapInArrow(before, schema).repartition(key).sortWithinPartitions(key)
+    return ordered.mapInArrow(after, schema)
 
 
 def centroid_predictions(df: DataFrame, label: str, vec: str, key: str) -> DataFrame:

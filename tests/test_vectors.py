@@ -76,6 +76,22 @@ def test_combined_views_are_unit_sums(spark):
     assert found["a"] == pytest.approx([np.sqrt(0.5)] * 2) and found["b"] == [0.0, -1.0]
 
 
+def test_combined_views_over_many_batches(spark):
+    rng = np.random.default_rng(5)
+    # one key has half of the rows
+    rows = [(int(rng.choice([0, 0, 0, 1, 2, 3])), rng.normal(size=3).tolist()) for _ in range(400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(rows, "k long, v array<double>").repartition(5)
+        found = {r["k"]: r["v"] for r in combine_views(df, "k", "v").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(found) == {0, 1, 2, 3}
+    for k, v in found.items():
+        total = sum(np.array(x) / np.linalg.norm(x) for key, x in rows if key == k)
+        assert v == pytest.approx(total / np.linalg.norm(total))
+
+
 def test_parity_and_agreement(spark):
     a, b = table(spark, [[1.0, 0.0], [0.0, 1.0]]), table(spark, [[1.0, 0.00000001], [0.6, 0.8]])
     rows = vt.parity_check(a, b, "id", 2).orderBy("id").collect()
