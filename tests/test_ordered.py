@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from probewise.operators.ordered import exact_quantiles, range_cuts, row_numbers, running_sums
 

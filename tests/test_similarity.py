@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from probewise.operators import approximate as ann
 from probewise.operators import similarity as sim
