@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from probewise.llm import exact_dedup, mixing, packing, tokens
+from probewise.llm import divergence, exact_dedup, mixing, packing, rule_classifier, tokens
 from probewise.llm.common import QUERIES, SQL
 
-MODULES = (exact_dedup, mixing, packing, tokens)
+MODULES = (divergence, exact_dedup, mixing, packing, rule_classifier, tokens)
 
 __all__ = ["MODULES", "QUERIES", "SQL"]
