@@ -9,14 +9,20 @@ a part's content without ``k2`` of its subparts, for every choice of them. Sets
 that share no signature cannot be similar; sets that do are compared exactly.
 
 Documents with equal sets are one node from the start. What is asked for are
-classes, so within the sets of a signature a star of pairs is compared first;
-pairs that the links so far already connect need no comparison. All other
-pairs are compared, in signature groups of many open sets under a second,
-finer partition, which similar sets share as well.
+classes, so within the sets of a signature a star of pairs is compared first,
+and pairs that the links so far already connect need no comparison. All other
+pairs of a signature are compared. Where one has very many open sets, those
+sets are keyed anew by the rarest of their shingles, as many as two similar
+sets can't all miss, which tells texts around a common passage apart.
+
+Before the exact comparison a pair is tested by counts of its shingles in hash
+buckets, a small part of their size: the sum of the smaller counts bounds what
+two sets can have in common.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,20 +38,30 @@ from probewise.session import durable
 
 WIDTH, PERCENT = 4, 85
 #: Width of a band: its largest size over its smallest, as a power of the inverse threshold.
-BAND_POWER = 2
-#: ``(k2, n2)``: differing subparts and subparts of a part, first and for crowded signatures.
-COARSE, FINE = (1, 3), (3, 8)
+BAND_POWER = 1
+#: ``(k2, n2)``: differing subparts and subparts of a part.
+SHAPE = (1, 4)
 #: A signature with more open sets than this is crowded.
 CROWDED = 40
-#: Stars compared in each signature before all open pairs.
-STARS = 2
-#: Set keys that a task remembers, to emit a set's signatures once.
-MEMORY = 500_000
+#: Set keys that a task remembers, to send a set's signatures once.
+MEMORY = 300_000
+#: Shingles to a bucket of a set's counts, about.
+BUCKET = 8
+#: Nodes of a broadcast table at most, 16 to 40 bytes each; beyond, both sides are shuffled.
+BROADCAST_NODES = 500_000
 STEP = 256
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
+BLOCK_BYTES = 1 << 21
+
+
 def times(constant: np.uint64, factor: int) -> np.uint64:
     return np.uint64(int(constant) * factor % 2**64)
 
@@ -59,29 +75,67 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
-    """The distinct shingles of each text as sorted 64-bit hashes.
+def word_hashes(data: bytes, start: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(places, hashes)`` of the words of a byte string, block by block.
 
-    Bytes are lower-cased in A-Z only, and bytes split at exactly the white
-    space that separates words.
+    Bytes are lower-cased in A-Z only. A word's hash is a polynomial of its
+    bytes modulo 2**64, taken from running sums over the block and shifted to
+    the word's start, then mixed. Blocks end at white space.
     """
-    import xxhash
-
-    split = [text.encode("utf-8", "surrogatepass").lower().split() for text in texts]
-    hashes = {word: xxhash.xxh64_intdigest(word) for word in {w for words in split for w in words}}
-    out = []
-    for words in split:
-        own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        size = min(width, len(own))
-        if not size:
-            out.append(own)
-            continue
-        n = len(own) - size + 1
-        # the number of words is part of a short sequence's hash
-        total = np.full(n, size, np.uint64)
-        for i in range(size):
-            total = mix(total * ODD[4] + own[i : i + n] * ODD[i % 4] + np.uint64(i))
-        out.append(np.unique(total))
+    while start < len(data):
+        end = min(len(data), start + BLOCK_BYTES)
+        if end < len(data):
+            gap = SPACE.search(data, end)
+            end = gap.end() if gap else len(data)
+        block = np.frombuffer(data, np.uint8, end - start, start)
+        space = IS_SPACE[block]
+        edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
+        first, last = edges[::2], edges[1::2]
+        powers = np.full(len(block) + 1, BASE, np.uint64)
+        powers[0] = 1
+        np.multiply.accumulate(powers, out=powers)
+        sums = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum(BYTE_CODES[block] * powers[:-1], out=sums[1:])
+        # dividing by the power of the start is multiplying by the inverse's
+        powers = np.full(len(block) + 1, INVERSE, np.uint64)
+        powers[0] = 1
+        np.multiply.accumulate(powers, out=powers)
+        yield first + start, mix((sums[last] - sums[first]) * powers[first])
+        start = end
+
+
+# codes of bytes in a word, A-Z as a-z
+BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * ODD[0])
+BYTE_CODES[65:91] = BYTE_CODES[97:123]
+
+
+def chained(words: np.ndarray, size: int) -> np.ndarray:
+    """The hash of every run of ``size`` word hashes; ``size`` is part of it."""
+    n = len(words) - size + 1
+    total = np.full(n, size, np.uint64)
+    for i in range(size):
+        total = mix(total * ODD[4] + words[i : i + n] + np.uint64(i))
+    return total
+
+
+def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
+    """The distinct shingles of each text as sorted 64-bit hashes."""
+    encoded = [text.encode("utf-8", "surrogatepass") for text in texts]
+    data = b" ".join(encoded)
+    found = list(word_hashes(data))
+    words = np.concatenate([h for _, h in found]) if found else np.zeros(0, np.uint64)
+    places = np.concatenate([p for p, _ in found]) if found else np.zeros(0, np.int64)
+    ends = np.cumsum([len(e) + 1 for e in encoded])
+    bounds = np.searchsorted(places, ends).tolist()
+    runs = chained(words, width) if len(words) >= width else words[:0]
+    out, start = [], 0
+    for end in bounds:
+        n = end - start
+        if n >= width:
+            out.append(np.unique(runs[start : end - width + 1]))
+        else:
+            out.append(chained(words[start:end], n) if n else words[:0])
+        start = end
     return out
 
 
@@ -140,15 +194,26 @@ def signatures(sets: list[np.ndarray], percent: int, shape: tuple[int, int]) ->
     return np.concatenate(owners), np.concatenate(found)
 
 
+def in_steps(texts: pd.Series, width: int) -> Iterator[list[np.ndarray]]:
+    """The shingle sets of a batch, some texts at a time: up to ``STEP``, fewer long ones."""
+    some: list[str] = []
+    size = 0
+    for text in texts:
+        some.append(text)
+        size += len(text)
+        if len(some) == STEP or size >= BLOCK_BYTES:
+            yield shingle_sets(some, width)
+            some, size = [], 0
+    if some:
+        yield shingle_sets(some, width)
+
+
 def keyed(width: int):
     """A column function: text to ``struct(n, node, other)``: size and keys of its shingle set."""
 
     @F.pandas_udf("n long, node long, other long")
     def of(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for at in range(0, len(texts), STEP):
-            sets = shingle_sets(texts.iloc[at : at + STEP].tolist(), width)
-            rows += [(len(s), *keys) for s, keys in zip(sets, set_keys(sets))]
+        rows = [(len(s), *keys) for sets in in_steps(texts, width) for s, keys in zip(sets, set_keys(sets))]
         return pd.DataFrame(rows, columns=["n", "node", "other"], dtype="int64")
 
     return of
@@ -159,10 +224,43 @@ def shingles(width: int):
 
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([s.view(np.int64) for sets in in_steps(texts, width) for s in sets])
+
+    return of
+
+
+def bucket_counts(own: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall into each of a power of two of buckets."""
+    n = 8
+    while n * BUCKET < len(own):
+        n *= 2
+    return np.bincount((own & np.uint64(n - 1)).astype(np.int64), minlength=n).astype("<u4")
+
+
+def counted(width: int):
+    """A column function: text to ``struct(n, counts)``: size and bucket counts of its set."""
+
+    @F.pandas_udf("n long, counts binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = [(len(s), bucket_counts(s).tobytes()) for sets in in_steps(texts, width) for s in sets]
+        return pd.DataFrame(rows, columns=["n", "counts"])
+
+    return of
+
+
+def may_link(percent: int):
+    """A column function: whether two sets can be similar enough, by sizes and bucket counts."""
+
+    @F.pandas_udf("boolean")
+    def of(n_a: pd.Series, a: pd.Series, n_b: pd.Series, b: pd.Series) -> pd.Series:
         out = []
-        for at in range(0, len(texts), STEP):
-            out += [s.view(np.int64) for s in shingle_sets(texts.iloc[at : at + STEP].tolist(), width)]
-        return pd.Series(out)
+        for size_a, one, size_b, two in zip(n_a, a, n_b, b):
+            small, large = sorted((np.frombuffer(one, "<u4"), np.frombuffer(two, "<u4")), key=len)
+            # buckets are low bits of the hash, so more of them fold into fewer
+            folded = large.reshape(-1, len(small)).sum(axis=0)
+            common = int(np.minimum(small, folded).sum())
+            out.append((100 + percent) * common >= percent * (size_a + size_b))
+        return pd.Series(out, dtype="bool")
 
     return of
 
@@ -173,8 +271,7 @@ def signature_rows(texts: DataFrame, width: int, percent: int, shape: tuple[int,
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for frame in frames:
-            for at in range(0, len(frame), STEP):
-                sets = shingle_sets(frame["_text"].iloc[at : at + STEP].tolist(), width)
+            for sets in in_steps(frame["_text"], width):
                 nodes = np.array([node for node, _ in set_keys(sets)], np.int64)
                 # copies in one task send their signatures once
                 new = []
@@ -197,69 +294,92 @@ def groups(rows: DataFrame) -> DataFrame:
     return shared.where(F.col("_low") != F.col("_high")).select("sig", "node").distinct()
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of nodes whose sets are similar enough."""
-    a, b = sets.select(F.col("node").alias("a"), F.col("s").alias("_sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("_sb"))
-    both = pairs.join(a, "a").where(F.size("_sa") > 0).join(b, "b")
-    sizes = F.size("_sa") + F.size("_sb")
-    common = F.size(F.array_intersect("_sa", "_sb"))
-    near = 100 * F.least(F.size("_sa"), F.size("_sb")) >= percent * F.greatest(F.size("_sa"), F.size("_sb"))
-    return both.where(near).where((100 + percent) * common >= percent * sizes).select("a", "b")
+def sized(nodes: DataFrame) -> DataFrame:
+    """A saved table of nodes, to be broadcast if it is small."""
+    return F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+
+
+class Sets:
+    """Texts, bucket counts and shingle sets of the nodes that share a signature."""
+
+    def __init__(self, nodes: DataFrame, rows: DataFrame, source: DataFrame, width: int, percent: int):
+        self.width, self.percent = width, percent
+        picked = rows.join(nodes, "node").groupBy("node").agg(F.min(F.struct("_key", "_t")).alias("_p"))
+        picked = durable(picked.select(F.col("node").alias("_node"), F.col("_p._key").alias("_pk"), F.col("_p._t").alias("_pt")))
+        few = picked.count() <= BROADCAST_NODES
+        match = (F.col("_t") == F.col("_pt")) & F.col("_key").eqNullSafe(F.col("_pk"))
+        # one text for each node, by the key and the text's hash of one of its documents
+        texts = source.join(F.broadcast(picked) if few else picked, match).select(F.col("_node").alias("node"), "_text")
+        # too many to send: they are moved once, and read from there afterwards
+        self.texts = texts if few else durable(texts)
+        self.counts = durable(self.texts.select("node", counted(width)("_text").alias("_c")).select("node", "_c.n", "_c.counts").dropDuplicates(["node"]))
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """``node, s`` of some nodes; a repeated row gives its set again."""
+        return self.texts.join(sized(nodes), "node", "left_semi").select("node", shingles(self.width)("_text").alias("s"))
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs ``a, b`` whose sets are similar enough, saved."""
+        percent = self.percent
+        one = self.counts.select(F.col("node").alias("a"), F.col("n").alias("_na"), F.col("counts").alias("_ca"))
+        two = self.counts.select(F.col("node").alias("b"), F.col("n").alias("_nb"), F.col("counts").alias("_cb"))
+        near = 100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")
+        tested = pairs.join(one, "a").join(two, "b").where(near).where(may_link(percent)("_na", "_ca", "_nb", "_cb"))
+        left = durable(tested.select("a", "b", "_na", "_nb"))
+        nodes = durable(left.select(F.col("a").alias("node")).union(left.select("b")).distinct())
+        sets = durable(self.of(nodes))
+        both = left.join(sets.select(F.col("node").alias("a"), F.col("s").alias("_sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("_sb")), "b")
+        common = F.size(F.array_intersect("_sa", "_sb"))
+        return durable(both.where((100 + percent) * common >= percent * (F.col("_na") + F.col("_nb"))).select("a", "b").distinct())
+
+    def rare_shingles(self, nodes: DataFrame) -> DataFrame:
+        """``sig, node, n, rest``: the rarest shingles of each set, as many as one of any similar pair must share.
+
+        ``rest`` is how many shingles a set has from this one on, by rarity.
+        """
+        single = durable(self.of(nodes).select("node", F.explode("s").alias("sig")).distinct())
+        often = single.groupBy("sig").agg(F.count(F.lit(1)).alias("_often"))
+        ranked = single.join(often, "sig").withColumn("_rank", F.row_number().over(Window.partitionBy("node").orderBy("_often", "sig")))
+        sizes = ranked.join(self.counts.select("node", "n"), "node").withColumn("rest", F.col("n") - F.col("_rank") + 1)
+        return sizes.where((F.col("rest") >= F.ceil(F.col("n") * self.percent / 100)) & (F.col("_often") > 1)).select("sig", "node", "n", "rest")
+
+
+def open_rows(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``sig, node, label`` of the signatures whose sets the links don't all connect."""
+    labelled = members.join(connected(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = Window.partitionBy("sig")
+    ends = labelled.withColumn("_low", F.min("label").over(own)).withColumn("_high", F.max("label").over(own))
+    return ends.where("_low != _high").select(*members.columns, "label")
 
 
 def ordered_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct()
+    return durable(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct())
 
 
-def settle(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int, crowded: int | None) -> tuple[DataFrame, DataFrame | None]:
+def settle(members: DataFrame, sets: Sets, links: DataFrame, crowded: int | None) -> tuple[DataFrame, DataFrame | None]:
     """Compare the sets of each signature until every pair is linked, known not to be, or connected.
 
     Returns all links, and the nodes of crowded signatures that are still open.
     """
-    known, checked = links, None
-    for turn in range(STARS + 1):
-        label = connected(known)
-        labelled = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        own = Window.partitionBy("sig")
-        center = F.min("node") if turn == 0 else F.min_by("node", F.xxhash64("node", F.lit(turn)))
-        open_rows = (
-            labelled.withColumn("_low", F.min("label").over(own)).withColumn("_high", F.max("label").over(own)).where("_low != _high")
-        )
-        if turn < STARS:
-            stars = open_rows.withColumn("_c", center.over(own)).withColumn("_cl", F.min(F.when(F.col("node") == F.col("_c"), F.col("label"))).over(own))
-            pairs = stars.where("label != _cl").select(F.col("_c").alias("x"), F.col("node").alias("y"))
-        else:
-            counted = durable(open_rows.withColumn("_n", F.count(F.lit(1)).over(own)).select("sig", "node", "label", "_n"))
-            few = counted if crowded is None else counted.where(F.col("_n") <= crowded)
-            one, two = few.alias("o"), few.alias("t")
-            match = (F.col("o.sig") == F.col("t.sig")) & (F.col("o.node") < F.col("t.node")) & (F.col("o.label") != F.col("t.label"))
-            pairs = one.join(two, match).select(F.col("o.node").alias("x"), F.col("t.node").alias("y"))
-        pairs = ordered_pairs(pairs)
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = durable(pairs)
-        if not pairs.isEmpty():
-            known = durable(known.union(linked(pairs, sets, percent)))
-        elif turn == 0:
-            return known, None
-        checked = pairs if checked is None else checked.union(pairs)
-    many = None if crowded is None else counted.where(F.col("_n") > crowded).select("node").distinct()
-    return known, many
-
-
-def texts_of(nodes: DataFrame, rows: DataFrame, source: DataFrame) -> DataFrame:
-    """``node, _text``: one text for each node, by the key and the text's hash of one of its documents."""
-    picked = rows.join(nodes, "node").groupBy("node").agg(F.min(F.struct("_key", "_t")).alias("_p"))
-    picked = picked.select(F.col("node").alias("_node"), F.col("_p._key").alias("_pk"), F.col("_p._t").alias("_pt"))
-    match = (F.col("_t") == F.col("_pt")) & F.col("_key").eqNullSafe(F.col("_pk"))
-    return source.join(picked, match).select(F.col("_node").alias("node"), "_text")
-
-
-def set_table(nodes: DataFrame, rows: DataFrame, source: DataFrame, width: int) -> DataFrame:
-    """``node, s``: the shingle set of each node, saved."""
-    made = texts_of(nodes, rows, source).select("node", shingles(width)("_text").alias("s"))
-    # a repeated row gives its set again
-    return durable(made.groupBy("node").agg(F.first("s").alias("s")))
+    own = Window.partitionBy("sig")
+    # the text that others were copied from shares more signatures with more sets than its copies do
+    weight = members.withColumn("_n", F.count(F.lit(1)).over(own)).groupBy("node").agg(F.sum("_n").alias("_weight"))
+    stars = open_rows(members, links).join(weight, "node").withColumn("_center", F.max(F.struct("_weight", "node", "label")).over(own))
+    pairs = ordered_pairs(stars.where("label != _center.label").select(F.col("_center.node").alias("x"), F.col("node").alias("y")))
+    links = durable(links.union(sets.linked(pairs)))
+    left = durable(open_rows(members, links).withColumn("_n", F.count(F.lit(1)).over(own)))
+    few = left if crowded is None else left.where(F.col("_n") <= crowded)
+    one, two = few.alias("o"), few.alias("t")
+    match = (F.col("o.sig") == F.col("t.sig")) & (F.col("o.node") < F.col("t.node")) & (F.col("o.label") != F.col("t.label"))
+    if "rest" in members.columns:
+        # the first shingle that two sets share bounds what they have in common
+        common = F.least("o.rest", "t.rest")
+        match = match & ((100 + sets.percent) * common >= sets.percent * (F.col("o.n") + F.col("t.n")))
+    rest = one.join(two, match).select(F.col("o.node").alias("x"), F.col("t.node").alias("y"))
+    rest = durable(ordered_pairs(rest).join(pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = durable(links.union(sets.linked(rest)))
+    return links, None if crowded is None else durable(left.where(F.col("_n") > crowded).select("node").distinct())
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -276,14 +396,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     source = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_t", F.xxhash64("_text"))
     rows = durable(source.select("_key", "_t", keyed(width)("_text").alias("_s")).select("_key", "_t", "_s.n", "_s.node"))
-    members = durable(groups(signature_rows(source, width, percent, COARSE)))
+    members = durable(groups(signature_rows(source, width, percent, SHAPE)))
     links = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     if not members.isEmpty():
-        sets = set_table(members.select("node").distinct(), rows, source, width)
-        links, many = settle(members, sets, links, percent, CROWDED)
-        if many is not None and not (many := durable(many)).isEmpty():
-            finer = groups(signature_rows(texts_of(many, rows, source), width, percent, FINE))
-            links, _ = settle(durable(finer), sets, links, percent, None)
+        sets = Sets(members.select("node").distinct(), rows, source, width, percent)
+        links, many = settle(members, sets, links, CROWDED)
+        if not many.isEmpty():
+            links, _ = settle(durable(sets.rare_shingles(many)), sets, links, None)
     label = connected(links)
     placed = rows.join(label, "node", "left").withColumn("_label", F.when(F.col("n") > 0, F.coalesce("label", "node")))
     least = placed.where(F.col("n") > 0).groupBy("_label").agg(F.min("_key").alias("_least"))
