@@ -146,7 +146,7 @@ def mix(
 
 def in_order(mixed: DataFrame) -> DataFrame:
     """The mix by position: range-sorted, documents that are not taken last."""
-    return mixed.orderBy(F.col("position").asc_nulls_last())
+    return mixed.orderBy(F.col("position").asc_nulls_last(), *[c for c in mixed.columns if c != "position"][:1])
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
