@@ -28,55 +28,70 @@ from probewise.session import durable
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-#: Ids of words that a worker remembers at most.
-MEMORY = 200_000
-#: What the tokenizer's own splitting does to texts of these characters.
+#: Words whose ids a worker remembers at most.
+MEMORY = 300_000
+#: The splitting by which words between white space don't touch each other, in any text of ``PLAIN``.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN = r"[\x00-ɏ]*"
+#: Latin letters and signs: no composition changes them, and each has one lower-case letter.
+PLAIN = r"[\t\n\x0b\x0c\r\x20-\x84\x85-\u012f\u0131-\u024f]*"
+#: Signs that often follow a word.
+SIGNS = ".,;:!?#*$%&|<>)"
+# the characters by which byte-level vocabularies write bytes: printable ones as they are, the others from 256 on
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_FORMS = {b: chr(b) for b in PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(PRINTED)))}
 
 
 def encoder(path: str, memory: int = MEMORY):
-    """``texts -> arrays of ids`` for one worker.
+    """``texts -> ids`` (little-endian 32-bit, as bytes) for one worker.
 
-    Words are encoded once and remembered. That holds where the tokenizer
-    splits texts as ``SPLIT`` says; a text with characters beyond Latin, or with
-    a special token's string, and any other tokenizer goes to the library whole.
+    The tokenizer lowers texts and cuts them at white space and between letters,
+    digits and signs, so the ids of a text are those of its words in a row, and
+    a word is encoded once and remembered. A text with characters beyond Latin,
+    or with a special token's string, and any text for another tokenizer goes to
+    the library whole.
     """
     import os
+    import re
+    from struct import pack as packed
 
-    import regex
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     library = Tokenizer.from_file(path)
-    split, plain = regex.compile(SPLIT), regex.compile(PLAIN)
-    by_word = SPLIT in str(library.pre_tokenizer).replace("\\\\", "\\")
+    plain = re.compile(PLAIN).fullmatch
+    cut = str(library.pre_tokenizer).replace("\\\\", "\\")
+    by_word = SPLIT in cut and "ByteLevel(add_prefix_space=False" in cut and "Lowercase" in str(library.normalizer)
     special = [token.content for token in library.get_added_tokens_decoder().values()]
-    known: dict[str, list[int]] = {}
-
-    def ids(texts: list[str]) -> list[np.ndarray]:
-        words: list[list[str] | None] = []
-        for text in texts:
-            if by_word and plain.fullmatch(text) and not any(s in text for s in special):
-                words.append(split.findall(library.normalizer.normalize_str(text)))
+    known: dict[str, bytes] = {}
+
+    def whole(texts: list[str]) -> list[bytes]:
+        return [packed(f"<{len(e.ids)}I", *e.ids) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def token(part: str) -> bytes:
+        """The ids of letters only, or of signs only: one piece that the model merges."""
+        if part not in known:
+            form = part if part.isascii() else "".join(map(BYTE_FORMS.__getitem__, part.encode()))
+            ids = [t.id for t in library.model.tokenize(form)]
+            known[part] = packed(f"<{len(ids)}I", *ids)
+        return known[part]
+
+    def learn(words: set[str]) -> None:
+        other = []
+        for word in words:
+            letters = word.rstrip(SIGNS)
+            if letters.isalpha():
+                known[word] = token(letters) + token(word[len(letters) :]) if letters != word else token(word)
             else:
-                words.append(None)
+                other.append(word)
+        known.update(zip(other, whole(other)))
+
+    def ids(texts: list[str]) -> list[bytes]:
+        split = [t.lower().split() if by_word and plain(t) and not any(s in t for s in special) else None for t in texts]
         if len(known) > memory:
             known.clear()
-        new = list({w for found in words if found for w in found} - known.keys())
-        now = {w: e.ids for w, e in zip(new, library.encode_batch_fast(new, add_special_tokens=False))}
-        out = []
-        for text, found in zip(texts, words):
-            if found is None:
-                out.append(np.array(library.encode(text, add_special_tokens=False).ids, np.uint32))
-            else:
-                flat: list[int] = []
-                for w in found:
-                    flat += now.get(w) or known.get(w) or ()
-                out.append(np.array(flat, np.uint32))
-        if len(now) <= memory:
-            known.update(now)
-        return out
+        learn(set().union(*filter(None, split)) - known.keys())
+        get = known.__getitem__
+        return [whole([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
 
     return ids
 
@@ -102,11 +117,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str
                 part = frame.iloc[at : at + 256]
                 rows = []
                 for name, ids in zip(part["doc_id"], encoders[path](part["text"].tolist())):
-                    data = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                    for piece, start in enumerate(range(0, len(data), capacity)):
-                        own = data[start : start + capacity]
-                        row = (None if pd.isna(name) else int(name), piece, start, len(own), zlib.crc32(own.tobytes()))
-                        rows.append((*row, own.tobytes()) if with_ids else row)
+                    data = ids + END_ID.to_bytes(4, "little")
+                    for piece, at_byte in enumerate(range(0, len(data), 4 * capacity)):
+                        own = data[at_byte : at_byte + 4 * capacity]
+                        row = (None if pd.isna(name) else int(name), piece, at_byte // 4, len(own) // 4, zlib.crc32(own))
+                        rows.append((*row, own) if with_ids else row)
                 table = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
                 table["doc_id"] = table["doc_id"].astype("Int64")
                 yield table
