@@ -315,8 +315,9 @@ class Sets:
         self.counts = durable(self.texts.select("node", counted(width)("_text").alias("_c")).select("node", "_c.n", "_c.counts").dropDuplicates(["node"]))
 
     def of(self, nodes: DataFrame) -> DataFrame:
-        """``node, s`` of some nodes; a repeated row gives its set again."""
-        return self.texts.join(sized(nodes), "node", "left_semi").select("node", shingles(self.width)("_text").alias("s"))
+        """``node, s`` of some nodes, saved; a repeated row gives its set again."""
+        # saved, or a condition on the sets would be tested on all texts, before the join
+        return durable(self.texts.join(sized(nodes), "node", "left_semi").select("node", shingles(self.width)("_text").alias("s")))
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b`` whose sets are similar enough, saved."""
@@ -327,7 +328,7 @@ class Sets:
         tested = pairs.join(one, "a").join(two, "b").where(near).where(may_link(percent)("_na", "_ca", "_nb", "_cb"))
         left = durable(tested.select("a", "b", "_na", "_nb"))
         nodes = durable(left.select(F.col("a").alias("node")).union(left.select("b")).distinct())
-        sets = durable(self.of(nodes))
+        sets = self.of(nodes)
         both = left.join(sets.select(F.col("node").alias("a"), F.col("s").alias("_sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("_sb")), "b")
         common = F.size(F.array_intersect("_sa", "_sb"))
         return durable(both.where((100 + percent) * common >= percent * (F.col("_na") + F.col("_nb"))).select("a", "b").distinct())
@@ -344,30 +345,49 @@ class Sets:
         return sizes.where((F.col("rest") >= F.ceil(F.col("n") * self.percent / 100)) & (F.col("_often") > 1)).select("sig", "node", "n", "rest")
 
 
-def open_rows(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``sig, node, label`` of the signatures whose sets the links don't all connect."""
-    labelled = members.join(connected(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+def open_rows(members: DataFrame, label: DataFrame | None) -> DataFrame:
+    """``members`` with their ``label``, of the signatures whose sets the links don't all connect."""
+    if label is None:
+        # no links yet: every set is on its own, and every signature has several
+        return members.withColumn("label", F.col("node"))
+    labelled = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     own = Window.partitionBy("sig")
     ends = labelled.withColumn("_low", F.min("label").over(own)).withColumn("_high", F.max("label").over(own))
     return ends.where("_low != _high").select(*members.columns, "label")
 
 
+class Links:
+    """The links found so far and the components that they make."""
+
+    def __init__(self):
+        self.pairs: DataFrame | None = None
+        self.label: DataFrame | None = None
+
+    def add(self, found: DataFrame) -> None:
+        if found.isEmpty():
+            return
+        self.pairs = found if self.pairs is None else self.pairs.union(found)
+        # earlier components stand in for the links that made them
+        known = found if self.label is None else found.union(self.label.toDF("a", "b"))
+        self.label = connected(known)
+
+
 def ordered_pairs(pairs: DataFrame) -> DataFrame:
     return durable(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct())
 
 
-def settle(members: DataFrame, sets: Sets, links: DataFrame, crowded: int | None) -> tuple[DataFrame, DataFrame | None]:
+def settle(members: DataFrame, sets: Sets, links: Links, crowded: int | None) -> DataFrame | None:
     """Compare the sets of each signature until every pair is linked, known not to be, or connected.
 
-    Returns all links, and the nodes of crowded signatures that are still open.
+    Adds the links it finds; returns the nodes of crowded signatures that are still open.
     """
     own = Window.partitionBy("sig")
     # the text that others were copied from shares more signatures with more sets than its copies do
     weight = members.withColumn("_n", F.count(F.lit(1)).over(own)).groupBy("node").agg(F.sum("_n").alias("_weight"))
-    stars = open_rows(members, links).join(weight, "node").withColumn("_center", F.max(F.struct("_weight", "node", "label")).over(own))
+    stars = open_rows(members, links.label).join(weight, "node").withColumn("_center", F.max(F.struct("_weight", "node", "label")).over(own))
     pairs = ordered_pairs(stars.where("label != _center.label").select(F.col("_center.node").alias("x"), F.col("node").alias("y")))
-    links = durable(links.union(sets.linked(pairs)))
-    left = durable(open_rows(members, links).withColumn("_n", F.count(F.lit(1)).over(own)))
+    links.add(sets.linked(pairs))
+    left = durable(open_rows(members, links.label).withColumn("_n", F.count(F.lit(1)).over(own)))
     few = left if crowded is None else left.where(F.col("_n") <= crowded)
     one, two = few.alias("o"), few.alias("t")
     match = (F.col("o.sig") == F.col("t.sig")) & (F.col("o.node") < F.col("t.node")) & (F.col("o.label") != F.col("t.label"))
@@ -378,8 +398,8 @@ def settle(members: DataFrame, sets: Sets, links: DataFrame, crowded: int | None
     rest = one.join(two, match).select(F.col("o.node").alias("x"), F.col("t.node").alias("y"))
     rest = durable(ordered_pairs(rest).join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = durable(links.union(sets.linked(rest)))
-    return links, None if crowded is None else durable(left.where(F.col("_n") > crowded).select("node").distinct())
+        links.add(sets.linked(rest))
+    return None if crowded is None else durable(left.where(F.col("_n") > crowded).select("node").distinct())
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -397,14 +417,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     source = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_t", F.xxhash64("_text"))
     rows = durable(source.select("_key", "_t", keyed(width)("_text").alias("_s")).select("_key", "_t", "_s.n", "_s.node"))
     members = durable(groups(signature_rows(source, width, percent, SHAPE)))
-    links = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    links = Links()
     if not members.isEmpty():
         sets = Sets(members.select("node").distinct(), rows, source, width, percent)
-        links, many = settle(members, sets, links, CROWDED)
+        many = settle(members, sets, links, CROWDED)
         if not many.isEmpty():
-            links, _ = settle(durable(sets.rare_shingles(many)), sets, links, None)
-    label = connected(links)
-    placed = rows.join(label, "node", "left").withColumn("_label", F.when(F.col("n") > 0, F.coalesce("label", "node")))
+            settle(durable(sets.rare_shingles(many)), sets, links, None)
+    labelled = rows.withColumn("label", F.col("node")) if links.label is None else rows.join(links.label, "node", "left")
+    placed = labelled.withColumn("_label", F.when(F.col("n") > 0, F.coalesce("label", "node")))
     least = placed.where(F.col("n") > 0).groupBy("_label").agg(F.min("_key").alias("_least"))
     full = placed.where(F.col("n") > 0).join(least, "_label").select("_key", "n", F.col("_least").alias("component_id"))
     empty = placed.where(F.col("n") == 0).select("_key", "n", F.col("_key").alias("component_id"))
