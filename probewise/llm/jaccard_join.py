@@ -425,7 +425,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             settle(durable(sets.rare_shingles(many)), sets, links, None)
     labelled = rows.withColumn("label", F.col("node")) if links.label is None else rows.join(links.label, "node", "left")
     placed = labelled.withColumn("_label", F.when(F.col("n") > 0, F.coalesce("label", "node")))
-    least = placed.where(F.col("n") > 0).groupBy("_label").agg(F.min("_key").alias("_least"))
+    # saved, so that the join below is one that Spark can split where a class is large
+    least = durable(placed.where(F.col("n") > 0).groupBy("_label").agg(F.min("_key").alias("_least")))
     full = placed.where(F.col("n") > 0).join(least, "_label").select("_key", "n", F.col("_least").alias("component_id"))
     empty = placed.where(F.col("n") == 0).select("_key", "n", F.col("_key").alias("component_id"))
     return full.union(empty).select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), "component_id")
