@@ -98,7 +98,7 @@ def mix(
     share: float = SHARE,
     limit: float = LIMIT,
     whole: bool = False,
-    carry: Sequence[str] = (),
+    carry: dict[str, Column] | None = None,
 ) -> DataFrame:
     """One row per document: ``key, size, source_size, target, copies, taken, position``.
 
@@ -108,11 +108,12 @@ def mix(
     ``position`` is the time (0 to 1) of the first reading, null if there is
     none. Null texts have size 0 and are never taken; a null source is a source
     of its own; rows with equal keys are ordered by size, and rows equal in
-    both share one set of places in any order. ``carry`` names columns of
-    ``docs`` to keep. Readings end at ``limit`` times a document.
+    both share one set of places in any order. ``carry`` names further columns
+    of ``docs`` to keep. Readings end at ``limit`` times a document.
     """
     size = word_count(F.col("text")) if size is None else size
-    sizes = docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), size.alias("size"), *[F.col(c).alias(f"_c_{c}") for c in carry])
+    carry = carry or {}
+    sizes = docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), size.alias("size"), *[c.alias(f"_c_{name}") for name, c in carry.items()])
     sized = durable(sizes.withColumn("_h", mixed_order(F.col("_key"))))
     targets = durable(source_targets(sized, weights, share, limit))
     rows = sized.count()
@@ -140,7 +141,7 @@ def mix(
         (F.col("_turns") + F.when((F.col("_over") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)).alias("copies"),
         taken.alias("taken"),
         F.when(taken > 0, F.round(position, 6)).alias("position"),
-        *[F.col(f"_c_{c}").alias(c) for c in carry],
+        *[F.col(f"_c_{name}").alias(name) for name in carry],
     )
 
 
@@ -149,11 +150,17 @@ def in_order(mixed: DataFrame) -> DataFrame:
     return mixed.orderBy(F.col("position").asc_nulls_last(), *[c for c in mixed.columns if c != "position"][:1])
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` as often as the mix reads them, by position, with their columns."""
-    out = mix(docs, key=key, whole=True, carry=[c for c in docs.columns if c != key])
-    repeated = out.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.orderBy("position", "_copy").select(*docs.columns)
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` as often as the mix reads them, by position, with their columns.
+
+    Documents are taken whole. Only keys, sources and sizes take part in the
+    mixing; rows that repeat key and text are taken alike.
+    """
+    places = mix(docs, key=key, whole=True, carry={"_t": F.xxhash64(text)}).where("copies > 0")
+    taken = places.groupBy(F.col(key).alias("_k"), "_t").agg(F.max("copies").alias("_copies"), F.min("position").alias("_position"))
+    match = F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(text) == F.col("_t"))
+    repeated = docs.join(taken, match).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return repeated.orderBy("_position", F.col(key), "_copy").select(*[F.col(c) for c in docs.columns])
 
 
 @query(

@@ -29,7 +29,7 @@ ASSIGN_LENGTH, ACCESS_LENGTH = 6, 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
 #: Mean log-likelihood ratio per character, in nats, above which a string is random.
-RATIO = 0.35
+RATIO = 0.25
 #: Matches that are summed up together before they are put into the result.
 BLOCK = 512
 
