@@ -17,6 +17,8 @@ SPACES = "\x20\t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HASH_SPACE = 1 << 32
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 #: Rows that a bucket of the hashed order holds at most, about.
 BUCKET_ROWS = 50_000
 
@@ -31,7 +33,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand long texts to Python workers some at a time, unless the session says otherwise."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -60,38 +60,30 @@ def fingerprint(data: bytes, tables: list[tuple[int, int, np.ndarray]], chunk: i
     return out
 
 
-def fingerprints(moduli=MODULI, chunk: int = CHUNK_BYTES):
-    """A column function: text to ``struct(f1, f2, n_bytes)``."""
+def fingerprints(moduli=MODULI, chunk: int = CHUNK_BYTES, chunks: bool = False):
+    """A column function: text to ``struct(f1, f2, n_bytes)`` and, if asked for, its ``chunks`` of UTF-8.
 
-    @F.pandas_udf("f1 long, f2 long, n_bytes long")
+    An empty text has one empty chunk.
+    """
+    names = ["f1", "f2", "n_bytes"] + ["chunks"] * chunks
+
+    @F.pandas_udf("f1 long, f2 long, n_bytes long" + ", chunks array<binary>" * chunks)
     def of(texts: pd.Series) -> pd.DataFrame:
         tables = [(m, b, powers(m, b, chunk)) for m, b in moduli]
         rows = []
         for text in texts:
             data = text.encode("utf-8", "surrogatepass")
-            rows.append((*fingerprint(data, tables, chunk), len(data)))
-        return pd.DataFrame(rows, columns=["f1", "f2", "n_bytes"])
-
-    return of
-
-
-def chunked(chunk: int = CHUNK_BYTES):
-    """A column function: text to the array of its UTF-8 chunks, one empty chunk for an empty text."""
-
-    @F.pandas_udf("array<binary>")
-    def of(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            data = text.encode("utf-8", "surrogatepass")
-            out.append([data[at : at + chunk] for at in range(0, max(len(data), 1), chunk)])
-        return pd.Series(out)
+            row = (*fingerprint(data, tables, chunk), len(data))
+            rows.append((*row, [data[at : at + chunk] for at in range(0, max(len(data), 1), chunk)]) if chunks else row)
+        return pd.DataFrame(rows, columns=names)
 
     return of
 
 
-def collisions(marked: DataFrame, chunk: int) -> DataFrame:
+def collisions(source: DataFrame, moduli, chunk: int) -> DataFrame:
     """Fingerprints that differing texts share: chunkwise comparison of all equal ones."""
-    parts = marked.select(*KEY, F.posexplode(chunked(chunk)("_norm")).alias("chunk_no", "chunk"))
+    marked = source.select(fingerprints(moduli, chunk, True)("_norm").alias("_f"))
+    parts = marked.select(*[F.col(f"_f.{name}").alias(name) for name in KEY], F.posexplode("_f.chunks").alias("chunk_no", "chunk"))
     places = parts.groupBy(*KEY, "chunk_no").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     return places.where(F.col("low") != F.col("high")).select(*KEY).distinct()
 
@@ -116,7 +108,7 @@ def exact_groups(
         "_key", "_norm", *[F.col(f"_f.{name}").alias(name) for name in KEY]
     )
     rows = durable(marked.select("_key", *KEY, F.sha2(F.encode("_norm", "UTF-8"), 256).alias("text_sha256")))
-    clash = durable(collisions(marked, chunk))
+    clash = durable(collisions(source, moduli, chunk))
     if clash.isEmpty():
         rows = rows.withColumn("_tie", F.lit(""))
     else:
@@ -139,11 +131,16 @@ def exact_groups(
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", normalise=lower_ascii) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stays = exact_groups(docs, key, text, normalise).where("kept").select(F.col(key).alias("_k"), F.col("text_sha256").alias("_s"))
+    rows = durable(exact_groups(docs, key, text, normalise))
+    stays = rows.where("kept").select(F.col(key).alias("_k"), F.col("text_sha256").alias("_s"))
     sha: Column = F.sha2(F.encode(normalise(F.col(text)), "UTF-8"), 256)
-    known = docs.withColumn("_sha", sha).withColumn("_null", F.col(key).isNull())
+    known = docs.withColumn("_sha", sha)
     match = (F.col("_sha") == F.col("_s")) & F.col(key).eqNullSafe(F.col("_k"))
-    return known.join(stays, match, "left_semi").dropDuplicates([key, "_sha"]).select(*docs.columns)
+    kept = known.join(stays, match, "left_semi")
+    if not rows.where(~F.col("kept") & F.col(key).eqNullSafe(F.col("keep_id"))).isEmpty():
+        # only where key and text repeat are the rows themselves compared
+        kept = kept.dropDuplicates([key, "_sha"])
+    return kept.select(*docs.columns)
 
 
 @query(

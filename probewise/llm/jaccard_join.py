@@ -42,7 +42,7 @@ BAND_POWER = 1
 #: ``(k2, n2)``: differing subparts and subparts of a part.
 SHAPE = (1, 4)
 #: A signature with more open sets than this is crowded.
-CROWDED = 40
+CROWDED = 16
 #: Set keys that a task remembers, to send a set's signatures once.
 MEMORY = 300_000
 #: Shingles to a bucket of a set's counts, about.
@@ -234,7 +234,7 @@ def bucket_counts(own: np.ndarray) -> np.ndarray:
     n = 8
     while n * BUCKET < len(own):
         n *= 2
-    return np.bincount((own & np.uint64(n - 1)).astype(np.int64), minlength=n).astype("<u4")
+    return np.bincount((own & np.uint64(n - 1)).astype(np.int64), minlength=n).astype("<u2")
 
 
 def counted(width: int):
@@ -255,9 +255,9 @@ def may_link(percent: int):
     def of(n_a: pd.Series, a: pd.Series, n_b: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for size_a, one, size_b, two in zip(n_a, a, n_b, b):
-            small, large = sorted((np.frombuffer(one, "<u4"), np.frombuffer(two, "<u4")), key=len)
+            small, large = sorted((np.frombuffer(one, "<u2"), np.frombuffer(two, "<u2")), key=len)
             # buckets are low bits of the hash, so more of them fold into fewer
-            folded = large.reshape(-1, len(small)).sum(axis=0)
+            folded = large.reshape(-1, len(small)).sum(axis=0, dtype=np.int64)
             common = int(np.minimum(small, folded).sum())
             out.append((100 + percent) * common >= percent * (size_a + size_b))
         return pd.Series(out, dtype="bool")
@@ -437,9 +437,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     Of rows that repeat that key one stays; a row with a null key stays unless its class has a key.
     """
-    classes = near_duplicates(docs, key, text, width, percent)
-    stays = classes.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k"), F.col("n_shingles").alias("_n")).distinct()
+    classes = durable(near_duplicates(docs, key, text, width, percent))
+    stays = classes.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k")).distinct()
     kept = docs.join(stays, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    if classes.groupBy(key).count().where("count > 1").isEmpty():
+        return kept
+    # only where keys repeat are the rows themselves compared
     known = kept.withColumn("_t", F.xxhash64(F.when(F.col(key).isNull(), F.col(text))))
     return known.dropDuplicates([key, "_t"]).select(*docs.columns)
 
