@@ -19,6 +19,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HASH_SPACE = 1 << 32
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
+#: Rows of a broadcast table of keys and hashes at most, 16 to 40 bytes each; beyond, both sides are shuffled.
+BROADCAST_ROWS = 500_000
 #: Rows that a bucket of the hashed order holds at most, about.
 BUCKET_ROWS = 50_000
 
@@ -44,6 +46,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sized(keys: DataFrame) -> DataFrame:
+    """A table of keys, cheap to count, to be broadcast if it is small."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is; null as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probewise.llm.common import lower_ascii, query, read
+from probewise.llm.common import lower_ascii, query, read, sized
 from probewise.session import durable
 
 #: Moduli and bases of the two polynomials.
@@ -136,7 +136,7 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", normal
     sha: Column = F.sha2(F.encode(normalise(F.col(text)), "UTF-8"), 256)
     known = docs.withColumn("_sha", sha)
     match = (F.col("_sha") == F.col("_s")) & F.col(key).eqNullSafe(F.col("_k"))
-    kept = known.join(stays, match, "left_semi")
+    kept = known.join(sized(stays), match, "left_semi")
     if not rows.where(~F.col("kept") & F.col(key).eqNullSafe(F.col("keep_id"))).isEmpty():
         # only where key and text repeat are the rows themselves compared
         kept = kept.dropDuplicates([key, "_sha"])

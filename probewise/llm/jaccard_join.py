@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from probewise.llm.common import query, read
+from probewise.llm.common import BROADCAST_ROWS, query, read, sized
 from probewise.llm.components import connected
 from probewise.session import durable
 
@@ -42,13 +42,11 @@ BAND_POWER = 1
 #: ``(k2, n2)``: differing subparts and subparts of a part.
 SHAPE = (1, 4)
 #: A signature with more open sets than this is crowded.
-CROWDED = 16
+CROWDED = 40
 #: Set keys that a task remembers, to send a set's signatures once.
 MEMORY = 300_000
 #: Shingles to a bucket of a set's counts, about.
 BUCKET = 8
-#: Nodes of a broadcast table at most, 16 to 40 bytes each; beyond, both sides are shuffled.
-BROADCAST_NODES = 500_000
 STEP = 256
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -294,11 +292,6 @@ def groups(rows: DataFrame) -> DataFrame:
     return shared.where(F.col("_low") != F.col("_high")).select("sig", "node").distinct()
 
 
-def sized(nodes: DataFrame) -> DataFrame:
-    """A saved table of nodes, to be broadcast if it is small."""
-    return F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-
-
 class Sets:
     """Texts, bucket counts and shingle sets of the nodes that share a signature."""
 
@@ -306,7 +299,7 @@ class Sets:
         self.width, self.percent = width, percent
         picked = rows.join(nodes, "node").groupBy("node").agg(F.min(F.struct("_key", "_t")).alias("_p"))
         picked = durable(picked.select(F.col("node").alias("_node"), F.col("_p._key").alias("_pk"), F.col("_p._t").alias("_pt")))
-        few = picked.count() <= BROADCAST_NODES
+        few = picked.count() <= BROADCAST_ROWS
         match = (F.col("_t") == F.col("_pt")) & F.col("_key").eqNullSafe(F.col("_pk"))
         # one text for each node, by the key and the text's hash of one of its documents
         texts = source.join(F.broadcast(picked) if few else picked, match).select(F.col("_node").alias("node"), "_text")
@@ -338,11 +331,16 @@ class Sets:
 
         ``rest`` is how many shingles a set has from this one on, by rarity.
         """
-        single = durable(self.of(nodes).select("node", F.explode("s").alias("sig")).distinct())
-        often = single.groupBy("sig").agg(F.count(F.lit(1)).alias("_often"))
-        ranked = single.join(often, "sig").withColumn("_rank", F.row_number().over(Window.partitionBy("node").orderBy("_often", "sig")))
-        sizes = ranked.join(self.counts.select("node", "n"), "node").withColumn("rest", F.col("n") - F.col("_rank") + 1)
-        return sizes.where((F.col("rest") >= F.ceil(F.col("n") * self.percent / 100)) & (F.col("_often") > 1)).select("sig", "node", "n", "rest")
+        sets = self.of(nodes)
+        if not sets.groupBy("node").count().where("count > 1").isEmpty():
+            sets = sets.dropDuplicates(["node"])
+        often = F.count(F.lit(1)).over(Window.partitionBy("sig"))
+        # a shingle of one set only joins nothing: it need not be moved, but it ranks before the others
+        shared = sets.select("node", F.explode("s").alias("sig")).withColumn("_often", often).where("_often > 1")
+        own = Window.partitionBy("node")
+        ranked = shared.withColumn("_rank", F.row_number().over(own.orderBy("_often", "sig"))).withColumn("_shared", F.count(F.lit(1)).over(own))
+        sizes = ranked.join(self.counts.select("node", "n"), "node").withColumn("rest", F.col("_shared") - F.col("_rank") + 1)
+        return sizes.where(F.col("rest") >= F.ceil(F.col("n") * self.percent / 100)).select("sig", "node", "n", "rest")
 
 
 def open_rows(members: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -439,7 +437,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     """
     classes = durable(near_duplicates(docs, key, text, width, percent))
     stays = classes.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k")).distinct()
-    kept = docs.join(stays, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    kept = docs.join(sized(stays), F.col(key).eqNullSafe(F.col("_k")), "left_semi")
     if classes.groupBy(key).count().where("count > 1").isEmpty():
         return kept
     # only where keys repeat are the rows themselves compared
