@@ -30,7 +30,8 @@ from probewise.session import durable
 # fixed values: defaults of the search and of the offline build
 SEED = 42
 NLIST, CODE_PARTS, CODE_BITS = 4096, 32, 8
-TRAIN_ROWS = 200_000
+# training reads all rows; a caller may set a bound
+TRAIN_ROWS = None
 K_FAST, K_SAFE, K_SINGLE = 100, 500, 200
 NPROBE, NPROBE_FAST, NPROBE_SAFE = 16, 32, 128
 FALLBACK_MARGIN = 0.05
@@ -40,8 +41,10 @@ ADVISED_ROWS_PER_CENTROID = 39
 MODEL_BYTES = 256 << 20
 
 
-def training_sample(gallery: DataFrame, rows: int, seed: int) -> DataFrame:
-    """About ``rows`` vectors chosen by a hash of id and seed; all if there are fewer."""
+def training_sample(gallery: DataFrame, rows: int | None, seed: int) -> DataFrame:
+    """All vectors, or about ``rows`` of them chosen by a hash of id and seed."""
+    if rows is None:
+        return gallery.select("id", "v")
     total = gallery.count()
     if total <= rows:
         return gallery.select("id", "v")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probewise.functions.labels import identity_from_path
-from probewise.operators.ordered import RANGE_ROWS, row_numbers
+from probewise.operators.ordered import RANGE_ROWS, join_on, row_numbers
 
 # fixed values: split codes, suffix order, summary size
 SPLIT_CODES = {"0": "train", "1": "val", "2": "test"}
@@ -86,7 +86,7 @@ def split_per_identity(files: DataFrame, ratio: float, range_rows: int = RANGE_R
     numbered = row_numbers(known, order, ["identity"], "_n", range_rows)
     sizes = known.groupBy("identity").agg(F.floor(F.count(F.lit(1)) * F.lit(float(ratio))).alias("_train"))
     split = F.when(F.col("_n") <= F.col("_train"), "train").otherwise("val")
-    return numbered.join(sizes, "identity").withColumn("split", split).drop("_s", "_n", "_train")
+    return join_on(numbered, sizes, ["identity"]).withColumn("split", split).drop("_s", "_n", "_train")
 
 
 def class_index(

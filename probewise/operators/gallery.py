@@ -246,15 +246,17 @@ def import_gallery(
 
     Ids follow from the content, so importing twice gives the same rows.
     Earlier rows of the prefix and space raise, or are removed with
-    ``replace``. Rows of other spaces stay as they are.
+    ``replace``, and their subjects with them unless these have rows in another
+    space. Rows of other spaces stay as they are.
     """
     space = (F.col("pipeline") == config.pipeline) & (F.col("model") == config.model)
     own = subjects.where(F.col("label").startswith(config.prefix + " ")).select(F.col("id").alias("person_id"))
     if config.replace:
         old = embeddings.join(own, "person_id", "left_semi").where(space)
         embeddings = embeddings.join(old.select("id"), "id", "left_anti")
-        subjects = subjects.join(own.withColumnRenamed("person_id", "id"), "id", "left_anti")
-    elif not own.isEmpty():
+        gone = own.join(embeddings.select("person_id"), "person_id", "left_anti")
+        subjects = subjects.join(gone.withColumnRenamed("person_id", "id"), "id", "left_anti")
+    elif not embeddings.where(space).join(own, "person_id", "left_semi").isEmpty():
         raise ValueError(f"rows of prefix {config.prefix!r} exist; set replace to remove them")
 
     space_parts = [F.lit(config.pipeline), F.lit(config.model)]

@@ -27,6 +27,15 @@ def order_columns(order: Sequence[OrderKey]) -> list[Column]:
     return [F.col(name).asc() if asc else F.col(name).desc() for name, asc in order]
 
 
+def join_on(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null is a key like any other; the key columns come from ``left``."""
+    keys = {name: f"_on_{name}" for name in by}
+    match = F.lit(True)
+    for name, other in keys.items():
+        match = match & F.col(name).eqNullSafe(F.col(other))
+    return left.join(right.withColumnsRenamed(keys), match, how).drop(*keys.values())
+
+
 def range_cuts(df: DataFrame, order: Sequence[OrderKey], range_rows: int = RANGE_ROWS) -> list[tuple]:
     """Order-key values that split ``df`` into ranges of about ``range_rows`` rows.
 
@@ -155,7 +164,7 @@ def exact_quantiles(
         return (F.col("_upto") - F.col("_n") <= at) & (at < F.col("_upto"))
 
     # without groups `wanted` is one row per fraction; with groups Spark sizes the join
-    pairs = ranked.join(wanted if by else F.broadcast(wanted), keys)
+    pairs = join_on(ranked, wanted if by else F.broadcast(wanted), keys)
     ends = (
         pairs.where(holds("_low") | holds("_high"))
         .groupBy(*keys, "fraction", "_part")

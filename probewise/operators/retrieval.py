@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probewise.operators.ordered import RANGE_ROWS, exact_quantiles, row_numbers
+from probewise.operators.ordered import RANGE_ROWS, exact_quantiles, join_on, row_numbers
 
 # fixed values: cut-offs of the overlap report, targets of a strong model
 OVERLAP_KS = (1, 5, 10)
@@ -120,7 +120,7 @@ def latency_summary(
                 for q, name in zip(LATENCY_FRACTIONS, names)
             ]
         )
-        result = source.groupBy(*keyed).agg(*stats).join(wide, keyed)
+        result = join_on(source.groupBy(*keyed).agg(*stats), wide, keyed)
         result = result if by else result.drop("_g")
     if elapsed is not None:
         result = result.withColumn("qps", F.col("n") / F.lit(float(elapsed)))

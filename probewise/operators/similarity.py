@@ -48,6 +48,36 @@ def vector_width(df: DataFrame, vec: str = "v") -> int:
     return int(row[0]) if row else 0
 
 
+def usable_rows(df: DataFrame, width: int) -> DataFrame:
+    """Rows whose vector has ``width`` elements, all finite; zero vectors score 0 and stay."""
+    v = F.col("v")
+    return df.where(F.col("v").isNotNull() & (F.size(v) == width) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+
+
+def usable_sides(probes: DataFrame, gallery: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides without the vectors that can't be compared; the gallery's usual width is the one that counts."""
+    width = usual_width(gallery)
+    return usable_rows(probes, width), usable_rows(gallery, width)
+
+
+def left_out(df: DataFrame, width: int) -> DataFrame:
+    """``rows, missing, other_width, not_finite`` of a table: what a search over it leaves out."""
+    v, sized = F.col("v"), F.size("v") == width
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(v.isNull()).alias("missing"),
+        F.count_if(v.isNotNull() & ~sized).alias("other_width"),
+        F.count_if(v.isNotNull() & sized & ~finite).alias("not_finite"),
+    )
+
+
+def usual_width(df: DataFrame, vec: str = "v") -> int:
+    """The most frequent dimension, the larger one on ties; 0 for an empty table."""
+    row = df.where(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return int(row[0]) if row else 0
+
+
 def as_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """List column as a matrix. Rows must have one length."""
     if isinstance(column, pa.ChunkedArray):
@@ -132,7 +162,12 @@ def as_table(schema: T.StructType, columns: tuple) -> pa.Table:
 
 
 def keep_best(scored: DataFrame, k: int) -> DataFrame:
-    """Merge local results into ``(probe_id, id, score, distance, rank)``."""
+    """Merge local results into ``(probe_id, id, score, distance, rank)``.
+
+    A probe id has ``k`` rows in all, whatever the path and however often the id
+    occurs; a gallery id counts with its best score.
+    """
+    scored = scored.groupBy("probe_id", "id").agg(F.max("score").alias("score"))
     window = Window.partitionBy("probe_id").orderBy(F.col("score").desc(), F.col("id").asc())
     return (
         scored.withColumn("rank", F.row_number().over(window))
@@ -157,11 +192,18 @@ def scan_gallery(probes: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe_ids, matrix = held.value
+        rows, best = np.arange(len(probe_ids)), None
         for batch in batches:
             if batch.num_rows and len(probe_ids):
                 ids = batch.column("id").to_numpy(zero_copy_only=False)
-                found = score_block(probe_ids, matrix, ids, unit_matrix(batch.column("v")), k)
-                yield from as_table(schema, found).to_batches()
+                found = score_block(rows, matrix, ids, unit_matrix(batch.column("v")), k)
+                if best is not None:
+                    found = tuple(np.concatenate(pair) for pair in zip(best, found))
+                # a task sends the best of all its batches, once
+                kept = first_k(*found, k)
+                best = tuple(column[kept] for column in found)
+        if best is not None:
+            yield from as_table(schema, (probe_ids[best[0]], *best[1:])).to_batches()
 
     return keep_best(gallery.select("id", "v").mapInArrow(scan, schema), k)
 
@@ -169,9 +211,9 @@ def scan_gallery(probes: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
 def scan_probes(probes: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
     """Top-k with the whole gallery held by every task; only for a small one.
 
-    Every probe is finished where it is read: nothing is shuffled.
+    Every probe is scored where it is read; only its best rows are shuffled.
     """
-    schema = result_schema(probes, gallery).add("distance", T.DoubleType()).add("rank", T.IntegerType())
+    schema = result_schema(probes, gallery)
     held = hold(gallery, "id")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +223,9 @@ def scan_probes(probes: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
                 keys = batch.column("probe_id").to_numpy(zero_copy_only=False)
                 # row numbers stand for the probes, so equal ids stay apart
                 rows, found, scores = score_block(np.arange(len(keys)), unit_matrix(batch.column("v")), ids, matrix, k)
-                rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
-                distance = np.round(1 - scores, SCORE_DIGITS)
-                yield from as_table(schema, (keys[rows], found, scores, distance, rank)).to_batches()
+                yield from as_table(schema, (keys[rows], found, scores)).to_batches()
 
-    return probes.select("probe_id", "v").mapInArrow(scan, schema)
+    return keep_best(probes.select("probe_id", "v").mapInArrow(scan, schema), k)
 
 
 def cell_plan(probes: DataFrame, gallery: DataFrame, block_rows: int) -> DataFrame:
@@ -251,6 +291,7 @@ def blocked_scores(
 def topk_blocked(probes: DataFrame, gallery: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact top-k for any number of probes: blocks against blocks."""
     one = F.lit(0)
+    probes, gallery = usable_sides(probes, gallery)
     local = blocked_scores(probes.withColumn("cell", one), gallery.withColumn("cell", one), k, block_rows)
     return keep_best(local, k)
 
@@ -258,19 +299,24 @@ def topk_blocked(probes: DataFrame, gallery: DataFrame, k: int, block_rows: int
 def fits_broadcast(df: DataFrame, limit: int) -> bool:
     """Whether the vectors of ``df`` take at most ``limit`` bytes as float64.
 
-    ``take`` reads partitions until there are too many rows, so a large table
-    is not read through.
+    All vectors have the width of the first one here, and ids count with their
+    own size. The limit stops the reading of a large table.
     """
     most = limit // (8 * max(vector_width(df), 1))
-    return len(df.select(F.lit(1)).take(most + 1)) <= most
+    ids = F.octet_length(F.col(df.columns[0]).cast("string"))
+    rows, size = df.select(ids.alias("n")).limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return rows <= most and size <= limit
 
 
 def topk_exact(probes: DataFrame, gallery: DataFrame, k: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Exact ``k`` best gallery rows of every probe.
 
     A gallery or probes of checked small size are held by every task while the
-    other side is read in place; two large sides are cut into blocks.
+    other side is read in place; two large sides are cut into blocks. All three
+    give the same rows. Vectors that are missing, not finite or of another width
+    than the gallery's usual one are left out (``left_out`` counts them).
     """
+    probes, gallery = usable_sides(probes, gallery)
     if fits_broadcast(gallery, broadcast_bytes):
         return scan_probes(probes, gallery, k)
     if fits_broadcast(probes, broadcast_bytes):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from probewise.operators.ordered import RANGE_ROWS, row_numbers, running_sums
+from probewise.operators.ordered import RANGE_ROWS, join_on, row_numbers, running_sums
 from probewise.session import durable
 
 # fixed values: reported false-accept targets, grid of the k-fold protocol
@@ -89,7 +89,7 @@ def confusion_curve(
     summed = running_sums(marks.unionByName(asked), order, {"pos": "tp", "neg": "fp"}, by, range_rows).where("mark = 1")
     sums = [F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg")]
     if by:
-        joined = summed.join(histogram.groupBy(*by).agg(*sums), by)
+        joined = join_on(summed, histogram.groupBy(*by).agg(*sums), by)
     else:
         totals = {f"_{c}": histogram.agg(F.sum(c)).scalar() for c in ("pos", "neg")}
         joined = summed.withColumns(totals)
@@ -263,7 +263,8 @@ def verification_summary(rows: DataFrame, by: Sequence[str] = (), range_rows: in
     result = base
     for part in (eer, best, tars):
         if by:
-            result = result.join(part, by)
+            # a group with one class has no rates
+            result = join_on(result, part, by, "left")
         else:
             one = F.lit(1)
             result = result.withColumn("_k", one).join(part.withColumn("_k", one), "_k").drop("_k")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from probewise.operators.ordered import RANGE_ROWS, running_sums
+from probewise.operators.ordered import RANGE_ROWS, join_on, running_sums
 
 MICROS = 1_000_000
 # fixed value: window of the throttle in seconds
@@ -84,9 +84,9 @@ def with_idle_segments(events: DataFrame, window: int, range_rows: int) -> DataF
     slotted = events.withColumn("slot", F.floor(F.col("at") / window))
     slots = slotted.select(*KEYS, "slot").distinct()
     before = slots.select(*KEYS, (F.col("slot") + 1).alias("slot"), F.lit(0).cast("long").alias("starts"))
-    marked = slots.join(before, [*KEYS, "slot"], "left").fillna(1, ["starts"])
+    marked = join_on(slots, before, [*KEYS, "slot"], "left").fillna(1, ["starts"])
     segments = running_sums(marked, [("slot", True)], {"starts": "segment"}, KEYS, range_rows)
-    return slotted.join(segments.drop("starts"), [*KEYS, "slot"]).drop("slot")
+    return join_on(slotted, segments.drop("starts"), [*KEYS, "slot"]).drop("slot")
 
 
 def throttle(

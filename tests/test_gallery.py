@@ -139,6 +139,9 @@ def test_bulk_import(spark, people):
         gal.import_gallery(mapping, vectors, people_after, emb_after, config, stamp)
     again = gal.import_gallery(mapping, vectors, people_after, emb_after, gal.ImportConfig("custom", "imp", "Bulk", True), stamp)
     assert ids(again[1]) == ids(emb_after) and ids(again[0]) == ids(people_after)
+    other = gal.ImportConfig("pretrained", "imp", "Bulk", True)
+    both = gal.import_gallery(mapping, vectors, people_after, emb_after, other, stamp)
+    assert both[1].where("model = 'imp' AND pipeline = 'custom'").join(both[0].withColumnRenamed("id", "person_id"), "person_id", "left_semi").count() == 3
     beyond = spark.createDataFrame([(9, "z")], "row_id long, identity string")
     assert gal.missing_rows(beyond, vectors).count() == 1
     with pytest.raises(PySparkException):

@@ -193,3 +193,21 @@ def test_centroid_accuracy(spark):
     df = spark.createDataFrame(rows, "id long, label string, v array<double>")
     row = sim.centroid_accuracy(df, "label", "v", "id").first()
     assert (row["items"], row["correct"], row["accuracy"]) == (4, 3, 0.75)
+
+
+@pytest.mark.parametrize("path", ["probes", "gallery", "blocked", "exact"])
+def test_broken_vectors_and_repeated_probes(spark, path):
+    """A vector that can't be compared takes no place, and all paths agree."""
+    nan = float("nan")
+    vectors = [(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [nan, 1.0]), (4, [1.0]), (5, [1.0, 0.0, 9.0]), (6, None), (7, [0.0, 1.0]), (8, [0.0, 0.0])]
+    gallery = spark.createDataFrame(vectors, "id long, v array<double>")
+    probes = spark.createDataFrame([(10, [1.0, 0.0]), (10, [1.0, 0.0]), (11, [nan, 0.0]), (12, [1.0, 2.0, 3.0]), (13, [0.0, 2.0])], "probe_id long, v array<double>")
+    sides = sim.usable_sides(probes, gallery)
+    found = {
+        "probes": lambda: sim.scan_probes(*sides, 2),
+        "gallery": lambda: sim.scan_gallery(*sides, 2),
+        "blocked": lambda: sim.topk_blocked(probes, gallery, 2, 2),
+        "exact": lambda: sim.topk_exact(probes, gallery, 2),
+    }[path]()
+    assert sorted((r["probe_id"], r["id"], r["score"], r["rank"]) for r in found.collect()) == [(10, 1, 1.0, 1), (10, 2, 0.8, 2), (13, 2, 0.6, 2), (13, 7, 1.0, 1)]
+    assert tuple(sim.left_out(gallery, 2).first()) == (8, 1, 2, 1)

@@ -24,12 +24,16 @@ def one(df):
 
 
 def test_counts_on_a_listed_grid(spark):
-    df = scored(spark, [0.95, 0.80], [0.40, 0.20])
-    rows = ver.confusion_curve(df, grid(spark, [0.90, 0.50, 0.30])).orderBy("position").collect()
-    assert [r["tp"] for r in rows] == [1, 2, 2]
-    assert [r["fp"] for r in rows] == [0, 0, 1]
-    assert [r["tn"] for r in rows] == [2, 2, 1]
-    assert [r["fn"] for r in rows] == [1, 0, 0]
+    df = scored(spark, [0.88, 0.61, 0.33], [0.52, 0.47, 0.08])
+    rows = ver.confusion_curve(df, grid(spark, [0.5, 0.7, 0.1])).orderBy("position").collect()
+    assert [(r["tp"], r["fp"], r["tn"], r["fn"]) for r in rows] == [(2, 1, 2, 1), (1, 0, 3, 2), (3, 2, 1, 0)]
+
+
+def test_null_and_one_class_groups(spark):
+    rows = [(None, 0.9, "ok", 1), (None, 0.2, "ok", 0), ("a", 0.8, "ok", 1), ("a", 0.4, "ok", 0)]
+    df = spark.createDataFrame(rows, "g string, score double, status string, label int")
+    found = {r["g"]: r["best_accuracy"] for r in ver.verification_summary(df, ["g"]).collect()}
+    assert found == {None: 1.0, "a": 1.0}
 
 
 def test_boundary_is_a_match(spark):
@@ -45,17 +49,19 @@ def test_default_thresholds_reach_past_both_ends(spark):
 
 
 def test_equal_error_rate_at_a_grid_point(spark):
-    df = scored(spark, [0.90, 0.80, 0.40, 0.30], [0.70, 0.60, 0.20, 0.10])
-    row = one(ver.equal_error_rate(ver.rate_curve(df, grid(spark, [0.25, 0.35, 0.50, 0.65, 0.75]))))
-    assert (row["eer"], row["threshold"]) == (0.5, 0.5)
+    # at 0.45 one of four on either side is wrong
+    df = scored(spark, [0.93, 0.77, 0.58, 0.22], [0.66, 0.41, 0.19, 0.05])
+    row = one(ver.equal_error_rate(ver.rate_curve(df, grid(spark, [0.15, 0.45, 0.6]))))
+    assert (row["eer"], row["threshold"]) == (0.25, 0.45)
 
 
 def test_equal_error_rate_between_grid_points(spark):
-    df = scored(spark, [0.90, 0.80, 0.10], [0.85, 0.20])
-    row = one(ver.equal_error_rate(ver.rate_curve(df, grid(spark, [0.80, 0.85]))))
-    assert 0.8 <= row["threshold"] <= 0.85
+    # FAR falls from 1/2 to 0 and FRR rises from 1/3 to 2/3 between the two: they meet at 2/5 and 0.6
+    df = scored(spark, [0.95, 0.65, 0.31], [0.64, 0.12])
+    row = one(ver.equal_error_rate(ver.rate_curve(df, grid(spark, [0.62, 0.72]))))
+    assert 0.62 <= row["threshold"] <= 0.72
     assert row["far"] == pytest.approx(row["frr"])
-    assert row["eer"] == pytest.approx(0.5)
+    assert row["eer"] == pytest.approx(0.4)
 
 
 def test_equal_error_rate_without_a_crossing_takes_the_closest_point(spark):
