@@ -55,9 +55,15 @@ def clean_label(label: Column | str) -> Column:
     return strip(F.replace(bare, F.lit("_"), F.lit(" ")))
 
 
+def fold_case(text: Column | str) -> Column:
+    """Lower case of the upper case, so that ``ß`` and ``ss`` are one; the dotless i stays apart."""
+    kept = F.translate(as_column(text), "\u0131", "\ue131")
+    return F.translate(F.lower(F.upper(kept)), "\ue131", "\u0131")
+
+
 def identity_key(label: Column | str, subject_id: Column | str) -> Column:
-    """The label in lower case, or the subject id where there is no label."""
-    bare = F.lower(strip(label))
+    """The label with its case folded, or the subject id where there is no label."""
+    bare = fold_case(strip(label))
     return F.when(F.coalesce(bare, F.lit("")) != "", F.concat(F.lit("label:"), bare)).otherwise(
         F.concat(F.lit("person:"), as_column(subject_id).cast("string"))
     )

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,16 +49,39 @@ def encrypt_payload(plain: Column | str, key_hex: str, aad: str = VECTOR_AAD) ->
     return F.concat(F.lit(PAYLOAD_PREFIX), sealed)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def _from_bytes(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in payloads:
-        yield batch.map(lambda raw: None if raw is None else np.frombuffer(raw, dtype="<f4"))
+def _places(missing: np.ndarray) -> pa.Array:
+    """For every row of a batch its place among the rows that are not null."""
+    return pa.array(np.cumsum(~missing) - 1, mask=missing)
 
 
-@F.pandas_udf(T.BinaryType())
-def _to_bytes(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in vectors:
-        yield batch.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+def _missing(column: pa.Array) -> np.ndarray:
+    return column.is_null().to_numpy(zero_copy_only=False)
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def _from_bytes(payloads: pa.Array) -> pa.Array:
+    # the bytes of a batch lie one after the other: one view reads them all
+    missing, full = _missing(payloads), payloads.cast(pa.binary()).drop_null()
+    if not len(full):
+        return pa.nulls(len(payloads), pa.list_(pa.float32()))
+    starts = np.frombuffer(full.buffers()[1], np.int32)[full.offset : full.offset + len(full) + 1]
+    raw = np.frombuffer(full.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]]
+    lists = pa.ListArray.from_arrays(
+        pa.array((starts - starts[0]) // 4, pa.int32()), pa.array(np.frombuffer(raw.tobytes(), "<f4"))
+    )
+    return lists.take(_places(missing))
+
+
+@F.arrow_udf(T.BinaryType())
+def _to_bytes(vectors: pa.Array) -> pa.Array:
+    missing, full = _missing(vectors), vectors.drop_null()
+    values = full.flatten().to_numpy(zero_copy_only=False).astype("<f4")
+    ends = np.cumsum(full.value_lengths().to_numpy(zero_copy_only=False))
+    starts = np.concatenate([[0], 4 * ends]).astype(np.int32)
+    raw = pa.Array.from_buffers(
+        pa.binary(), len(full), [None, pa.py_buffer(starts.tobytes()), pa.py_buffer(values.tobytes())]
+    )
+    return raw.take(_places(missing))
 
 
 def decode_vector(payload: Column | str, dim: int) -> Column:

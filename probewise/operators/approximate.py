@@ -97,8 +97,12 @@ def ivf_build(gallery: DataFrame, nlist: int = NLIST, seed: int = SEED, train_ro
     sample = training_sample(gallery.where(F.exists("v", lambda x: x != 0)), train_rows, seed)
     nlist = min(nlist, sample.count())
     check_model_size(nlist * vector_width(gallery))
-    centroids = train_centroids(sample, nlist, seed, "cosine")
-    centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
+    return ivf_assign(gallery, train_centroids(sample, nlist, seed, "cosine"))
+
+
+def ivf_assign(gallery: DataFrame, centroids: np.ndarray) -> CellIndex:
+    """Put every vector into the cell of its best centroid; ties go to the lower cell."""
+    centroids = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
     return CellIndex(centroids, durable(nearest_cells(gallery, "id", centroids, 1)))
 
 
@@ -108,7 +112,14 @@ def ivf_search(
     """Top-k among the ``nprobe`` best cells of every probe, scored exactly."""
     nprobe = max(1, min(nprobe, len(index.centroids)))
     probed = durable(nearest_cells(probes, "probe_id", index.centroids, nprobe))
-    return keep_best(blocked_scores(probed, index.assigned, k, block_rows), k)
+    return keep_best(blocked_scores(probed, rows_of_cells(index, probed), k, block_rows), k)
+
+
+def rows_of_cells(index: CellIndex, probed: DataFrame) -> DataFrame:
+    """Gallery rows of the probed cells; of a stored index only their folders are read."""
+    # at most as many numbers as the driver holds centroids
+    cells = [row["cell"] for row in probed.select("cell").distinct().collect()]
+    return index.assigned.where(F.col("cell").isin(cells))
 
 
 def check_code_shape(dim: int, rows: int, nlist: int, parts: int, bits: int) -> str:
@@ -182,7 +193,6 @@ def pq_search(
     is scored. With ``rescore_from`` the best ``widen * k`` are scored again
     with the stored vectors.
     """
-    coded = pq_encode(index.assigned, codebooks).withColumnRenamed("codes", "v")
     held = probes.sparkSession.sparkContext.broadcast(codebooks)
 
     def decode(column) -> np.ndarray:
@@ -192,6 +202,7 @@ def pq_search(
 
     nprobe = max(1, min(nprobe, len(index.centroids)))
     probed = durable(nearest_cells(probes, "probe_id", index.centroids, nprobe))
+    coded = pq_encode(rows_of_cells(index, probed), codebooks).withColumnRenamed("codes", "v")
     if rescore_from is None:
         return keep_best(blocked_scores(probed, coded, k, block_rows, decode), k)
     short = keep_best(blocked_scores(probed, coded, widen * k, block_rows, decode), widen * k)
@@ -218,10 +229,13 @@ def search_dynamic(
     k_fast: int = K_FAST,
     k_safe: int = K_SAFE,
     k_single: int = K_SINGLE,
+    exact: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Fast search for all probes, wide search for the doubtful ones.
 
-    ``search(probes, k, nprobe)`` is any top-k search. Returns the candidates
+    ``search(probes, k, nprobe)`` is any top-k search; one that is ``exact``
+    finds no better row the second time, so it runs once with the wide ``k``
+    and the fast rows are the first ones of it. Returns the candidates
     and one row per probe ``(probe_id, best_score, search_mode, candidate_k,
     fallback_reason)``.
     """
@@ -240,13 +254,21 @@ def search_dynamic(
 
     k_fast = max(k, k_fast)
     k_safe = max(k_fast, k, k_safe)
-    fast = durable(search(probes, k_fast, NPROBE_FAST))
+    if exact:
+        everything = durable(search(probes, k_safe, NPROBE_SAFE))
+        fast = everything.where(F.col("rank") <= k_fast)
+    else:
+        fast = durable(search(probes, k_fast, NPROBE_FAST))
     fast_best = fast.groupBy("probe_id").agg(F.max("score").alias("fast_best"))
     judged = probes.select("probe_id").join(fast_best, "probe_id", "left").withColumn(
         "reason", fallback_reason(F.col("fast_best"), F.lit(threshold))
     )
     doubtful = probes.join(judged.where("reason IS NOT NULL").select("probe_id"), "probe_id", "left_semi")
-    safe = durable(search(doubtful, k_safe, NPROBE_SAFE))
+    safe = (
+        everything.join(doubtful.select("probe_id"), "probe_id", "left_semi")
+        if exact
+        else durable(search(doubtful, k_safe, NPROBE_SAFE))
+    )
     safe_best = safe.groupBy("probe_id").agg(F.max("score").alias("safe_best"))
     widened = F.col("safe_best").isNotNull() & (
         F.col("fast_best").isNull() | (F.col("safe_best") >= F.col("fast_best"))

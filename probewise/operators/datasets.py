@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from probewise.functions.labels import identity_from_path
 from probewise.operators.ordered import RANGE_ROWS, join_on, row_numbers
+from probewise.session import durable
 
 # fixed values: split codes, suffix order, summary size
 SPLIT_CODES = {"0": "train", "1": "val", "2": "test"}
@@ -116,36 +117,74 @@ def with_teacher(samples: DataFrame, cache: DataFrame) -> DataFrame:
     return samples.join(cache.where("status = 'ok'").select("path", F.col("v").alias("teacher")), "path")
 
 
+Outcome = tuple[str, np.ndarray | None]
+
+
 class Extractor:
-    """Turns one file's bytes into ``(status, vector)``; subclass and override."""
+    """Turns file contents into ``(status, vector)``; subclass and override one method."""
 
-    def extract(self, content: bytes) -> tuple[str, np.ndarray | None]:
+    def extract(self, content: bytes) -> Outcome:
         raise NotImplementedError
 
+    def extract_batch(self, contents: list[bytes]) -> list[Outcome]:
+        """One outcome per file, for models that take many files at once."""
+        return [one_outcome(self, content) for content in contents]
+
 
-def extract_embeddings(files: DataFrame, factory: Callable[[], Extractor]) -> DataFrame:
+def extract_embeddings(
+    files: DataFrame, factory: Callable[[], Extractor], batch_files: int = BATCH_FILES
+) -> DataFrame:
     """Run a pluggable extractor over ``(path, content)``.
 
-    The extractor is built once per task. A failing file gets a status and
-    does not fail the job; vectors must be finite and not zero.
+    The extractor is built once per task and gets up to ``batch_files`` files
+    in a call. A failing file gets a status and does not fail the job; a batch
+    that fails is tried again file by file. Vectors must be finite and not
+    zero. The result is written once, so later steps don't extract again.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extractor = factory()
         for batch in batches:
-            rows = [extract_one(extractor, content) for content in batch["content"]]
+            contents = batch["content"].tolist()
+            rows = [
+                row
+                for start in range(0, len(contents), batch_files)
+                for row in extract_files(extractor, contents[start : start + batch_files])
+            ]
             yield pd.DataFrame(
                 {"path": batch["path"], "status": [r[0] for r in rows], "v": [r[1] for r in rows]}
             )
 
-    return files.select("path", "content").mapInPandas(run, "path string, status string, v array<double>")
+    return durable(files.select("path", "content").mapInPandas(run, "path string, status string, v array<double>"))
 
 
-def extract_one(extractor: Extractor, content: bytes) -> tuple[str, np.ndarray | None]:
+def one_outcome(extractor: Extractor, content: bytes) -> Outcome:
     try:
-        status, vector = extractor.extract(bytes(content))
+        return extractor.extract(content)
     except Exception:  # a broken file is an outcome, not a failure
         return "error", None
+
+
+def extract_files(extractor: Extractor, contents: list[bytes | None]) -> list[Outcome]:
+    """Checked outcomes of some files; missing contents are errors."""
+    known = [bytes(content) for content in contents if content is not None]
+    found = iter(batch_outcomes(extractor, known) if known else [])
+    return [("error", None) if content is None else checked_outcome(*next(found)) for content in contents]
+
+
+def batch_outcomes(extractor: Extractor, contents: list[bytes]) -> list[Outcome]:
+    try:
+        found = list(extractor.extract_batch(contents))
+    except Exception:
+        if len(contents) == 1:
+            return [("error", None)]
+        return [outcome for content in contents for outcome in batch_outcomes(extractor, [content])]
+    if len(found) != len(contents):
+        raise ValueError(f"{len(found)} outcomes for {len(contents)} files")
+    return found
+
+
+def checked_outcome(status: str, vector: np.ndarray | None) -> Outcome:
     if status != "ok":
         return status, None
     vector = np.asarray(vector, dtype=float)

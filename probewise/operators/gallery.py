@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from probewise.functions.labels import matches_query, strip
 from probewise.functions.vectors import is_usable, l2_normalize, uuid5
 from probewise.operators.ordered import RANGE_ROWS, row_numbers
+from probewise.session import durable
 
 # fixed values: retention and paging defaults
 SNAPSHOT_RETENTION = 3
@@ -292,7 +293,8 @@ def build_plan(
 ) -> DataFrame:
     """Build order of live embeddings: position, batch number, training flag."""
     order = [("created_at", True), ("id", True)]
-    numbered = row_numbers(embeddings, order, (), "position", range_rows)
+    # the numbering reads its input several times
+    numbered = row_numbers(durable(embeddings), order, (), "position", range_rows)
     if limit is not None:
         numbered = numbered.where(F.col("position") <= limit)
     return numbered.withColumns(

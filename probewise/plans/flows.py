@@ -51,12 +51,12 @@ class ImageSearch:
         self.embeddings, self.subjects = embeddings, subjects
         self.pipeline, self.threshold, self.k = pipeline, float(threshold), k
         self.indexed = as_gallery(embeddings.where(F.col("pipeline") == pipeline), "v", "id")
-        self.mode, self.widths = mode, widths
+        self.mode, self.widths, self.exact = mode, widths, search is None
         self.search = search or (lambda probes, width, nprobe: topk_exact(probes, self.indexed, width))
 
     @cached_property
     def found(self) -> tuple[DataFrame, DataFrame]:
-        return search_dynamic(self.probes, self.search, self.k, self.threshold, self.mode, **self.widths)
+        return search_dynamic(self.probes, self.search, self.k, self.threshold, self.mode, exact=self.exact, **self.widths)
 
     @property
     def candidates(self) -> DataFrame:

@@ -47,10 +47,24 @@ FILES = {
 # S: sources and sinks
 
 
-@query("s2_discover_files")
+@query(
+    "s2_discover_files",
+    """SELECT folder, row_number() OVER (ORDER BY folder || '/') AS place, TRUE AS gapless
+       FROM (SELECT DISTINCT 'folder=' || coalesce(source, 'none') AS folder FROM documents)""",
+)
 def s2(spark, sf_dir):
-    found = src.discover_files(spark, [sf_dir], [".PARQUET"])
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "position", "total")
+    """Documents written out by source, beside files of another kind, and found again in path order."""
+    place = scratch(spark)
+    docs = tables.read(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("folder"), "text")
+    docs.write.partitionBy("folder").text(f"{place}/kept")
+    docs.select("folder").write.json(f"{place}/other")
+    found = src.discover_files(spark, [place], [".TXT"])
+    # how many files a folder has depends on the partitions it was written from
+    folders = found.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg(
+        F.min("position").alias("first"), F.max("position").alias("last"), F.count(F.lit(1)).alias("files")
+    )
+    numbered = row_numbers(folders, [("first", True)], (), "place")
+    return numbered.select("folder", "place", (F.col("last") - F.col("first") + 1 == F.col("files")).alias("gapless"))
 
 
 LINES = {

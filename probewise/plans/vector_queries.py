@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +14,10 @@ from probewise.operators import similarity as sim
 from probewise.operators import vector_tables as vt
 from probewise.operators.gallery import live_embeddings
 from probewise.plans import tables
+from probewise.plans.flows import read_index, write_index
 from probewise.plans.registry import query
 from probewise.plans.sql_tables import cos, inner, length, unit
+from probewise.session import ensure_checkpoint_dir
 
 KEY_HEX = "000102030405060708090a0b0c0d0e0f101112131415161718191a1b1c1d1e1f"
 OTHER_KEY_HEX = "ff" * 32
@@ -257,6 +262,102 @@ def j4_rescored(spark, sf_dir):
     return ann.pq_search(probe_rows(spark, sf_dir), index, books, 10, nprobe=16, rescore_from=gallery)
 
 
+# given centroids make cells, codes and scores plain SQL: the first vectors by id
+GIVEN, PARTS = 16, 8
+
+
+def best_cells(rows: str, key: str, n: int) -> str:
+    return f"""
+        SELECT {key}, v, cell FROM (
+            SELECT r.{key}, r.v, c.cell, row_number() OVER (PARTITION BY r.{key} ORDER BY {inner('r.v', 'c.c')} DESC, c.cell) AS place
+            FROM {rows} r CROSS JOIN centroids c)
+        WHERE place <= {n}"""
+
+
+def ranked(score: str, gallery: str, k: int) -> str:
+    return f"""
+        SELECT probe_id, id, score, round(1 - score, 6) AS distance, rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, id) AS rank FROM (
+                SELECT p.probe_id, g.id, round({score}, 6) AS score FROM probed p JOIN {gallery} g USING (cell)))
+        WHERE rank <= {k}"""
+
+
+def given_cells(nprobe: int) -> dict[str, str]:
+    return {
+        **VEC_GALLERY,
+        "centroids": f"""
+            SELECT row_number() OVER (ORDER BY id) - 1 AS cell, {unit('v')} AS c FROM vec_gallery ORDER BY id LIMIT {GIVEN}""",
+        "cell_of": best_cells("vec_gallery", "id", 1),
+        "probed": best_cells("probes", "probe_id", nprobe),
+    }
+
+
+def given_codes(nprobe: int) -> dict[str, str]:
+    def piece(of: str) -> str:
+        return f"{of}[len({of}) // {PARTS} * part + 1 : len({of}) // {PARTS} * (part + 1)]"
+
+    return {
+        **given_cells(nprobe),
+        "part_numbers": f"SELECT unnest(range({PARTS})) AS part",
+        "books": f"SELECT part, cell AS code, {piece('c')} AS b FROM centroids CROSS JOIN part_numbers",
+        "pieces": f"SELECT id, cell, part, {piece('u')} AS x FROM (SELECT id, cell, {unit('v')} AS u FROM cell_of) CROSS JOIN part_numbers",
+        "codes": f"""
+            SELECT id, cell, part, b FROM (
+                SELECT *, row_number() OVER (PARTITION BY id, part ORDER BY {inner('b', 'b')} / 2 - {inner('x', 'b')}, code) AS place
+                FROM pieces JOIN books USING (part))
+            WHERE place = 1""",
+        "coded": "SELECT id, cell, flatten(list(b ORDER BY part)) AS v FROM codes GROUP BY id, cell",
+        "unit_probed": f"SELECT probe_id, cell, {unit('v')} AS v FROM probed",
+    }
+
+
+def given_index(spark, sf_dir) -> ann.CellIndex:
+    """An index over given centroids, written by cell and read back."""
+    gallery = gallery_rows(spark, sf_dir)
+    first = gallery.orderBy("id").limit(GIVEN).collect()
+    index = ann.ivf_assign(gallery, np.array([row["v"] for row in sorted(first, key=lambda row: row["id"])]))
+    path = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4()}"
+    write_index(index, path)
+    return read_index(spark, path)
+
+
+def given_books(index: ann.CellIndex) -> np.ndarray:
+    return index.centroids.reshape(len(index.centroids), PARTS, -1).transpose(1, 0, 2)
+
+
+@query("j3_ivf_search_given_cells", ranked(cos("p.v", "g.v"), "cell_of", 10), extra=given_cells(4))
+def j3_given(spark, sf_dir):
+    return ann.ivf_search(probe_rows(spark, sf_dir), given_index(spark, sf_dir), 10, nprobe=4, block_rows=64)
+
+
+CODED_SQL = ranked(inner("p.v", "g.v"), "coded", 40).replace("FROM probed", "FROM unit_probed")
+
+
+@query(
+    "j4_pq_search_given_codes",
+    f"SELECT * FROM ({CODED_SQL}) WHERE rank <= 10",
+    extra=given_codes(8),
+)
+def j4_given(spark, sf_dir):
+    index = given_index(spark, sf_dir)
+    return ann.pq_search(probe_rows(spark, sf_dir), index, given_books(index), 10, nprobe=8)
+
+
+@query(
+    "j4_pq_search_given_codes_rescored",
+    f"""
+    SELECT probe_id, id, score, round(1 - score, 6) AS distance, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, id) AS rank FROM (
+            SELECT s.probe_id, s.id, round({cos('p.v', 'g.v')}, 6) AS score
+            FROM ({CODED_SQL}) s JOIN probes p USING (probe_id) JOIN vec_gallery g USING (id)))
+    WHERE rank <= 10""",
+    extra=given_codes(16),
+)
+def j4_given_rescored(spark, sf_dir):
+    index, gallery = given_index(spark, sf_dir), gallery_rows(spark, sf_dir)
+    return ann.pq_search(probe_rows(spark, sf_dir), index, given_books(index), 10, nprobe=16, rescore_from=gallery)
+
+
 @query(
     "j5_rescore",
     f"""SELECT probe_id, id, round({cos('p.v', 'g.v')}, 6) AS score, round(1 - round({cos('p.v', 'g.v')}, 6), 6) AS distance

@@ -110,13 +110,17 @@ def throttle(
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, log = None, deque()
         for batch in batches:
-            keys = list(batch[runs].itertuples(index=False, name=None))
-            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            keys = batch[runs]
+            before = keys.shift()
+            # null is a key like any other; a segment is never null, so the first row starts a run
+            same = (keys == before) | (keys.isna() & before.isna())
+            starts = np.flatnonzero(~same.all(axis=1).to_numpy())
             at, limit = batch["at"].to_numpy(), batch["limit"].to_numpy()
             verdicts = Verdicts(len(keys))
             for start, end in zip(starts, [*starts[1:], len(keys)]):
-                if keys[start] != run:
-                    run, log = keys[start], deque()
+                key = tuple(None if pd.isna(part) else part for part in keys.iloc[start])
+                if key != run:
+                    run, log = key, deque()
                 verdicts.judge(at, start, end, log, int(limit[start]), window)
             yield verdicts.beside(batch[["event_id", *KEYS]])
 

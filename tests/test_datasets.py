@@ -65,6 +65,28 @@ def test_extraction(spark):
     assert sorted(r["path"] for r in ds.pending_files(out, out.where("status = 'ok'")).collect()) == ["b", "c", "d"]
 
 
+def test_files_are_extracted_once_and_in_batches(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    class Lengths(ds.Extractor):
+        def extract_batch(self, contents):
+            with open(log, "a") as out:
+                out.write(f"{len(contents)}\n")
+            if b"bad" in contents:
+                raise RuntimeError("the whole batch fails")
+            return [("ok", np.array([float(len(c)), 1.0])) for c in contents]
+
+    rows = [(f"f{n}", b"x" * (n + 1)) for n in range(5)] + [("g", None)]
+    files = spark.createDataFrame(rows, "path string, content binary").coalesce(1)
+    out = ds.extract_embeddings(files, Lengths, batch_files=2)
+    assert [r["row_id"] for r in ds.number_good_rows(out, 2).orderBy("path").collect()] == [0, 1, 2, 3, 4]
+    assert {r["status"]: r["files"] for r in ds.outcome_counts(out).collect()} == {"ok": 5, "error": 1}
+    assert open(log).read().split() == ["2", "2", "1"]
+    mixed = spark.createDataFrame([("a", b"bad"), ("b", b"good")], "path string, content binary").coalesce(1)
+    found = ds.extract_embeddings(mixed, Lengths).orderBy("path").collect()
+    assert [r["status"] for r in found] == ["error", "ok"]
+
+
 def test_batches(spark):
     rows = [(1, 1, "a", None), (1, 2, "b", "bad"), (2, 1, "c", None)]
     df = spark.createDataFrame(rows, "batch_id long, position long, file string, error string")

@@ -24,6 +24,17 @@ def test_bytes_round_trip(spark):
     assert all(r[0] is None for r in coded.select(V.decode_vector("raw", 3)).collect())
 
 
+def test_bytes_of_any_batch(spark):
+    none = spark.createDataFrame([(None,), (None,)], "v array<float>").coalesce(1)
+    assert none.select(V.decode_vector(V.encode_vector("v"), 2).alias("w")).collect() == [(None,), (None,)]
+    rows = [(None,), ([],), ([1.0, 2.0, 3.0],), (None,), ([4.0],), ([5.0, float("nan")],)]
+    mixed = spark.createDataFrame(rows, "v array<float>").coalesce(1).select("v", V.encode_vector("v").alias("raw"))
+    expected = [None if v is None else np.array(v, "<f4").tobytes() for (v,) in rows]
+    assert [None if r["raw"] is None else bytes(r["raw"]) for r in mixed.collect()] == expected
+    assert [r[0] for r in mixed.select(V.decode_vector("raw", 1)).collect()] == [None, None, None, None, [4.0], None]
+    assert [r[0] for r in mixed.select(V.decode_vector("raw", 0)).collect()] == [None, [], None, None, None, None]
+
+
 def test_payload_encryption(spark):
     df = spark.createDataFrame([(b"plain bytes",), (b"ENC1" + bytes(48),)], "p binary")
     sealed = df.select("p", V.encrypt_payload("p", KEY).alias("e")).first()
