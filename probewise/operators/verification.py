@@ -40,10 +40,30 @@ def _next_above(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(np.nextafter(batch.to_numpy(), np.inf))
 
 
+def is_finite(score: Column) -> Column:
+    return score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))
+
+
+def usable_pairs(scored: DataFrame) -> DataFrame:
+    """The pairs all metrics are about: a finite score and label 0 or 1."""
+    return scored.where(is_finite(F.col("score")) & F.col("label").isin(0, 1))
+
+
+def unusable_pairs(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by…, pairs, unscored, not_finite, other_label)``: what the metrics leave out, each pair counted once."""
+    score = F.col("score")
+    labelled = F.coalesce(F.col("label").isin(0, 1), F.lit(False))
+    return scored.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.count_if(score.isNull()).alias("unscored"),
+        F.count_if(score.isNotNull() & ~is_finite(score)).alias("not_finite"),
+        F.count_if(is_finite(score) & ~labelled).alias("other_label"),
+    )
+
+
 def score_histogram(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Positive and negative pairs per distinct score."""
-    usable = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
-    return scored.where(usable).groupBy(*by, "score").agg(
+    """Positive and negative pairs per distinct score of the usable pairs."""
+    return usable_pairs(scored).groupBy(*by, "score").agg(
         F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("neg"),
     )
@@ -386,10 +406,10 @@ def _upward(filled: DataFrame, by: list[str]) -> DataFrame:
 
 
 def operating_point(scored: DataFrame, threshold: float, by: Sequence[str] = ()) -> DataFrame:
-    """Counts and rates at one threshold in a single aggregation."""
+    """Counts and rates of the usable pairs at one threshold in a single aggregation."""
     match, same = F.col("score") >= threshold, F.col("label") == 1
     cases = {"tp": match & same, "fp": match & ~same, "tn": ~match & ~same, "fn": ~match & same}
-    counts = scored.where("score IS NOT NULL").groupBy(*by).agg(
+    counts = usable_pairs(scored).groupBy(*by).agg(
         *[F.sum(case.cast("long")).alias(name) for name, case in cases.items()]
     )
     return counts.withColumns(

@@ -185,3 +185,34 @@ def e6_stream(spark, sf_dir):
 def e7(spark, sf_dir):
     counts = ev.activity_counts(tables.audit(spark, sf_dir), "6 hours")
     return counts.select(F.date_format("window_start", STAMP).alias("window_start"), "event_type", "actor_role", "events")
+
+
+# the events come in three parts by time, written one after the other; rows wait for a part's length
+STREAMED = {
+    "span": "SELECT (max(epoch_us(created_at)) - min(epoch_us(created_at))) // 3000000 + 1 AS part, max(created_at) AS last FROM audit",
+    "windows": """
+        SELECT time_bucket(INTERVAL 6 HOUR, created_at) AS begins, event_type, actor_role, count(*) AS events
+        FROM audit GROUP BY ALL""",
+}
+
+
+@query(
+    "e7_activity_counts_stream",
+    """SELECT strftime(begins, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, actor_role, events
+       FROM windows CROSS JOIN span WHERE begins + INTERVAL 6 HOUR <= last - to_seconds(part)""",
+    extra=STREAMED,
+)
+def e7_stream(spark, sf_dir):
+    """Counts of the windows that are closed when the last event is in, over many batches."""
+    path = scratch(spark)
+    audit = tables.audit(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    at = F.unix_micros("created_at")
+    first, last = audit.agg(F.min(at), F.max(at)).first()
+    seconds = ((last or 0) - (first or 0)) // 3_000_000 + 1
+    for part in range(3):
+        own = F.floor((at - (first or 0)) / (seconds * 1_000_000)) == part
+        audit.where(own).write.mode("append").parquet(f"{path}/events")
+    stream = spark.readStream.schema(audit.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events")
+    counts = ev.activity_counts(stream, "6 hours", f"{seconds} seconds")
+    stored = run_to_table(counts, path)
+    return stored.select(F.date_format("window_start", STAMP).alias("window_start"), "event_type", "actor_role", "events")

@@ -12,6 +12,7 @@ from probewise.operators import datasets as ds
 from probewise.operators import detections as det
 from probewise.operators import gallery as gal
 from probewise.operators import verification as ver
+from probewise.operators.ordered import row_numbers
 from probewise.plans import tables
 from probewise.plans.registry import query
 from probewise.plans.verify_queries import curve

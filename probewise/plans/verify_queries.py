@@ -266,6 +266,47 @@ def a12(spark, sf_dir):
     return six(ver.operating_point(scored(spark, sf_dir), 0.205047, ["pipeline"]), *ver.RATES)
 
 
+# some scores are no numbers and some labels neither 0 nor 1
+UNCLEAN = {
+    "unclean": """
+        SELECT pipeline, CASE WHEN key2 % 9 = 0 THEN 'NaN'::DOUBLE WHEN key2 % 9 = 1 THEN 'Infinity'::DOUBLE ELSE score END AS score,
+               CASE WHEN key1 % 10 = 0 THEN 2 WHEN key1 % 10 = 2 THEN NULL ELSE label_same END AS label
+        FROM pair_rows""",
+}
+
+
+def unclean(spark, sf_dir) -> DataFrame:
+    second = F.col("key2") % 9
+    score = F.when(second == 0, float("nan")).when(second == 1, float("inf")).otherwise(F.col("score"))
+    label = F.when(F.col("key1") % 10 == 0, 2).when(F.col("key1") % 10 != 2, F.col("label"))
+    return pair_rows(spark, sf_dir).select("pipeline", score.alias("score"), label.alias("label"))
+
+
+@query(
+    "a2_unusable_pairs",
+    """SELECT pipeline, count(*) AS pairs, count(*) FILTER (WHERE score IS NULL) AS unscored,
+              count(*) FILTER (WHERE NOT isfinite(score)) AS not_finite,
+              count(*) FILTER (WHERE isfinite(score) AND coalesce(label, 2) NOT IN (0, 1)) AS other_label
+       FROM unclean GROUP BY pipeline""",
+    extra=UNCLEAN,
+)
+def a2_unusable(spark, sf_dir):
+    return ver.unusable_pairs(unclean(spark, sf_dir), ["pipeline"])
+
+
+@query(
+    "a12_operating_point_unclean",
+    """SELECT pipeline, count(*) FILTER (WHERE score >= 0.205047 AND label = 1) AS tp,
+              count(*) FILTER (WHERE score >= 0.205047 AND label = 0) AS fp,
+              count(*) FILTER (WHERE score < 0.205047 AND label = 0) AS tn,
+              count(*) FILTER (WHERE score < 0.205047 AND label = 1) AS fn
+       FROM unclean WHERE isfinite(score) GROUP BY pipeline""",
+    extra=UNCLEAN,
+)
+def a12_unclean(spark, sf_dir):
+    return ver.operating_point(unclean(spark, sf_dir), 0.205047, ["pipeline"]).select("pipeline", *ver.COUNTS)
+
+
 @query(
     "a13_fallback_stats",
     """SELECT sum(CASE WHEN status = 'ok' THEN a.r + b.r ELSE 0 END)::BIGINT AS runtime_success_images,

@@ -225,3 +225,12 @@ def test_grid_bin(spark, score):
     thresholds = (np.arange(4001) - 2000) / 2000
     found = spark.range(1).select(ver.grid_bin(F.lit(score))).first()[0]
     assert found == int((thresholds <= score).sum()) - 1
+
+
+def test_one_rule_for_unusable_pairs(spark):
+    rows = [(0.9, 1), (0.2, 0), (float("nan"), 1), (float("inf"), 0), (None, 1), (0.8, 2), (0.7, None)]
+    df = spark.createDataFrame(rows, "score double, label int")
+    assert tuple(ver.unusable_pairs(df).first()) == (7, 1, 2, 2)
+    assert tuple(ver.operating_point(df, 0.5).select(*ver.COUNTS).first()) == (1, 0, 1, 0)
+    curve = ver.confusion_curve(df).orderBy("threshold").collect()
+    assert [r["threshold"] for r in curve[1:-1]] == [0.2, 0.9] and all(r["tp"] + r["fn"] == 1 for r in curve)
