@@ -40,7 +40,7 @@ WIDTH, PERCENT = 4, 85
 #: Width of a band: its largest size over its smallest, as a power of the inverse threshold.
 BAND_POWER = 1
 #: ``(k2, n2)``: differing subparts and subparts of a part.
-SHAPE = (1, 4)
+SHAPE = (1, 3)
 #: A signature with more open sets than this is crowded.
 CROWDED = 40
 #: Set keys that a task remembers, to send a set's signatures once.
