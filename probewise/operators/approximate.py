@@ -37,8 +37,8 @@ NPROBE, NPROBE_FAST, NPROBE_SAFE = 16, 32, 128
 FALLBACK_MARGIN = 0.05
 # training rows advised per centroid
 ADVISED_ROWS_PER_CENTROID = 39
-# trained tables held by every task (centroids, codebooks) are at most this big
-MODEL_BYTES = 256 << 20
+# centroids that a batch of vectors is compared with at a time
+CENTROID_BLOCK = 4096
 
 
 def training_sample(gallery: DataFrame, rows: int | None, seed: int) -> DataFrame:
@@ -52,11 +52,6 @@ def training_sample(gallery: DataFrame, rows: int | None, seed: int) -> DataFram
     return gallery.select("id", "v").where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(HASH_SPACE)) < keep)
 
 
-def check_model_size(values: int) -> None:
-    if 8 * values > MODEL_BYTES:
-        raise ValueError(f"trained table of {values} values is too big to hold in a task")
-
-
 def train_centroids(vectors: DataFrame, k: int, seed: int, measure: str) -> np.ndarray:
     features = vectors.select(array_to_vector(F.col("v").cast("array<double>")).alias("features"))
     model = KMeans(k=k, seed=seed, distanceMeasure=measure, maxIter=10).fit(features)
@@ -71,6 +66,18 @@ class CellIndex:
     assigned: DataFrame
 
 
+def best_cells(vectors: np.ndarray, centroids: np.ndarray, n: int, block: int = CENTROID_BLOCK) -> np.ndarray:
+    """The ``n`` best cells of every vector, best first; ties go to the lower cell."""
+    best, cells = np.empty((len(vectors), 0)), np.empty((len(vectors), 0), dtype=np.int64)
+    for at in range(0, len(centroids), block):
+        scores = vectors @ centroids[at : at + block].T
+        best = np.hstack([best, scores])
+        cells = np.hstack([cells, np.broadcast_to(np.arange(at, at + scores.shape[1]), scores.shape)])
+        order = np.argsort(-best, axis=1, kind="stable")[:, :n]
+        best, cells = np.take_along_axis(best, order, 1), np.take_along_axis(cells, order, 1)
+    return cells
+
+
 def nearest_cells(df: DataFrame, key: str, centroids: np.ndarray, n: int) -> DataFrame:
     """``(key, v, cell)`` with the ``n`` best cells of every vector."""
     held = df.sparkSession.sparkContext.broadcast(centroids)
@@ -80,8 +87,7 @@ def nearest_cells(df: DataFrame, key: str, centroids: np.ndarray, n: int) -> Dat
         for batch in batches:
             if not batch.num_rows:
                 continue
-            scores = as_matrix(batch.column("v")) @ held.value.T
-            cells = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+            cells = best_cells(as_matrix(batch.column("v")), held.value, n)
             rows = pa.array(np.repeat(np.arange(batch.num_rows), cells.shape[1]))
             table = pa.Table.from_batches([batch]).take(rows)
             yield from table.append_column("cell", pa.array(cells.ravel().astype(np.int32))).to_batches()
@@ -96,7 +102,6 @@ def ivf_build(gallery: DataFrame, nlist: int = NLIST, seed: int = SEED, train_ro
     """
     sample = training_sample(gallery.where(F.exists("v", lambda x: x != 0)), train_rows, seed)
     nlist = min(nlist, sample.count())
-    check_model_size(nlist * vector_width(gallery))
     return ivf_assign(gallery, train_centroids(sample, nlist, seed, "cosine"))
 
 
@@ -138,7 +143,6 @@ def pq_train(gallery: DataFrame, parts: int, bits: int, seed: int = SEED, train_
     dim = vector_width(gallery)
     sample = training_sample(gallery, train_rows, seed)
     check_code_shape(dim, sample.count(), 1, parts, bits)
-    check_model_size(dim * 2**bits)
     width = dim // parts
     units = durable(sample.select(l2_normalize("v", "keep").alias("v")))
 

@@ -16,7 +16,8 @@ from pyspark.sql.window import Window
 from probewise.session import durable
 
 RANGE_ROWS = 1_000_000
-MAX_RANGES = 512
+# ranges that one expression tells apart; it does not limit their number
+LISTED_RANGES = 512
 SAMPLE_PER_RANGE = 64
 HASH_SPACE = 1 << 31
 
@@ -36,17 +37,13 @@ def join_on(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "in
     return left.join(right.withColumnsRenamed(keys), match, how).drop(*keys.values())
 
 
-def range_cuts(df: DataFrame, order: Sequence[OrderKey], range_rows: int = RANGE_ROWS) -> list[tuple]:
-    """Order-key values that split ``df`` into ranges of about ``range_rows`` rows.
+def range_cuts(df: DataFrame, order: Sequence[OrderKey], ranges: int, rows: int) -> list[tuple]:
+    """Order-key values that split the ``rows`` of ``df`` into about ``ranges`` even ranges.
 
-    Only a hash sample of at most about ``MAX_RANGES * SAMPLE_PER_RANGE`` keys
-    reaches the driver. Order keys must not be null.
+    Only a hash sample of about ``SAMPLE_PER_RANGE`` keys a range reaches the
+    driver. Order keys must not be null.
     """
     names = [name for name, _ in order]
-    rows = df.count()
-    ranges = min(MAX_RANGES, -(-rows // range_rows))
-    if ranges <= 1:
-        return []
     keep = int(HASH_SPACE * min(1.0, ranges * SAMPLE_PER_RANGE / rows))
     sample = [
         tuple(row)
@@ -80,6 +77,22 @@ def range_of(order: Sequence[OrderKey], cuts: list[tuple]) -> Column:
     return search(0, len(cuts))
 
 
+def in_ranges(df: DataFrame, order: Sequence[OrderKey], range_rows: int = RANGE_ROWS) -> DataFrame | None:
+    """``df`` with ``_range``, as many ranges as its rows ask for; None if one will do.
+
+    Up to ``LISTED_RANGES`` of them are told apart by one expression. Beyond, Spark
+    deals the rows out by its own sample, and they are saved with their range.
+    """
+    rows = df.count()
+    ranges = -(-rows // range_rows)
+    if ranges <= 1:
+        return None
+    if ranges > LISTED_RANGES:
+        dealt = df.repartitionByRange(ranges, *order_columns(order))
+        return durable(dealt.withColumn("_range", F.spark_partition_id()))
+    return df.withColumn("_range", range_of(order, range_cuts(df, order, ranges, rows)))
+
+
 def running_sums(
     df: DataFrame,
     order: Sequence[OrderKey],
@@ -93,17 +106,16 @@ def running_sums(
     should end in a unique key. ``df`` is read more than once; pass a durable
     one where it is dear to compute.
     """
-    cuts = range_cuts(df, order, range_rows)
+    ranged = in_ranges(df, order, range_rows)
     by = list(by)
     upto = (Window.unboundedPreceding, Window.currentRow)
-    if not cuts:
+    if ranged is None:
         window = Window.partitionBy(*by).orderBy(*order_columns(order)).rowsBetween(*upto)
         return df.withColumns({out: F.sum(name).over(window) for name, out in sums.items()})
 
-    ranged = df.withColumn("_range", range_of(order, cuts))
     window = Window.partitionBy(*by, "_range").orderBy(*order_columns(order)).rowsBetween(*upto)
     within = ranged.withColumns({out: F.sum(name).over(window) for name, out in sums.items()})
-    # one row per group and range, MAX_RANGES of them per group at most
+    # one row per group and range
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy(*by, "_range").agg(*[F.sum(name).alias(f"_t_{out}") for name, out in sums.items()])
     offsets = totals.select(

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from probewise.operators import ordered
 from probewise.operators.ordered import exact_quantiles, range_cuts, row_numbers, running_sums
 
 
@@ -15,9 +16,10 @@ def rows(spark):
     return data, spark.createDataFrame(data, "id long, g int, k int, x double")
 
 
-@pytest.mark.parametrize("range_rows", [20, 1000])
+@pytest.mark.parametrize("range_rows, listed", [(20, 512), (20, 5), (1000, 512)])
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_running_sums(rows, range_rows, by):
+def test_running_sums(rows, monkeypatch, range_rows, listed, by):
+    monkeypatch.setattr(ordered, "LISTED_RANGES", listed)
     data, df = rows
     order = [("k", False), ("id", True)]
     found = {r["id"]: r["total"] for r in running_sums(df, order, {"x": "total"}, by, range_rows).collect()}
@@ -31,7 +33,7 @@ def test_running_sums(rows, range_rows, by):
 def test_ranges_are_even(rows):
     _, df = rows
     order = [("k", True), ("id", True)]
-    cuts = range_cuts(df, order, 50)
+    cuts = range_cuts(df, order, 12, 600)
     assert len(cuts) == 11 and cuts == sorted(cuts)
 
 

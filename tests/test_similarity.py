@@ -211,3 +211,13 @@ def test_broken_vectors_and_repeated_probes(spark, path):
     }[path]()
     assert sorted((r["probe_id"], r["id"], r["score"], r["rank"]) for r in found.collect()) == [(10, 1, 1.0, 1), (10, 2, 0.8, 2), (13, 2, 0.6, 2), (13, 7, 1.0, 1)]
     assert tuple(sim.left_out(gallery, 2).first()) == (8, 1, 2, 1)
+
+
+@pytest.mark.parametrize("n", [1, 3, 9])
+def test_best_cells_do_not_depend_on_blocks(n):
+    # whole numbers, so that products are exact and ties are many
+    rng = np.random.default_rng(3)
+    vectors, centroids = rng.integers(-2, 3, (40, 3)).astype(float), rng.integers(-2, 3, (9, 3)).astype(float)
+    whole = np.argsort(-(vectors @ centroids.T), axis=1, kind="stable")[:, :n]
+    for block in (1, 2, 4, 100):
+        assert (ann.best_cells(vectors, centroids, n, block) == whole).all()
