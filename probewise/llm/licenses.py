@@ -5,10 +5,13 @@ known licence sentences. The identifiers that are found, in the order of the
 text, are matched against ordered rules: a licence is recognised where the
 identifiers of one of its rules follow each other. Everything runs as Spark
 expressions, without a shuffle.
+
+Whole notices are cut like texts, and their pieces are identifiers and rules too.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -87,6 +90,56 @@ def plain(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(spaced, r"\.+(?= |$)|(?<= )\.+", ""))
 
 
+# fixed values: notices as they are printed, from the sentence with which a licence is recognised
+APACHE = """you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    %s://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+GPL = """This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation%s either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at %s://mozilla.org/MPL/2.0/."""
+NOTICES = (
+    ("Apache-2.0", "apache", APACHE % "http"),
+    ("Apache-2.0", "apache", APACHE % "https"),
+    ("GPL-3.0-or-later", "gpl", GPL % (":", ",")),
+    ("GPL-3.0-or-later", "gpl", GPL % (";", ";")),
+    ("MPL-2.0", "mpl", MPL % "https"),
+    ("MPL-2.0", "mpl", MPL % "http"),
+)
+
+
+def pieces(notice: str) -> list[str]:
+    """The hinted sentences of a notice, cut and brought to their plain form as in ``identifiers``."""
+    spaced = [re.sub(r"[^a-z0-9.]+", " ", s.lower()) for s in re.split(END, notice) if re.search(HINT, s)]
+    return [re.sub(r"\.+(?= |$)|(?<= )\.+", "", s).strip() for s in spaced]
+
+
+def with_notices(sentences: dict[str, str], rules, notices=NOTICES) -> tuple[dict[str, str], tuple]:
+    """The sentences and rules with those of the notices, as they stand alone and in comments without empty lines."""
+    names = {s: name for name, s in sentences.items()}
+    found = list(rules)
+    for licence, name, notice in notices:
+        for form in (notice, re.sub(r"(?m)^", "# ", notice)):
+            parts = pieces(form)
+            for s in parts:
+                if s not in names:
+                    names[s] = f"{name}-notice-{1 + sum(n.startswith(f'{name}-notice') for n in names.values())}"
+            found.append((licence, tuple(names[s] for s in parts)))
+    return {name: s for s, name in names.items()}, tuple(dict.fromkeys(found))
+
+
 def identifiers(text: Column, sentences: dict[str, str]) -> Column:
     """The identifiers of the known sentences of a text, in order.
 
@@ -114,13 +167,17 @@ def licenses_of(ids: Column, rules) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*met))))
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None = None, rules=RULES) -> DataFrame:
+#: What texts are scanned for; the SQL knows only the listed ones.
+ALL_SENTENCES, ALL_RULES = with_notices(SENTENCES, RULES)
+
+
+def scan_licenses(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None = None, rules=ALL_RULES) -> DataFrame:
     """``docs`` with ``sentence_ids`` and ``licenses`` (arrays; both empty where nothing is known).
 
     Null and empty texts have neither. Repeated sentences are listed each time,
     a licence once. The two columns replace columns of these names.
     """
-    found = docs.withColumn("sentence_ids", identifiers(F.coalesce(F.col(text), F.lit("")), sentences or SENTENCES))
+    found = docs.withColumn("sentence_ids", identifiers(F.coalesce(F.col(text), F.lit("")), sentences or ALL_SENTENCES))
     return found.withColumn("licenses", licenses_of(F.col("sentence_ids"), rules))
 
 

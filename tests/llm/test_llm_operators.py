@@ -345,6 +345,118 @@ def test_license_rules(spark, odd):
     assert all(found[i] == ([], []) for i in range(len(TEXTS)))
 
 
+#: One verbatim notice for each rule.
+PRINTED = {
+    ("Apache-2.0", "apache-ref"): "Licensed under the Apache License, Version 2.0.",
+    ("Apache-2.0", "apache-ref-2"): """Licensed under the Apache License, Version 2.0 (the "License");""",
+    ("Apache-2.0", "apache-file"): """Licensed to the Apache Software Foundation (ASF) under one
+or more contributor license agreements.  See the NOTICE file
+distributed with this work for additional information
+regarding copyright ownership.  The ASF licenses this file
+to you under the Apache License, Version 2.0 (the
+"License"); you may not use this file except in compliance
+with the License.  You may obtain a copy of the License at
+
+  http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing,
+software distributed under the License is distributed on an
+"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY
+KIND, either express or implied.  See the License for the
+specific language governing permissions and limitations
+under the License.
+""",
+    ("BSD-2-Clause", "bsd-grant"): """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+""",
+    ("CC-BY-4.0", "cc-by-4-ref"): "Licensed under CC BY 4.0.",
+    ("CC-BY-4.0", "cc-by-4-work"): "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    ("CC-BY-NC-4.0", "cc-by-nc-4-ref"): "Licensed under CC BY-NC 4.0.",
+    ("CC-BY-NC-4.0", "cc-by-nc-4-work"): "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    ("CC-BY-SA-4.0", "cc-by-sa-4-ref"): "Licensed under CC BY-SA 4.0.",
+    ("GPL-3.0", "gpl3-ref"): "This work is licensed under the GNU General Public License, version 3.",
+    ("GPL-3.0", "gpl3-ref-2"): "Licensed under the GNU General Public License, version 3.",
+    ("GPL-3.0-or-later", "gpl-grant"): """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+""",
+    ("ISC", "isc-grant"): """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL DAMAGES.
+""",
+    ("MIT", "mit-ref"): "Released under the MIT License.",
+    ("MIT", "mit-ref-2"): "Licensed under the MIT License.",
+    ("MIT", "mit-ref-3"): "This project is licensed under the MIT License.",
+    ("MIT", "mit-grant"): """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+""",
+    ("MPL-2.0", "mpl-subject"): """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+}
+PRINTED["BSD-3-Clause", "bsd-grant"] = (
+    PRINTED["BSD-2-Clause", "bsd-grant"]
+    + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+)
+GPL = PRINTED["GPL-3.0-or-later", "gpl-grant"]
+
+
+def test_printed_notices(spark):
+    assert set(PRINTED) == {(name, rule[0]) for name, rule in licenses.RULES}
+    other = {
+        "GPL ;": ("GPL-3.0-or-later", GPL.replace("software:", "software;").replace("Foundation,", "Foundation;")),
+        "ASF https": ("Apache-2.0", PRINTED["Apache-2.0", "apache-file"].replace("http:", "https:")),
+        "MPL http": ("MPL-2.0", PRINTED["MPL-2.0", "mpl-subject"].replace("https:", "http:")),
+    }
+    printed = [(name, text) for (name, _), text in PRINTED.items()] + list(other.values())
+    rows = []
+    for name, text in printed:
+        for mark in ("%s", " * %s", "// %s", "# %s"):
+            lines = "\n".join((mark % line).rstrip() for line in text.strip("\n").split("\n"))
+            rows.append((name, f"/*\n{lines}\n */\n" if "*" in mark else lines))
+    rows += [(None, GPL.replace("version 3", "version 2")), (None, GPL.replace("GNU General", "GNU Affero General"))]
+    found = licenses.scan_licenses(spark.createDataFrame(rows, "name string, text string")).collect()
+    wrong = [(r.name, r.text, r.licenses) for r in found if not ({r.name} <= set(r.licenses) if r.name else r.licenses == [])]
+    assert not wrong
+
+
 # mixing
 
 
