@@ -5,7 +5,8 @@ time 0 to 1. Its integral up to a time, scaled to the source's target, is what
 the run has asked of the source by then. Documents stand in a source in a
 hashed order; the words before a document are its place in the source's stream,
 read from the start again when it ends. Inverting the integral at that place
-gives the time at which the document is read, and the mix is sorted by it.
+gives the time at which the document is read, and the mix is sorted by it; each
+further reading has its own place, a whole source behind the one before.
 """
 
 from __future__ import annotations
@@ -88,29 +89,26 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     return cut.crossJoin(F.broadcast(level)).select("source", "rank", "kind", "source_size", target.alias("target"))
 
 
-def mix(
+def position_of(part: Column, ramps: Sequence[Knots]) -> Column:
+    """The time at which a source of ``kind`` has been asked for ``part`` (0 to 1) of its target."""
+    position = F.lit(None).cast("double")
+    for i, knots in enumerate(ramps):
+        position = F.when(F.col("kind") == i, time_of(part, knots)).otherwise(position)
+    return position
+
+
+def placed(
     docs: DataFrame,
     size: Column | None = None,
     key: str = "doc_id",
     source: str = "source",
     weights: Sequence[int] = WEIGHTS,
-    ramps: Sequence[Knots] = RAMPS,
     share: float = SHARE,
     limit: float = LIMIT,
     whole: bool = False,
     carry: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per document: ``key, size, source_size, target, copies, taken, position``.
-
-    ``copies`` whole readings, and in ``taken`` also the words of a last,
-    partial one where the target ends inside a document; with ``whole`` that
-    reading is taken whole or not at all, by where its middle lies.
-    ``position`` is the time (0 to 1) of the first reading, null if there is
-    none. Null texts have size 0 and are never taken; a null source is a source
-    of its own; rows with equal keys are ordered by size, and rows equal in
-    both share one set of places in any order. ``carry`` names further columns
-    of ``docs`` to keep. Readings end at ``limit`` times a document.
-    """
+    """What ``mix`` says of the documents but for the position, with ``kind`` and ``_at``, the words before a document."""
     size = word_count(F.col("text")) if size is None else size
     carry = carry or {}
     sizes = docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), size.alias("size"), *[c.alias(f"_c_{name}") for name, c in carry.items()])
@@ -120,47 +118,76 @@ def mix(
     # few sources: Spark sends them to the documents where it finds them small
     names = F.col("d.source").eqNullSafe(F.col("t.source"))
     joined = sized.alias("d").join(targets.alias("t"), names).select("d.*", "t.rank", "t.kind", "t.source_size", "t.target")
-    placed = running_total(joined, ["rank"], "_h", ["_key", "size"], "size", "_at", rows)
+    summed = running_total(joined, ["rank"], "_h", ["_key", "size"], "size", "_at", rows)
     asked = F.round("target").cast("long")
     turns = F.when(F.col("source_size") > 0, F.floor(asked / F.col("source_size"))).otherwise(0).cast("long")
     rest = asked - F.col("_turns") * F.col("source_size")
     over = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_at")))
     if whole:
         over = F.when(2 * over >= F.col("size"), F.col("size")).otherwise(0)
-    known = placed.withColumn("_turns", turns).withColumn("_over", over.cast("long"))
-    position = F.lit(None).cast("double")
-    for i, knots in enumerate(ramps):
-        when = time_of(F.col("_at") / F.col("target"), knots)
-        position = F.when(F.col("kind") == i, when).otherwise(position)
-    taken = F.col("_turns") * F.col("size") + F.col("_over")
+    known = summed.withColumn("_turns", turns).withColumn("_over", over.cast("long"))
     return known.select(
         F.col("_key").alias(key),
         "size",
         "source_size",
         "target",
         (F.col("_turns") + F.when((F.col("_over") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)).alias("copies"),
-        taken.alias("taken"),
-        F.when(taken > 0, F.round(position, 6)).alias("position"),
+        (F.col("_turns") * F.col("size") + F.col("_over")).alias("taken"),
+        "kind",
+        "_at",
         *[F.col(f"_c_{name}").alias(name) for name in carry],
     )
 
 
+def mix(
+    docs: DataFrame,
+    size: Column | None = None,
+    key: str = "doc_id",
+    source: str = "source",
+    weights: Sequence[int] = WEIGHTS,
+    ramps: Sequence[Knots] = RAMPS,
+    share: float = SHARE,
+    limit: float = LIMIT,
+    whole: bool = False,
+    carry: dict[str, Column] | None = None,
+) -> DataFrame:
+    """One row per document: ``key, size, source_size, target, copies, taken, position``.
+
+    ``copies`` whole readings, and in ``taken`` also the words of a last,
+    partial one where the target ends inside a document; with ``whole`` that
+    reading is taken whole or not at all, by where its middle lies.
+    ``position`` is the time (0 to 1) of the first reading, null if there is
+    none. Null texts have size 0 and are never taken; a null source is a source
+    of its own; rows with equal keys are ordered by size, and rows equal in
+    both share one set of places in any order. ``carry`` names further columns
+    of ``docs`` to keep. Readings end at ``limit`` times a document.
+    """
+    known = placed(docs, size, key, source, weights, share, limit, whole, carry)
+    first = F.when(F.col("taken") > 0, F.round(position_of(F.col("_at") / F.col("target"), ramps), 6))
+    return known.select(key, "size", "source_size", "target", "copies", "taken", first.alias("position"), *(carry or {}))
+
+
 def in_order(mixed: DataFrame) -> DataFrame:
     """The mix by position: range-sorted, documents that are not taken last."""
     return mixed.orderBy(F.col("position").asc_nulls_last(), *[c for c in mixed.columns if c != "position"][:1])
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` as often as the mix reads them, by position, with their columns.
+    """The rows of ``docs`` as often as the mix reads them, each reading at its own time, with their columns.
 
     Documents are taken whole. Only keys, sources and sizes take part in the
     mixing; rows that repeat key and text are taken alike.
     """
-    places = mix(docs, key=key, whole=True, carry={"_t": F.xxhash64(text)}).where("copies > 0")
-    taken = places.groupBy(F.col(key).alias("_k"), "_t").agg(F.max("copies").alias("_copies"), F.min("position").alias("_position"))
+    places = placed(docs, key=key, whole=True, carry={"_t": F.xxhash64(text)}).where("copies > 0")
+    # the source's stream starts again with every turn
+    turns = F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)
+    times = F.transform(turns, lambda turn: position_of((turn * F.col("source_size") + F.col("_at")) / F.col("target"), RAMPS))
+    # of rows taken alike, the one that is read most often and then first
+    most = F.min(F.struct((-F.col("copies")).alias("less"), times.alias("times")))
+    taken = places.groupBy(F.col(key).alias("_k"), "_t").agg(most["times"].alias("_times"))
     match = F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(text) == F.col("_t"))
-    repeated = docs.join(taken, match).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return repeated.orderBy("_position", F.col(key), "_copy").select(*[F.col(c) for c in docs.columns])
+    readings = docs.join(taken, match).select(*[docs[c] for c in docs.columns], F.posexplode("_times").alias("_turn", "_time"))
+    return readings.orderBy("_time", F.col(key), "_turn").select(*[F.col(c) for c in docs.columns])
 
 
 @query(

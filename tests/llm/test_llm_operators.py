@@ -488,6 +488,33 @@ def test_time_inverts_the_schedule(spark):
         assert abs(np.interp(r.t, grid, area / area[-1]) - r.part) < 1e-6
 
 
+def test_every_reading_has_its_time(spark):
+    """Where a source is read again, its documents stand where the schedule asks for them, not behind the first reading."""
+    n_words = {0: 30, 1: 17, 2: 41}
+    rows = [(i, " ".join(f"{i}w{j}" for j in range(n_words[i % 3] + i % 7)), f"s{i % 3}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = {r.doc_id: r for r in mixing.mix(docs, whole=True).collect()}
+    grid = np.linspace(0, 1, 200_001)
+    begin, source = {}, {i: s for i, _, s in rows}
+    for name in set(source.values()):
+        at = 0
+        for i in sorted((i for i in source if source[i] == name), key=lambda i: (int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16), i)):
+            begin[i] = at
+            at += mixed[i].size
+    area = {}
+    for name, ramp in zip(("s0", "s1", "s2"), mixing.RAMPS):
+        weight = np.interp(grid, *zip(*ramp))
+        sums = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+        area[name] = sums / sums[-1]
+    turn, times = Counter(), []
+    for r in mixing.mixed_documents(docs).collect():
+        part = (turn[r.doc_id] * mixed[r.doc_id].source_size + begin[r.doc_id]) / mixed[r.doc_id].target
+        times.append(np.interp(part, area[r.source], grid))
+        turn[r.doc_id] += 1
+    assert turn == Counter({i: r.copies for i, r in mixed.items() if r.copies}) and max(turn.values()) == 2
+    assert all(a <= b + 1e-5 for a, b in zip(times, times[1:]))
+
+
 # classifier
 
 
