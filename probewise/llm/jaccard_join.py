@@ -400,6 +400,21 @@ def settle(members: DataFrame, sets: Sets, links: Links, crowded: int | None) ->
     return None if crowded is None else durable(left.where(F.col("_n") > crowded).select("node").distinct())
 
 
+def classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """``_key, _t, n, _label`` of every row: key, text hash, size of its set, and its class, null where it has no shingles."""
+    source = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_t", F.xxhash64("_text"))
+    rows = durable(source.select("_key", "_t", keyed(width)("_text").alias("_s")).select("_key", "_t", "_s.n", "_s.node"))
+    members = durable(groups(signature_rows(source, width, percent, SHAPE)))
+    links = Links()
+    if not members.isEmpty():
+        sets = Sets(members.select("node").distinct(), rows, source, width, percent)
+        many = settle(members, sets, links, CROWDED)
+        if not many.isEmpty():
+            settle(durable(sets.rare_shingles(many)), sets, links, None)
+    labelled = rows.withColumn("label", F.col("node")) if links.label is None else rows.join(links.label, "node", "left")
+    return labelled.select("_key", "_t", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("_label"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: ``key, n_shingles, component_id``.
 
@@ -412,17 +427,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     are not read. Shingles and sets are known by 64-bit hashes: among 10**9
     different sets the chance that any two are taken for one is 3 %.
     """
-    source = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_t", F.xxhash64("_text"))
-    rows = durable(source.select("_key", "_t", keyed(width)("_text").alias("_s")).select("_key", "_t", "_s.n", "_s.node"))
-    members = durable(groups(signature_rows(source, width, percent, SHAPE)))
-    links = Links()
-    if not members.isEmpty():
-        sets = Sets(members.select("node").distinct(), rows, source, width, percent)
-        many = settle(members, sets, links, CROWDED)
-        if not many.isEmpty():
-            settle(durable(sets.rare_shingles(many)), sets, links, None)
-    labelled = rows.withColumn("label", F.col("node")) if links.label is None else rows.join(links.label, "node", "left")
-    placed = labelled.withColumn("_label", F.when(F.col("n") > 0, F.coalesce("label", "node")))
+    placed = classified(docs, key, text, width, percent)
     # saved, so that the join below is one that Spark can split where a class is large
     least = durable(placed.where(F.col("n") > 0).groupBy("_label").agg(F.min("_key").alias("_least")))
     full = placed.where(F.col("n") > 0).join(least, "_label").select("_key", "n", F.col("_least").alias("component_id"))
@@ -433,16 +438,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each class does, the one with the smallest key.
 
-    Of rows that repeat that key one stays; a row with a null key stays unless its class has a key.
+    One row of every class stays, whether keys repeat or are null: of rows with
+    the smallest key the one with the smallest text hash, a null key only where
+    the class has no other. Texts without shingles all stay, repeated rows once.
     """
-    classes = durable(near_duplicates(docs, key, text, width, percent))
-    stays = classes.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k")).distinct()
-    kept = docs.join(sized(stays), F.col(key).eqNullSafe(F.col("_k")), "left_semi")
-    if classes.groupBy(key).count().where("count > 1").isEmpty():
+    placed = durable(classified(docs, key, text, width, percent))
+    first = F.min(F.struct(F.col("_key").isNull().alias("_none"), "_key", "_t")).alias("_p")
+    full = placed.where(F.col("n") > 0).groupBy("_label").agg(first).select(F.col("_p._key").alias("_k"), F.col("_p._t").alias("_h"))
+    empty = placed.where(F.col("n") == 0).select(F.col("_key").alias("_k"), F.col("_t").alias("_h")).distinct()
+    match = F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_h"))
+    kept = docs.join(sized(durable(full.union(empty))), match, "left_semi")
+    if placed.groupBy("_key", "_t").count().where("count > 1").isEmpty():
         return kept
-    # only where keys repeat are the rows themselves compared
-    known = kept.withColumn("_t", F.xxhash64(F.when(F.col(key).isNull(), F.col(text))))
-    return known.dropDuplicates([key, "_t"]).select(*docs.columns)
+    # only where rows repeat key and text are they looked for
+    return kept.withColumn("_h", F.xxhash64(text)).dropDuplicates([key, "_h"]).select(*docs.columns)
 
 
 @query("op2_jaccard_join")

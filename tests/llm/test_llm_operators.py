@@ -159,6 +159,19 @@ def test_join_of_edited_texts(spark, monkeypatch, width, percent, crowded):
     assert kept == {c for _, _, c in wanted}
 
 
+def test_one_of_each_class_whatever_the_keys(spark):
+    words = [[f"{c}{i}" for i in range(60)] for c in "abcd"]
+    text = [" ".join(w) for w in words]
+    near = [" ".join([*w, "more"]) for w in words]
+    # key 1 stands for class a, so the rows with key 2 stay for the others; class d has no key
+    rows = [(1, text[0]), (2, near[0]), (2, text[1]), (2, text[2]), (3, near[2]), (None, text[3]), (None, near[3]), (None, near[3]), (4, ""), (4, None)]
+    for some in (rows, rows[::-1]):
+        found = [(r.doc_id, r.text) for r in jaccard_join.one_of_each(spark.createDataFrame(some, "doc_id long, text string")).collect()]
+        classes = [(i, t[0]) for i, t in found if t]
+        assert sorted(classes, key=str) == sorted([(1, "a"), (2, "b"), (2, "c"), (None, "d")], key=str)
+        assert (2, text[2]) in found and (2, text[1]) in found
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(7)
     for n in (7, 8, 12, 40, 333):
