@@ -35,7 +35,7 @@ from probewise.llm.common import query, read
 from probewise.session import durable
 
 #: Entries of a page, and vectors of a tree, at most or about.
-PAGE = 128
+PAGE = 512
 TREE_ROWS = 8192
 #: Cells at most, so their routing vectors fit into every task; large cells have many trees.
 CELLS = 1024
