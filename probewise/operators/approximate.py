@@ -1,4 +1,4 @@
-"""Approximate top-k: coarse cells, product codes, two-pass widening."""
+"""Approximate top-k: coarse cells, stored product codes, two-pass widening."""
 
 from __future__ import annotations
 
@@ -18,11 +18,18 @@ from probewise.functions.vectors import l2_normalize
 from probewise.operators.ordered import HASH_SPACE
 from probewise.operators.similarity import (
     BLOCK_ROWS,
+    BROADCAST_BYTES,
+    PROBE_CHUNK,
+    SCORE_DIGITS,
     as_matrix,
     blocked_scores,
+    first_k,
     keep_best,
     rescore,
+    topk_blocked,
     unit_matrix,
+    usable_rows,
+    usual_width,
     vector_width,
 )
 from probewise.session import durable
@@ -30,15 +37,17 @@ from probewise.session import durable
 # fixed values: defaults of the search and of the offline build
 SEED = 42
 NLIST, CODE_PARTS, CODE_BITS = 4096, 32, 8
-# training reads all rows; a caller may set a bound
-TRAIN_ROWS = None
+# rows that a centroid is trained on at most, chosen by a hash; all rows are indexed
+TRAIN_ROWS_PER_CENTROID = 256
+# codes take one byte a part
+MOST_BITS = 8
 K_FAST, K_SAFE, K_SINGLE = 100, 500, 200
 NPROBE, NPROBE_FAST, NPROBE_SAFE = 16, 32, 128
 FALLBACK_MARGIN = 0.05
 # training rows advised per centroid
 ADVISED_ROWS_PER_CENTROID = 39
-# centroids that a batch of vectors is compared with at a time
-CENTROID_BLOCK = 4096
+# centroids that a batch of vectors is compared with at a time, and coded rows that are scored at a time
+CENTROID_BLOCK, CODE_ROWS = 4096, 4096
 
 
 def training_sample(gallery: DataFrame, rows: int | None, seed: int) -> DataFrame:
@@ -78,53 +87,97 @@ def best_cells(vectors: np.ndarray, centroids: np.ndarray, n: int, block: int =
     return cells
 
 
-def nearest_cells(df: DataFrame, key: str, centroids: np.ndarray, n: int) -> DataFrame:
-    """``(key, v, cell)`` with the ``n`` best cells of every vector."""
+def nearest_cells(
+    df: DataFrame, key: str, centroids: np.ndarray, n: int, first: int = 0, limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """``(key, v, cell, base)``: the cells at places ``first`` to ``n - 1`` of every vector, best first.
+
+    ``base`` is the inner product with the centroid. Centroids of up to ``limit``
+    bytes are held by every task; beyond, they are a gallery that is searched
+    in blocks.
+    """
+    if centroids.nbytes > limit:
+        return nearest_cells_blocked(df, key, centroids, n, first)
     held = df.sparkSession.sparkContext.broadcast(centroids)
-    schema = T.StructType([df.schema[key], df.schema["v"], T.StructField("cell", T.IntegerType())])
+    schema = T.StructType(
+        [df.schema[key], df.schema["v"], T.StructField("cell", T.IntegerType()), T.StructField("base", T.DoubleType())]
+    )
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cells = best_cells(as_matrix(batch.column("v")), held.value, n)
+            vectors = as_matrix(batch.column("v")).astype(np.float64, copy=False)
+            cells = best_cells(vectors, held.value, n)[:, first:]
+            base = np.empty(cells.shape)
+            for place in range(cells.shape[1]):
+                base[:, place] = np.einsum("ij,ij->i", vectors, held.value[cells[:, place]])
             rows = pa.array(np.repeat(np.arange(batch.num_rows), cells.shape[1]))
             table = pa.Table.from_batches([batch]).take(rows)
-            yield from table.append_column("cell", pa.array(cells.ravel().astype(np.int32))).to_batches()
+            table = table.append_column("cell", pa.array(cells.ravel().astype(np.int32)))
+            yield from table.append_column("base", pa.array(base.ravel())).to_batches()
 
     return df.select(key, "v").mapInArrow(assign, schema)
 
 
-def ivf_build(gallery: DataFrame, nlist: int = NLIST, seed: int = SEED, train_rows: int = TRAIN_ROWS) -> CellIndex:
+def nearest_cells_blocked(df: DataFrame, key: str, centroids: np.ndarray, n: int, first: int) -> DataFrame:
+    """``nearest_cells`` by a blocked search among the centroids; scores are compared to six digits."""
+    spark = df.sparkSession
+    rows = durable(df.select(F.monotonically_increasing_id().alias("_row"), F.col(key), "v"))
+    offsets = pa.array(np.arange(0, centroids.size + 1, centroids.shape[1], dtype=np.int32))
+    table = pa.table({"id": np.arange(len(centroids), dtype=np.int32), "v": pa.ListArray.from_arrays(offsets, pa.array(centroids.ravel()))})
+    cells = spark.createDataFrame(table)
+    best = topk_blocked(rows.select(F.col("_row").alias("probe_id"), "v"), cells, n).where(F.col("rank") > first)
+    numbered = best.select(F.col("probe_id").alias("_row"), F.col("id").alias("cell"))
+    joined = rows.join(numbered, "_row").join(cells.select(F.col("id").alias("cell"), F.col("v").alias("_c")), "cell")
+    base = F.aggregate(F.zip_with("v", "_c", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    return joined.select(key, "v", "cell", base.alias("base"))
+
+
+def ivf_build(gallery: DataFrame, nlist: int = NLIST, seed: int = SEED, train_rows: int | None = None) -> CellIndex:
     """Train the coarse cells and put every vector into its best one.
 
-    A written index is the ``assigned`` table partitioned by cell.
+    The centroids are fitted on ``train_rows`` vectors at most, by default
+    ``TRAIN_ROWS_PER_CENTROID`` a cell; every vector that can be compared is
+    put into a cell, the others are left out (``left_out`` counts them). A
+    written index is the ``assigned`` table partitioned by cell.
     """
-    sample = training_sample(gallery.where(F.exists("v", lambda x: x != 0)), train_rows, seed)
+    gallery = usable_rows(gallery, usual_width(gallery))
+    train_rows = train_rows or TRAIN_ROWS_PER_CENTROID * nlist
+    sample = durable(training_sample(gallery.where(F.exists("v", lambda x: x != 0)), train_rows, seed))
     nlist = min(nlist, sample.count())
     return ivf_assign(gallery, train_centroids(sample, nlist, seed, "cosine"))
 
 
 def ivf_assign(gallery: DataFrame, centroids: np.ndarray) -> CellIndex:
-    """Put every vector into the cell of its best centroid; ties go to the lower cell."""
+    """Put every vector into the cell of its best centroid; ties go to the lower cell.
+
+    Vectors that are missing, not finite or of another width than the centroids
+    are left out.
+    """
     centroids = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
-    return CellIndex(centroids, durable(nearest_cells(gallery, "id", centroids, 1)))
+    rows = usable_rows(gallery, centroids.shape[1])
+    return CellIndex(centroids, durable(nearest_cells(rows, "id", centroids, 1).select("id", "v", "cell")))
+
+
+def probed_cells(probes: DataFrame, index: CellIndex | CodeIndex, nprobe: int, first: int = 0) -> DataFrame:
+    """The cells at places ``first`` to ``nprobe - 1`` of every probe that can be compared."""
+    nprobe = max(1, min(nprobe, len(index.centroids)))
+    return durable(nearest_cells(usable_rows(probes, index.centroids.shape[1]), "probe_id", index.centroids, nprobe, first))
 
 
 def ivf_search(
     probes: DataFrame, index: CellIndex, k: int, nprobe: int = NPROBE, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Top-k among the ``nprobe`` best cells of every probe, scored exactly."""
-    nprobe = max(1, min(nprobe, len(index.centroids)))
-    probed = durable(nearest_cells(probes, "probe_id", index.centroids, nprobe))
-    return keep_best(blocked_scores(probed, rows_of_cells(index, probed), k, block_rows), k)
+    return keep_best(CellSearch(index, block_rows).scores(probes, k, 0, nprobe), k)
 
 
-def rows_of_cells(index: CellIndex, probed: DataFrame) -> DataFrame:
+def rows_of_cells(rows: DataFrame, probed: DataFrame) -> DataFrame:
     """Gallery rows of the probed cells; of a stored index only their folders are read."""
     # at most as many numbers as the driver holds centroids
     cells = [row["cell"] for row in probed.select("cell").distinct().collect()]
-    return index.assigned.where(F.col("cell").isin(cells))
+    return rows.where(F.col("cell").isin(cells))
 
 
 def check_code_shape(dim: int, rows: int, nlist: int, parts: int, bits: int) -> str:
@@ -138,16 +191,12 @@ def check_code_shape(dim: int, rows: int, nlist: int, parts: int, bits: int) ->
     return f"{rows} training vectors, {advised} advised" if rows < advised else ""
 
 
-def pq_train(gallery: DataFrame, parts: int, bits: int, seed: int = SEED, train_rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Codebooks ``[part, code, element]``: one clustering per slice of the vector."""
-    dim = vector_width(gallery)
-    sample = training_sample(gallery, train_rows, seed)
-    check_code_shape(dim, sample.count(), 1, parts, bits)
+def train_books(pieces: DataFrame, dim: int, parts: int, bits: int, seed: int) -> np.ndarray:
+    """Codebooks ``[part, code, element]`` of the vectors ``v``: one clustering per slice."""
     width = dim // parts
-    units = durable(sample.select(l2_normalize("v", "keep").alias("v")))
 
     def train(part: int) -> np.ndarray:
-        piece = units.select(F.slice("v", part * width + 1, width).alias("v"))
+        piece = pieces.select(F.slice("v", part * width + 1, width).alias("v"))
         found = train_centroids(piece, 2**bits, seed, "euclidean")
         # equal vectors can give fewer centres than asked for
         return np.vstack([found, np.repeat(found[:1], 2**bits - len(found), axis=0)])
@@ -156,6 +205,68 @@ def pq_train(gallery: DataFrame, parts: int, bits: int, seed: int = SEED, train_
         return np.stack(pool.map(train, range(parts)))
 
 
+def pq_train(gallery: DataFrame, parts: int, bits: int, seed: int = SEED, train_rows: int | None = None) -> np.ndarray:
+    """Codebooks of the unit vectors, from ``TRAIN_ROWS_PER_CENTROID`` of them a code at most."""
+    dim = vector_width(gallery)
+    sample = training_sample(gallery, train_rows or TRAIN_ROWS_PER_CENTROID * 2**bits, seed)
+    check_code_shape(dim, sample.count(), 1, parts, bits)
+    return train_books(durable(sample.select(l2_normalize("v", "keep").alias("v"))), dim, parts, bits, seed)
+
+
+@dataclass
+class CodeIndex:
+    """A search index without vectors: ``coded`` is ``(id, codes, cell)``, a byte for each part.
+
+    With ``residual`` the codes stand for what a unit vector differs from the
+    centroid of its cell, else for the unit vector itself.
+    """
+
+    centroids: np.ndarray
+    books: np.ndarray
+    coded: DataFrame
+    residual: bool = True
+
+
+def residual_rows(column, cells, centroids: np.ndarray) -> np.ndarray:
+    return unit_matrix(column) - centroids[cells.to_numpy(zero_copy_only=False)]
+
+
+def residuals(assigned: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """``v``: unit vectors less the centroid of their cell."""
+    held = assigned.sparkSession.sparkContext.broadcast(centroids)
+
+    def subtract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rest = residual_rows(batch.column("v"), batch.column("cell"), held.value)
+                offsets = pa.array(np.arange(0, rest.size + 1, rest.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(rest.ravel()))], names=["v"])
+
+    return assigned.select("v", "cell").mapInArrow(subtract, "v array<double>")
+
+
+def code_train(index: CellIndex, parts: int, bits: int, seed: int = SEED, train_rows: int | None = None) -> np.ndarray:
+    """Codebooks of the residuals, from ``TRAIN_ROWS_PER_CENTROID`` of them a code at most."""
+    dim = index.centroids.shape[1]
+    rows = train_rows or TRAIN_ROWS_PER_CENTROID * 2**bits
+    total = index.assigned.count()
+    check_code_shape(dim, min(total, rows), 1, parts, bits)
+    keep = int(HASH_SPACE * min(1.0, rows / total))
+    sample = index.assigned.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(HASH_SPACE)) < keep)
+    return train_books(durable(residuals(sample, index.centroids)), dim, parts, bits, seed)
+
+
+def nearest_codes(vectors: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The number of the nearest centre of every slice; ties go to the lower one."""
+    parts, _, width = books.shape
+    half = 0.5 * (books**2).sum(axis=2)
+    pieces = vectors.reshape(len(vectors), parts, width)
+    codes = np.empty((len(vectors), parts), dtype=np.int32)
+    for part in range(parts):
+        codes[:, part] = np.argmin(half[part] - pieces[:, part] @ books[part].T, axis=1)
+    return codes
+
+
 def pq_encode(gallery: DataFrame, codebooks: np.ndarray) -> DataFrame:
     """Replace ``v`` by ``codes``: per slice the number of the nearest centre."""
     held = gallery.sparkSession.sparkContext.broadcast(codebooks)
@@ -163,17 +274,11 @@ def pq_encode(gallery: DataFrame, codebooks: np.ndarray) -> DataFrame:
     schema = T.StructType([*others, T.StructField("codes", T.ArrayType(T.IntegerType()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = held.value
-        parts, _, width = books.shape
-        half = 0.5 * (books**2).sum(axis=2)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            pieces = unit_matrix(batch.column("v")).reshape(batch.num_rows, parts, width)
-            codes = np.empty((batch.num_rows, parts), dtype=np.int32)
-            for part in range(parts):
-                codes[:, part] = np.argmin(half[part] - pieces[:, part] @ books[part].T, axis=1)
-            offsets = pa.array(np.arange(0, codes.size + 1, parts, dtype=np.int32))
+            codes = nearest_codes(unit_matrix(batch.column("v")), held.value)
+            offsets = pa.array(np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32))
             table = pa.Table.from_batches([batch]).select([f.name for f in others])
             coded = pa.ListArray.from_arrays(offsets, pa.array(codes.ravel()))
             yield from table.append_column("codes", coded).to_batches()
@@ -181,6 +286,83 @@ def pq_encode(gallery: DataFrame, codebooks: np.ndarray) -> DataFrame:
     return gallery.select(*[f.name for f in others], "v").mapInArrow(encode, schema)
 
 
+def code_index(index: CellIndex, books: np.ndarray, residual: bool = True) -> CodeIndex:
+    """Code every vector of the cells once; the vectors themselves are not kept."""
+    if books.shape[1] > 2**MOST_BITS:
+        raise ValueError(f"{books.shape[1]} codes a part do not fit into a byte")
+    held = index.assigned.sparkSession.sparkContext.broadcast((index.centroids, books))
+    schema = T.StructType(
+        [index.assigned.schema["id"], T.StructField("codes", T.BinaryType()), T.StructField("cell", T.IntegerType())]
+    )
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centroids, tables = held.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column("v")
+            rows = residual_rows(v, batch.column("cell"), centroids) if residual else unit_matrix(v)
+            codes = nearest_codes(rows, tables).astype(np.uint8)
+            packed = pa.array([row.tobytes() for row in codes], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), packed, batch.column("cell")], names=schema.names)
+
+    return CodeIndex(index.centroids, books, durable(index.assigned.select("id", "v", "cell").mapInArrow(encode, schema)), residual)
+
+
+def score_codes(
+    probe_ids: np.ndarray, probes: np.ndarray, base: np.ndarray, ids: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Top-k of every unit probe against coded rows of one cell: (probe ids, ids, scores).
+
+    A probe's inner products with all centres of a part are a table, and a row's
+    score is ``base`` and the sum of the table entries that its codes name.
+    """
+    parts, _, width = books.shape
+    found = []
+    for start in range(0, len(probe_ids), PROBE_CHUNK):
+        chunk = probes[start : start + PROBE_CHUNK].reshape(-1, parts, width)
+        tables = [chunk[:, part] @ books[part].T for part in range(parts)]
+        row, col, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for low in range(0, len(ids), CODE_ROWS):
+            some = codes[low : low + CODE_ROWS]
+            total = np.repeat(base[start : start + len(chunk), None], len(some), axis=1)
+            for part in range(parts):
+                total += tables[part][:, some[:, part]]
+            total = np.round(total, SCORE_DIGITS) + 0.0
+            if len(some) > k:
+                floor = np.partition(total, len(some) - k, axis=1)[:, len(some) - k]
+                more, at = np.nonzero(total >= floor[:, None])
+            else:
+                more, at = (a.ravel() for a in np.indices(total.shape))
+            row, col = np.concatenate([row, more]), np.concatenate([col, at + low])
+            score = np.concatenate([score, total[more, at]])
+            best = first_k(row, ids[col], score, k)
+            row, col, score = row[best], col[best], score[best]
+        found.append((probe_ids[start + row], ids[col], score))
+    return tuple(np.concatenate(column) for column in zip(*found))
+
+
+def code_search(
+    probes: DataFrame,
+    index: CodeIndex,
+    k: int,
+    nprobe: int = NPROBE,
+    rescore_from: DataFrame | None = None,
+    widen: int = 4,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Top-k by the inner product with the coded vectors of the probed cells; reads codes only.
+
+    With ``rescore_from`` the best ``widen * k`` are scored again with the
+    stored vectors of that table.
+    """
+    scores = CellSearch(index, block_rows).scores
+    if rescore_from is None:
+        return keep_best(scores(probes, k, 0, nprobe), k)
+    short = keep_best(scores(probes, widen * k, 0, nprobe), widen * k)
+    return keep_best(rescore(short, probes, rescore_from).select("probe_id", "id", "score"), k)
+
+
 def pq_search(
     probes: DataFrame,
     index: CellIndex,
@@ -191,26 +373,49 @@ def pq_search(
     widen: int = 4,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Top-k by the inner product with the coded vectors of the probed cells.
+    """``code_search`` with codes of the unit vectors, made for this search."""
+    coded = code_index(index, codebooks, residual=False)
+    return code_search(probes, coded, k, nprobe, rescore_from, widen, block_rows)
 
-    Only codes are shuffled on the gallery side; a block is decoded where it
-    is scored. With ``rescore_from`` the best ``widen * k`` are scored again
-    with the stored vectors.
-    """
-    held = probes.sparkSession.sparkContext.broadcast(codebooks)
-
-    def decode(column) -> np.ndarray:
-        books = held.value
-        codes = as_matrix(column)
-        return books[np.arange(books.shape[0]), codes].reshape(len(codes), -1)
 
-    nprobe = max(1, min(nprobe, len(index.centroids)))
-    probed = durable(nearest_cells(probes, "probe_id", index.centroids, nprobe))
-    coded = pq_encode(rows_of_cells(index, probed), codebooks).withColumnRenamed("codes", "v")
-    if rescore_from is None:
-        return keep_best(blocked_scores(probed, coded, k, block_rows, decode), k)
-    short = keep_best(blocked_scores(probed, coded, widen * k, block_rows, decode), widen * k)
-    return keep_best(rescore(short, probes, rescore_from).select("probe_id", "id", "score"), k)
+@dataclass
+class CellSearch:
+    """Search by cells, of vectors or codes, that can go on with further cells."""
+
+    index: CellIndex | CodeIndex
+    block_rows: int = BLOCK_ROWS
+
+    def scores(self, probes: DataFrame, k: int, first: int, nprobe: int) -> DataFrame:
+        """Local best rows among the cells at places ``first`` to ``nprobe - 1``."""
+        index = self.index
+        probed = probed_cells(probes, index, nprobe, first)
+        if isinstance(index, CellIndex):
+            rows = rows_of_cells(index.assigned, probed)
+            return blocked_scores(probed.drop("base"), rows, k, self.block_rows)
+        held = probes.sparkSession.sparkContext.broadcast(index.books)
+        residual = index.residual
+
+        def score(left: pa.Table, right: pa.Table) -> tuple:
+            vectors = as_matrix(left["v"]).astype(np.float64, copy=False)
+            lengths = np.linalg.norm(vectors, axis=1)
+            lengths[lengths == 0] = 1.0
+            base = left["base"].to_numpy() / lengths if residual else np.zeros(len(left))
+            codes = np.frombuffer(b"".join(right["codes"].to_pylist()), np.uint8).reshape(len(right), -1)
+            return score_codes(
+                left["probe_id"].to_numpy(), vectors / lengths[:, None], base, right["id"].to_numpy(), codes, held.value, k
+            )
+
+        return blocked_scores(probed, rows_of_cells(index.coded, probed), k, self.block_rows, score)
+
+    def __call__(self, probes: DataFrame, k: int, nprobe: int) -> DataFrame:
+        return keep_best(self.scores(probes, k, 0, nprobe), k)
+
+    def widen(self, probes: DataFrame, kept: DataFrame, k: int, first: int, nprobe: int) -> DataFrame:
+        """The ``k`` best of ``kept``, the result for the first ``first`` cells, and the next cells up to ``nprobe``."""
+        old = kept.join(probes.select("probe_id").distinct(), "probe_id", "left_semi").select("probe_id", "id", "score")
+        if first >= len(self.index.centroids) or nprobe <= first:
+            return keep_best(old, k)
+        return keep_best(old.unionByName(self.scores(probes, k, first, nprobe)), k)
 
 
 Search = Callable[[DataFrame, int, int], DataFrame]
@@ -234,18 +439,22 @@ def search_dynamic(
     k_safe: int = K_SAFE,
     k_single: int = K_SINGLE,
     exact: bool = False,
+    nprobe_fast: int = NPROBE_FAST,
+    nprobe_safe: int = NPROBE_SAFE,
+    nprobe_single: int = NPROBE,
 ) -> tuple[DataFrame, DataFrame]:
     """Fast search for all probes, wide search for the doubtful ones.
 
     ``search(probes, k, nprobe)`` is any top-k search; one that is ``exact``
     finds no better row the second time, so it runs once with the wide ``k``
-    and the fast rows are the first ones of it. Returns the candidates
+    and the fast rows are the first ones of it. A ``CellSearch`` keeps the wide
+    ``k`` of the fast cells and goes on with the other cells only. Returns the candidates
     and one row per probe ``(probe_id, best_score, search_mode, candidate_k,
     fallback_reason)``.
     """
     if mode in ("live", "single"):
         width = max(k, k_fast if mode == "live" else k_single)
-        found = search(probes, width, NPROBE_FAST if mode == "live" else NPROBE)
+        found = search(probes, width, nprobe_fast if mode == "live" else nprobe_single)
         best = found.groupBy("probe_id").agg(F.max("score").alias("best_score"))
         info = probes.select("probe_id").join(best, "probe_id", "left").select(
             "probe_id",
@@ -258,21 +467,23 @@ def search_dynamic(
 
     k_fast = max(k, k_fast)
     k_safe = max(k_fast, k, k_safe)
-    if exact:
-        everything = durable(search(probes, k_safe, NPROBE_SAFE))
+    cells = isinstance(search, CellSearch)
+    if exact or cells:
+        everything = durable(search(probes, k_safe, nprobe_fast if cells else nprobe_safe))
         fast = everything.where(F.col("rank") <= k_fast)
     else:
-        fast = durable(search(probes, k_fast, NPROBE_FAST))
+        fast = durable(search(probes, k_fast, nprobe_fast))
     fast_best = fast.groupBy("probe_id").agg(F.max("score").alias("fast_best"))
     judged = probes.select("probe_id").join(fast_best, "probe_id", "left").withColumn(
         "reason", fallback_reason(F.col("fast_best"), F.lit(threshold))
     )
     doubtful = probes.join(judged.where("reason IS NOT NULL").select("probe_id"), "probe_id", "left_semi")
-    safe = (
-        everything.join(doubtful.select("probe_id"), "probe_id", "left_semi")
-        if exact
-        else durable(search(doubtful, k_safe, NPROBE_SAFE))
-    )
+    if cells:
+        safe = durable(search.widen(doubtful, everything, k_safe, nprobe_fast, nprobe_safe))
+    elif exact:
+        safe = everything.join(doubtful.select("probe_id"), "probe_id", "left_semi")
+    else:
+        safe = durable(search(doubtful, k_safe, nprobe_safe))
     safe_best = safe.groupBy("probe_id").agg(F.max("score").alias("safe_best"))
     widened = F.col("safe_best").isNotNull() & (
         F.col("fast_best").isNull() | (F.col("safe_best") >= F.col("fast_best"))

@@ -8,7 +8,8 @@ zero vector scores 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql.window import Window
 
 from probewise.functions.labels import is_scale_label
 from probewise.functions.vectors import cosine, is_usable
+from probewise.session import durable
 
 SCORE_DIGITS = 6
 # a side held by every task: at most this many bytes of float64
@@ -28,6 +30,8 @@ BROADCAST_BYTES = 64 << 20
 # rows of one block of a blocked search, and probes scored in one product
 BLOCK_ROWS = 16_384
 PROBE_CHUNK = 512
+# routing vectors of a bounded search at most, and what bounds may be off by: rounding to six digits and angles
+ROUTES, BOUND_SLACK = 1024, 2e-6
 # rounding error of one single-precision operation
 SINGLE_ERROR = 2.0**-24
 
@@ -243,12 +247,17 @@ def cell_plan(probes: DataFrame, gallery: DataFrame, block_rows: int) -> DataFra
 
 
 def blocked_scores(
-    probes: DataFrame, gallery: DataFrame, k: int, block_rows: int = BLOCK_ROWS, read=unit_matrix
+    probes: DataFrame,
+    gallery: DataFrame,
+    k: int,
+    block_rows: int = BLOCK_ROWS,
+    score_pair: Callable[[pa.Table, pa.Table], tuple] | None = None,
 ) -> DataFrame:
     """Local top-k per pair of blocks. Both sides carry a ``cell`` column.
 
     A probe meets every block of its cells, a gallery block meets every probe
-    block of its cell, and one pair of blocks is one product.
+    block of its cell, and one pair of blocks is one product of their vectors
+    ``v``, or what ``score_pair`` makes of the two tables.
     """
     schema = result_schema(probes, gallery)
     plan = cell_plan(probes, gallery, block_rows)
@@ -264,23 +273,25 @@ def blocked_scores(
         probes.join(plan, "cell")
         .withColumn("psub", block_of("probe_id", "psubs"))
         .withColumn("gsub", copies("gsubs"))
-        .select(*keys, "probe_id", "v")
+        .select(*keys, *[name for name in probes.columns if name != "cell"])
     )
     right = (
         gallery.join(plan, "cell")
         .withColumn("gsub", block_of("id", "gsubs"))
         .withColumn("psub", copies("psubs"))
-        .select(*keys, "id", "v")
+        .select(*keys, *[name for name in gallery.columns if name != "cell"])
     )
 
     def score(left_block: pa.Table, right_block: pa.Table) -> pa.Table:
         if not len(left_block) or not len(right_block):
             return as_table(schema, ([], [], []))
+        if score_pair is not None:
+            return as_table(schema, score_pair(left_block, right_block))
         found = score_block(
             left_block["probe_id"].to_numpy(),
             unit_matrix(left_block["v"]),
             right_block["id"].to_numpy(),
-            read(right_block["v"]),
+            unit_matrix(right_block["v"]),
             k,
         )
         return as_table(schema, found)
@@ -292,10 +303,131 @@ def topk_blocked(probes: DataFrame, gallery: DataFrame, k: int, block_rows: int
     """Exact top-k for any number of probes: blocks against blocks."""
     one = F.lit(0)
     probes, gallery = usable_sides(probes, gallery)
-    local = blocked_scores(probes.withColumn("cell", one), gallery.withColumn("cell", one), k, block_rows)
+    both = (probes.select("probe_id", "v", one.alias("cell")), gallery.select("id", "v", one.alias("cell")))
+    local = blocked_scores(*both, k, block_rows)
     return keep_best(local, k)
 
 
+@dataclass
+class RoutedBlocks:
+    """Gallery rows ``(id, v, cell)`` dealt to the nearest of some unit vectors.
+
+    ``angle`` is the largest angle of a cell's rows to its routing vector. The
+    last cell has the zero vectors, which score 0. Cells without rows count 0.
+    """
+
+    routes: np.ndarray
+    angle: np.ndarray
+    counts: np.ndarray
+    rows: DataFrame
+
+    def bounds(self, probes: np.ndarray) -> np.ndarray:
+        """What a row of each cell can score at most, for unit probes: angles obey the triangle inequality."""
+        away = np.arccos(np.clip(probes @ self.routes.T, -1.0, 1.0))
+        most = np.cos(np.maximum(away - self.angle[:-1], 0.0))
+        most[~probes.any(axis=1)] = 0.0
+        most = np.hstack([most, np.zeros((len(probes), 1))])
+        most[:, self.counts == 0] = -np.inf
+        return most
+
+
+def route_blocks(gallery: DataFrame, block_rows: int = BLOCK_ROWS, most: int = ROUTES) -> RoutedBlocks:
+    """Deal a gallery to ``rows / block_rows`` of its vectors, ``most`` at most, chosen by a hash of the id."""
+    rows = gallery.where(F.exists("v", lambda x: x != 0))
+    wanted = max(1, min(-(-gallery.count() // block_rows), most))
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").toArrow()
+    routes = unit_matrix(chosen["v"]) if len(chosen) else np.zeros((0, vector_width(gallery)))
+    held = gallery.sparkSession.sparkContext.broadcast(routes)
+    schema = T.StructType(
+        [gallery.schema["id"], gallery.schema["v"], T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]
+    )
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                vectors = unit_matrix(batch.column("v"))
+                cell, angle = np.full(len(vectors), len(held.value)), np.zeros(len(vectors))
+                real = vectors.any(axis=1)
+                if real.any():
+                    near = vectors[real] @ held.value.T
+                    cell[real] = near.argmax(axis=1)
+                    angle[real] = np.arccos(np.clip(near.max(axis=1), -1.0, 1.0))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle)], names=schema.names)
+
+    dealt = durable(gallery.select("id", "v").mapInArrow(assign, schema))
+    angle, counts = np.zeros(len(routes) + 1), np.zeros(len(routes) + 1, np.int64)
+    # one row per routing vector
+    for cell, widest, count in dealt.groupBy("cell").agg(F.max("angle"), F.count(F.lit(1))).collect():
+        angle[cell], counts[cell] = widest, count
+    return RoutedBlocks(routes, angle, counts, dealt.drop("angle"))
+
+
+def visits(asked: DataFrame, blocks: RoutedBlocks, first: bool) -> DataFrame:
+    """``(probe_id, v, cell)`` for ``asked(probe_id, v, floor)``.
+
+    The ``first`` time each probe has the cell of its best bound, then all others
+    whose bound reaches its floor; without a floor all have to be searched.
+    """
+    held = asked.sparkSession.sparkContext.broadcast((blocks.routes, blocks.angle, blocks.counts))
+    schema = T.StructType([asked.schema["probe_id"], asked.schema["v"], T.StructField("cell", T.IntegerType())])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = RoutedBlocks(*held.value, None)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            most = known.bounds(unit_matrix(batch.column("v")))
+            row, cell = np.arange(len(most)), most.argmax(axis=1)
+            if not first:
+                floor = batch.column("floor").to_numpy(zero_copy_only=False).astype(np.float64)
+                reach = most + BOUND_SLACK >= np.where(np.isnan(floor), -2.0, floor)[:, None]
+                reach[row, cell] = False
+                row, cell = np.nonzero(reach)
+            part = batch.select(["probe_id", "v"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32))], names=schema.names)
+
+    return asked.select("probe_id", "v", "floor").mapInArrow(choose, schema)
+
+
+def bounded_search(probes: DataFrame, blocks: RoutedBlocks, k: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The exact top-k and the ``(probe_id, cell)`` pairs that were searched for it."""
+    none = F.lit(None).cast("double")
+    near = durable(visits(probes.select("probe_id", "v", none.alias("floor")), blocks, True))
+    found = durable(keep_best(blocked_scores(near, blocks.rows, k, block_rows), k))
+    floors = found.where(F.col("rank") == k).select("probe_id", F.col("score").alias("floor"))
+    begun = probes.select("probe_id", "v").join(floors, "probe_id", "left")
+    far = durable(visits(begun, blocks, False))
+    more = blocked_scores(far, blocks.rows, k, block_rows)
+    pairs = near.select("probe_id", "cell").unionByName(far.select("probe_id", "cell"))
+    return keep_best(found.select("probe_id", "id", "score").unionByName(more), k), pairs
+
+
+def topk_bounded(probes: DataFrame, gallery: DataFrame, k: int, block_rows: int = BLOCK_ROWS, routes: int = ROUTES) -> DataFrame:
+    """Exact top-k for two large sides, without the blocks that can hold no row of it.
+
+    The gallery is dealt to cells around routing vectors. Every probe searches
+    its best cell first; its k-th score there rules out all cells whose bound is
+    lower, so these two are neither shipped to each other nor multiplied. Cells
+    are cut into blocks of about ``block_rows``, as in ``topk_blocked``.
+    """
+    probes, gallery = usable_sides(probes, gallery)
+    return bounded_search(probes, route_blocks(gallery, block_rows, routes), k, block_rows)[0]
+
+
+def block_report(probes: DataFrame, gallery: DataFrame, k: int, block_rows: int = BLOCK_ROWS, routes: int = ROUTES) -> DataFrame:
+    """One row: ``probes``, ``cells``, how many ``pairs`` of both there are, how many were ``searched`` and the share ``skipped``."""
+    probes, gallery = usable_sides(probes, gallery)
+    blocks = route_blocks(gallery, block_rows, routes)
+    cells = int((blocks.counts > 0).sum())
+    searched = bounded_search(probes, blocks, k, block_rows)[1].agg(F.count(F.lit(1)).alias("searched"))
+    pairs = F.col("probes") * cells
+    return (
+        probes.agg(F.count(F.lit(1)).alias("probes"))
+        .withColumn("searched", searched.scalar())
+        .select("probes", F.lit(cells).alias("cells"), pairs.alias("pairs"), "searched", F.round(1 - F.col("searched") / pairs, 6).alias("skipped"))
+    )
+
+
 def fits_broadcast(df: DataFrame, limit: int) -> bool:
     """Whether the vectors of ``df`` take at most ``limit`` bytes as float64.
 
@@ -312,7 +444,8 @@ def topk_exact(probes: DataFrame, gallery: DataFrame, k: int, broadcast_bytes: i
     """Exact ``k`` best gallery rows of every probe.
 
     A gallery or probes of checked small size are held by every task while the
-    other side is read in place; two large sides are cut into blocks. All three
+    other side is read in place; two large sides are cut into blocks, and those
+    that can hold no row of the result are left out. All three
     give the same rows. Vectors that are missing, not finite or of another width
     than the gallery's usual one are left out (``left_out`` counts them).
     """
@@ -321,7 +454,7 @@ def topk_exact(probes: DataFrame, gallery: DataFrame, k: int, broadcast_bytes: i
         return scan_probes(probes, gallery, k)
     if fits_broadcast(probes, broadcast_bytes):
         return scan_gallery(probes, gallery, k)
-    return topk_blocked(probes, gallery, k)
+    return topk_bounded(probes, gallery, k)
 
 
 def rescore(candidates: DataFrame, probes: DataFrame, gallery: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probewise.functions.vectors import decode_vector, decrypt_payload
-from probewise.operators.approximate import CellIndex, Search, ivf_build, search_dynamic
+from probewise.operators.approximate import CellIndex, CodeIndex, Search, code_index, code_train, ivf_build, search_dynamic
 from probewise.operators.decisions import (
     aggregate_identities,
     dedup_identities,
@@ -113,20 +113,63 @@ def build_index(
     return ivf_build(good.select("id", "v"), nlist)
 
 
-def write_index(index: CellIndex, path: str) -> None:
-    """Store an index as parquet, one folder per cell.
+def build_code_index(
+    embeddings: DataFrame,
+    subjects: DataFrame,
+    pipeline: str,
+    model: str,
+    dim: int,
+    nlist: int,
+    parts: int,
+    bits: int,
+    key_hex: str | None = None,
+) -> CodeIndex:
+    """Cells and residual codes of the live stored payloads of one space."""
+    index = build_index(embeddings, subjects, pipeline, model, dim, nlist, key_hex)
+    return code_index(index, code_train(index, parts, bits))
+
+
+def write_cells(rows: DataFrame, path: str) -> None:
+    """Parquet with a folder per cell.
 
     Rebalancing splits the files of a large cell over several tasks and puts
     small cells together.
     """
-    spark = index.assigned.sparkSession
-    index.assigned.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
-    rows = [(cell, centroid.tolist()) for cell, centroid in enumerate(index.centroids)]
-    centroids = spark.createDataFrame(rows, "cell int, v array<double>")
-    centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+    rows.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(path)
+
+
+def write_matrix(spark: SparkSession, matrix: np.ndarray, path: str) -> None:
+    rows = [(number, row.tolist()) for number, row in enumerate(matrix)]
+    spark.createDataFrame(rows, "row int, v array<double>").write.mode("overwrite").parquet(path)
+
+
+def read_matrix(spark: SparkSession, path: str) -> np.ndarray:
+    """A stored matrix; it is as large as the one that the driver trained and wrote."""
+    return np.array([row["v"] for row in spark.read.parquet(path).orderBy("row").collect()])
+
+
+def write_index(index: CellIndex, path: str) -> None:
+    """Store an index as parquet: vectors by cell, and the centroids."""
+    write_cells(index.assigned, f"{path}/vectors")
+    write_matrix(index.assigned.sparkSession, index.centroids, f"{path}/centroids")
 
 
 def read_index(spark: SparkSession, path: str) -> CellIndex:
-    """A stored index; the centroids are as many as were checked when training."""
-    rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
-    return CellIndex(np.array([row["v"] for row in rows]), spark.read.parquet(f"{path}/vectors"))
+    return CellIndex(read_matrix(spark, f"{path}/centroids"), spark.read.parquet(f"{path}/vectors"))
+
+
+def write_codes(index: CodeIndex, path: str) -> None:
+    """Store a code index as parquet: codes by cell, the centroids and the codebooks; no vectors."""
+    spark = index.coded.sparkSession
+    write_cells(index.coded, f"{path}/codes")
+    write_matrix(spark, index.centroids, f"{path}/centroids")
+    parts, codes, width = index.books.shape
+    write_matrix(spark, index.books.reshape(-1, width), f"{path}/books")
+    shape = [(parts, codes, index.residual)]
+    spark.createDataFrame(shape, "parts int, codes int, residual boolean").write.mode("overwrite").parquet(f"{path}/shape")
+
+
+def read_codes(spark: SparkSession, path: str) -> CodeIndex:
+    parts, codes, residual = spark.read.parquet(f"{path}/shape").first()
+    books = read_matrix(spark, f"{path}/books").reshape(parts, codes, -1)
+    return CodeIndex(read_matrix(spark, f"{path}/centroids"), books, spark.read.parquet(f"{path}/codes"), residual)

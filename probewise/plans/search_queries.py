@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probewise.functions.labels import threshold_for
@@ -12,12 +14,14 @@ from probewise.operators import similarity as sim
 from probewise.plans import tables
 from probewise.plans.flows import ImageSearch
 from probewise.plans.registry import query
-from probewise.plans.sql_tables import cos
+from probewise.plans.sql_tables import cos, inner, unit
 from probewise.plans.vector_queries import gallery_rows, probe_rows
 
-# the custom space is searched with its calibrated threshold
-THRESHOLD = 0.205047
+# fixed values: the calibrated threshold of the custom space and the default one of the other
+THRESHOLD, OTHER_THRESHOLD = 0.205047, 0.4
 FAST, SAFE, K = 20, 60, 5
+# cells of each space, those of the fast pass and those of both passes
+CELLS, FAST_CELLS, SAFE_CELLS = 8, 2, 6
 
 
 def stages(spark, sf_dir) -> ImageSearch:
@@ -154,6 +158,188 @@ def p9(spark, sf_dir):
     return dec.annotate_detections(named, tables.probes(spark, sf_dir))
 
 
+def cell_stages(spark, sf_dir) -> list[ImageSearch]:
+    """The search of both spaces over cells of given centroids, the first vectors of each space by id."""
+    gallery, people = tables.gallery(spark, sf_dir), tables.people(spark, sf_dir)
+    faces = tables.probes(spark, sf_dir)
+    found = []
+    for pipeline, threshold in (("custom", THRESHOLD), ("pretrained", OTHER_THRESHOLD)):
+        space = sim.as_gallery(gallery.where(F.col("pipeline") == pipeline), "v", "id")
+        first = sorted(space.orderBy("id").limit(CELLS).collect(), key=lambda row: row["id"])
+        index = ann.ivf_assign(space, np.array([row["v"] for row in first]))
+        widths = {"k_fast": FAST, "k_safe": SAFE, "nprobe_fast": FAST_CELLS, "nprobe_safe": SAFE_CELLS}
+        found.append(ImageSearch(faces, gallery, people, pipeline, threshold, K, search=ann.CellSearch(index), **widths))
+    return found
+
+
+def of_both(spark, sf_dir, pick) -> DataFrame:
+    parts = [pick(stage).withColumn("pipeline", F.lit(stage.pipeline)) for stage in cell_stages(spark, sf_dir)]
+    return parts[0].unionByName(parts[1])
+
+
+CELL_CHAIN = {
+    "spaces": f"""
+        SELECT 'custom' AS pipeline, {THRESHOLD}::DOUBLE AS threshold UNION ALL SELECT 'pretrained', {OTHER_THRESHOLD}::DOUBLE""",
+    "centroids": f"""
+        SELECT pipeline, row_number() OVER (PARTITION BY pipeline ORDER BY id) - 1 AS cell, {unit('v')} AS c
+        FROM gallery QUALIFY cell < {CELLS}""",
+    "cell_of": f"""
+        SELECT g.id, g.pipeline, g.v, g.person_id, g.is_active, c.cell FROM gallery g JOIN centroids c USING (pipeline)
+        QUALIFY row_number() OVER (PARTITION BY g.pipeline, g.id ORDER BY {inner('g.v', 'c.c')} DESC, c.cell) = 1""",
+    "probed": f"""
+        SELECT c.pipeline, p.probe_id, p.v, c.cell,
+               row_number() OVER (PARTITION BY c.pipeline, p.probe_id ORDER BY {inner('p.v', 'c.c')} DESC, c.cell) AS place
+        FROM probes p CROSS JOIN centroids c QUALIFY place <= {SAFE_CELLS}""",
+    "scores": f"""
+        SELECT p.pipeline, p.probe_id, p.place, g.id, g.person_id, g.is_active, round({cos('p.v', 'g.v')}, 6) AS score
+        FROM probed p JOIN cell_of g USING (pipeline, cell)""",
+    "bests": f"""
+        SELECT pipeline, probe_id, max(score) FILTER (WHERE place <= {FAST_CELLS}) AS fast_best, max(score) AS safe_best
+        FROM scores GROUP BY ALL""",
+    "judged": """
+        SELECT s.pipeline, s.threshold, p.probe_id, p.image_id, p.face_index, fast_best, safe_best,
+               CASE WHEN fast_best IS NULL THEN 'no_candidates' WHEN fast_best < threshold THEN 'below_threshold'
+                    WHEN fast_best < threshold + 0.05 THEN 'near_threshold' END AS reason
+        FROM probes p CROSS JOIN spaces s LEFT JOIN bests USING (pipeline, probe_id)""",
+    "info": f"""
+        SELECT pipeline, threshold, probe_id, image_id, face_index, CASE WHEN wide THEN safe_best ELSE fast_best END AS best_score,
+               CASE WHEN wide THEN 'safe_fallback' ELSE 'fast' END AS search_mode,
+               CASE WHEN wide THEN {SAFE} ELSE {FAST} END AS candidate_k, CASE WHEN wide THEN reason END AS fallback_reason
+        FROM (SELECT *, reason IS NOT NULL AND safe_best IS NOT NULL AND safe_best >= coalesce(fast_best, -2) AS wide FROM judged)""",
+    "candidates": f"""
+        SELECT s.*, i.image_id, i.face_index, i.threshold FROM scores s JOIN info i USING (pipeline, probe_id)
+        WHERE s.place <= CASE i.search_mode WHEN 'fast' THEN {FAST_CELLS} ELSE {SAFE_CELLS} END
+        QUALIFY row_number() OVER (PARTITION BY s.pipeline, s.probe_id ORDER BY s.score DESC, s.id) <= i.candidate_k""",
+    "hydrated": """
+        SELECT c.*, s.label FROM candidates c JOIN people s ON s.id = c.person_id WHERE c.is_active AND s.status = 'active'""",
+    "identities": """
+        SELECT pipeline, threshold, image_id, face_index, probe_id, person_id, label, max(score) AS score,
+               arg_min(id, struct_pack(s := -score, i := id)) AS embedding_id,
+               count(*) FILTER (WHERE score >= CASE pipeline WHEN 'custom' THEN greatest(0.18, round(threshold - 0.06, 6))
+                                               ELSE threshold END) AS support_count
+        FROM hydrated GROUP BY ALL""",
+    "gated": """
+        SELECT * FROM identities JOIN (SELECT image_id, count(*) > 1 AS multi FROM probes GROUP BY image_id) USING (image_id)
+        WHERE score >= threshold AND CASE
+            WHEN pipeline = 'custom' AND multi THEN score >= 0.38 OR (score >= 0.34 AND support_count >= 2)
+            WHEN pipeline = 'custom' THEN score >= 0.36 OR (score >= 0.32 AND support_count >= 2) OR (score >= 0.30 AND support_count >= 4)
+            WHEN multi THEN score >= 0.56 OR (score >= 0.50 AND support_count >= 2) OR (score >= 0.46 AND support_count >= 3)
+            ELSE score >= 0.54 OR (score >= 0.46 AND support_count >= 2) OR (score >= 0.40 AND support_count >= 3) END""",
+    "gated_ranks": """
+        SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS s2, lead(support_count) OVER w AS c2
+        FROM gated WINDOW w AS (PARTITION BY pipeline, probe_id ORDER BY score DESC, support_count DESC, person_id)""",
+    "ambiguous": """
+        SELECT pipeline, probe_id FROM gated_ranks WHERE rank = 1 AND s2 IS NOT NULL AND CASE
+            WHEN pipeline = 'custom' AND multi
+                THEN (score < 0.38 AND round(score - s2, 6) < 0.08) OR (support_count <= c2 AND round(score - s2, 6) < 0.06)
+            WHEN pipeline = 'custom'
+                THEN (score < 0.34 AND round(score - s2, 6) < 0.05) OR (support_count <= c2 AND round(score - s2, 6) < 0.035)
+            WHEN multi THEN score < 0.56 AND round(score - s2, 6) < 0.07
+            ELSE score < 0.50 AND round(score - s2, 6) < 0.055 END""",
+    "ranked": f"SELECT * FROM gated_ranks ANTI JOIN ambiguous USING (pipeline, probe_id) WHERE rank <= {K}",
+    "results": """
+        SELECT * FROM ranked QUALIFY row_number() OVER (
+            PARTITION BY pipeline, image_id, coalesce(lower(trim(label)), person_id::VARCHAR)
+            ORDER BY score DESC, support_count DESC, face_index, rank) = 1""",
+}
+SPACED = ["pipeline", *IDENTITY]
+SPACED_LIST = ", ".join(SPACED)
+
+
+@query(
+    "j6_cells_dynamic",
+    """SELECT pipeline, probe_id, best_score, search_mode, candidate_k, fallback_reason FROM info""",
+    extra=CELL_CHAIN,
+)
+def j6_cells(spark, sf_dir):
+    return of_both(spark, sf_dir, lambda stage: stage.probe_info.drop("image_id", "face_index"))
+
+
+# how often each reason led to the wide pass and how often that found a better row
+@query(
+    "j6_cells_gain",
+    """SELECT pipeline, reason, count(*) AS probes, count(*) FILTER (WHERE safe_best > coalesce(fast_best, -2)) AS better
+       FROM judged WHERE reason IS NOT NULL GROUP BY ALL""",
+    extra=CELL_CHAIN,
+)
+def j6_gain(spark, sf_dir):
+    def gain(stage: ImageSearch) -> DataFrame:
+        fast = stage.search(stage.probes, 1, FAST_CELLS).select("probe_id", F.col("score").alias("fast_best"))
+        joined = stage.probe_info.join(fast, "probe_id", "left").where("search_mode = 'safe_fallback'")
+        better = F.count_if(F.col("best_score") > F.coalesce("fast_best", F.lit(-2.0)))
+        return joined.groupBy(F.col("fallback_reason").alias("reason")).agg(F.count(F.lit(1)).alias("probes"), better.alias("better"))
+
+    return of_both(spark, sf_dir, gain)
+
+
+@query("j7_cells_hydrate", "SELECT pipeline, probe_id, id, person_id, label, score FROM hydrated", extra=CELL_CHAIN)
+def j7_cells(spark, sf_dir):
+    return of_both(spark, sf_dir, lambda stage: stage.scored.select("probe_id", "id", "person_id", "label", "score"))
+
+
+@query("d1_cells_identities", f"SELECT {SPACED_LIST} FROM identities", extra=CELL_CHAIN)
+def d1_cells(spark, sf_dir):
+    return of_both(spark, sf_dir, lambda stage: stage.identities.select(*IDENTITY))
+
+
+@query("d2_cells_supported", f"SELECT {SPACED_LIST}, multi FROM gated", extra=CELL_CHAIN)
+def d2_cells(spark, sf_dir):
+    return of_both(spark, sf_dir, lambda stage: stage.gated.select(*IDENTITY, "multi"))
+
+
+@query(
+    "d3_cells_reject_ambiguous",
+    f"SELECT {SPACED_LIST} FROM gated ANTI JOIN ambiguous USING (pipeline, probe_id)",
+    extra=CELL_CHAIN,
+)
+def d3_cells(spark, sf_dir):
+    return of_both(spark, sf_dir, lambda stage: dec.reject_ambiguous(stage.gated).select(*IDENTITY))
+
+
+@query("d4_cells_rank", f"SELECT {SPACED_LIST}, rank FROM ranked", extra=CELL_CHAIN)
+def d4_cells(spark, sf_dir):
+    return of_both(spark, sf_dir, lambda stage: stage.ranked.select(*IDENTITY, "rank"))
+
+
+@query("d5_cells_dedup", f"SELECT {SPACED_LIST} FROM results", extra=CELL_CHAIN)
+def d5_cells(spark, sf_dir):
+    return of_both(spark, sf_dir, lambda stage: stage.results.select(*IDENTITY))
+
+
+@query(
+    "d6_cells_summary",
+    """SELECT i.pipeline, i.image_id, i.faces_processed, coalesce(r.matched, 0) AS matched_faces,
+              CASE WHEN r.matched > 0 THEN 'match' ELSE 'unknown' END AS decision,
+              coalesce(r.best, i.best) AS best_score,
+              CASE WHEN i.modes > 1 THEN 'mixed' ELSE i.mode END AS search_mode, i.candidate_k, i.fallback_reason
+       FROM (SELECT pipeline, image_id, count(*) AS faces_processed, max(best_score) AS best, count(DISTINCT search_mode) AS modes,
+                    min(search_mode) AS mode, max(candidate_k) AS candidate_k,
+                    string_agg(DISTINCT fallback_reason, ', ' ORDER BY fallback_reason) AS fallback_reason
+             FROM info GROUP BY ALL) i
+       LEFT JOIN (SELECT pipeline, image_id, count(DISTINCT face_index) AS matched, max(score) AS best
+                  FROM results GROUP BY ALL) r USING (pipeline, image_id)""",
+    extra=CELL_CHAIN,
+)
+def d6_cells(spark, sf_dir):
+    return of_both(spark, sf_dir, lambda stage: stage.summary)
+
+
+@query(
+    "p9_cells_annotate",
+    """SELECT s.pipeline, p.image_id, p.face_index, coalesce(b.label, 'No match') AS label, b.score,
+              CASE WHEN b.score >= s.threshold THEN 'match' WHEN b.score >= greatest(0.2, round(s.threshold * 0.7, 6)) THEN 'weak'
+                   ELSE 'unknown' END AS quality
+       FROM probes p CROSS JOIN spaces s LEFT JOIN (
+           SELECT pipeline, image_id, face_index, max(score) AS score,
+                  arg_min(label, struct_pack(s := -score, p := person_id, l := label)) AS label
+           FROM identities GROUP BY ALL) b USING (pipeline, image_id, face_index)""",
+    extra=CELL_CHAIN,
+)
+def p9_cells(spark, sf_dir):
+    faces = tables.probes(spark, sf_dir)
+    return of_both(spark, sf_dir, lambda stage: dec.annotate_detections(stage.identities, faces))
+
+
 @query(
     "p10_threshold_for",
     """SELECT id, CASE WHEN pipeline = 'custom' AND is_active THEN 0.28 WHEN pipeline = 'custom' THEN 0.205047

@@ -14,7 +14,8 @@ from probewise.operators import similarity as sim
 from probewise.operators import vector_tables as vt
 from probewise.operators.gallery import live_embeddings
 from probewise.plans import tables
-from probewise.plans.flows import read_index, write_index
+from probewise.operators.retrieval import topk_overlap
+from probewise.plans.flows import read_codes, read_index, write_codes, write_index
 from probewise.plans.registry import query
 from probewise.plans.sql_tables import cos, inner, length, unit
 from probewise.session import ensure_checkpoint_dir
@@ -227,6 +228,50 @@ def j2(spark, sf_dir):
     return sim.topk_blocked(probe_rows(spark, sf_dir), gallery_rows(spark, sf_dir), 10, block_rows=1024)
 
 
+# a dozen vectors with others around them: most blocks can't hold a neighbour
+ANCHORS = 12
+
+
+def around_anchors(spark, sf_dir, key: str, anchor: int, shift: int, other: int) -> DataFrame:
+    """``(key, v)``: an anchor and two fifths of another vector."""
+    base = tables.vectors(spark, sf_dir)
+    n = base.agg(F.count(F.lit(1))).scalar()
+    centre = base.where(F.col("vec_id") < ANCHORS).select(F.col("vec_id").alias("_a"), F.col("v").alias("_c"))
+    rest = base.select(F.col("vec_id").alias("_o"), F.col("v").alias("_r"))
+    rows = base.select(
+        F.col("vec_id").alias(key),
+        ((F.col("vec_id") * anchor + shift) % ANCHORS).alias("_a"),
+        ((F.col("vec_id") * other + shift) % n).alias("_o"),
+    )
+    return rows.join(F.broadcast(centre), "_a").join(rest, "_o").select(key, F.zip_with("_c", "_r", lambda c, r: c + 0.4 * r).alias("v"))
+
+
+def around_sql(key: str, anchor: int, shift: int, other: int) -> str:
+    return f"""
+        SELECT x.vec_id AS {key}, list_transform(range(1, len(c.v) + 1), lambda i: c.v[i] + 0.4::DOUBLE * r.v[i]) AS v
+        FROM vec x CROSS JOIN size_of JOIN vec c ON c.vec_id = (x.vec_id * {anchor} + {shift}) % {ANCHORS}
+        JOIN vec r ON r.vec_id = (x.vec_id * {other} + {shift}) % n"""
+
+
+NEAR_GALLERY, NEAR_PROBES = ("id", 1, 0, 1), ("probe_id", 5, 1, 7)
+
+
+@query(
+    "j2_topk_bounded",
+    TOPK_SQL.replace("FROM probes p CROSS JOIN vec_gallery g", "FROM near_probes p CROSS JOIN near_gallery g"),
+    extra={"near_gallery": around_sql(*NEAR_GALLERY), "near_probes": around_sql(*NEAR_PROBES)},
+)
+def j2_bounded(spark, sf_dir):
+    probes, gallery = around_anchors(spark, sf_dir, *NEAR_PROBES), around_anchors(spark, sf_dir, *NEAR_GALLERY)
+    return sim.topk_bounded(probes, gallery, 10, block_rows=16)
+
+
+@query("j2_block_report")
+def j2_report(spark, sf_dir):
+    probes, gallery = around_anchors(spark, sf_dir, *NEAR_PROBES), around_anchors(spark, sf_dir, *NEAR_GALLERY)
+    return sim.block_report(probes, gallery, 10, block_rows=16)
+
+
 def cell_index(spark, sf_dir, nlist: int = 16) -> ann.CellIndex:
     return ann.ivf_build(gallery_rows(spark, sf_dir), nlist)
 
@@ -358,6 +403,94 @@ def j4_given_rescored(spark, sf_dir):
     return ann.pq_search(probe_rows(spark, sf_dir), index, given_books(index), 10, nprobe=16, rescore_from=gallery)
 
 
+# residual codes: the books are what the next vectors by id differ from the centroids of their cells
+def given_residuals(nprobe: int) -> dict[str, str]:
+    def piece(of: str) -> str:
+        return f"{of}[len({of}) // {PARTS} * part + 1 : len({of}) // {PARTS} * (part + 1)]"
+
+    return {
+        **given_cells(nprobe),
+        "part_numbers": f"SELECT unnest(range({PARTS})) AS part",
+        "rests": f"""
+            SELECT id, cell, c, list_transform(range(1, len(u) + 1), lambda i: u[i] - c[i]) AS r
+            FROM (SELECT id, cell, {unit('v')} AS u FROM cell_of) JOIN centroids USING (cell)""",
+        "books": f"""
+            SELECT part, n - {GIVEN + 1} AS code, {piece('r')} AS b
+            FROM (SELECT *, row_number() OVER (ORDER BY id) AS n FROM rests) CROSS JOIN part_numbers
+            WHERE n > {GIVEN} AND n <= 2 * {GIVEN}""",
+        "pieces": f"SELECT id, part, {piece('r')} AS x FROM rests CROSS JOIN part_numbers",
+        "codes": f"""
+            SELECT id, part, b FROM (
+                SELECT *, row_number() OVER (PARTITION BY id, part ORDER BY {inner('b', 'b')} / 2 - {inner('x', 'b')}, code) AS place
+                FROM pieces JOIN books USING (part))
+            WHERE place = 1""",
+        "coded": """
+            SELECT id, cell, list_transform(range(1, len(c) + 1), lambda i: c[i] + f[i]) AS v
+            FROM rests JOIN (SELECT id, flatten(list(b ORDER BY part)) AS f FROM codes GROUP BY id) USING (id)""",
+        "unit_probed": f"SELECT probe_id, cell, {unit('v')} AS v FROM probed",
+    }
+
+
+def stored_codes(spark, sf_dir) -> ann.CodeIndex:
+    """Residual codes over given centroids and books, written by cell and read back."""
+    gallery = gallery_rows(spark, sf_dir)
+    first = sorted(gallery.orderBy("id").limit(2 * GIVEN).collect(), key=lambda row: row["id"])
+    vectors = sim.unit_rows(np.array([row["v"] for row in first], np.float64))
+    index = ann.ivf_assign(gallery, vectors[:GIVEN])
+    rests = vectors[GIVEN:] - index.centroids[ann.best_cells(vectors[GIVEN:], index.centroids, 1)[:, 0]]
+    books = rests.reshape(len(rests), PARTS, -1).transpose(1, 0, 2)
+    path = f"{ensure_checkpoint_dir(spark)}/codes-{uuid.uuid4()}"
+    write_codes(ann.code_index(index, books), path)
+    return read_codes(spark, path)
+
+
+@query(
+    "j4_stored_codes",
+    f"SELECT * FROM ({CODED_SQL}) WHERE rank <= 10",
+    extra=given_residuals(8),
+)
+def j4_stored(spark, sf_dir):
+    return ann.code_search(probe_rows(spark, sf_dir), stored_codes(spark, sf_dir), 10, nprobe=8, block_rows=64)
+
+
+@query(
+    "j4_stored_codes_rescored",
+    f"""
+    SELECT probe_id, id, score, round(1 - score, 6) AS distance, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, id) AS rank FROM (
+            SELECT s.probe_id, s.id, round({cos('p.v', 'g.v')}, 6) AS score
+            FROM ({CODED_SQL}) s JOIN probes p USING (probe_id) JOIN vec_gallery g USING (id)))
+    WHERE rank <= 10""",
+    extra=given_residuals(16),
+)
+def j4_stored_rescored(spark, sf_dir):
+    index, gallery = stored_codes(spark, sf_dir), gallery_rows(spark, sf_dir)
+    return ann.code_search(probe_rows(spark, sf_dir), index, 10, nprobe=16, rescore_from=gallery)
+
+
+def recall_by_search(probes: DataFrame, gallery: DataFrame, searches: dict) -> DataFrame:
+    """``search, k, overlap``: the share of the exact 1 and 10 best that each search finds."""
+    names = [F.lit(name) for name in searches]
+    exact = sim.topk_exact(probes, gallery, 10).withColumn("search", F.explode(F.array(*names)))
+    found = None
+    for name, search in searches.items():
+        rows = search().withColumn("search", F.lit(name))
+        found = rows if found is None else found.unionByName(rows)
+    return topk_overlap(exact, found, (1, 10), ["search"])
+
+
+@query("j3_j4_recall")
+def j3_j4_recall(spark, sf_dir):
+    """Recall of trained cells and trained residual codes against exact search."""
+    probes, gallery = probe_rows(spark, sf_dir), gallery_rows(spark, sf_dir)
+    index = cell_index(spark, sf_dir)
+    codes = ann.code_index(index, ann.code_train(index, parts=16, bits=6))
+    searches = {f"cells_{n}": lambda n=n: ann.ivf_search(probes, index, 10, n) for n in (4, 8)}
+    searches["codes_16"] = lambda: ann.code_search(probes, codes, 10, 16)
+    searches["codes_16_rescored"] = lambda: ann.code_search(probes, codes, 10, 16, rescore_from=gallery, widen=10)
+    return recall_by_search(probes, gallery, searches)
+
+
 @query(
     "j5_rescore",
     f"""SELECT probe_id, id, round({cos('p.v', 'g.v')}, 6) AS score, round(1 - round({cos('p.v', 'g.v')}, 6), 6) AS distance
