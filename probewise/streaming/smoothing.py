@@ -7,16 +7,14 @@ often enough, and a stable label survives three misses.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from probewise.operators.ordered import RANGE_ROWS, row_numbers, running_sums
+from probewise.streaming.keyed import SLOT_SECONDS, apply_in_order
 
 # fixed values of the smoothing rule
 HISTORY = 5
@@ -58,9 +56,13 @@ def agreed_label(history: Column, pipeline: Column) -> Column:
     return F.array_min(F.filter(described, stable))["c"]
 
 
-def stabilize_labels(frames: DataFrame, piece_rows: int = PIECE_ROWS, range_rows: int = RANGE_ROWS) -> DataFrame:
+def stabilize_labels(
+    frames: DataFrame, piece_rows: int = PIECE_ROWS, range_rows: int = RANGE_ROWS, idle_seconds: float | None = None
+) -> DataFrame:
     """``(session, frame_id, stable_label)`` per frame.
 
+    After a pause of more than ``idle_seconds`` a session starts anew.
+
     Sessions are cut into pieces that repeat the few rows the history needs.
     From a frame whose history agrees, or after four empty frames, the outcome
     no longer depends on anything earlier, so the held label is followed
@@ -75,12 +77,20 @@ def stabilize_labels(frames: DataFrame, piece_rows: int = PIECE_ROWS, range_rows
         "piece", F.explode(F.when(repeats, F.array(piece, piece + 1)).otherwise(F.array(piece)))
     )
     in_piece = Window.partitionBy("session", "piece").orderBy("n")
-    history = F.collect_list(F.struct("c", "s")).over(in_piece.rowsBetween(-(HISTORY - 1), 0))
-    agreed = pieces.withColumn("agreed", agreed_label(history, F.col("pipeline")))
+    if idle_seconds is None:
+        pieces = pieces.withColumns({"anew": F.lit(False), "visit": F.lit(0).cast("long")})
+    else:
+        at = F.unix_micros(F.col("ts").cast("timestamp"))
+        paused = F.coalesce(at - F.lag(at).over(in_piece) > F.lit(int(idle_seconds * 1_000_000)), F.lit(False))
+        visit = F.sum(F.col("anew").cast("long")).over(in_piece.rowsBetween(Window.unboundedPreceding, 0))
+        pieces = pieces.withColumn("anew", paused).withColumn("visit", visit)
+    recent = F.collect_list(F.struct("c", "s", "visit")).over(in_piece.rowsBetween(-(HISTORY - 1), 0))
+    history = F.filter("recent", lambda h: h["visit"] == F.col("visit"))
+    agreed = pieces.withColumn("recent", recent).withColumn("agreed", agreed_label(history, F.col("pipeline")))
     empty = (F.col("agreed").isNull() & F.col("c").isNull()).cast("int")
     empties = F.sum(empty).over(in_piece.rowsBetween(-(DROP_AFTER - 1), 0))
     marked = agreed.withColumn(
-        "starts", (F.col("agreed").isNotNull() | (empties == DROP_AFTER)).cast("long")
+        "starts", (F.col("agreed").isNotNull() | (empties == DROP_AFTER) | F.col("anew")).cast("long")
     ).where("piece = own")
     segments = running_sums(
         marked.select("session", "frame_id", "n", "c", "agreed", "starts"),
@@ -119,30 +129,55 @@ def next_label(history: list, held: str | None, misses: int, offer: tuple | None
     return (history, held, misses, held) if misses < DROP_AFTER else (history, None, 0, None)
 
 
-STATE = "labels array<string>, scores array<double>, held string, misses int"
+class HeldLabel:
+    """The rule over the frames of a session in time order; remembers the last offers and the held label.
 
+    After a pause of more than ``idle`` microseconds it starts anew.
+    """
 
-def stabilize_stream(frames: DataFrame) -> DataFrame:
-    """The same rule over a stream of frames that arrive in time order."""
-    label, score = candidate_columns()
-    offered = frames.select("session", "ts", "frame_id", "pipeline", label.alias("c"), score.alias("s"))
-    schema = T.StructType(
-        [frames.schema["session"], frames.schema["frame_id"], T.StructField("stable_label", T.StringType())]
-    )
+    state = "labels array<string>, scores array<double>, held string, misses int, last long"
+
+    def __init__(self, idle: int | None) -> None:
+        self.idle = idle
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        labels, scores, held, misses = state.get if state.exists else ([], [], None, 0)
+    def begin(self) -> tuple:
+        return ([], [], None, 0, None)
+
+    def apply(self, key: tuple, state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        labels, scores, held, misses, last = state
         history = [None if label is None else (label, score) for label, score in zip(labels, scores)]
-        rows = pd.concat(list(batches)).sort_values(["ts", "frame_id"])
         shown = []
-        for label, score, pipeline in rows[["c", "s", "pipeline"]].itertuples(index=False, name=None):
-            offer = None if pd.isna(label) else (label, score)
-            history, held, misses, label_now = next_label(history, held, misses, offer, pipeline == "custom")
-            shown.append(label_now)
+        for at, label, score, pipeline in rows[["at", "c", "s", "pipeline"]].itertuples(index=False, name=None):
+            if self.idle is not None and last is not None and at - last > self.idle:
+                history, held, misses = [], None, 0
+            offer, last = None if pd.isna(label) else (label, float(score)), int(at)
+            history, held, misses, now = next_label(history, held, misses, offer, pipeline == "custom")
+            shown.append(now)
         pairs = [offer or (None, None) for offer in history]
-        state.update(([p[0] for p in pairs], [p[1] for p in pairs], held, misses))
-        yield pd.DataFrame({"session": key[0], "frame_id": rows["frame_id"].to_numpy(), "stable_label": shown})
+        out = pd.DataFrame({"session": key[0], "frame_id": rows["frame_id"], "stable_label": shown})
+        return ([p[0] for p in pairs], [p[1] for p in pairs], held, misses, last), out
+
+    def until(self, state: tuple) -> int | None:
+        return None if self.idle is None or state[4] is None else state[4] + self.idle
+
 
-    return offered.groupBy("session").applyInPandasWithState(
-        follow, schema, STATE, "append", GroupStateTimeout.NoTimeout
+def stabilize_stream(
+    frames: DataFrame, delay: str | None = None, idle_seconds: float | None = None, slot_seconds: int = SLOT_SECONDS
+) -> DataFrame:
+    """The same rule over a stream of frames.
+
+    Without a ``delay`` frames must come in time order from trigger to trigger.
+    With one they wait until the watermark passes them, and the state of a session
+    that is silent for ``idle_seconds`` is removed. A task holds the frames of a
+    session in one slot of ``slot_seconds``.
+    """
+    label, score = candidate_columns()
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    offered = frames.select(
+        "session", F.col("ts").cast("timestamp").alias("ts"), at.alias("at"), "frame_id", "pipeline", label.alias("c"), score.alias("s")
+    )
+    schema = T.StructType(
+        [frames.schema["session"], frames.schema["frame_id"], T.StructField("stable_label", T.StringType())]
     )
+    rule = HeldLabel(None if idle_seconds is None else int(idle_seconds * 1_000_000))
+    return apply_in_order(offered, ["session"], "frame_id", rule, schema, delay, slot_seconds)

@@ -15,16 +15,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from probewise.operators.ordered import RANGE_ROWS, join_on, running_sums
+from probewise.streaming.keyed import SLOT_SECONDS, apply_in_order
 
 MICROS = 1_000_000
 # fixed value: window of the throttle in seconds
 WINDOW_SECONDS = 60
 
 KEYS = ["category", "identity"]
-STATE = "allowed array<long>, waiting_at array<long>, waiting_id array<long>"
 
 
 def limit_column(limits: Mapping[str, int]) -> Column:
@@ -133,43 +132,40 @@ def output_schema(events: DataFrame) -> T.StructType:
     return T.StructType([*fields, *T.StructType.fromDDL(added).fields])
 
 
+class SlidingLog:
+    """The throttle as a rule over the events of a key in time order; remembers the allowed times in the window."""
+
+    state = "allowed array<long>"
+
+    def __init__(self, limits: Mapping[str, int], window: int) -> None:
+        self.limits, self.window = dict(limits), window
+
+    def begin(self) -> tuple:
+        return ([],)
+
+    def apply(self, key: tuple, state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        log, verdicts = deque(state[0]), Verdicts(len(rows))
+        verdicts.judge(rows["at"].to_numpy(), 0, len(rows), log, self.limits.get(key[0], 0), self.window)
+        out = pd.DataFrame({"event_id": rows["event_id"], "category": key[0], "identity": key[1]})
+        return (list(log),), verdicts.beside(out)
+
+    def until(self, state: tuple) -> int:
+        return state[0][-1] + self.window if state[0] else 0
+
+
 def throttle_stream(
-    events: DataFrame, limits: Mapping[str, int], window_seconds: float = WINDOW_SECONDS, delay: str = "0 seconds"
+    events: DataFrame,
+    limits: Mapping[str, int],
+    window_seconds: float = WINDOW_SECONDS,
+    delay: str = "0 seconds",
+    slot_seconds: int = SLOT_SECONDS,
 ) -> DataFrame:
     """The same verdicts over a stream.
 
-    Events wait in the state until the watermark passes them and are then
-    judged in time order. Later ones are dropped and counted by Spark.
+    Events wait in the state, in slots of ``slot_seconds``, until the watermark
+    passes them and are then judged in time order. Later ones are dropped and
+    counted by Spark. A key whose last allowed event has left the window has no state.
     """
-    window = int(window_seconds * MICROS)
-    schema = output_schema(events)
-
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        allowed, waiting_at, waiting_id = state.get if state.exists else ([], [], [])
-        allowed, waiting = deque(allowed), list(zip(waiting_at, waiting_id))
-        limit = limits.get(key[0], 0)
-        for batch in batches:
-            waiting.extend(zip(batch["at"].tolist(), batch["event_id"].tolist()))
-        passed = state.getCurrentWatermarkMs() * 1000
-        waiting.sort()
-        ready = [w for w in waiting if w[0] <= passed]
-        waiting = waiting[len(ready) :]
-        if ready:
-            verdicts = Verdicts(len(ready))
-            verdicts.judge(np.array([at for at, _ in ready]), 0, len(ready), allowed, limit, window)
-            rows = pd.DataFrame({"event_id": [i for _, i in ready], "category": key[0], "identity": key[1]})
-            yield verdicts.beside(rows)
-        if not waiting and (not allowed or allowed[-1] <= passed - window):
-            if state.exists:
-                state.remove()
-            return
-        state.update((list(allowed), [at for at, _ in waiting], [i for _, i in waiting]))
-        wake = waiting[0][0] if waiting else allowed[-1] + window
-        state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-
-    return (
-        events.select("event_id", *KEYS, F.col("ts").cast("timestamp").alias("ts"), event_micros().alias("at"))
-        .withWatermark("ts", delay)
-        .groupBy(*KEYS)
-        .applyInPandasWithState(judge, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    timed = events.select("event_id", *KEYS, F.col("ts").cast("timestamp").alias("ts"), event_micros().alias("at"))
+    rule = SlidingLog(limits, int(window_seconds * MICROS))
+    return apply_in_order(timed, KEYS, "event_id", rule, output_schema(events), delay, slot_seconds)

@@ -219,8 +219,8 @@ def test_two_passes_equal_two_searches(sides):
     index = ann.ivf_build(g, 10)
     widths = {"k_fast": 4, "k_safe": 12, "nprobe_fast": 1, "nprobe_safe": 6}
     cells = ann.CellSearch(index)
-    found, info = ann.search_dynamic(p, cells, 3, 0.83, **widths)
-    same, told = ann.search_dynamic(p, lambda probes, k, n: ann.ivf_search(probes, index, k, n), 3, 0.83, **widths)
+    found, info = ann.search_dynamic(p, cells, 3, 0.91, **widths)
+    same, told = ann.search_dynamic(p, lambda probes, k, n: ann.ivf_search(probes, index, k, n), 3, 0.91, **widths)
     assert rows_of(found) == rows_of(same)
     assert sorted(info.collect()) == sorted(told.collect())
     assert {r["search_mode"] for r in info.collect()} == {"fast", "safe_fallback"}

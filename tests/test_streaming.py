@@ -2,11 +2,13 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from probewise.streaming import events as ev
-from probewise.streaming import smoothing, throttle
+from probewise.streaming import keyed, smoothing, throttle
 
 START = datetime(2024, 1, 1)
 
@@ -215,3 +217,73 @@ def test_activity_in_batch_and_stream(spark, tmp_path):
     stream = ev.activity_counts(as_files(df, [F.lit(True)], tmp_path))
     closed = {(r["window_start"], r["events"]) for r in run(stream, tmp_path).collect()}
     assert closed == {(START, 2), (START + timedelta(hours=1), 1)}
+
+
+# keyed state
+
+
+def state_rows(spark, tmp_path, name):
+    return spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / "state"))
+
+
+def out_of_order(spark, rows, schema, tmp_path, order, ts):
+    """Files in which the rows come shuffled within the delay, and a marker far behind them."""
+    ordered = sorted(rows, key=order)
+    parts = [ordered[i : i + 60] for i in range(0, len(ordered), 60)]
+    for number, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def test_smoothing_in_any_order_and_idle(spark, tmp_path):
+    rnd, rows = random.Random(3), frames(7, 240)
+    # pauses of a minute, in which sessions fall silent
+    rows = [(r[0], r[1] + timedelta(seconds=60 * (i // 50)), *r[2:]) for i, r in enumerate(rows)]
+    batch = shown(smoothing.stabilize_labels(spark.createDataFrame(rows, FRAME), 15, 40, idle_seconds=30))
+    assert batch == shown(smoothing.stabilize_labels(spark.createDataFrame(rows, FRAME), idle_seconds=30))
+    assert batch != shown(smoothing.stabilize_labels(spark.createDataFrame(rows, FRAME)))
+    marker = ("marker", rows[-1][1] + timedelta(hours=1), 10_000, "custom", "unknown", None, 0.0, 0.25)
+    late = {r[2]: r[1] + timedelta(seconds=rnd.uniform(0, 20)) for r in rows} | {10_000: marker[1]}
+    stream = out_of_order(spark, [*rows, marker], FRAME, tmp_path, lambda r: late[r[2]], 1)
+    found = shown(run(smoothing.stabilize_stream(stream, "40 seconds", 30, 7), tmp_path))
+    found.pop(10_000, None)
+    assert found == batch
+    # silent sessions have left no state, the marker has
+    assert {r["key"]["session"] for r in state_rows(spark, tmp_path, "kept").collect()} <= {"marker"}
+    assert {r["key"]["session"] for r in state_rows(spark, tmp_path, "rows").collect()} <= {"marker"}
+
+
+def test_throttle_in_any_order(spark, tmp_path):
+    rnd, rows = random.Random(5), requests(6, 200)
+    last = max(r[3] for r in rows)
+    late = {r[0]: r[3] + timedelta(seconds=rnd.uniform(0, 25)) for r in rows}
+    rows.append((999, "none", "marker", last + timedelta(hours=1)))
+    late[999] = rows[-1][3]
+    stream = out_of_order(spark, rows, REQUEST, tmp_path, lambda r: late[r[0]], 3)
+    found = verdicts(run(throttle.throttle_stream(stream, {**LIMITS, "none": 0}, 60, "40 seconds", 11), tmp_path))
+    found.pop(999, None)
+    check_promise(rows[:-1], found)
+    assert {r["key"]["identity"] for r in state_rows(spark, tmp_path, "kept").collect()} <= {"marker"}
+
+
+def test_a_hot_key_is_worked_on_slot_by_slot(spark, tmp_path):
+    class Largest:
+        """A rule that reports the rows it is handed at a time."""
+
+        state = "seen long"
+
+        def begin(self):
+            return (0,)
+
+        def apply(self, key, state, rows):
+            return (state[0] + len(rows),), pd.DataFrame({"k": [key[0]], "n": [len(rows)], "seen": [state[0] + len(rows)]})
+
+        def until(self, state):
+            return None
+
+    rows = [(1, START + timedelta(seconds=(i * 7919) % 6000), i) for i in range(6000)]
+    source = spark.createDataFrame(rows, "k long, ts timestamp, id long")
+    stream = as_files(source, [F.lit(True)], tmp_path).withColumn("at", F.unix_micros("ts"))
+    found = run(keyed.apply_in_order(stream, ["k"], "id", Largest(), T.StructType.fromDDL("k long, n long, seen long"), None, 60), tmp_path)
+    handed = sorted((r["seen"], r["n"]) for r in found.collect())
+    assert handed == [(60 * (i + 1), 60) for i in range(100)]
