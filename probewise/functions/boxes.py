@@ -34,17 +34,21 @@ def box_area(box: Column | str) -> Column:
 
 
 def expand_box(box: Column | str, margin: float, width: Column | str, height: Column | str) -> Column:
-    """Grow by ``margin`` of each side and clip to the image; short boxes are kept."""
+    """Grow by ``margin`` of each side and clip to the image; short boxes are kept.
+
+    Without an image size the far corner, which it clips, is null.
+    """
     box = as_column(box)
     if margin <= 0:
         return box
     x1, y1, x2, y2 = corners(box)
     dx, dy = box_width(box) * margin, box_height(box) * margin
+    wide, high = as_column(width).cast("double"), as_column(height).cast("double")
     grown = F.array(
         F.greatest(F.lit(0.0), x1 - dx),
         F.greatest(F.lit(0.0), y1 - dy),
-        F.least(as_column(width).cast("double"), x2 + dx),
-        F.least(as_column(height).cast("double"), y2 + dy),
+        F.when(wide.isNotNull(), F.least(wide, x2 + dx)),
+        F.when(high.isNotNull(), F.least(high, y2 + dy)),
     )
     return F.when(has_box(box), grown).otherwise(box)
 
@@ -57,9 +61,9 @@ def scale_box(box: Column | str, sx: Column | float, sy: Column | float) -> Colu
 
 
 def center_box(width: Column | str, height: Column | str) -> Column:
-    """Largest centred square of an image."""
+    """Largest centred square of an image; its corners are null without a size."""
     width, height = as_column(width).cast("long"), as_column(height).cast("long")
-    side = F.least(width, height)
+    side = F.when(width.isNotNull() & height.isNotNull(), F.least(width, height))
     x1 = F.floor((width - side) / 2)
     y1 = F.floor((height - side) / 2)
     return F.array(*[c.cast("double") for c in (x1, y1, x1 + side, y1 + side)])

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -385,12 +385,24 @@ class CellSearch:
     index: CellIndex | CodeIndex
     block_rows: int = BLOCK_ROWS
 
-    def scores(self, probes: DataFrame, k: int, first: int, nprobe: int) -> DataFrame:
-        """Local best rows among the cells at places ``first`` to ``nprobe - 1``."""
+    @property
+    def rows(self) -> DataFrame:
+        return self.index.assigned if isinstance(self.index, CellIndex) else self.index.coded
+
+    def scores(self, probes: DataFrame, k: int, first: int, nprobe: int, parts: int = 1, part: Column | None = None) -> DataFrame:
+        """Local best rows among the cells at places ``first`` to ``nprobe - 1``.
+
+        With ``parts`` each cell is cut by the column ``part`` (0 to ``parts - 1``) of its
+        rows, and the ``k`` best rows of every cut come out.
+        """
         index = self.index
         probed = probed_cells(probes, index, nprobe, first)
+        rows = rows_of_cells(self.rows, probed)
+        if part is not None:
+            rows = rows.withColumn("cell", F.col("cell") * parts + part)
+            number = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+            probed = probed.withColumn("_part", number).withColumn("cell", F.col("cell") * parts + F.col("_part")).drop("_part")
         if isinstance(index, CellIndex):
-            rows = rows_of_cells(index.assigned, probed)
             return blocked_scores(probed.drop("base"), rows, k, self.block_rows)
         held = probes.sparkSession.sparkContext.broadcast(index.books)
         residual = index.residual
@@ -405,7 +417,7 @@ class CellSearch:
                 left["probe_id"].to_numpy(), vectors / lengths[:, None], base, right["id"].to_numpy(), codes, held.value, k
             )
 
-        return blocked_scores(probed, rows_of_cells(index.coded, probed), k, self.block_rows, score)
+        return blocked_scores(probed, rows, k, self.block_rows, score)
 
     def __call__(self, probes: DataFrame, k: int, nprobe: int) -> DataFrame:
         return keep_best(self.scores(probes, k, 0, nprobe), k)

@@ -60,14 +60,20 @@ def agreement_loss(student: DataFrame, teacher: DataFrame, key: str) -> DataFram
     )
 
 
+def index_bytes(index_type: str, vectors: Column, dim: Column, params: Mapping[str, int] | None = None) -> Column:
+    """Estimated bytes of an index; ``ivf`` is a flat one with its centroids."""
+    params = params or {}
+    flat = vectors * dim * 4
+    return {
+        "flat": flat,
+        "hnsw": flat + vectors * params.get("m", 32) * 2 * 8,
+        "ivf": flat + params.get("nlist", 0) * dim * 4,
+        "ivfpq": F.floor(vectors * params.get("m", 16) * params.get("nbits", 8) / 8),
+    }[index_type].cast("long")
+
+
 def memory_estimate(df: DataFrame, index_type: str, params: Mapping[str, int] | None = None) -> DataFrame:
     """Estimated index bytes per space."""
-    params = params or {}
     counts = df.groupBy("pipeline", "model").agg(F.count(F.lit(1)).alias("vectors"), F.max("dim").alias("dim"))
-    flat = F.col("vectors") * F.col("dim") * 4
-    size = {
-        "flat": flat,
-        "hnsw": flat + F.col("vectors") * params.get("m", 32) * 2 * 8,
-        "ivfpq": F.floor(F.col("vectors") * params.get("m", 16) * params.get("nbits", 8) / 8),
-    }[index_type]
-    return counts.select("pipeline", "model", "vectors", size.cast("long").alias("memory_bytes"))
+    size = index_bytes(index_type, F.col("vectors"), F.col("dim"), params)
+    return counts.select("pipeline", "model", "vectors", size.alias("memory_bytes"))

@@ -321,15 +321,8 @@ def grid_bin(score: Column) -> Column:
     )
 
 
-def kfold_verification(pairs: DataFrame, folds: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Per-fold rows and their summary.
-
-    ``pairs`` is ``(pair_id, score, status, label)`` with ``pair_id`` counting
-    from 1 over all pairs. The fold follows from the position before failed
-    pairs are dropped. Thresholds are chosen on the other folds over a fixed
-    grid, so everything after the first aggregation has at most
-    ``folds * grid`` rows.
-    """
+def fold_histogram(pairs: DataFrame, folds: int) -> DataFrame:
+    """``(fold, bin, pos, neg)`` of the usable pairs: at most ``folds * grid`` rows, however many pairs."""
     total = pairs.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / max(folds, 1)))).scalar()
     fold = F.least(F.floor((F.col("pair_id") - 1) / total), F.lit(max(folds - 1, 0))).cast("int")
     binned = (
@@ -338,7 +331,11 @@ def kfold_verification(pairs: DataFrame, folds: int = 10) -> tuple[DataFrame, Da
         .groupBy("fold", grid_bin(F.col("score")).alias("bin"))
         .agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
     )
-    binned = durable(binned)
+    return durable(binned)
+
+
+def fold_points(binned: DataFrame) -> DataFrame:
+    """One row per fold and grid threshold: counts and rates of the other folds and of the fold itself."""
     steps = F.sequence(F.lit(-1), F.lit(GRID_STEPS))
     frame = binned.select("fold").distinct().select("fold", F.explode(steps).alias("bin"))
     filled = frame.join(binned, ["fold", "bin"], "left").fillna(0, ["pos", "neg"])
@@ -348,7 +345,7 @@ def kfold_verification(pairs: DataFrame, folds: int = 10) -> tuple[DataFrame, Da
     )
     sums = filled.groupBy("fold").agg(F.sum("pos").alias("fold_pos"), F.sum("neg").alias("fold_neg"))
     grand = sums.agg(F.sum("fold_pos").alias("p"), F.sum("fold_neg").alias("n"))
-    points = (
+    return (
         from_here.where("bin >= 0")
         .join(whole, "bin")
         .join(sums, "fold")
@@ -366,8 +363,21 @@ def kfold_verification(pairs: DataFrame, folds: int = 10) -> tuple[DataFrame, Da
             (F.col("acc_pos") + F.col("fold_neg") - F.col("acc_neg")) / (F.col("fold_pos") + F.col("fold_neg")),
         )
         .withColumn("test_tar", F.coalesce(F.try_divide("acc_pos", "fold_pos"), F.lit(0.0)))
+        .withColumn("test_far", F.try_divide("acc_neg", "fold_neg"))
     )
 
+
+def kfold_verification(pairs: DataFrame, folds: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Per-fold rows and their summary.
+
+    ``pairs`` is ``(pair_id, score, status, label)`` with ``pair_id`` counting
+    from 1 over all pairs. The fold follows from the position before failed
+    pairs are dropped. Thresholds are chosen on the other folds over a fixed
+    grid, so everything after the first aggregation has at most
+    ``folds * grid`` rows.
+    """
+    points = fold_points(fold_histogram(pairs, folds))
+
     def tar_pick(target: float) -> Column:
         usable = F.col("far") <= target
         return F.min(F.when(usable, F.struct(-F.coalesce("tar", F.lit(-1.0)), "threshold", "test_tar")))["test_tar"]
@@ -394,6 +404,59 @@ def kfold_verification(pairs: DataFrame, folds: int = 10) -> tuple[DataFrame, Da
     return per_fold, summary
 
 
+def kfold_targets(pairs: DataFrame, folds: int = 10, targets: Sequence[float] = FOLD_TARGET_FARS) -> DataFrame:
+    """Per fold and target: the threshold chosen on the other folds, their rates there, and those of the fold.
+
+    ``(fold, target_far, threshold, train_far, train_frr, test_tar, test_far)``. Of
+    the thresholds whose FAR on the other folds is at or below the target the one
+    of the highest TAR is taken, the lowest on ties. A target that none meets has
+    null rates and a test TAR of 0.
+    """
+    points = fold_points(fold_histogram(pairs, folds))
+    names = ["threshold", "far", (1 - F.col("tar")).alias("frr"), "test_tar", "test_far"]
+    picks = [
+        F.min(F.when(F.col("far") <= t, F.struct((-F.coalesce("tar", F.lit(-1.0))).alias("_v"), *names))) for t in targets
+    ]
+    rows = F.array(*[F.struct(F.lit(float(t)).alias("target_far"), p.alias("b")) for t, p in zip(targets, picks)])
+    chosen = points.groupBy("fold").agg(rows.alias("rows")).select("fold", F.inline("rows"))
+    return chosen.select(
+        (F.col("fold") + 1).alias("fold"),
+        "target_far",
+        "b.threshold",
+        F.col("b.far").alias("train_far"),
+        F.col("b.frr").alias("train_frr"),
+        F.coalesce("b.test_tar", F.lit(0.0)).alias("test_tar"),
+        "b.test_far",
+    )
+
+
+def kfold_overall(pairs: DataFrame, folds: int = 10, targets: Sequence[float] = FOLD_TARGET_FARS) -> DataFrame:
+    """Metrics of all usable pairs on the same grid, one row per ``metric``.
+
+    ``(metric, value, threshold, far, frr)``: ``accuracy`` at its best threshold,
+    ``eer``, and ``tar_at_far_...`` for every target. All come from the histogram
+    of the folds. A metric that is undefined has nulls.
+    """
+    bins = fold_histogram(pairs, folds).groupBy("bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    steps = pairs.sparkSession.range(-1, GRID_STEPS + 1).select(F.col("id").cast("int").alias("bin"), F.lit(0).alias("fold"))
+    filled = steps.join(bins, "bin", "left").fillna(0, ["pos", "neg"])
+    sums = bins.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("p"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n"))
+    counts = _upward(filled, ["fold"]).where("bin >= 0").select(
+        grid_threshold(F.col("bin")).alias("threshold"),
+        F.col("acc_pos").alias("tp"),
+        F.col("acc_neg").alias("fp"),
+        (sums.select("n").scalar() - F.col("acc_neg")).alias("tn"),
+        (sums.select("p").scalar() - F.col("acc_pos")).alias("fn"),
+    )
+    curve = durable(counts.withColumns(rate_columns(*[F.col(c) for c in COUNTS])))
+    shown = ["threshold", "far", "frr"]
+    best = best_accuracy(curve).select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"), *shown)
+    eer = equal_error_rate(curve, strict=False).select(F.lit("eer").alias("metric"), F.col("eer").alias("value"), *shown)
+    names = F.create_map(*[x for t in targets for x in (F.lit(float(t)), F.lit(fold_tar_name(t)))])
+    tars = tar_at_far(curve, targets).select(names[F.col("target_far")].alias("metric"), F.col("tar").alias("value"), *shown)
+    return best.unionByName(eer).unionByName(tars)
+
+
 def fold_tar_name(target: float) -> str:
     # written out, so that 0.0001 does not become an exponent
     return "tar_at_far_" + f"{target:.4f}".rstrip("0").replace(".", "_")

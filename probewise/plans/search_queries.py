@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from probewise.functions.labels import threshold_for
 from probewise.operators import approximate as ann
+from probewise.operators import benchmark as bench
 from probewise.operators import decisions as dec
 from probewise.operators import retrieval as ret
 from probewise.operators import similarity as sim
@@ -508,6 +509,88 @@ def b8(spark, sf_dir):
     return ret.benchmark_grid(exact, configs, notes={"pq_parts8": note})
 
 
+# sizes by methods over given centroids, the first vectors by id; codes of seven parts can't be made
+GRID_CELLS, GRID_NPROBES = 16, (1, 4, 16)
+SIZED = {
+    "sizes": "SELECT unnest([0.25, 0.5, 1.0])::DOUBLE AS share",
+    "placed": "SELECT *, ('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT / 4294967296 AS place FROM vec",
+    "centroids": f"""
+        SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell, {unit('v')} AS c FROM vec ORDER BY vec_id LIMIT {GRID_CELLS}""",
+    "cell_of": f"""
+        SELECT g.vec_id AS id, g.v, g.place, c.cell FROM placed g CROSS JOIN centroids c
+        QUALIFY row_number() OVER (PARTITION BY g.vec_id ORDER BY {inner('g.v', 'c.c')} DESC, c.cell) = 1""",
+    "probe_cells": f"""
+        SELECT p.probe_id, c.cell, row_number() OVER (PARTITION BY p.probe_id ORDER BY {inner('p.v', 'c.c')} DESC, c.cell) AS nth
+        FROM probes p CROSS JOIN centroids c""",
+    "all_scores": f"SELECT p.probe_id, g.id, g.cell, g.place, round({cos('p.v', 'g.v')}, 6) AS score FROM probes p CROSS JOIN cell_of g",
+    "tried": f"""
+        SELECT 'flat' AS method, 1 AS nprobe, {GRID_CELLS} AS cells
+        UNION ALL SELECT 'ivf_' || n, n, n FROM (SELECT unnest({list(GRID_NPROBES)}) AS n)""",
+    "reached": """
+        SELECT share, method, s.probe_id, s.id, score, row_number() OVER (PARTITION BY share, method, s.probe_id ORDER BY score DESC, s.id) AS rank
+        FROM all_scores s JOIN sizes ON s.place < share JOIN probe_cells c ON c.probe_id = s.probe_id AND c.cell = s.cell
+        JOIN tried ON c.nth <= cells""",
+    "work": """
+        SELECT share, method, p.probe_id, (SELECT count(*) FROM reached r WHERE r.share = s.share AND r.method = t.method AND r.probe_id = p.probe_id) AS n
+        FROM probes p CROSS JOIN sizes s CROSS JOIN tried t""",
+    "work_summary": """
+        SELECT share, method, round(avg(n), 6) AS scanned_mean, round(quantile_cont(n::DOUBLE, 0.5), 6) AS scanned_p50,
+               round(quantile_cont(n::DOUBLE, 0.95), 6) AS scanned_p95, round(quantile_cont(n::DOUBLE, 0.99), 6) AS scanned_p99
+        FROM work GROUP BY ALL""",
+    "shared": """
+        SELECT e.share, t.method, count(*) FILTER (e.rank <= 1 AND f.rank <= 1) AS h1, count(*) FILTER (e.rank <= 5 AND f.rank <= 5) AS h5,
+               count(*) FILTER (e.rank <= 10 AND f.rank <= 10) AS h10, (SELECT count(*) FROM probes) AS q
+        FROM reached e CROSS JOIN tried t LEFT JOIN reached f ON f.share = e.share AND f.method = t.method AND f.probe_id = e.probe_id AND f.id = e.id
+        WHERE e.method = 'flat' AND e.rank <= 10 GROUP BY ALL""",
+}
+
+
+def given_methods(spark, sf_dir) -> list[bench.Method]:
+    gallery = gallery_rows(spark, sf_dir)
+    first = sorted(gallery.orderBy("id").limit(GRID_CELLS).collect(), key=lambda row: row["id"])
+    index = ann.ivf_assign(gallery, np.array([row["v"] for row in first]))
+    cells = {"nlist": GRID_CELLS}
+    return [
+        bench.flat_method(gallery),
+        *[bench.Method(f"ivf_{n}", "ivf", ann.CellSearch(index), n, cells) for n in GRID_NPROBES],
+        bench.attempt("ivfpq_7", "ivfpq", lambda: ann.CellSearch(ann.code_index(index, ann.code_train(index, 7, 4))), 16),
+    ]
+
+
+@query(
+    "b8_given_sizes",
+    f"""
+    SELECT s.share, (SELECT count(*) FROM placed WHERE place < s.share) AS vectors, t.method, t.nprobe, 'ok' AS status, '' AS error, '' AS notes,
+           (SELECT count(*) FROM placed WHERE place < s.share) * 256 + CASE WHEN t.method = 'flat' THEN 0 ELSE {GRID_CELLS} * 256 END AS memory_bytes,
+           scanned_mean, scanned_p50, scanned_p95, scanned_p99,
+           round(h1 / q, 6) AS overlap_at_1, round(h5 / 5 / q, 6) AS overlap_at_5, round(h10 / 10 / q, 6) AS overlap_at_10
+    FROM sizes s CROSS JOIN tried t JOIN work_summary USING (share, method) JOIN shared USING (share, method)
+    UNION ALL
+    SELECT share, (SELECT count(*) FROM placed WHERE place < share), 'ivfpq_7', 16, 'failed', 'dimension 64 cannot be split into 7 equal parts', '',
+           NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+    FROM sizes""",
+    extra=SIZED,
+)
+def b8_given(spark, sf_dir):
+    return bench.benchmark_sizes(probe_rows(spark, sf_dir), gallery_rows(spark, sf_dir), given_methods(spark, sf_dir))[0]
+
+
+@query("b8_trained_sizes")
+def b8_trained(spark, sf_dir):
+    """Trained cells and codes by size, with the seconds of each method's search."""
+    probes, gallery = probe_rows(spark, sf_dir), gallery_rows(spark, sf_dir)
+    index = ann.ivf_build(gallery, 16)
+    codes = {"m": 16, "nbits": 4}
+    methods = [
+        bench.flat_method(gallery),
+        *[bench.Method(f"ivf_{n}", "ivf", ann.CellSearch(index), n, {"nlist": 16}) for n in (4, 8)],
+        bench.attempt("ivfpq_16", "ivfpq", lambda: ann.CellSearch(ann.code_index(index, ann.code_train(index, 16, 4))), 16, codes),
+    ]
+    rows, seconds = bench.benchmark_sizes(probes, gallery, methods)
+    took = F.create_map(*[F.lit(x) for name, s in seconds.items() for x in (name, round(s, 3))])
+    return rows.withColumn("search_seconds", took[F.col("method")])
+
+
 # a run per nation: its customers' balances stand for the metrics of a model
 METRICS = {
     "metrics": """

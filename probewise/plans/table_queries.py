@@ -272,15 +272,15 @@ def p5(spark, sf_dir):
     "p6_box_geometry",
     """SELECT image_id, face_index, round(coalesce(w * h, 0), 6) AS area,
               CASE WHEN bbox IS NOT NULL THEN round(greatest(0, bbox[1] - 0.25 * w), 6) END AS ex1,
-              CASE WHEN bbox IS NOT NULL THEN round(least(width, bbox[3] + 0.25 * w), 6) END AS ex2,
+              CASE WHEN bbox IS NOT NULL AND width IS NOT NULL THEN round(least(width, bbox[3] + 0.25 * w), 6) END AS ex2,
               round(bbox[2] * 1.5, 6) AS sy1,
               floor((width - least(width, height)) / 2)::DOUBLE AS cx1,
               floor((width - least(width, height)) / 2)::DOUBLE + least(width, height) AS cx2
-       FROM crops WHERE width IS NOT NULL""",
+       FROM crops""",
     extra=CROPS,
 )
 def p6(spark, sf_dir):
-    rows = tables.detections(spark, sf_dir).where("width IS NOT NULL")
+    rows = tables.detections(spark, sf_dir)
     grown = boxes.expand_box("bbox", 0.25, "width", "height")
     center = boxes.center_box("width", "height")
     return rows.select(

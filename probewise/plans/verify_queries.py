@@ -252,6 +252,56 @@ def a11_summary(spark, sf_dir):
     return ver.kfold_verification(pair_rows(spark, sf_dir))[1]
 
 
+@query(
+    "a11_kfold_targets",
+    """SELECT fold, target_far, round(b.t, 6) AS threshold, round(b.far, 6) AS train_far, round(1 - b.tar, 6) AS train_frr,
+              round(coalesce(b.test_tar, 0), 6) AS test_tar, round(b.test_far, 6) AS test_far
+       FROM (SELECT fold, target_far, min(struct_pack(v := -tp / pos, t := threshold, far := fp / neg, tar := tp / pos,
+                                                      test_tar := test_tp / test_pos, test_far := test_fp / test_neg))
+                                      FILTER (WHERE fp / neg <= target_far) AS b
+             FROM fold_counts CROSS JOIN (SELECT unnest([0.1, 0.01, 0.001, 0.0001])::DOUBLE AS target_far) GROUP BY ALL)""",
+    extra=FOLDS,
+)
+def a11_targets(spark, sf_dir):
+    return six(ver.kfold_targets(pair_rows(spark, sf_dir)), "threshold", "train_far", "train_frr", "test_tar", "test_far")
+
+
+OVERALL = {
+    **FOLDS,
+    "all_counts": """
+        SELECT s.threshold, coalesce(sum(c) FILTER (WHERE label = 1 AND reach >= step), 0) AS tp,
+               coalesce(sum(c) FILTER (WHERE label = 0 AND reach >= step), 0) AS fp,
+               sum(c) FILTER (WHERE label = 1) AS pos, sum(c) FILTER (WHERE label = 0) AS neg
+        FROM steps s CROSS JOIN bin_of b GROUP BY s.threshold""",
+    "all_rates": "SELECT threshold, fp / neg AS far, 1 - tp / pos AS frr, tp / pos AS tar, (tp + neg - fp) / (pos + neg) AS accuracy FROM all_counts",
+    "meeting": """
+        SELECT min(struct_pack(t := threshold, far, frr)) FILTER (WHERE far = frr) AS z,
+               max(struct_pack(t := threshold, far, frr)) FILTER (WHERE far > frr) AS l,
+               min(struct_pack(t := threshold, far, frr)) FILTER (WHERE far < frr) AS r
+        FROM all_rates""",
+    "met": """
+        SELECT CASE WHEN z IS NULL THEN l.t + q * (r.t - l.t) ELSE z.t END AS threshold,
+               CASE WHEN z IS NULL THEN l.far + q * (r.far - l.far) ELSE z.far END AS far,
+               CASE WHEN z IS NULL THEN l.frr + q * (r.frr - l.frr) ELSE z.frr END AS frr
+        FROM (SELECT *, (l.far - l.frr) / ((l.far - l.frr) - (r.far - r.frr)) AS q FROM meeting)""",
+}
+
+
+@query(
+    "a11_kfold_overall",
+    """SELECT metric, round(value, 6) AS value, round(threshold, 6) AS threshold, round(far, 6) AS far, round(frr, 6) AS frr FROM (
+           SELECT 'accuracy' AS metric, b.accuracy AS value, b.t AS threshold, b.far, b.frr
+           FROM (SELECT min(struct_pack(v := -accuracy, t := threshold, accuracy, far, frr)) AS b FROM all_rates)
+           UNION ALL SELECT 'eer', (far + frr) / 2, threshold, far, frr FROM met
+           UNION ALL SELECT 'tar_at_far_' || replace(name, '.', '_'), b.tar, b.t, b.far, b.frr
+           FROM (SELECT name, min(struct_pack(v := -tar, t := threshold, tar, far, frr)) FILTER (WHERE far <= name::DOUBLE) AS b
+                 FROM all_rates CROSS JOIN (SELECT unnest(['0.1', '0.01', '0.001', '0.0001']) AS name) GROUP BY name))""",
+    extra=OVERALL,
+)
+def a11_overall(spark, sf_dir):
+    return six(ver.kfold_overall(pair_rows(spark, sf_dir)), "value", "threshold", "far", "frr")
+
+
 @query(
     "a12_operating_point",
     """SELECT pipeline, 0.205047::DOUBLE AS threshold, tp, fp, tn, fn, round(fp / (fp + tn), 6) AS far,
