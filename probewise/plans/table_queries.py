@@ -18,6 +18,7 @@ from probewise.plans.registry import query
 from probewise.plans.verify_queries import curve
 from probewise.session import ensure_checkpoint_dir
 from probewise.sources import files as src
+from probewise.sources.store import GalleryStore
 
 
 def scratch(spark: SparkSession) -> str:
@@ -507,6 +508,85 @@ def g5(spark, sf_dir):
     return deletion_report(*gal.collapse_duplicates(tables.subjects(spark, sf_dir), tables.templates(spark, sf_dir)))
 
 
+# the same tables as a store that is changed in place
+BUCKETS = 64
+
+
+def gallery_store(spark, sf_dir) -> GalleryStore:
+    return GalleryStore.create(f"{scratch(spark)}/store", tables.subjects(spark, sf_dir), tables.templates(spark, sf_dir), BUCKETS)
+
+
+def few_subjects(spark, sf_dir) -> DataFrame:
+    return tables.subjects(spark, sf_dir).where("id % 150 = 7").select("id")
+
+
+def store_rows(store: GalleryStore) -> DataFrame:
+    states = store.subjects.select(F.col("id").alias("person_id"), "status")
+    return store.embeddings.join(states, "person_id", "left").select("id", "person_id", "is_active", "status")
+
+
+def bucket_sql(key: str) -> str:
+    return f"('0x' || substr(md5({key}::VARCHAR), 1, 8))::BIGINT % {BUCKETS}"
+
+
+@query(
+    "g4_delete_in_place",
+    """SELECT t.id, t.person_id, t.is_active AND t.person_id % 150 <> 7 AS is_active,
+              CASE WHEN s.id % 150 = 7 THEN 'deleted' ELSE s.status END AS status
+       FROM templates t LEFT JOIN subjects s ON s.id = t.person_id""",
+)
+def g4_in_place(spark, sf_dir):
+    store = gallery_store(spark, sf_dir)
+    store.soft_delete(few_subjects(spark, sf_dir))
+    return store_rows(store)
+
+
+# which partitions a deletion writes, and that a second one writes none
+@query(
+    "g4_partitions_written",
+    f"""SELECT 'subjects' AS table_name, 1 AS run, count(DISTINCT {bucket_sql('id')}) AS partitions
+        FROM subjects WHERE id % 150 = 7 AND status <> 'deleted'
+        UNION ALL SELECT 'embeddings', 1, count(DISTINCT {bucket_sql('person_id')}) FROM templates JOIN subjects s ON s.id = person_id
+        WHERE person_id % 150 = 7 AND is_active
+        UNION ALL SELECT 'subjects', 2, 0 UNION ALL SELECT 'embeddings', 2, 0""",
+)
+def g4_written(spark, sf_dir):
+    store, ids = gallery_store(spark, sf_dir), few_subjects(spark, sf_dir)
+    rows = [(name, run, len(touched)) for run in (1, 2) for name, touched in store.soft_delete(ids).items()]
+    return spark.createDataFrame(rows, "table_name string, run int, partitions long")
+
+
+@query(
+    "g5_collapse_in_place",
+    """SELECT t.id, t.person_id, t.is_active AND g.id IS NULL AS is_active,
+              CASE WHEN g.id IS NOT NULL THEN 'deleted' ELSE s.status END AS status
+       FROM templates t LEFT JOIN subjects s ON s.id = t.person_id LEFT JOIN extra_subjects g ON g.id = s.id""",
+    extra=GONE,
+)
+def g5_in_place(spark, sf_dir):
+    store = gallery_store(spark, sf_dir)
+    store.collapse_duplicates()
+    return store_rows(store)
+
+
+# new embeddings of some subjects replace their rows of the space
+@query(
+    "j10_import_in_place",
+    """SELECT id, person_id, is_active AND NOT EXISTS (
+                  SELECT 1 FROM templates n WHERE n.id % 97 = 3 AND n.person_id = t.person_id AND n.pipeline = t.pipeline AND n.model = t.model) AS is_active
+       FROM templates t
+       UNION ALL SELECT -id, person_id, true FROM templates WHERE id % 97 = 3""",
+)
+def j10_in_place(spark, sf_dir):
+    store = gallery_store(spark, sf_dir)
+    picked = tables.templates(spark, sf_dir).where("id % 97 = 3")
+    new = picked.withColumns({"id": -F.col("id"), "is_active": F.lit(True)})
+    store.import_rows(new, "replace")
+    # a repeated import finds its rows and changes nothing
+    store.import_rows(new, "replace")
+    return store.embeddings.select("id", "person_id", "is_active")
+
+
 @query(
     "g6_deactivate",
     """SELECT pipeline, model, is_active AND NOT (pipeline = 'custom' AND person_id IN (SELECT id FROM gone)) AS is_active,
