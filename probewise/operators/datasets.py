@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from probewise.functions.labels import identity_from_path
 from probewise.operators.ordered import RANGE_ROWS, join_on, row_numbers
@@ -120,6 +121,9 @@ def with_teacher(samples: DataFrame, cache: DataFrame) -> DataFrame:
 Outcome = tuple[str, np.ndarray | None]
 
 
+EXTRACTED = "path string, status string, v array<double>"
+
+
 class Extractor:
     """Turns file contents into ``(status, vector)``; subclass and override one method."""
 
@@ -142,6 +146,10 @@ def extract_embeddings(
     zero. The result is written once, so later steps don't extract again.
     """
 
+    return durable(extracted_rows(files, factory, batch_files))
+
+
+def extracted_rows(files: DataFrame, factory: Callable[[], Extractor], batch_files: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extractor = factory()
         for batch in batches:
@@ -155,7 +163,35 @@ def extract_embeddings(
                 {"path": batch["path"], "status": [r[0] for r in rows], "v": [r[1] for r in rows]}
             )
 
-    return durable(files.select("path", "content").mapInPandas(run, "path string, status string, v array<double>"))
+    return files.select("path", "content").mapInPandas(run, EXTRACTED)
+
+
+def extract_stream(
+    files: DataFrame, factory: Callable[[], Extractor], path: str, checkpoint: str, batch_files: int = BATCH_FILES
+) -> StreamingQuery:
+    """Extract a stream of files to parquet, batch by batch, all that is there now.
+
+    The checkpoint knows the files that are done. A job that is lost, and started
+    again with it, goes on with the first batch that is not written; files that come
+    later are extracted alone. The outcome is that of ``extract_embeddings``.
+    """
+    return (
+        extracted_rows(files, factory, batch_files)
+        .writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def image_stream(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
+    """``(path, content)`` of the files below a folder, as a stream."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
+    found = reader.option("maxFilesPerTrigger", files_per_batch).load(path)
+    return found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
 
 
 def one_outcome(extractor: Extractor, content: bytes) -> Outcome:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,32 @@ def e2(spark, sf_dir):
     return kept.select("event_id", "actor_role", removed.scalar().alias("removed"))
 
 
+# the log stored by day, pruned twice: whole days go, of the boundary day the kept rows are written again
+@query(
+    "e2_prune_by_day",
+    """SELECT event_id, actor_role, removed, (SELECT count(DISTINCT created_at::DATE) FROM audit WHERE created_at::DATE < DATE '2024-01-11') AS days_dropped,
+              0::BIGINT AS removed_again
+       FROM (SELECT event_id, actor_role, created_at, count(*) FILTER (WHERE created_at < TIMESTAMP '2024-01-11 12:00:00') OVER () AS removed FROM audit)
+       WHERE created_at >= TIMESTAMP '2024-01-11 12:00:00'""",
+)
+def e2_by_day(spark, sf_dir):
+    path = scratch(spark)
+    rows = tables.as_audit(events_stream(spark, sf_dir)).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    # the event's id stands for the details
+    numbered = rows.withColumn("details", F.col("event_id").cast("string"))
+    ev.append_audit_by_day(numbered, f"{path}/log", f"{path}/state").awaitTermination()
+    now = datetime(2024, 2, 10, 12)
+    first, second = (ev.prune_audit_by_day(spark, f"{path}/log", now, 30) for _ in range(2))
+    days = {folder.split("/")[0] for folder in first.dropped if folder < "day=2024-01-11"}
+    return ev.read_audit(spark, f"{path}/log").select(
+        F.col("details").cast("long").alias("event_id"),
+        "actor_role",
+        F.lit(first.removed).cast("long").alias("removed"),
+        F.lit(len(days)).cast("long").alias("days_dropped"),
+        F.lit(second.removed).cast("long").alias("removed_again"),
+    )
+
+
 THROTTLED = {
     "request_ranks": """
         SELECT event_id, event_type AS category, user_id::VARCHAR AS identity, epoch_us(ts) AS us,
@@ -177,6 +205,48 @@ def e6_stream(spark, sf_dir):
     return run_to_table(stabilize_stream(tables.as_frames(events_stream(spark, sf_dir))), scratch(spark))
 
 
+# a session that pauses for a day starts anew; frames wait for the watermark, and silent sessions leave the state
+IDLE_SECONDS = 24 * 3600
+PAUSED = {
+    "visits": f"""
+        SELECT * EXCLUDE (paused), sum(paused::INT) OVER (PARTITION BY session ORDER BY ts, frame_id) AS visit
+        FROM (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY session ORDER BY ts, frame_id)) > {IDLE_SECONDS}000000, false) AS paused
+              FROM frames)""",
+    **{
+        name: body.replace("PARTITION BY session", "PARTITION BY session, visit")
+        .replace("FROM frames", "FROM visits")
+        .replace("SELECT session, frame_id, pipeline", "SELECT session, visit, frame_id, pipeline")
+        .replace("SELECT session, frame_id, place", "SELECT session, visit, frame_id, place")
+        .replace("SELECT o.session, o.frame_id", "SELECT o.session, o.visit, o.frame_id")
+        .replace("SELECT s.session, s.place", "SELECT s.session, s.visit, s.place")
+        .replace("ON n.session = s.session", "ON n.session = s.session AND n.visit = s.visit")
+        .replace("ON o.session = h.session", "ON o.session = h.session AND o.visit = h.visit")
+        for name, body in SMOOTHED.items()
+    },
+}
+
+
+@query("e6_stabilize_idle", STABLE, extra=PAUSED, recursive=True)
+def e6_idle(spark, sf_dir):
+    return stabilize_labels(tables.frames(spark, sf_dir), idle_seconds=IDLE_SECONDS)
+
+
+@query("e6_stabilize_idle_stream", STABLE, extra=PAUSED, recursive=True)
+def e6_idle_stream(spark, sf_dir):
+    path = scratch(spark)
+    events = tables.read(spark, sf_dir, "events")
+    # a frame far behind the others lets the watermark pass them
+    last = events.agg((F.max("ts") + F.expr("interval 2 days")).alias("ts"))
+    schema = tables.as_frames(events).schema
+    marker = last.select(F.lit(-1).cast("long").alias("session"), "ts", F.lit(-1).cast("long").alias("frame_id"))
+    marker.write.parquet(f"{path}/last")
+    end = spark.readStream.schema(marker.schema).parquet(f"{path}/last")
+    others = {f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in marker.columns}
+    frames = tables.as_frames(events_stream(spark, sf_dir)).unionByName(end.withColumns(others))
+    stream = stabilize_stream(frames, "1 hour", IDLE_SECONDS, slot_seconds=24 * 3600)
+    return run_to_table(stream, path).where("frame_id >= 0")
+
+
 @query(
     "e7_activity_counts",
     """SELECT strftime(time_bucket(INTERVAL 6 HOUR, created_at), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, actor_role, count(*) AS events

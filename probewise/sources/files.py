@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from probewise.functions.labels import strip
 from probewise.operators.ordered import RANGE_ROWS, row_numbers
+from probewise.session import durable
 
 # fixed values: image suffixes, image name pattern, checksum separator
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
@@ -51,8 +52,10 @@ def parse_pairs(lines: DataFrame, root: str, lenient: bool = False, range_rows:
 
     Three tokens name two pictures of one identity, four tokens pictures of
     two; blank lines and lines of one or two numbers are skipped. Any other
-    line raises with its number, or is skipped if ``lenient``.
+    line raises with its number, or is skipped if ``lenient``. Lines of many
+    files have a ``path``, which is kept and named in errors.
     """
+    file = ["path"] if "path" in lines.columns else []
     tokens = F.split(strip("value"), r"\s+")
     rows = lines.withColumn("t", tokens).withColumn("n", F.size("t"))
     header = (F.col("n") <= 2) & F.forall("t", lambda t: t.rlike("^[0-9]+$"))
@@ -68,8 +71,11 @@ def parse_pairs(lines: DataFrame, root: str, lenient: bool = False, range_rows:
         rows = rows.where(good)
     else:
         message = F.concat(F.lit("unsupported pair at line "), F.col("line_number").cast("string"))
+        if file:
+            message = F.concat(message, F.lit(" of "), F.col("path"))
         rows = rows.where(F.when(good, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
     parsed = rows.select(
+        *file,
         F.col("line_number").cast("long").alias("line_number"),
         same.cast("int").alias("label_same"),
         F.get("t", F.lit(0)).alias("name1"),
@@ -77,7 +83,8 @@ def parse_pairs(lines: DataFrame, root: str, lenient: bool = False, range_rows:
         F.when(same, F.get("t", F.lit(0))).otherwise(F.get("t", F.lit(2))).alias("name2"),
         number(second).alias("index2"),
     )
-    numbered = row_numbers(parsed, [("line_number", True)], (), "pair_id", range_rows)
+    order = [(name, True) for name in (*file, "line_number")]
+    numbered = row_numbers(parsed, order, (), "pair_id", range_rows)
     base = F.lit(root.rstrip("/"))
     return numbered.withColumns(
         {
@@ -97,6 +104,42 @@ def read_lines(spark: SparkSession, path: str, range_rows: int = RANGE_ROWS) ->
     return row_numbers(lines, [("_at", True)], (), "line_number", range_rows).drop("_at")
 
 
+def read_all_lines(spark: SparkSession, paths: Sequence[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``(path, line_number, value)`` of all text files of some folders, in one scan.
+
+    Spark deals the files out in splits. A line's place in its file is that of its
+    split and then its place there, and a file with very many lines is numbered
+    in ranges. The lines are saved, so that the places stay as they are.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(list(paths)).select(
+        F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("path"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_at"),
+        "value",
+    )
+    order = [("_split", True), ("_at", True)]
+    return row_numbers(durable(lines), order, ["path"], "line_number", range_rows).select("path", "line_number", "value")
+
+
+def read_pairs_folder(spark: SparkSession, paths: Sequence[str], root: str, lenient: bool = False) -> DataFrame:
+    """The pairs of all files of some folders; ``pair_id`` counts by file and line, errors name both."""
+    return parse_pairs(read_all_lines(spark, paths), root, lenient)
+
+
+def read_checksums_folder(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``(source, line_number, path, expected, ok)`` of the checksum files of some folders."""
+    lines = read_all_lines(spark, paths).withColumnRenamed("path", "source")
+    return parse_checksums(lines)
+
+
+def read_manifest_folder(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``(source, path, expected)`` of the JSON manifests of some folders; files that are no manifest have none."""
+    schema = "files array<struct<path: string, sha256: string>>"
+    reader = spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true")
+    found = reader.json(list(paths)).select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("source"), "files")
+    return found.select("source", F.inline("files")).select("source", "path", F.col("sha256").alias("expected"))
+
+
 def read_pairs(spark: SparkSession, path: str, root: str, lenient: bool = False) -> DataFrame:
     return parse_pairs(read_lines(spark, path), root, lenient)
 
@@ -145,7 +188,7 @@ def parse_checksums(lines: DataFrame) -> DataFrame:
     text = strip("value")
     place = F.instr(text, CHECKSUM_SEPARATOR)
     return lines.where(text != "").select(
-        "line_number",
+        *[name for name in ("source", "line_number") if name in lines.columns],
         F.when(place > 0, F.substr(text, place + len(CHECKSUM_SEPARATOR))).alias("path"),
         F.when(place > 0, F.substr(text, F.lit(1), place - 1)).alias("expected"),
         (place > 0).alias("ok"),

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from probewise.functions.vectors import as_column
+from probewise.session import durable
 
 # fixed values: retention, request limits per minute, route prefix
 RETENTION_DAYS = 30
@@ -38,6 +40,67 @@ def prune_audit(audit: DataFrame, now: datetime | Column, days: int = RETENTION_
     return audit.where(~old), audit.agg(F.coalesce(F.sum(old.cast("long")), F.lit(0)).alias("removed"))
 
 
+def append_audit_by_day(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream of audit rows to parquet with a partition per day and batch.
+
+    A batch that is written again after a lost job replaces its own partitions.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        dealt = rows.withColumns({"day": F.to_date("created_at"), "batch": F.lit(batch)})
+        writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("day", "batch").parquet(path)
+
+    stream = events.select(*AUDIT_COLUMNS).writeStream.foreachBatch(write)
+    return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """A log stored by day, with ``day`` and ``batch``; both prune partitions."""
+    return spark.read.parquet(path)
+
+
+@dataclass(frozen=True)
+class Pruned:
+    """What a retention run did: rows removed, partitions dropped whole and partitions written again."""
+
+    removed: int
+    dropped: list[str]
+    rewritten: list[str]
+
+
+def prune_audit_by_day(spark: SparkSession, path: str, now: datetime, days: int = RETENTION_DAYS) -> Pruned:
+    """Remove the rows of a log stored by day that are older than the retention.
+
+    Days before the boundary are dropped as folders; only the time of their rows
+    is read. Of the boundary day the partitions that hold
+    older rows are written again with the others; all later days stay as they
+    are. A run that is repeated finds nothing to do.
+    """
+    cutoff = now - timedelta(days=days)
+    rows = read_audit(spark, path).where(F.col("day") <= F.lit(cutoff.date()))
+    old = F.col("created_at") < F.lit(cutoff)
+    # one row per partition up to the boundary
+    found = rows.groupBy("day", "batch").agg(F.count(F.lit(1)).alias("rows"), F.count_if(old).alias("old")).where("old > 0").collect()
+    whole = [r for r in found if r["old"] == r["rows"]]
+    part = [r for r in found if r["old"] < r["rows"]]
+    if part:
+        batches = [r["batch"] for r in part]
+        kept = durable(rows.where((F.col("day") == F.lit(cutoff.date())) & F.col("batch").isin(*batches) & ~old))
+        writer = kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("day", "batch").parquet(path)
+    folders = [f"day={r['day']}/batch={r['batch']}" for r in whole]
+    for folder in folders:
+        drop_folder(spark, f"{path}/{folder}")
+    return Pruned(sum(r["old"] for r in found), sorted(folders), sorted(f"day={r['day']}/batch={r['batch']}" for r in part))
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of whatever file system it is in."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def route_category(method: Column | str, path: Column | str, prefix: str = ROUTE_PREFIX) -> Column:
     """search, enroll, admin, or null for a request without a limit."""
     prefix = prefix.rstrip("/")

@@ -1,6 +1,9 @@
+import os
+import uuid
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from probewise.operators import datasets as ds
 
@@ -92,3 +95,42 @@ def test_batches(spark):
     df = spark.createDataFrame(rows, "batch_id long, position long, file string, error string")
     assert sorted(tuple(r) for r in ds.batch_summary(df).collect()) == [(1, 2, 1, 1), (2, 1, 1, 0)]
     assert [tuple(r) for r in ds.batch_errors(df).collect()] == [(1, 2, "b", "bad")]
+
+
+def test_a_lost_extraction_goes_on(spark, tmp_path):
+    images, calls, broken = tmp_path / "images", tmp_path / "calls", tmp_path / "broken"
+    images.mkdir()
+    calls.mkdir()
+    for n in range(7):
+        (images / f"{n}.jpg").write_bytes(b"x" * (n + 1))
+        os.utime(images / f"{n}.jpg", (1_700_000_000 + n, 1_700_000_000 + n))
+    folder, flag = str(calls), str(broken)
+
+    class Lengths(ds.Extractor):
+        def __init__(self):
+            if os.path.exists(flag) and len(os.listdir(folder)) >= 4:
+                raise RuntimeError("the machine is gone")
+
+        def extract(self, content):
+            open(f"{folder}/{len(content)}-{uuid.uuid4()}", "w").close()
+            return ("ok", np.array([float(len(content)), 1.0])) if len(content) != 3 else ("no_face", None)
+
+    def run():
+        files = ds.image_stream(spark, str(images), 2)
+        ds.extract_stream(files, Lengths, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+
+    broken.write_text("x")
+    with pytest.raises(Exception, match="machine is gone"):
+        run()
+    done = len(os.listdir(folder))
+    assert 0 < done < 7
+    broken.rename(tmp_path / "mended")
+    run()
+    (images / "late.jpg").write_bytes(b"x" * 20)
+    run()
+    seen = sorted(int(name.split("-")[0]) for name in os.listdir(folder))
+    assert seen == [1, 2, 3, 4, 5, 6, 7, 20]
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    whole = spark.read.format("binaryFile").load(str(images)).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    batch = ds.extract_embeddings(whole, Lengths)
+    assert sorted(tuple(r) for r in stored.collect()) == sorted(tuple(r) for r in batch.collect())

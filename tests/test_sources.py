@@ -75,3 +75,46 @@ def test_json_manifest(spark, tmp_path):
     stored = spark.createDataFrame([("a", b"data"), ("b", b"other")], "path string, content binary")
     found = src.verify_manifest(stored, src.read_manifest_files(spark, str(tmp_path / "m.json"))).collect()
     assert sorted((r["path"] or "", r["status"]) for r in found) == [("", "malformed"), ("a", "ok"), ("b", "mismatch"), ("c", "malformed")]
+
+
+def test_lines_of_a_folder_have_their_numbers(spark, tmp_path):
+    texts = {f"f{i}/part{j}.txt": [f"{i}-{j}-{n}" for n in range(n_lines)] for i, j, n_lines in ((0, 0, 3), (0, 1, 0), (1, 0, 500), (1, 1, 1))}
+    for name, lines in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        # files are read in many splits
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+        for range_rows in (1_000_000, 40):
+            rows = src.read_all_lines(spark, [str(tmp_path)], range_rows).collect()
+            found = {}
+            for r in rows:
+                found.setdefault(r["path"][len(str(tmp_path)) + 1 :], {})[r["line_number"]] = r["value"]
+            assert found == {name: dict(enumerate(lines, 1)) for name, lines in texts.items() if lines}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_pairs_and_checksums_of_a_folder(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.txt").write_text("10 300\nA 1 2\n\nA 1 B 1\n")
+    (tmp_path / "p" / "b.txt").write_text("C 3 4\n")
+    rows = src.read_pairs_folder(spark, [str(tmp_path / "p")], "/img").orderBy("pair_id").collect()
+    assert [(r["path"][-5:], r["line_number"], r["pair_id"], r["label_same"]) for r in rows] == [("a.txt", 2, 1, 1), ("a.txt", 4, 2, 0), ("b.txt", 1, 3, 1)]
+    (tmp_path / "p" / "c.txt").write_text("A 1 2\nnonsense here too many words\n")
+    with pytest.raises(PySparkException, match=r"line 2 of .*c\.txt"):
+        src.read_pairs_folder(spark, [str(tmp_path / "p")], "/img").collect()
+    assert src.read_pairs_folder(spark, [str(tmp_path / "p")], "/img", lenient=True).count() == 4
+
+    (tmp_path / "sums").mkdir()
+    (tmp_path / "sums" / "x.sha256").write_text("ab *one.bin\n\nbroken\n")
+    (tmp_path / "sums" / "y.sha256").write_text("cd *two.bin\n")
+    sums = {(r["source"][-8:], r["line_number"], r["path"], r["expected"], r["ok"]) for r in src.read_checksums_folder(spark, [str(tmp_path / "sums")]).collect()}
+    assert sums == {("x.sha256", 1, "one.bin", "ab", True), ("x.sha256", 3, None, None, False), ("y.sha256", 1, "two.bin", "cd", True)}
+
+    (tmp_path / "json").mkdir()
+    (tmp_path / "json" / "m.json").write_text(json.dumps({"files": [{"path": "one.bin", "sha256": "ab"}, {"path": None, "sha256": "x"}]}, indent=1))
+    (tmp_path / "json" / "other.json").write_text(json.dumps({"name": 1}))
+    found = {(r["source"][-6:], r["path"], r["expected"]) for r in src.read_manifest_folder(spark, [str(tmp_path / "json")]).collect()}
+    assert found == {("m.json", "one.bin", "ab"), ("m.json", None, "x")}

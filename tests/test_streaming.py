@@ -1,3 +1,4 @@
+import os
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
@@ -287,3 +288,29 @@ def test_a_hot_key_is_worked_on_slot_by_slot(spark, tmp_path):
     found = run(keyed.apply_in_order(stream, ["k"], "id", Largest(), T.StructType.fromDDL("k long, n long, seen long"), None, 60), tmp_path)
     handed = sorted((r["seen"], r["n"]) for r in found.collect())
     assert handed == [(60 * (i + 1), 60) for i in range(100)]
+
+
+def test_the_log_is_pruned_by_day(spark, tmp_path):
+    now = datetime(2024, 6, 1, 12)
+    rows = [("a", "admin", "/v1/x", 200, str(i), now - timedelta(hours=i)) for i in range(900)]
+    df = spark.createDataFrame(rows, AUDIT)
+    path = str(tmp_path / "log")
+    stream = as_files(df, [F.col("details").cast("int") % 3 == part for part in range(3)], tmp_path)
+    ev.append_audit_by_day(stream, path, str(tmp_path / "ck")).awaitTermination()
+    assert ev.read_audit(spark, path).count() == 900
+
+    def stored():
+        return {f"{top}/{n}": os.stat(f"{top}/{n}").st_mtime_ns for top, _, names in os.walk(path) for n in names if n.endswith(".parquet")}
+
+    before = stored()
+    found = ev.prune_audit_by_day(spark, path, now, 30)
+    cutoff = now - timedelta(days=30)
+    kept, removed = ev.prune_audit(df, now, 30)
+    assert found.removed == removed.first()["removed"] == sum(r[5] < cutoff for r in rows)
+    assert sorted(r["details"] for r in ev.read_audit(spark, path).collect()) == sorted(r["details"] for r in kept.collect())
+    # only partitions of the boundary day are written, and dropped ones are gone
+    after = stored()
+    written = {f.split("day=")[1][:10] for f, t in after.items() if before.get(f) != t}
+    assert written == {str(cutoff.date())} and all(f"day={cutoff.date()}" in f for f in found.rewritten)
+    assert min(f.split("day=")[1][:10] for f in after) == str(cutoff.date())
+    assert ev.prune_audit_by_day(spark, path, now, 30) == ev.Pruned(0, [], []) and stored() == after
