@@ -110,6 +110,24 @@ def s3(spark, sf_dir):
     return src.parse_pairs(pair_lines(spark, sf_dir), "/img/", lenient=True)
 
 
+# the same lines as text files, one for each of eight parts
+@query(
+    "s3_pairs_folder",
+    """SELECT row_number() OVER (ORDER BY part, line_number) AS pair_id, part, n AS line_number, label_same, name1, index1, name2, index2
+       FROM parsed JOIN (SELECT line_number, line_number % 8 AS part, row_number() OVER (PARTITION BY line_number % 8 ORDER BY line_number) AS n
+                         FROM pair_lines) USING (line_number)""",
+    extra=LINES,
+)
+def s3_folder(spark, sf_dir):
+    path = scratch(spark)
+    lines = pair_lines(spark, sf_dir).withColumn("part", F.col("line_number") % 8)
+    ordered = lines.repartition("part").sortWithinPartitions("part", "line_number").select("value", "part")
+    ordered.write.partitionBy("part").text(path)
+    pairs = src.read_pairs_folder(spark, [path], "/img", lenient=True)
+    part = F.regexp_extract("path", "part=([0-9]+)/", 1).cast("long")
+    return pairs.select("pair_id", part.alias("part"), "line_number", "label_same", "name1", "index1", "name2", "index2")
+
+
 @query(
     "s4_read_manifest",
     """SELECT c_custkey::VARCHAR AS person_id, c_mktsegment AS label, c_name AS image_path
@@ -859,6 +877,24 @@ def g17(spark, sf_dir):
     return ds.outcome_counts(extracted(spark, sf_dir))
 
 
+# the same outcomes from a stream of documents that is started twice: the second run has nothing to do
+@query(
+    "g17_extract_stream",
+    "SELECT status, count(*) AS files, 1::BIGINT AS runs FROM letters GROUP BY status",
+    extra=LETTERS,
+)
+def g17_stream(spark, sf_dir):
+    path = scratch(spark)
+    documents = spark.readStream.schema(tables.read(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/document[s].parquet")
+    key = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    files = documents.select(key.alias("path"), F.col("text").cast("binary").alias("content"))
+    for _ in range(2):
+        ds.extract_stream(files, LetterCounter, f"{path}/out", f"{path}/state").awaitTermination()
+    stored = spark.read.parquet(f"{path}/out")
+    runs = stored.groupBy("path", "status").agg(F.count(F.lit(1)).alias("runs"))
+    return runs.groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.max("runs").alias("runs"))
+
+
 @query(
     "g17_extracted_rows",
     """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, lpad(doc_id::VARCHAR, 12, '0') AS path,
