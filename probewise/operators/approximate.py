@@ -286,8 +286,8 @@ def pq_encode(gallery: DataFrame, codebooks: np.ndarray) -> DataFrame:
     return gallery.select(*[f.name for f in others], "v").mapInArrow(encode, schema)
 
 
-def code_index(index: CellIndex, books: np.ndarray, residual: bool = True) -> CodeIndex:
-    """Code every vector of the cells once; the vectors themselves are not kept."""
+def code_index(index: CellIndex, books: np.ndarray, residual: bool = True, save: bool = True) -> CodeIndex:
+    """Code every vector of the cells once; the vectors themselves are not kept. Unless saved, the codes are made when read."""
     if books.shape[1] > 2**MOST_BITS:
         raise ValueError(f"{books.shape[1]} codes a part do not fit into a byte")
     held = index.assigned.sparkSession.sparkContext.broadcast((index.centroids, books))
@@ -306,7 +306,8 @@ def code_index(index: CellIndex, books: np.ndarray, residual: bool = True) -> Co
             packed = pa.array([row.tobytes() for row in codes], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), packed, batch.column("cell")], names=schema.names)
 
-    return CodeIndex(index.centroids, books, durable(index.assigned.select("id", "v", "cell").mapInArrow(encode, schema)), residual)
+    coded = index.assigned.select("id", "v", "cell").mapInArrow(encode, schema)
+    return CodeIndex(index.centroids, books, durable(coded) if save else coded, residual)
 
 
 def score_codes(
@@ -374,7 +375,7 @@ def pq_search(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``code_search`` with codes of the unit vectors, made for this search."""
-    coded = code_index(index, codebooks, residual=False)
+    coded = code_index(index, codebooks, residual=False, save=False)
     return code_search(probes, coded, k, nprobe, rescore_from, widen, block_rows)
 
 
