@@ -56,14 +56,15 @@ class InTimeOrder(StatefulProcessor):
         self.handle = handle
         lists = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in self.fields])
         self.rows = handle.getMapState("rows", "slot long, part long", lists)
-        self.kept = handle.getValueState("kept", f"parts long, {self.rule.state}")
+        self.kept = handle.getValueState("kept", f"parts long, wake long, {self.rule.state}")
 
     def close(self) -> None:
         pass
 
-    def known(self) -> tuple[int, tuple]:
+    def known(self) -> tuple[int, int | None, tuple]:
+        """The number of the next part, the time of the key's only timer, and what the rule remembers."""
         kept = self.kept.get()
-        return (kept[0], tuple(kept[1:])) if kept else (0, self.rule.begin())
+        return (kept[0], kept[1], tuple(kept[2:])) if kept else (0, None, self.rule.begin())
 
     def store(self, slot: int, part: int, rows: pd.DataFrame) -> None:
         def plain(field: T.StructField) -> list:
@@ -81,14 +82,20 @@ class InTimeOrder(StatefulProcessor):
         return pd.DataFrame(columns).sort_values(["at", self.tie], ignore_index=True)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        parts, state = self.known()
+        parts, wake, state = self.known()
+        first = None
         for batch in rows:
             for slot, part in batch.groupby(batch["at"] // self.slot, sort=False):
                 self.store(int(slot), parts, part)
                 parts += 1
-                if self.waits:
-                    self.handle.registerTimer(int(part["at"].max()) // 1000 + 1)
-        self.kept.update((parts, *state))
+                at = int(part["at"].min()) // 1000 + 1
+                first = at if first is None else min(first, at)
+        if self.waits and first is not None and (wake is None or first < wake):
+            if wake is not None:
+                self.handle.deleteTimer(wake)
+            self.handle.registerTimer(first)
+            wake = first
+        self.kept.update((parts, wake, *state))
         if not self.waits:
             yield from self.hand_on(key, None)
 
@@ -98,32 +105,34 @@ class InTimeOrder(StatefulProcessor):
     def hand_on(self, key: tuple, passed: int | None) -> Iterator[pd.DataFrame]:
         """The verdicts for the rows up to ``passed``, or for all."""
         stored = sorted(tuple(k) for k in self.rows.keys())
-        parts, state = before = self.known()
-        waiting = False
+        parts, wake, state = before = self.known()
+        # the time of the first row that waits, or an earlier one
+        later = None
         for slot, keys in groupby(stored, key=lambda k: k[0]):
             if passed is not None and slot * self.slot > passed:
-                waiting = True
+                later = slot * self.slot if later is None else later
                 break
             rows = self.load(list(keys))
             if passed is not None:
                 ready = rows["at"] <= passed
                 if not ready.all():
                     self.store(slot, parts, rows[~ready])
-                    parts, waiting = parts + 1, True
+                    parts, later = parts + 1, int(rows["at"][~ready].min())
                 rows = rows[ready]
             if len(rows):
                 state, out = self.rule.apply(key, state, rows.reset_index(drop=True))
                 yield out
-        until = self.rule.until(state)
-        if passed is not None and not waiting and until is not None and until <= passed:
+        until = None if passed is None else self.rule.until(state)
+        if later is None and until is not None and until <= passed:
             self.kept.clear()
             return
-        after = (parts if waiting else 0, state)
+        then = until if later is None else later
+        after = (0 if later is None else parts, None if then is None else then // 1000 + 1, state)
         # a timer that finds nothing to do leaves things as they are
         if after != before:
-            self.kept.update((after[0], *state))
-            if passed is not None and until is not None and not waiting:
-                self.handle.registerTimer(until // 1000 + 1)
+            self.kept.update((*after[:2], *state))
+            if after[1] is not None:
+                self.handle.registerTimer(after[1])
 
 
 def apply_in_order(
