@@ -216,7 +216,8 @@ def test_widening_goes_on_with_the_next_cells(spark, sides, coded):
 
 def test_two_passes_equal_two_searches(sides):
     *_, p, g = sides
-    index = ann.ivf_build(g, 10)
+    # cells that cut through the clusters, so the best row can be in another one
+    index = ann.ivf_assign(g, np.random.default_rng(5).normal(size=(10, DIM)))
     widths = {"k_fast": 4, "k_safe": 12, "nprobe_fast": 1, "nprobe_safe": 6}
     cells = ann.CellSearch(index)
     found, info = ann.search_dynamic(p, cells, 3, 0.91, **widths)
