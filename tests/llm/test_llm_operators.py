@@ -579,7 +579,7 @@ def test_query_against_sql(spark, name):
     import duckdb
 
     connection = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "conversations", "embeddings"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     df = QUERIES[name](spark, str(FOLDER))
     columns = sorted(df.columns)
