@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,12 @@ def sized(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver collect what nothing refers to any more; Spark then removes its shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is; null as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())

@@ -47,12 +47,12 @@ def combine(left: int, right: int, shift: int, modulus: int) -> int:
 
 def fingerprint(data: bytes, tables: list[tuple[int, int, np.ndarray]], chunk: int) -> list[int]:
     """The polynomial hash of ``data`` under each modulus, chunk by chunk."""
-    values = np.frombuffer(data, np.uint8).astype(np.int64)
+    values = np.frombuffer(data, np.uint8)
     out = []
     for modulus, base, table in tables:
         total = 0
         for at in range(0, len(values), chunk):
-            part = values[at : at + chunk]
+            part = values[at : at + chunk].astype(np.int64)
             # at most 2**8 * 2**31 * 2**16 per sum, far below 2**63
             own = int(np.dot(part + 1, table[len(table) - len(part) :])) % modulus
             total = combine(total, own, pow(base, len(part), modulus), modulus)
@@ -80,9 +80,14 @@ def fingerprints(moduli=MODULI, chunk: int = CHUNK_BYTES, chunks: bool = False):
     return of
 
 
-def collisions(source: DataFrame, moduli, chunk: int) -> DataFrame:
-    """Fingerprints that differing texts share: chunkwise comparison of all equal ones."""
-    marked = source.select(fingerprints(moduli, chunk, True)("_norm").alias("_f"))
+def collisions(source: DataFrame, rows: DataFrame, moduli, chunk: int) -> DataFrame:
+    """Fingerprints that differing texts share: chunkwise comparison of all equal ones.
+
+    Only texts whose fingerprint occurs more than once in ``rows`` are moved.
+    """
+    again = durable(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*KEY))
+    few = source.join(sized(again), KEY, "left_semi")
+    marked = few.select(fingerprints(moduli, chunk, True)("_norm").alias("_f"))
     parts = marked.select(*[F.col(f"_f.{name}").alias(name) for name in KEY], F.posexplode("_f.chunks").alias("chunk_no", "chunk"))
     places = parts.groupBy(*KEY, "chunk_no").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     return places.where(F.col("low") != F.col("high")).select(*KEY).distinct()
@@ -108,7 +113,7 @@ def exact_groups(
         "_key", "_norm", *[F.col(f"_f.{name}").alias(name) for name in KEY]
     )
     rows = durable(marked.select("_key", *KEY, F.sha2(F.encode("_norm", "UTF-8"), 256).alias("text_sha256")))
-    clash = durable(collisions(source, moduli, chunk))
+    clash = durable(collisions(marked, rows, moduli, chunk))
     if clash.isEmpty():
         rows = rows.withColumn("_tie", F.lit(""))
     else:

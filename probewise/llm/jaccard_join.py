@@ -11,8 +11,9 @@ that share no signature cannot be similar; sets that do are compared exactly.
 Documents with equal sets are one node from the start. What is asked for are
 classes, so within the sets of a signature a star of pairs is compared first,
 and pairs that the links so far already connect need no comparison. All other
-pairs of a signature are compared. Where one has very many open sets, those
-sets are keyed anew by the rarest of their shingles, as many as two similar
+pairs of a signature are compared. Parts are more than needed, so that
+signatures without any shingle, which unlike sets would share, can be left out.
+Where a signature has very many open sets still, those sets are keyed anew by the rarest of their shingles, as many as two similar
 sets can't all miss, which tells texts around a common passage apart.
 
 Before the exact comparison a pair is tested by counts of its shingles in hash
@@ -25,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil, comb, exp, sqrt
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from probewise.llm.common import BROADCAST_ROWS, query, read, sized
+from probewise.llm.common import BROADCAST_ROWS, let_go, query, read, sized
 from probewise.llm.components import connected
 from probewise.session import durable
 
@@ -41,6 +43,8 @@ WIDTH, PERCENT = 4, 85
 BAND_POWER = 1
 #: ``(k2, n2)``: differing subparts and subparts of a part.
 SHAPE = (1, 3)
+#: Signatures are gathered in so many waves, each with its share of them, so that a share of them is on disk at a time.
+WAVES = 3
 #: A signature with more open sets than this is crowded.
 CROWDED = 40
 #: Set keys that a task remembers, to send a set's signatures once.
@@ -137,9 +141,9 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     return out
 
 
-def set_keys(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Two signed 64-bit keys of each set, sums over its shingles."""
-    return [(int(s.sum().view(np.int64)), int(mix(s ^ ODD[0]).sum().view(np.int64))) if len(s) else (0, 0) for s in sets]
+def set_keys(sets: list[np.ndarray]) -> list[int]:
+    """A signed 64-bit key of each set, a sum over its shingles."""
+    return [int(mix(s ^ ODD[0]).sum().view(np.int64)) if len(s) else 0 for s in sets]
 
 
 def bands(percent: int, upto: int, power: int = BAND_POWER) -> list[tuple[int, int, int]]:
@@ -152,10 +156,33 @@ def bands(percent: int, upto: int, power: int = BAND_POWER) -> list[tuple[int, i
     return out
 
 
+def parts_of(k: int, smallest: int, shape: tuple[int, int]) -> tuple[int, int]:
+    """``(parts, surplus)`` of a band: similar sets agree in ``surplus`` parts at least, but for ``k2`` subparts of each.
+
+    At most ``k // (k2 + 1)`` parts can differ in more. The surplus is what the
+    band's smallest sets have of parts with an empty signature, about, and two
+    standard deviations more.
+    """
+    k2, n2 = shape
+    differing, surplus = k // (k2 + 1), 1
+    while True:
+        parts = differing + surplus
+        empty = parts * comb(n2, k2) * exp(-smallest * (n2 - k2) / (n2 * parts))
+        wanted = 1 + ceil(empty + 2 * sqrt(empty))
+        # more parts are smaller ones, so sets of few shingles a part would never have enough
+        if wanted <= surplus or 4 * surplus > differing + 8:
+            return parts, surplus
+        surplus += 1
+
+
 def signatures(sets: list[np.ndarray], percent: int, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """``(number of the set, signature)`` of all sets, with those of a larger band that a set may belong to.
 
     A band without differences (``k`` = 0) only joins equal sets and has none.
+    A signature of no shingle at all would be that of many sets. Similar sets
+    agree in ``surplus`` parts, so one that has fewer parts with such a
+    signature leaves these out: another part brings it together with the
+    other set, by a signature that has shingles there too.
     """
     k2, n2 = shape
     omitted = list(combinations(range(n2), k2))
@@ -169,7 +196,7 @@ def signatures(sets: list[np.ndarray], percent: int, shape: tuple[int, int]) ->
         members = np.flatnonzero((100 * sizes >= percent * low) & (sizes <= high) & (sizes > 0))
         if not k or not len(members):
             continue
-        parts = -(-(k + 1) // (k2 + 1))
+        parts, surplus = parts_of(k, low * percent // 100, shape)
         joined = np.concatenate([sets[m] for m in members])
         start = np.repeat(np.arange(len(members)), sizes[members]) * (parts * n2)
         salted = mix((joined + times(ODD[1], number + 1)) ^ times(ODD[2], n2))
@@ -180,13 +207,19 @@ def signatures(sets: list[np.ndarray], percent: int, shape: tuple[int, int]) ->
         low_sum = np.bincount(place, (value & np.uint64(0xFFFFFFFF)).astype(float), length).astype(np.uint64)
         high_sum = np.bincount(place, (value >> np.uint64(32)).astype(float), length).astype(np.uint64)
         content = ((high_sum << np.uint64(32)) + low_sum).reshape(-1, n2)
+        filled = (np.bincount(place, minlength=length) > 0).reshape(-1, n2)
         subset = np.zeros((len(content), len(omitted)), np.uint64)
+        empty = np.zeros(subset.shape, bool)
         for row in range(len(omitted)):
-            subset[:, row] = content[:, keep[row].astype(bool)].sum(axis=1, dtype=np.uint64)
+            kept = keep[row].astype(bool)
+            subset[:, row] = content[:, kept].sum(axis=1, dtype=np.uint64)
+            empty[:, row] = ~filled[:, kept].any(axis=1)
+        lacking = empty.any(axis=1).reshape(len(members), -1).sum(axis=1)
+        sent = ~empty.reshape(len(members), -1) | (lacking >= surplus)[:, None]
         salt = (np.arange(parts, dtype=np.uint64)[:, None] * np.uint64(len(omitted)) + np.arange(len(omitted), dtype=np.uint64)) * ODD[0]
         subset = mix(subset.reshape(len(members), -1) + salt.reshape(1, -1) + times(ODD[2], number + 1))
-        owners.append(np.repeat(members, subset.shape[1]))
-        found.append(subset.ravel().view(np.int64))
+        owners.append(np.repeat(members, sent.sum(axis=1)))
+        found.append(subset[sent].view(np.int64))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(owners), np.concatenate(found)
@@ -207,12 +240,12 @@ def in_steps(texts: pd.Series, width: int) -> Iterator[list[np.ndarray]]:
 
 
 def keyed(width: int):
-    """A column function: text to ``struct(n, node, other)``: size and keys of its shingle set."""
+    """A column function: text to ``struct(n, node)``: size and key of its shingle set."""
 
-    @F.pandas_udf("n long, node long, other long")
+    @F.pandas_udf("n long, node long")
     def of(texts: pd.Series) -> pd.DataFrame:
-        rows = [(len(s), *keys) for sets in in_steps(texts, width) for s, keys in zip(sets, set_keys(sets))]
-        return pd.DataFrame(rows, columns=["n", "node", "other"], dtype="int64")
+        rows = [(len(s), node) for sets in in_steps(texts, width) for s, node in zip(sets, set_keys(sets))]
+        return pd.DataFrame(rows, columns=["n", "node"], dtype="int64")
 
     return of
 
@@ -263,14 +296,14 @@ def may_link(percent: int):
     return of
 
 
-def signature_rows(texts: DataFrame, width: int, percent: int, shape: tuple[int, int]) -> DataFrame:
-    """``sig, node`` of every different set that a task sees."""
+def signature_rows(texts: DataFrame, width: int, percent: int, shape: tuple[int, int], wave: int = 0, waves: int = 1) -> DataFrame:
+    """``sig, node`` of every different set that a task sees, of one of several shares of all signatures."""
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for frame in frames:
             for sets in in_steps(frame["_text"], width):
-                nodes = np.array([node for node, _ in set_keys(sets)], np.int64)
+                nodes = np.array(set_keys(sets), np.int64)
                 # copies in one task send their signatures once
                 new = []
                 for i, node in enumerate(nodes.tolist()):
@@ -280,6 +313,8 @@ def signature_rows(texts: DataFrame, width: int, percent: int, shape: tuple[int,
                 if len(seen) > MEMORY:
                     seen.clear()
                 owner, found = signatures([sets[i] for i in new], percent, shape)
+                own = (found.view(np.uint64) >> np.uint64(40)) % np.uint64(waves) == np.uint64(wave)
+                owner, found = owner[own], found[own]
                 yield pd.DataFrame({"sig": found, "node": nodes[new][owner] if len(owner) else found})
 
     return texts.select("_text").mapInPandas(emit, "sig long, node long")
@@ -292,6 +327,21 @@ def groups(rows: DataFrame) -> DataFrame:
     return shared.where(F.col("_low") != F.col("_high")).select("sig", "node").distinct()
 
 
+def shared_signatures(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``sig, node`` of all signatures that several sets share, saved.
+
+    Any share of the signatures can be grouped on its own. A wave reads the
+    texts again, and leaves nothing but what is shared: its shuffle is let go
+    before the next one starts.
+    """
+    found = None
+    for wave in range(WAVES):
+        part = durable(groups(signature_rows(texts, width, percent, SHAPE, wave, WAVES)))
+        found = part if found is None else found.union(part)
+        let_go(texts.sparkSession)
+    return found
+
+
 class Sets:
     """Texts, bucket counts and shingle sets of the nodes that share a signature."""
 
@@ -349,9 +399,9 @@ def open_rows(members: DataFrame, label: DataFrame | None) -> DataFrame:
         # no links yet: every set is on its own, and every signature has several
         return members.withColumn("label", F.col("node"))
     labelled = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    own = Window.partitionBy("sig")
-    ends = labelled.withColumn("_low", F.min("label").over(own)).withColumn("_high", F.max("label").over(own))
-    return ends.where("_low != _high").select(*members.columns, "label")
+    # minima and maxima are gathered in parts and joined back: a join is split where a signature has very many sets
+    ends = labelled.groupBy("sig").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
+    return labelled.join(ends.where("_low != _high").select("sig"), "sig").select(*members.columns, "label")
 
 
 class Links:
@@ -379,16 +429,22 @@ def settle(members: DataFrame, sets: Sets, links: Links, crowded: int | None) ->
 
     Adds the links it finds; returns the nodes of crowded signatures that are still open.
     """
-    own = Window.partitionBy("sig")
     # the text that others were copied from shares more signatures with more sets than its copies do
-    weight = members.withColumn("_n", F.count(F.lit(1)).over(own)).groupBy("node").agg(F.sum("_n").alias("_weight"))
-    stars = open_rows(members, links.label).join(weight, "node").withColumn("_center", F.max(F.struct("_weight", "node", "label")).over(own))
-    pairs = ordered_pairs(stars.where("label != _center.label").select(F.col("_center.node").alias("x"), F.col("node").alias("y")))
+    often = members.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"))
+    weight = durable(members.join(often, "sig").groupBy("node").agg(F.sum("_n").alias("_weight")))
+    stars = durable(open_rows(members, links.label).join(weight, "node"))
+    centers = stars.groupBy("sig").agg(F.max(F.struct("_weight", "node", "label")).alias("_center"))
+    around = stars.join(centers, "sig").where("label != _center.label")
+    pairs = ordered_pairs(around.select(F.col("_center.node").alias("x"), F.col("node").alias("y")))
     links.add(sets.linked(pairs))
-    left = durable(open_rows(members, links.label).withColumn("_n", F.count(F.lit(1)).over(own)))
+    still = durable(open_rows(members, links.label))
+    # sets of too different a size are told apart before anything else of them is moved
+    sizes = still if "n" in members.columns else still.join(sets.counts.select("node", "n"), "node")
+    left = durable(sizes.join(still.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")), "sig"))
     few = left if crowded is None else left.where(F.col("_n") <= crowded)
     one, two = few.alias("o"), few.alias("t")
     match = (F.col("o.sig") == F.col("t.sig")) & (F.col("o.node") < F.col("t.node")) & (F.col("o.label") != F.col("t.label"))
+    match = match & (100 * F.least("o.n", "t.n") >= sets.percent * F.greatest("o.n", "t.n"))
     if "rest" in members.columns:
         # the first shingle that two sets share bounds what they have in common
         common = F.least("o.rest", "t.rest")
@@ -404,7 +460,7 @@ def classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -
     """``_key, _t, n, _label`` of every row: key, text hash, size of its set, and its class, null where it has no shingles."""
     source = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_t", F.xxhash64("_text"))
     rows = durable(source.select("_key", "_t", keyed(width)("_text").alias("_s")).select("_key", "_t", "_s.n", "_s.node"))
-    members = durable(groups(signature_rows(source, width, percent, SHAPE)))
+    members = shared_signatures(source, width, percent)
     links = Links()
     if not members.isEmpty():
         sets = Sets(members.select("node").distinct(), rows, source, width, percent)
