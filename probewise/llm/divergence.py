@@ -1,35 +1,40 @@
 """Quality rules by distribution divergence.
 
 Each document has a histogram of character classes and one of common words. The
-mean histograms of a language's documents are its reference. A document whose
-histograms lie further than a limit from those of every language, by
-Jensen-Shannon distance, is not written like any of them. Short documents say
-too little and are left alone.
+common words of a language are those in most of its documents, and the mean
+histograms of its documents are its reference; both come from the table, for
+every language with enough documents. A document whose histograms lie further
+than a limit from those of every language, by Jensen-Shannon distance, is not
+written like any of them. Short documents say too little and are left alone,
+and so are documents of a language without a reference.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from probewise.llm.common import SPACES, WORD_PATTERN, query, read
 from probewise.session import durable
 
-#: Common words by language.
-COMMON = {
-    "en": "the of and to in a is that for it with as was on be by are this from or an not at which".split(),
-    "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch er es an für".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par sur au plus pas il ce avec elle".split(),
-    "es": "de la que el en y los del se las por un para con no una su al lo como más es o este".split(),
-}
-WORDS = sorted({word for words in COMMON.values() for word in words})
 CLASSES = ("lower", "upper", "accented", "digit", "space", "line", "point", "mark", "symbol", "other")
 SYMBOLS = "#*$%&|<>"
+#: Signs that may follow a word.
+ENDS = ".,;:?"
 MIN_WORDS = 40
+#: A language has a reference if it has this many long enough documents, and this share of them.
+MIN_DOCS, MIN_SHARE = 20, 1 / 250
+#: Common words of a language, and letters of one at most.
+COMMON_WORDS, LETTERS = 24, 32
+#: Numbers of dense histograms that a task holds at once.
+HELD = 1 << 21
 #: Largest distances (0 to 1) from the nearest language, for a text of endless length.
 CLASS_LIMIT, WORD_LIMIT = 0.15, 0.33
 #: What chance adds to them: this over the square root of the number of words.
@@ -79,15 +84,64 @@ def repeated_words(words: Sequence[str], width: int = 5) -> int:
     return int(np.count_nonzero(np.cumsum(edges[:-1])))
 
 
-def measures():
-    """A column function: text to the base counts and both histograms."""
+class References(NamedTuple):
+    """The common words of all languages, and by language both mean histograms in one row."""
+
+    words: list[str]
+    means: dict[str, np.ndarray]
+
+
+def common_words(
+    docs: DataFrame, text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE
+) -> dict[str, list[str]]:
+    """By language, the words in most of its long enough documents; ties go to the smaller word.
+
+    All documents count. Documents with a word are counted batch by batch, then
+    by language and word. What reaches the driver are ``COMMON_WORDS`` words of
+    ``1 / min_share`` languages at most.
+    """
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found: defaultdict[str, Counter] = defaultdict(Counter)
+            for name, body in zip(frame["lang"], frame["text"]):
+                words = body.lower().split()
+                if len(words) >= min_words:
+                    plain = {w.rstrip(ENDS) for w in set(words)}
+                    found[name].update(w for w in plain if w.isalpha() and len(w) <= LETTERS)
+                    found[name][""] += 1
+            for name, counts in found.items():
+                yield pd.DataFrame({"lang": name, "word": list(counts), "n": list(counts.values())})
+
+    texts = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counted = texts.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = durable(counted.where(F.col("n") >= min_docs))
+    sizes = counted.where("word = ''")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    languages = [r["lang"] for r in sizes.where(F.col("n") >= total * min_share).select("lang").collect()]
+    by_share = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
+    ranked = counted.where(F.col("lang").isin(languages) & (F.col("word") != "")).withColumn("place", F.row_number().over(by_share))
+    out: dict[str, list[str]] = {name: [] for name in sorted(languages)}
+    for r in ranked.where(F.col("place") <= COMMON_WORDS).collect():
+        out[r["lang"]].append(r["word"])
+    return out
+
+
+def measures(common: Sequence[str]):
+    """A column function: text to the base counts and both histograms.
+
+    ``classes`` is the one of character classes; ``places`` and ``times`` tell
+    which of the common words a text has how often, and ``others`` counts its
+    other words.
+    """
     import re
 
     word = re.compile(WORD_PATTERN)
+    kinds = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
-    @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, counts array<int>")
+    @F.pandas_udf(f"{kinds}, classes array<int>, places array<int>, times array<int>, others long")
     def of(texts: pd.Series) -> pd.DataFrame:
-        table, places = class_table(), {w: i for i, w in enumerate(WORDS)}
+        table, places = class_table(), {w: i for i, w in enumerate(common)}
         rows = []
         for text in texts:
             words = word.findall(text)
@@ -96,11 +150,8 @@ def measures():
             known = points[points < 0x250]
             classes = np.bincount(table[known], minlength=len(CLASSES))
             classes[-1] += len(points) - len(known)
-            common = np.zeros(len(WORDS) + 1, np.int64)
-            for w in text.lower().split():
-                # a common word that a sentence sign follows is still one
-                at = places.get(w.rstrip(".,;:?"))
-                common[-1 if at is None else at] += 1
+            plain = [w.rstrip(ENDS) for w in text.lower().split()]
+            found = Counter(places[w] for w in plain if w in places)
             rows.append(
                 (
                     len(words),
@@ -108,14 +159,37 @@ def measures():
                     sum(map(text.count, SYMBOLS)),
                     len(lines) - len(set(lines)),
                     repeated_words(words),
-                    np.concatenate([classes, common]).astype(np.int32),
+                    classes.astype(np.int32),
+                    np.fromiter(found, np.int32, len(found)),
+                    np.fromiter(found.values(), np.int32, len(found)),
+                    len(plain) - sum(found.values()),
                 )
             )
-        return pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "counts"])
+        return pd.DataFrame(rows, columns=[kind.split()[0] for kind in kinds.split(", ")] + ["classes", "places", "times", "others"])
 
     return of
 
 
+#: Columns of the histograms.
+HISTOGRAMS = ("classes", "places", "times", "others")
+
+
+def dense(frame: pd.DataFrame, n_common: int) -> np.ndarray:
+    """The histograms of a batch as one matrix: character classes, common words, other words."""
+    out = np.zeros((len(frame), len(CLASSES) + n_common + 1))
+    out[:, : len(CLASSES)] = np.stack(frame["classes"].to_numpy())
+    out[:, -1] = frame["others"]
+    rows = np.repeat(np.arange(len(frame)), [len(p) for p in frame["places"]])
+    out[rows, len(CLASSES) + np.concatenate(frame["places"].to_numpy()).astype(np.int64)] = np.concatenate(frame["times"].to_numpy())
+    return out
+
+
+def slices(n: int, n_common: int) -> Iterator[slice]:
+    """Ranges of rows whose dense histograms are held at once."""
+    step = max(1, HELD // (len(CLASSES) + n_common + 1))
+    return (slice(at, at + step) for at in range(0, n, step))
+
+
 def shares(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both histograms of a batch as shares, zero where a document has nothing."""
     parts = counts[:, : len(CLASSES)], counts[:, len(CLASSES) :]
@@ -131,8 +205,8 @@ def distance(rows: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((left + right) / 2, 0))
 
 
-def references_of(measured: DataFrame, min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
-    """Mean histograms of the languages of ``COMMON``, over all their documents that are long enough.
+def references_of(measured: DataFrame, words: Sequence[str], languages: Sequence[str], min_words: int = MIN_WORDS) -> References:
+    """Mean histograms of the languages, over all their documents that are long enough.
 
     Batches are summed in the tasks; what reaches the driver is one number for
     each of these languages and histogram places.
@@ -141,33 +215,37 @@ def references_of(measured: DataFrame, min_words: int = MIN_WORDS) -> dict[str,
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, part in frame.groupby("lang"):
-                both = np.hstack(shares(np.stack(part["counts"].to_numpy())))
-                yield pd.DataFrame({"lang": name, "place": range(both.shape[1]), "total": both.sum(axis=0), "n": len(part)})
+                both = sum(np.hstack(shares(dense(part.iloc[rows], len(words)))).sum(axis=0) for rows in slices(len(part), len(words)))
+                yield pd.DataFrame({"lang": name, "place": range(len(both)), "total": both, "n": len(part)})
 
-    long_enough = measured.where(F.col("lang").isin(*COMMON) & (F.col("n_words") >= min_words)).select("lang", "counts")
+    long_enough = measured.where(F.col("lang").isin(list(languages)) & (F.col("n_words") >= min_words)).select("lang", *HISTOGRAMS)
     totals = long_enough.mapInPandas(sums, "lang string, place int, total double, n long").groupBy("lang", "place").agg((F.sum("total") / F.sum("n")).alias("mean"))
-    found: dict[str, np.ndarray] = {}
+    means: dict[str, np.ndarray] = {}
     for row in totals.collect():
-        found.setdefault(row["lang"], np.zeros(len(CLASSES) + len(WORDS) + 1))[row["place"]] = row["mean"]
-    return found
+        means.setdefault(row["lang"], np.zeros(len(CLASSES) + len(words) + 1))[row["place"]] = row["mean"]
+    return References(list(words), means)
 
 
-def nearest_language(references: dict[str, np.ndarray], min_words: int = MIN_WORDS):
-    """A column function: counts and number of words to the distances from the nearest reference."""
-    tables = [(r[: len(CLASSES)], r[len(CLASSES) :]) for _, r in sorted(references.items())]
+def nearest_language(references: References, min_words: int = MIN_WORDS):
+    """A column function: language, number of words and histograms to the distances from the nearest reference.
+
+    Both are null for a text that is too short, and for a language without a reference.
+    """
+    words, means = references
+    tables = [(r[: len(CLASSES)], r[len(CLASSES) :]) for _, r in sorted(means.items())]
 
     @F.pandas_udf("class_distance double, word_distance double")
-    def of(counts: pd.Series, n_words: pd.Series) -> pd.DataFrame:
-        if not tables or not len(counts):
-            return pd.DataFrame({"class_distance": [None] * len(counts), "word_distance": [None] * len(counts)}, dtype="float64")
-        classes, common = shares(np.stack(counts.to_numpy()))
-        by_class = np.stack([distance(classes, c) for c, _ in tables])
-        by_word = np.stack([distance(common, w) for _, w in tables])
-        best = np.argmin(by_class + by_word, axis=0)
-        at = np.arange(len(best))
-        out = pd.DataFrame({"class_distance": by_class[best, at], "word_distance": by_word[best, at]})
-        out.loc[n_words.to_numpy() < min_words] = np.nan
-        return out
+    def of(lang: pd.Series, n_words: pd.Series, classes: pd.Series, places: pd.Series, times: pd.Series, others: pd.Series) -> pd.DataFrame:
+        out = np.full((len(lang), 2), np.nan)
+        compared = np.flatnonzero((lang.isna() | lang.isin(list(means))) & (n_words >= min_words))
+        frame = pd.DataFrame(dict(zip(HISTOGRAMS, (classes, places, times, others))))
+        for rows in slices(len(compared) if tables else 0, len(words)):
+            at = compared[rows]
+            by_kind = shares(dense(frame.iloc[at], len(words)))
+            found = np.stack([[distance(part, r) for part, r in zip(by_kind, table)] for table in tables])
+            best = np.argmin(found.sum(axis=1), axis=0)
+            out[at] = found[best, :, np.arange(len(at))]
+        return pd.DataFrame(out, columns=["class_distance", "word_distance"])
 
     return of
 
@@ -179,11 +257,13 @@ def too_far(class_limit: float, word_limit: float, chance: float = CHANCE) -> Co
     return F.coalesce(far, F.lit(False))
 
 
-def language_references(measured: DataFrame, min_words: int, class_limit: float, word_limit: float) -> dict[str, np.ndarray]:
+def language_references(
+    measured: DataFrame, words: Sequence[str], languages: Sequence[str], min_words: int, class_limit: float, word_limit: float
+) -> References:
     """References of all documents, then of those that are not far from these: junk leaves the means."""
-    first = references_of(measured, min_words)
-    near = measured.withColumn("_d", nearest_language(first, min_words)("counts", "n_words")).where(~too_far(class_limit, word_limit))
-    return references_of(near, min_words) or first
+    first = references_of(measured, words, languages, min_words)
+    near = measured.withColumn("_d", nearest_language(first, min_words)("lang", "n_words", *HISTOGRAMS)).where(~too_far(class_limit, word_limit))
+    return References(first.words, first.means | references_of(near, words, languages, min_words).means)
 
 
 def quality_rules(
@@ -194,24 +274,30 @@ def quality_rules(
     min_words: int = MIN_WORDS,
     class_limit: float = CLASS_LIMIT,
     word_limit: float = WORD_LIMIT,
-    references: dict[str, np.ndarray] | None = None,
+    references: References | None = None,
 ) -> DataFrame:
     """Base counts, both distances from the nearest language, and the verdict, for each row.
 
     Null texts have no words and fail the base rule, as do all texts under ten
     words. A document below ``min_words`` is kept without being compared (its
-    distances are null), and so is every one where no language has a
-    reference. The language column only groups documents for the references; a
-    null or unknown language has none and its documents are compared like
-    others. Repeated rows are judged each on their own.
+    distances are null), and so is one of a language without a reference, with
+    fewer than ``MIN_DOCS`` long enough documents or less than ``MIN_SHARE`` of
+    them. Others are compared with all references, those without a language
+    too. Repeated rows are judged each on their own.
     """
-    source = docs.select(F.col(key).alias("_key"), F.col(lang).alias("lang"), measures()(F.coalesce(F.col(text), F.lit(""))).alias("_m"))
-    measured = source.select("_key", "lang", "_m.*")
+    common = None
     if references is None:
+        common = common_words(docs, text, lang, min_words)
+        words = sorted({word for of_language in common.values() for word in of_language})
+    else:
+        words = references.words
+    source = docs.select(F.col(key).alias("_key"), F.col(lang).alias("lang"), measures(words)(F.coalesce(F.col(text), F.lit(""))).alias("_m"))
+    measured = source.select("_key", "lang", "_m.*")
+    if common is not None:
         measured = durable(measured)
-        references = language_references(measured, min_words, class_limit, word_limit)
+        references = language_references(measured, words, list(common), min_words, class_limit, word_limit)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    judged = measured.withColumn("_d", nearest_language(references, min_words)("counts", "n_words"))
+    judged = measured.withColumn("_d", nearest_language(references, min_words)("lang", "n_words", *HISTOGRAMS))
     return judged.select(
         F.col("_key").alias(key),
         "n_words",
