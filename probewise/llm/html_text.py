@@ -1,11 +1,11 @@
 """Main text of web pages as the maximum-scoring run of words and tags.
 
 A page is a sequence of words and tags. A word scores by what it stands in: the
-names of the elements around it and the words of their class and id attributes
-have log-odds, counted on labelled pages, of holding main text. Tags score
-below zero, more so the rarer they are in main text. One scan finds the
-contiguous run with the largest sum, and the words with a positive score in it
-are the text.
+names of the elements around it, the words of their class and id attributes, and
+whether it stands beside the page's main or article element have log-odds,
+counted on labelled pages, of holding main text. Tags score below zero, more so
+the rarer they are in main text. One scan finds the contiguous run with the
+largest sum, and the words with a positive score in it are the text.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var wbr br img".split())
 #: Elements whose content is never text.
 HIDDEN = frozenset("script style head title noscript template textarea select option button iframe svg math object canvas audio video form".split())
+#: Elements whose words aren't counted to see how much a form holds.
+CONTROLS = frozenset("select button svg math object canvas audio video".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe")
 
 MARKUP = re.compile(
@@ -38,6 +40,9 @@ MARKUP = re.compile(
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[a-z]+")
 LINK = "<a>"
+#: A form around most words of its page; what stands beside the main or article element of its page.
+PAGE_FORM = "form-page"
+BESIDE = {"main": "beside main", "article": "beside article"}
 
 #: Bounds of a word's score, of a tag's, and the weight of one unseen word in the counts.
 WORD_BOUNDS, TAG_BOUNDS, PRIOR = (-0.1, 1.0), (-0.5, -0.01), 0.5
@@ -69,19 +74,50 @@ def events(page: str) -> Iterator[tuple[str, object]]:
         yield "text", html.unescape(page[at:])
 
 
+def outline(found: list[tuple[str, object]]) -> tuple[set[int], frozenset[str]]:
+    """The places of the forms that hold more than half of a page's words, and marks of words beside its main elements."""
+    words, hidden = 0, 0
+    open_forms: list[tuple[int, int]] = []
+    forms: list[tuple[int, int]] = []
+    inside = dict.fromkeys(BESIDE, 0)
+    holds: set[str] = set()
+    for at, (kind, value) in enumerate(found):
+        if kind == "text":
+            n = 0 if hidden else len(value.split())
+            words += n
+            holds.update(name for name in BESIDE if n and inside[name])
+            continue
+        name, step = (value[0], 1) if kind == "open" else (value, -1)
+        if name in inside:
+            inside[name] = max(inside[name] + step, 0)
+        elif name == "form":
+            if kind == "open":
+                open_forms.append((at, words))
+            elif open_forms:
+                start, before = open_forms.pop()
+                forms.append((start, words - before))
+        elif name in CONTROLS:
+            hidden = max(hidden + step, 0)
+    forms += [(start, words - before) for start, before in open_forms]
+    return {start for start, n in forms if 2 * n > words}, frozenset(BESIDE[name] for name in holds)
+
+
 def tokens(page: str) -> Iterator[tuple[str, object]]:
     """``("words", (words, contexts))``, ``("tag", name)`` and ``("block", None)`` where a block ends.
 
     Open elements are kept on a stack: a block closes an open paragraph, an end
     tag closes what stands open inside it, and one without a start is ignored.
+    A form around the whole page is an element of its own name.
     """
+    found = list(events(page))
+    page_forms, beside = outline(found)
     stack: list[tuple[str, frozenset[str]]] = []
-    contexts: list[frozenset[str]] = [frozenset()]
+    contexts: list[frozenset[str]] = [beside]
 
     def cut(depth: int) -> None:
         del stack[depth:], contexts[depth + 1 :]
 
-    for kind, value in events(page):
+    for at, (kind, value) in enumerate(found):
         if kind == "text":
             yield "text", (value, contexts[-1])
             continue
@@ -102,8 +138,11 @@ def tokens(page: str) -> Iterator[tuple[str, object]]:
                     if stack[i][0] not in INLINE:
                         break
             stack.append((name, value[1]))
-            own = {f"<{name}>"} | {f".{mark}" for mark in value[1]}
-            contexts.append(contexts[-1] | own)
+            # the marks of a form around the page say what it sends, not what it holds
+            own = {f"<{PAGE_FORM}>"} if at in page_forms else {f"<{name}>"} | {f".{mark}" for mark in value[1]}
+            # an article is main text wherever it stands
+            inner = {"main": {BESIDE["main"]}, "article": set(BESIDE.values())}.get(name, set())
+            contexts.append((contexts[-1] - inner) | own)
 
 
 def blocks(page: str) -> Iterator[tuple[str, list[tuple[list[str], frozenset[str]]] | str]]:

@@ -96,4 +96,57 @@ one cooks for all.</div><h2>Guests</h2><section><p>Guests are welcome for a week
 <div class="footer-links"><a href="/t">Terms</a></div></body></html>""",
         "Rules of the house\n\nEveryone who lives here keeps to a few rules, and they are short.\n\nQuiet after ten at night.\n\nBicycles stay in the yard.\n\nThe last one out locks the gate, and the first one in lights the stove.\n\nWhoever breaks one cooks for all.\n\nGuests\n\nGuests are welcome for a week.",
     ),
+    (
+        """<html><body><div class="top-nav"><a href="/">Home</a> <a href="/walks">Walks</a> <a href="/maps">Maps</a></div>
+<div><div><h1>Along the old canal</h1><div>The path begins behind the mill and follows the water for nine miles.</div>
+<div>Boats were pulled here by horses until the railway came, and the stones still show where the ropes ran.</div>
+<div>Bring good shoes, since the ground stays wet well into the summer months.</div></div></div>
+<div class="footer"><div>All rights reserved by the walking club.</div></div></body></html>""",
+        "Along the old canal\n\nThe path begins behind the mill and follows the water for nine miles.\n\nBoats were pulled here by horses until the railway came, and the stones still show where the ropes ran.\n\nBring good shoes, since the ground stays wet well into the summer months.",
+    ),
+    (
+        """<html><body><form method="post" action="./page.aspx" id="aspnetForm"><input type="hidden" name="state"><div id="topbar">
+<ul class="menu"><li><a href="/">Start</a></li><li><a href="/services">Services</a></li></ul></div><div id="body"><h1>Renewing
+a passport</h1><p>A passport can be renewed at any office of the district, on working days before noon.</p><p>Bring the old
+one, a photograph and the fee, which has to be paid in cash.</p><div>The new passport is ready after three weeks.</div></div>
+<div class="search"><label>Search this site</label><input><button>Go</button></div><div id="footer"><p>Contact and privacy.</p>
+</div></form></body></html>""",
+        "Renewing a passport\n\nA passport can be renewed at any office of the district, on working days before noon.\n\nBring the old one, a photograph and the fee, which has to be paid in cash.\n\nThe new passport is ready after three weeks.",
+    ),
+    (
+        """<html><body><nav><a href="/">Front page</a></nav><article><h1>New clock for the tower</h1><p>The old clock
+stopped in May.</p><p>A new one is to come soon.</p></article><div>I liked the old one much better than any new one.</div>
+<div>Who is going to wind it up every week, if not the same people as before?</div><footer>Printed here.</footer></body></html>""",
+        "New clock for the tower\n\nThe old clock stopped in May.\n\nA new one is to come soon.",
+    ),
+    (
+        """<html><body><div class="navbar"><a href="/">Science today</a></div><main><h1>How bees find the way home</h1>
+<article><p>Bees remember the sun and the hedges that they pass.</p><p>On cloudy days they see the light that clouds let
+through.</p></article><div><p>My grandfather kept bees and never lost a swarm in all those years.</p></div><div><p>Great
+article, thank you for that.</p></div></main><div class="site-info">Science today, every Tuesday.</div></body></html>""",
+        "How bees find the way home\n\nBees remember the sun and the hedges that they pass.\n\nOn cloudy days they see the light that clouds let through.",
+    ),
+    (
+        """<html><body><table><tr><td class="leftmenu"><a href="/1">Chapter one</a><br><a href="/2">Chapter two</a><br><a
+href="/3">Chapter three</a></td><td><h2>The lighthouse keeper</h2>The keeper climbed the stairs at dusk, as every evening.<br>
+<br>He lit the lamp and wrote the hour into the book, then he looked out over the dark water for a long time.</td></tr>
+<tr><td class="bottom" colspan="2"><a href="/next">Next chapter</a></td></tr></table></body></html>""",
+        "The lighthouse keeper\n\nThe keeper climbed the stairs at dusk, as every evening. He lit the lamp and wrote the hour into the book, then he looked out over the dark water for a long time.",
+    ),
+    (
+        """<html><body><div id="page"><div id="masthead"><a href="/">Village voice</a></div><div id="primary"><div><h1>Harvest
+supper</h1></div><div><span>The supper takes place on the last Saturday of the month, in the big barn.</span></div><div>Everybody
+brings a dish, and the band plays until the last guest has gone.</div><div><ul><li>Doors open at six.</li><li>Children eat for
+free.</li></ul></div></div><div class="subscribe"><form><p>Get our news by mail every week.</p><input><button>Sign
+up</button></form></div></div></body></html>""",
+        "Harvest supper\n\nThe supper takes place on the last Saturday of the month, in the big barn.\n\nEverybody brings a dish, and the band plays until the last guest has gone.\n\nDoors open at six.\n\nChildren eat for free.",
+    ),
+    (
+        """<html><body><div class="head"><a href="/">Town guide</a></div><section><h1>Three days by the lake</h1><p>Most visitors
+come for a day and wish that they had stayed.</p></section><section><h2>The first day</h2><p>Walk around the southern shore,
+where the fishermen mend their nets in the morning.</p><p>Eat what they caught.</p></section><section><h2>The second day</h2>
+<p>Take the small boat to the island and its garden.</p></section><section class="related-links"><h3>See also</h3><ul><li><a
+href="/hills">The hills</a></li></ul></section><div class="copyright">Town guide and its friends.</div></body></html>""",
+        "Three days by the lake\n\nMost visitors come for a day and wish that they had stayed.\n\nThe first day\n\nWalk around the southern shore, where the fishermen mend their nets in the morning.\n\nEat what they caught.\n\nThe second day\n\nTake the small boat to the island and its garden.",
+    ),
 )
