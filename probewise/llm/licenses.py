@@ -3,10 +3,12 @@
 A text is cut into sentences, each brought to a plain form and looked up among
 known licence sentences. The identifiers that are found, in the order of the
 text, are matched against ordered rules: a licence is recognised where the
-identifiers of one of its rules follow each other. Everything runs as Spark
-expressions, without a shuffle.
+identifiers of one of its rules follow each other. Longer rules come first and
+take their identifiers away, so a notice isn't also what its beginning would be
+alone. Everything runs as Spark expressions, without a shuffle.
 
-Whole notices are cut like texts, and their pieces are identifiers and rules too.
+Whole notices and identifier lines are cut like texts, and their pieces are
+identifiers and rules too.
 """
 
 from __future__ import annotations
@@ -80,7 +82,9 @@ RULES = (
 #: A sentence ends at a sign that a space or the end follows, or at an empty line.
 END = r"[.!?;:]+(?:[\x20\x09-\x0D]+|$)|\n[\x20\x09\x0D]*\n"
 #: Every known sentence has one of these words.
-HINT = r"(?i)licen[sc]e|permi|warrant|redistribut|copyright|endorse|mpl was"
+HINT = r"(?i)licen[sc]e|permi|warrant|redistribut|copyright|endorse|mpl was|unencumbered"
+#: The mark before a licence identifier, without its sign at the end no sentence ends there.
+TAG, TAG_PLAIN = r"(?i)spdx-license-identifier:[\x20\t]*", "SPDX-License-Identifier "
 
 
 def plain(sentence: Column) -> Column:
@@ -99,25 +103,49 @@ You may obtain a copy of the License at
 Unless required by applicable law or agreed to in writing, software
 distributed under the License is distributed on an "AS IS" BASIS,
 WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
-GPL = """This program is free software%s you can redistribute it and/or modify
-it under the terms of the GNU General Public License as published by
-the Free Software Foundation%s either version 3 of the License, or
+GPL = """This %s is free software%s you can redistribute it and/or modify
+it under the terms of the GNU %s as published by
+the Free Software Foundation%s either version %s of the License, or
 (at your option) any later version.
 
-This program is distributed in the hope that it will be useful,
+This %s is distributed in the hope that it will be useful,
 but WITHOUT ANY WARRANTY; without even the implied warranty of
 MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+GPL_ONLY = """This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU General Public License version %s as
+published by the Free Software Foundation."""
+UNLICENSE = "This is free and unencumbered software released into the public domain."
 MPL = """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at %s://mozilla.org/MPL/2.0/."""
+# fixed values: the licences whose notices share a wording, with their names and versions
+FAMILIES = (
+    ("GPL-2.0", "gpl2", "General Public License", "2"),
+    ("GPL-3.0", "gpl", "General Public License", "3"),
+    ("LGPL-2.1", "lgpl2", "Lesser General Public License", "2.1"),
+    ("LGPL-3.0", "lgpl", "Lesser General Public License", "3"),
+    ("AGPL-3.0", "agpl", "Affero General Public License", "3"),
+)
 NOTICES = (
     ("Apache-2.0", "apache", APACHE % "http"),
     ("Apache-2.0", "apache", APACHE % "https"),
-    ("GPL-3.0-or-later", "gpl", GPL % (":", ",")),
-    ("GPL-3.0-or-later", "gpl", GPL % (";", ";")),
+    *(
+        (f"{licence}-or-later", name, GPL % (what, first, words, second, version, what))
+        for licence, name, words, version in FAMILIES
+        for what in ("program", "library")
+        for first, second in ((":", ","), (";", ";"), (";", ","))
+    ),
+    *((f"GPL-{version}.0-only", f"gpl{version}-only", GPL_ONLY % (sign, version)) for version in "23" for sign in ":;"),
     ("MPL-2.0", "mpl", MPL % "https"),
     ("MPL-2.0", "mpl", MPL % "http"),
+    ("Unlicense", "unlicense", UNLICENSE),
 )
+# fixed values: licence identifiers that a tagged line may name
+TAGGED = """
+AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0
+EPL-2.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1 LGPL-2.1-only
+LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib
+""".split()
 
 
 def pieces(notice: str) -> list[str]:
@@ -126,8 +154,8 @@ def pieces(notice: str) -> list[str]:
     return [re.sub(r"\.+(?= |$)|(?<= )\.+", "", s).strip() for s in spaced]
 
 
-def with_notices(sentences: dict[str, str], rules, notices=NOTICES) -> tuple[dict[str, str], tuple]:
-    """The sentences and rules with those of the notices, as they stand alone and in comments without empty lines."""
+def with_notices(sentences: dict[str, str], rules, notices=NOTICES, tagged=TAGGED) -> tuple[dict[str, str], tuple]:
+    """The sentences and rules with those of the notices, as they stand alone and in comments without empty lines, and of tagged lines."""
     names = {s: name for name, s in sentences.items()}
     found = list(rules)
     for licence, name, notice in notices:
@@ -137,6 +165,9 @@ def with_notices(sentences: dict[str, str], rules, notices=NOTICES) -> tuple[dic
                 if s not in names:
                     names[s] = f"{name}-notice-{1 + sum(n.startswith(f'{name}-notice') for n in names.values())}"
             found.append((licence, tuple(names[s] for s in parts)))
+    for licence in tagged:
+        names[pieces(TAG_PLAIN + licence)[0]] = f"tag-{licence.lower()}"
+        found.append((licence, (f"tag-{licence.lower()}",)))
     return {name: s for s, name in names.items()}, tuple(dict.fromkeys(found))
 
 
@@ -156,18 +187,37 @@ def identifiers(text: Column, sentences: dict[str, str]) -> Column:
         return F.when(known(sentence).isNotNull(), F.array(known(sentence))).otherwise(lines)
 
     # only sentences with a hint can be known, and most texts have none
-    hinted = F.filter(F.split(text, END), lambda s: s.rlike(HINT))
+    hinted = F.filter(F.split(F.regexp_replace(text, TAG, TAG_PLAIN), END), lambda s: s.rlike(HINT))
     return F.when(text.rlike(HINT), F.flatten(F.transform(hinted, of))).otherwise(F.array().cast("array<string>"))
 
 
+def longest_first(rules) -> list[tuple[str, str]]:
+    """The rules as ``(licence, its identifiers in one string)``, with the most identifiers first, then as listed."""
+    return [(name, "".join(f" {x} " for x in rule)) for name, rule in sorted(rules, key=lambda r: -len(r[1]))]
+
+
 def licenses_of(ids: Column, rules) -> Column:
-    """The licences whose rules the identifiers meet, sorted; a rule's identifiers must follow each other."""
-    line = F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" "))
-    met = [F.when(F.contains(line, F.lit(f" {' '.join(rule)} ")), F.lit(name)) for name, rule in rules]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*met))))
+    """The licences whose rules the identifiers meet, sorted.
+
+    A rule's identifiers must follow each other. Rules are tried from the
+    longest to the shortest, and what one has met is no part of a later one.
+    """
+    line = F.array_join(F.transform(ids, lambda x: F.concat(F.lit(" "), x, F.lit(" "))), "")
+    listed = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(rule).alias("rule")) for name, rule in longest_first(rules)])
+    nothing = F.array().cast("array<string>")
+
+    def step(state: Column, x: Column) -> Column:
+        met = F.contains(state["line"], x["rule"])
+        return F.struct(
+            F.when(met, F.replace(state["line"], x["rule"], F.lit("#"))).otherwise(state["line"]).alias("line"),
+            F.when(met, F.array_append(state["found"], x["name"])).otherwise(state["found"]).alias("found"),
+        )
+
+    found = F.aggregate(listed, F.struct(line.alias("line"), nothing.alias("found")), step, lambda s: F.array_sort(F.array_distinct(s["found"])))
+    return F.when(F.size(ids) > 0, found).otherwise(nothing)
 
 
-#: What texts are scanned for; the SQL knows only the listed ones.
+#: What texts are scanned for.
 ALL_SENTENCES, ALL_RULES = with_notices(SENTENCES, RULES)
 
 
@@ -183,9 +233,11 @@ def scan_licenses(docs: DataFrame, text: str = "text", sentences: dict[str, str]
 
 def oracle() -> str:
     """The same scan as DuckDB SQL."""
-    names = ", ".join(f"'{n}'" for n in SENTENCES)
-    texts = ", ".join(f"'{s}'" for s in SENTENCES.values())
-    rules = ", ".join(f"{{'name': '{n}', 'rule': ' {' '.join(r)} '}}" for n, r in RULES)
+    names = ", ".join(f"'{n}'" for n in ALL_SENTENCES)
+    texts = ", ".join(f"'{s}'" for s in ALL_SENTENCES.values())
+    rules = longest_first(ALL_RULES)
+    tried = ", ".join(f"contains(l{i}, '{r}') AS c{i}, replace(l{i}, '{r}', '#') AS l{i + 1}" for i, (_, r) in enumerate(rules))
+    met = ", ".join(f"CASE WHEN c{i} THEN '{n}' END" for i, (n, _) in enumerate(rules))
     end = END.replace("$", r"\z")
 
     def known(x: str) -> str:
@@ -194,13 +246,16 @@ def oracle() -> str:
         return f"""map_extract(m, trim(regexp_replace(regexp_replace(regexp_replace({spaced}, '\\.+ ', ' ', 'g'), '\\.+$', ''), ' \\.+', ' ', 'g'), ' '))"""
 
     return rf"""
-    WITH k AS (SELECT map([{texts}], [{names}]) AS m, [{rules}] AS rules),
-    s AS (SELECT doc_id, m, rules, list_filter(string_split_regex(coalesce(text, ''), '{end}'), lambda x: regexp_matches(x, '{HINT}')) AS parts FROM documents, k),
-    i AS (SELECT doc_id, rules, flatten(list_transform(parts, lambda x: CASE WHEN len({known('x')}) > 0 THEN {known('x')}
-          ELSE flatten(list_transform(string_split(x, chr(10)), lambda y: {known('y')})) END)) AS ids FROM s)
+    WITH k AS (SELECT map([{texts}], [{names}]) AS m),
+    s AS (SELECT doc_id, m, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '{TAG}', '{TAG_PLAIN}', 'g'), '{end}'),
+                                        lambda x: regexp_matches(x, '{HINT}')) AS parts FROM documents, k),
+    i AS (SELECT doc_id, flatten(list_transform(parts, lambda x: CASE WHEN len({known('x')}) > 0 THEN {known('x')}
+          ELSE flatten(list_transform(string_split(x, chr(10)), lambda y: {known('y')})) END)) AS ids FROM s),
+    l AS (SELECT doc_id, ids, array_to_string(list_transform(ids, lambda x: ' ' || x || ' '), '') AS l0 FROM i),
+    t AS (SELECT doc_id, ids, {tried} FROM l)
     SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
-           coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(rules, lambda r: contains(' ' || array_to_string(ids, ' ') || ' ', r.rule)), lambda r: r.name))), ','), '') AS licenses
-    FROM i
+           coalesce(array_to_string(list_sort(list_distinct(list_filter([{met}], lambda x: x IS NOT NULL))), ','), '') AS licenses
+    FROM t
     """
 
 
