@@ -2,8 +2,10 @@
 
 A text is read as UTF-8 bytes in chunks. A chunk's hash is the value of its
 bytes as a polynomial, under two moduli; hashes of neighbours combine as
-``h(a + b) = h(a) * base ** len(b) + h(b)``, so chunks are hashed on their own
-and a huge document never needs more than one chunk of working memory. Texts
+``h(a + b) = h(a) * base ** len(b) + h(b)``, so chunks are hashed on their own:
+those of a huge document are rows that any task hashes, and their hashes are
+combined in order. A text is in memory where it is read and cut, its chunks one
+by one after that. Texts
 of equal fingerprint and length are then compared chunk by chunk: the smallest
 and the largest chunk at each place must be the same. Spark finds these two
 before and after the shuffle, so a group of copies that holds a third of all
@@ -26,6 +28,8 @@ from probewise.session import durable
 #: Moduli and bases of the two polynomials.
 MODULI = ((2_147_483_647, 1_000_003), (2_147_483_629, 998_244_353))
 CHUNK_BYTES = 1 << 16
+#: The chunks of texts of this many bytes are rows of their own, dealt to all tasks.
+LONG_BYTES = 1 << 22
 
 KEY = ["f1", "f2", "n_bytes"]
 
@@ -60,35 +64,70 @@ def fingerprint(data: bytes, tables: list[tuple[int, int, np.ndarray]], chunk: i
     return out
 
 
-def fingerprints(moduli=MODULI, chunk: int = CHUNK_BYTES, chunks: bool = False):
-    """A column function: text to ``struct(f1, f2, n_bytes)`` and, if asked for, its ``chunks`` of UTF-8.
+def fingerprints(moduli=MODULI, chunk: int = CHUNK_BYTES):
+    """A column function: text to ``struct(f1, f2, n_bytes)``; null for null."""
 
-    An empty text has one empty chunk.
-    """
-    names = ["f1", "f2", "n_bytes"] + ["chunks"] * chunks
-
-    @F.pandas_udf("f1 long, f2 long, n_bytes long" + ", chunks array<binary>" * chunks)
+    @F.pandas_udf("f1 long, f2 long, n_bytes long")
     def of(texts: pd.Series) -> pd.DataFrame:
         tables = [(m, b, powers(m, b, chunk)) for m, b in moduli]
         rows = []
         for text in texts:
-            data = text.encode("utf-8", "surrogatepass")
-            row = (*fingerprint(data, tables, chunk), len(data))
-            rows.append((*row, [data[at : at + chunk] for at in range(0, max(len(data), 1), chunk)]) if chunks else row)
-        return pd.DataFrame(rows, columns=names)
+            data = None if text is None else text.encode("utf-8", "surrogatepass")
+            rows.append((None,) * 3 if data is None else (*fingerprint(data, tables, chunk), len(data)))
+        return pd.DataFrame(rows, columns=KEY, dtype="Int64")
 
     return of
 
 
-def collisions(source: DataFrame, rows: DataFrame, moduli, chunk: int) -> DataFrame:
+def sha_of(text: str) -> Column:
+    return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+def chunks_of(text: str, chunk: int) -> Column:
+    """The UTF-8 bytes of a text in chunks; an empty text has one empty chunk."""
+    data = F.encode(text, "UTF-8")
+    last = F.greatest(F.ceil(F.octet_length(text) / chunk).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(data, i * chunk + 1, F.lit(chunk)))
+
+
+def long_fingerprints(texts: DataFrame, moduli=MODULI, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """``f1, f2, n_bytes`` of the texts ``_norm`` by ``text_sha256``, their chunks hashed in parallel.
+
+    Chunk rows are dealt out by place and row, so copies of one text are many
+    tasks; they become one row a place before their hashes are combined.
+    """
+
+    @F.pandas_udf("h1 long, s1 long, h2 long, s2 long, n long")
+    def hashes(chunks: pd.Series) -> pd.DataFrame:
+        tables = [(m, b, powers(m, b, chunk)) for m, b in moduli]
+        rows = []
+        for data in chunks:
+            own = fingerprint(data, tables, chunk)
+            shifts = [pow(b, len(data), m) for m, b, _ in tables]
+            rows.append((own[0], shifts[0], own[1], shifts[1], len(data)))
+        return pd.DataFrame(rows, columns=["h1", "s1", "h2", "s2", "n"])
+
+    parts = texts.select("_key", sha_of("_norm").alias("text_sha256"), F.posexplode(chunks_of("_norm", chunk)).alias("no", "data"))
+    hashed = parts.repartition("text_sha256", "no", "_key").select("text_sha256", "no", hashes("data").alias("h"))
+    single = hashed.groupBy("text_sha256", "no").agg(F.min("h").alias("h"))
+    in_order = single.groupBy("text_sha256").agg(F.array_sort(F.collect_list(F.struct("no", "h"))).alias("hs"), F.sum("h.n").alias("n_bytes"))
+
+    def combined(number: int) -> Column:
+        modulus = F.lit(moduli[number - 1][0])
+        return F.aggregate("hs", F.lit(0).cast("long"), lambda total, x: (total * x["h"][f"s{number}"] + x["h"][f"h{number}"]) % modulus)
+
+    return in_order.select("text_sha256", combined(1).alias("f1"), combined(2).alias("f2"), "n_bytes")
+
+
+def collisions(source: DataFrame, rows: DataFrame, chunk: int) -> DataFrame:
     """Fingerprints that differing texts share: chunkwise comparison of all equal ones.
 
     Only texts whose fingerprint occurs more than once in ``rows`` are moved.
     """
     again = durable(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*KEY))
-    few = source.join(sized(again), KEY, "left_semi")
-    marked = few.select(fingerprints(moduli, chunk, True)("_norm").alias("_f"))
-    parts = marked.select(*[F.col(f"_f.{name}").alias(name) for name in KEY], F.posexplode("_f.chunks").alias("chunk_no", "chunk"))
+    texts = durable(rows.join(sized(again), KEY, "left_semi").select(F.unhex("text_sha256").alias("_sha"), *KEY).distinct())
+    few = source.select("_norm", F.unhex(sha_of("_norm")).alias("_sha")).join(sized(texts), "_sha")
+    parts = few.select(*KEY, F.posexplode(chunks_of("_norm", chunk)).alias("chunk_no", "chunk"))
     places = parts.groupBy(*KEY, "chunk_no").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     return places.where(F.col("low") != F.col("high")).select(*KEY).distinct()
 
@@ -100,6 +139,7 @@ def exact_groups(
     normalise=lower_ascii,
     moduli=MODULI,
     chunk: int = CHUNK_BYTES,
+    long_bytes: int = LONG_BYTES,
 ) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
@@ -109,11 +149,15 @@ def exact_groups(
     are not read, so their names don't matter.
     """
     source = docs.select(F.col(key).alias("_key"), normalise(F.col(text)).alias("_norm"))
-    marked = source.select("_key", "_norm", fingerprints(moduli, chunk)("_norm").alias("_f")).select(
-        "_key", "_norm", *[F.col(f"_f.{name}").alias(name) for name in KEY]
-    )
-    rows = durable(marked.select("_key", *KEY, F.sha2(F.encode("_norm", "UTF-8"), 256).alias("text_sha256")))
-    clash = durable(collisions(marked, rows, moduli, chunk))
+    is_long = F.octet_length("_norm") >= long_bytes
+    marked = source.select("_key", fingerprints(moduli, chunk)(F.when(~is_long, F.col("_norm"))).alias("_f"), sha_of("_norm").alias("text_sha256"))
+    rows = durable(marked.select("_key", *[F.col(f"_f.{name}").alias(name) for name in KEY], "text_sha256"))
+    unknown = F.col("n_bytes").isNull()
+    if not rows.where(unknown).isEmpty():
+        hashed = durable(long_fingerprints(source.where(is_long), moduli, chunk))
+        of_long = rows.where(unknown).drop(*KEY).join(sized(hashed), "text_sha256")
+        rows = durable(rows.where(~unknown).unionByName(of_long))
+    clash = durable(collisions(source, rows, chunk))
     if clash.isEmpty():
         rows = rows.withColumn("_tie", F.lit(""))
     else:

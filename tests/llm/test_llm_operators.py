@@ -287,6 +287,25 @@ def test_exact_groups_with_collisions(odd, moduli):
     assert exact_dedup.drop_copies(odd).count() == len(groups)
 
 
+def test_long_texts_are_hashed_by_chunk_rows(spark, odd):
+    """The same fingerprints whether chunks are rows of their own or not, also for copies."""
+    texts = odd.union(odd).select(F.col("doc_id").alias("_key"), exact_dedup.lower_ascii(F.col("text")).alias("_norm"))
+    found = {r.text_sha256: (r.f1, r.f2, r.n_bytes) for r in exact_dedup.long_fingerprints(texts, chunk=1000).collect()}
+    assert len(found) == len({lowered(t) for t in TEXTS})
+    tables = [(m, b, exact_dedup.powers(m, b, 1 << 19)) for m, b in exact_dedup.MODULI]
+    for text in map(lowered, TEXTS):
+        data = text.encode()
+        assert found[hashlib.sha256(data).hexdigest()] == (*exact_dedup.fingerprint(data, tables, 1 << 19), len(data))
+
+
+@pytest.mark.parametrize("moduli", [exact_dedup.MODULI, ((3, 2), (5, 2))])
+def test_exact_groups_with_long_texts(odd, moduli):
+    def of(long_bytes):
+        return Counter(map(tuple, exact_dedup.exact_groups(odd, moduli=moduli, chunk=64, long_bytes=long_bytes).collect()))
+
+    assert of(1) == of(9) == of(exact_dedup.LONG_BYTES)
+
+
 def test_hashes_combine():
     modulus, base = exact_dedup.MODULI[0]
     table = exact_dedup.powers(modulus, base, 1000)
@@ -464,7 +483,8 @@ def test_printed_notices(spark):
         for mark in ("%s", " * %s", "// %s", "# %s"):
             lines = "\n".join((mark % line).rstrip() for line in text.strip("\n").split("\n"))
             rows.append((name, f"/*\n{lines}\n */\n" if "*" in mark else lines))
-    rows += [(None, GPL.replace("version 3", "version 2")), (None, GPL.replace("GNU General", "GNU Affero General"))]
+    rows += [("GPL-2.0-or-later", GPL.replace("version 3", "version 2")), ("AGPL-3.0-or-later", GPL.replace("GNU General", "GNU Affero General"))]
+    rows += [(None, GPL.replace("version 3", "version 7")), (None, GPL.replace("GNU General", "GNU Special General"))]
     found = licenses.scan_licenses(spark.createDataFrame(rows, "name string, text string")).collect()
     wrong = [(r.name, r.text, r.licenses) for r in found if not ({r.name} <= set(r.licenses) if r.name else r.licenses == [])]
     assert not wrong
