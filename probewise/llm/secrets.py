@@ -28,6 +28,10 @@ ASSIGN_LENGTH, ACCESS_LENGTH = 6, 20
 #: Characters of strings that the models judge, and the shortest of them.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+#: Random by rule, but names and not secrets.
+UUID = r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
+#: Lower-case words before a key that say whose it is; the models judge what follows them.
+PREFIX = r"^(?:[a-z]{2,8}[_-]){1,3}(?=.{20,}$)"
 #: Mean log-likelihood ratio per character, in nats, above which a string is random.
 RATIO = 0.25
 #: Matches that are summed up together before they are put into the result.
@@ -80,6 +84,34 @@ def spans_of(text: Column, pattern: str, groups: int, keep) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{span}>"))
 
 
+def merged(base: Column, added: Column) -> Column:
+    """The spans of both lists by start and kind, without those of ``added`` that one of ``base`` overlaps.
+
+    Spans of ``added`` don't overlap each other, so one walk over the sorted
+    spans is enough: a span of ``added`` waits for the next span, which either
+    overlaps it or puts it into the result.
+    """
+    spans = "array<struct<from:int,kind_no:int,upto:int,kind:string>>"
+    none = F.array().cast(spans)
+    start = F.struct(F.lit(0).alias("covered"), none.alias("waiting"), none.alias("last"), F.array().cast(f"array<{spans}>").alias("done"))
+
+    def step(state: Column, x: Column) -> Column:
+        is_base = x["kind_no"] < len(KINDS) - 1
+        overlapped = is_base & F.coalesce(x["from"] < F.get(state["waiting"], F.lit(0))["upto"], F.lit(False))
+        ready = F.concat(F.when(overlapped, none).otherwise(state["waiting"]), F.when(is_base, F.array(x)).otherwise(none))
+        full = F.size(state["last"]) >= BLOCK
+        return F.struct(
+            F.when(is_base, F.greatest(state["covered"], x["upto"])).otherwise(state["covered"]).alias("covered"),
+            F.when(~is_base & (x["from"] >= state["covered"]), F.array(x)).otherwise(none).alias("waiting"),
+            F.when(full, ready).otherwise(F.concat(state["last"], ready)).alias("last"),
+            F.when(full, F.concat(state["done"], F.array(state["last"]))).otherwise(state["done"]).alias("done"),
+        )
+
+    all_spans = F.array_sort(F.concat(base, added))
+    walked = F.aggregate(all_spans, start, step, lambda s: F.concat(F.flatten(s["done"]), s["last"], s["waiting"]))
+    return F.when((F.size(base) > 0) & (F.size(added) > 0), walked).otherwise(all_spans)
+
+
 def labelled_samples(spark: SparkSession, n: int = 2000) -> DataFrame:
     """``text, random``: random strings in five alphabets, and identifiers of two or three ordinary words.
 
@@ -152,8 +184,8 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text",
     """``docs`` with ``spans``: ``array<struct<from, kind_no, upto, kind>>`` by start and kind.
 
     Places count code points from 0, ends are exclusive. Null and empty texts
-    have no spans. The strings of the models are added where no span of a fixed
-    pattern overlaps them. A column named ``spans`` is replaced.
+    have no spans. The strings of the models, UUIDs left out, are added where no
+    span of a fixed pattern overlaps them. A column named ``spans`` is replaced.
     """
     table = ratios(labelled_samples(docs.sparkSession) if samples is None else samples)
     full = F.coalesce(F.col(text), F.lit(""))
@@ -161,7 +193,7 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text",
         spans_of(full, ASSIGN, 1, lambda hit, own: F.length(own) >= ASSIGN_LENGTH),
         spans_of(full, ACCESS, 0, lambda hit, own: F.length(hit) >= ACCESS_LENGTH),
         spans_of(full, HEX, 0, lambda hit, own: F.lit(True)),
-        spans_of(full, CANDIDATE, 0, lambda hit, own: randomness(hit, table) >= ratio),
+        spans_of(full, CANDIDATE, 0, lambda hit, own: ~hit.rlike(UUID) & (randomness(F.regexp_replace(hit, PREFIX, ""), table) >= ratio)),
     ]
 
     def named(spans: Column, number: int) -> Column:
@@ -169,8 +201,7 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text",
 
     parts = docs.withColumn("_found", F.struct(*[named(spans, i).alias(KINDS[i]) for i, spans in enumerate(found)]))
     base = F.concat("_found.assign", "_found.access", "_found.hex")
-    added = F.filter("_found.markov", lambda m: ~F.exists(base, lambda b: (b["from"] < m["upto"]) & (m["from"] < b["upto"])))
-    return parts.withColumn("spans", F.array_sort(F.concat(base, added))).drop("_found")
+    return parts.withColumn("spans", merged(base, F.col("_found.markov"))).drop("_found")
 
 
 def listed(spans: Column) -> Column:
