@@ -22,6 +22,13 @@ SCORE_WEIGHT = 1e-3
 CROWDED = 20_000
 TILES = 64
 MOST_DOUBTFUL = 2_000
+# rounds of a tile by tile suppression, and pairs of boxes that are compared at once
+ROUNDS = 12
+PAIRS = 1 << 18
+# boxes of a tile that are judged together
+BLOCK = 256
+# boxes of an image that is compared together with other images
+SMALL = 64
 DROP, WAIT, KEEP = -1, 0, 1
 
 
@@ -117,19 +124,41 @@ def nms(df: DataFrame, iou: float = 0.4, crowded: int = CROWDED) -> DataFrame:
 
 
 def suppress_runs(boxes: DataFrame, iou: float) -> DataFrame:
+    """Each image as one sorted run; rows that are marked ``kept``, if there is such a column, stay and come first."""
+    names = boxes.columns
+    marked = boxes if "kept" in names else boxes.withColumn("kept", F.lit(False))
+
     def suppress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        image, kept = None, BoxList()
+        image, held = None, BoxList()
         for batch in batches:
-            stays = np.zeros(len(batch), dtype=bool)
-            for i, (current, box) in enumerate(zip(batch["image_id"], batch["bbox"])):
-                if current != image:
-                    image, kept = current, BoxList()
-                stays[i] = not kept.overlap(box, iou)
-                if stays[i]:
-                    kept.add(box)
-            yield batch[stays]
-
-    ordered = boxes.repartition("image_id").sortWithinPartitions("image_id", F.col("det_score").desc(), "face_index")
+            if not len(batch):
+                continue
+            rows, images, stays = corners(batch["bbox"]), batch["image_id"].to_numpy(), batch["kept"].to_numpy(dtype=bool).copy()
+            ends = np.append(np.flatnonzero(images[1:] != images[:-1]) + 1, len(rows))
+            starts = np.append(0, ends[:-1])
+            # boxes of small images are compared with the best of their image, for all of these images at once
+            fixed = np.add.reduceat(stays.astype(int), starts)
+            small = (ends - starts <= SMALL) & (fixed == 0)
+            small[[0, -1]] = False
+            run = np.repeat(np.arange(len(starts)), ends - starts)
+            left = np.flatnonzero(small[run])
+            while len(left):
+                best = np.append(True, run[left][1:] != run[left][:-1])
+                chosen = left[best]
+                stays[chosen] = True
+                mine = chosen[np.cumsum(best) - 1]
+                left = left[~best & ~row_overlap(rows[left], rows[mine], iou)]
+            # the first image may have begun in an earlier batch, the last one may go on in the next
+            for start, end in zip(starts[~small], ends[~small]):
+                if images[start] != image:
+                    image, held = images[start], BoxList()
+                for at in range(start, end, BLOCK):
+                    block = slice(at, min(at + BLOCK, end))
+                    stays[block] = stay_of_block(rows[block], stays[block], held, iou)
+            yield batch.loc[stays, names]
+
+    order = ["image_id", F.col("kept").desc(), F.col("det_score").desc(), "face_index"]
+    ordered = marked.repartition("image_id").sortWithinPartitions(*order)
     return ordered.mapInPandas(suppress, boxes.schema)
 
 
@@ -139,7 +168,8 @@ def suppress_tiles(boxes: DataFrame, iou: float) -> DataFrame:
     Overlapping boxes share a tile. A box is dropped if any of its tiles has a
     kept box over it, and kept if none of them has an undecided or kept better
     box over it. The best undecided box is always decided, and each round
-    reads the undecided and the kept boxes only.
+    reads the undecided and the kept boxes only. What ``ROUNDS`` rounds leave
+    undecided, chains of boxes over many tiles, is settled image by image.
     """
     corner = [F.get("bbox", F.lit(i)) for i in range(4)]
     ends = boxes.groupBy("image_id").agg(
@@ -158,28 +188,26 @@ def suppress_tiles(boxes: DataFrame, iou: float) -> DataFrame:
     schema = T.StructType([boxes.schema[name] for name in key] + [T.StructField("verdict", T.IntegerType())])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place, kept, doubtful = None, BoxList(), BoxList()
+        place, held, doubtful = None, BoxList(), BoxList()
         for batch in batches:
+            if not len(batch):
+                continue
+            rows, fixed, alone = corners(batch["bbox"]), batch["kept"].to_numpy(dtype=bool), batch["alone"].to_numpy(dtype=bool)
             verdicts = np.zeros(len(batch), dtype=np.int32)
-            rows = zip(zip(*(batch[t] for t in tiles)), batch["bbox"], batch["kept"], batch["alone"])
-            for i, (current, box, is_kept, alone) in enumerate(rows):
+            places = batch[tiles].to_numpy()
+            starts = np.append(np.flatnonzero(np.append(True, (places[1:] != places[:-1]).any(axis=1))), len(rows))
+            for start, end in zip(starts[:-1], starts[1:]):
+                current = tuple(places[start])
                 if current != place:
-                    place, kept, doubtful = current, BoxList(), BoxList()
-                if is_kept:
-                    verdicts[i] = KEEP
-                elif kept.overlap(box, iou):
-                    verdicts[i] = DROP
-                elif doubtful.n >= MOST_DOUBTFUL or doubtful.overlap(box, iou):
-                    verdicts[i] = WAIT
-                else:
-                    verdicts[i] = KEEP
-                if verdicts[i] == KEEP and (is_kept or alone):
-                    kept.add(box)
-                elif verdicts[i] != DROP and doubtful.n < MOST_DOUBTFUL:
-                    doubtful.add(box)
+                    place, held, doubtful = current, BoxList(), BoxList()
+                for at in range(start, end, BLOCK):
+                    block = slice(at, min(at + BLOCK, end))
+                    verdicts[block] = judge_block(rows[block], fixed[block], alone[block], held, doubtful, iou)
             yield batch[key].assign(verdict=verdicts)
 
-    while not left.where("NOT kept").isEmpty():
+    for _ in range(ROUNDS):
+        if left.where("NOT kept").isEmpty():
+            return left.select(*boxes.columns)
         copies = (
             left.withColumn("alone", (F.col("tx1") == F.col("tx2")) & (F.col("ty1") == F.col("ty2")))
             .withColumn("tx", F.explode(F.sequence("tx1", "tx2")))
@@ -190,27 +218,85 @@ def suppress_tiles(boxes: DataFrame, iou: float) -> DataFrame:
         decided = verdicts.groupBy(*key).agg(F.min("verdict").alias("verdict"))
         judged = left.drop("kept").join(decided, key).where(F.col("verdict") != DROP)
         left = durable(judged.withColumn("kept", F.col("verdict") == KEEP).drop("verdict"))
-    return left.select(*boxes.columns)
+    return suppress_runs(left.select(*boxes.columns, "kept"), iou).select(*boxes.columns)
+
+
+def stay_of_block(rows: np.ndarray, fixed: np.ndarray, held: BoxList, iou: float) -> np.ndarray:
+    """Which of the next boxes of an image stay; these are added to its kept ones."""
+    stays, among = fixed.copy(), overlap_of(rows, rows, iou)
+    for i in np.flatnonzero(~fixed & ~held.overlaps(rows, iou)):
+        stays[i] = not (among[i] & stays)[:i].any()
+    held.extend(rows[stays])
+    return stays
+
+
+def judge_block(rows: np.ndarray, fixed: np.ndarray, alone: np.ndarray, held: BoxList, doubtful: BoxList, iou: float) -> np.ndarray:
+    """The verdicts of the next boxes of a tile, which are added to its kept and its undecided ones."""
+    covered, doubted = held.overlaps(rows, iou), doubtful.overlaps(rows, iou)
+    among = overlap_of(rows, rows, iou)
+    in_held, in_doubtful = np.zeros(len(rows), dtype=bool), np.zeros(len(rows), dtype=bool)
+    verdicts, room = np.zeros(len(rows), dtype=np.int32), MOST_DOUBTFUL - doubtful.n
+    for i in range(len(rows)):
+        if fixed[i]:
+            verdicts[i] = KEEP
+        elif covered[i] or (among[i] & in_held).any():
+            verdicts[i] = DROP
+        elif room <= 0 or doubted[i] or (among[i] & in_doubtful).any():
+            verdicts[i] = WAIT
+        else:
+            verdicts[i] = KEEP
+        if verdicts[i] == KEEP and (fixed[i] or alone[i]):
+            in_held[i] = True
+        elif verdicts[i] != DROP and room > 0:
+            in_doubtful[i] = True
+            room -= 1
+    held.extend(rows[in_held])
+    doubtful.extend(rows[in_doubtful])
+    return verdicts
+
+
+def corners(boxes: pd.Series) -> np.ndarray:
+    return np.stack(boxes.to_numpy()).astype(float)
+
+
+def ratio_over(shared: np.ndarray, areas: np.ndarray, others: np.ndarray, iou: float) -> np.ndarray:
+    return shared / (areas + others - shared + IOU_EPSILON) > iou
+
+
+def area_of(rows: np.ndarray) -> np.ndarray:
+    return (rows[:, 2] - rows[:, 0]) * (rows[:, 3] - rows[:, 1])
+
+
+def row_overlap(rows: np.ndarray, others: np.ndarray, iou: float) -> np.ndarray:
+    """Whether each box overlaps the one at its place in ``others``."""
+    sides = np.maximum(np.minimum(rows[:, 2:], others[:, 2:]) - np.maximum(rows[:, :2], others[:, :2]), 0)
+    return ratio_over(sides[:, 0] * sides[:, 1], area_of(rows), area_of(others), iou)
+
+
+def overlap_of(rows: np.ndarray, others: np.ndarray, iou: float) -> np.ndarray:
+    """Whether each box overlaps each of ``others``."""
+    wide = np.minimum(rows[:, None, 2], others[None, :, 2]) - np.maximum(rows[:, None, 0], others[None, :, 0])
+    high = np.minimum(rows[:, None, 3], others[None, :, 3]) - np.maximum(rows[:, None, 1], others[None, :, 1])
+    return ratio_over(np.maximum(wide, 0) * np.maximum(high, 0), area_of(rows)[:, None], area_of(others)[None, :], iou)
 
 
 class BoxList:
-    """Growing list of boxes that answers whether a box overlaps one of them."""
+    """Growing list of boxes that answers which of other boxes overlap one of them."""
 
     def __init__(self) -> None:
         self.rows, self.n = np.empty((16, 4)), 0
 
-    def add(self, box: np.ndarray) -> None:
-        if self.n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-        self.rows[self.n] = box
-        self.n += 1
-
-    def overlap(self, box: np.ndarray, iou: float) -> bool:
-        if not self.n:
-            return False
-        box, held = np.asarray(box, dtype=float), self.rows[: self.n]
-        sides = np.minimum(box[2:], held[:, 2:]) - np.maximum(box[:2], held[:, :2])
-        shared = np.prod(np.maximum(sides, 0), axis=1)
-        areas = np.prod(held[:, 2:] - held[:, :2], axis=1)
-        ratio = shared / (np.prod(box[2:] - box[:2]) + areas - shared + IOU_EPSILON)
-        return bool((ratio > iou).any())
+    def extend(self, boxes: np.ndarray) -> None:
+        if self.n + len(boxes) > len(self.rows):
+            self.rows = np.concatenate([self.rows[: self.n], np.empty((self.n + len(boxes), 4))])
+        self.rows[self.n : self.n + len(boxes)] = boxes
+        self.n += len(boxes)
+
+    def overlaps(self, boxes: np.ndarray, iou: float) -> np.ndarray:
+        """For each box, ``PAIRS`` pairs at a time."""
+        out = np.zeros(len(boxes), dtype=bool)
+        step = max(1, PAIRS // max(len(boxes), 1))
+        for at in range(0, self.n, step):
+            open_ = np.flatnonzero(~out)
+            out[open_] = overlap_of(boxes[open_], self.rows[at : min(at + step, self.n)], iou).any(axis=1)
+        return out

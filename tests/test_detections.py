@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,41 @@ def test_crowded_images_in_tiles(spark, monkeypatch, iou, doubtful, tiles, sprea
     assert sorted((r["image_id"], r["face_index"]) for r in found.collect()) == loop_nms(rows, iou)
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_rounds_are_bounded(spark, monkeypatch, rounds):
+    """What the rounds leave undecided is settled beside what they kept."""
+    monkeypatch.setattr(det, "ROUNDS", rounds)
+    monkeypatch.setattr(det, "MOST_DOUBTFUL", 4)
+    monkeypatch.setattr(det, "BLOCK", 8)
+    monkeypatch.setattr(det, "TILES", 4)
+    rows = random_boxes(160, 4, 9)
+    found = det.nms(spark.createDataFrame(rows, SCHEMA), 0.3, crowded=40)
+    assert sorted((r["image_id"], r["face_index"]) for r in found.collect()) == loop_nms(rows, 0.3)
+
+
+@pytest.mark.parametrize("batch", [1, 3, 50])
+def test_images_over_several_batches(spark, batch):
+    rows = random_boxes(250, 5, 4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = det.nms(spark.createDataFrame(rows, SCHEMA), 0.3).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r["image_id"], r["face_index"]) for r in found) == loop_nms(rows, 0.3)
+
+
+def test_pairs_in_slices(monkeypatch):
+    rows = np.array([b for _, _, b, _ in random_boxes(200, 1, 7)])
+    held = det.BoxList()
+    for at in range(0, 100, 30):
+        held.extend(rows[at : min(at + 30, 100)])
+    whole = held.overlaps(rows[100:], 0.3)
+    monkeypatch.setattr(det, "PAIRS", 150)
+    assert held.n == 100 and (held.overlaps(rows[100:], 0.3) == whole).all()
+    assert (whole == det.overlap_of(rows[100:], rows[:100], 0.3).any(axis=1)).all()
+
+
 GATE = "bbox array<double>, det_score double, width int, height int, blur double"
 
 
