@@ -21,9 +21,10 @@ from probewise.operators.similarity import (
     BROADCAST_BYTES,
     PROBE_CHUNK,
     SCORE_DIGITS,
+    SINGLE_ERROR,
     as_matrix,
+    best_of_slices,
     blocked_scores,
-    first_k,
     keep_best,
     rescore,
     topk_blocked,
@@ -46,8 +47,8 @@ NPROBE, NPROBE_FAST, NPROBE_SAFE = 16, 32, 128
 FALLBACK_MARGIN = 0.05
 # training rows advised per centroid
 ADVISED_ROWS_PER_CENTROID = 39
-# centroids that a batch of vectors is compared with at a time, and coded rows that are scored at a time
-CENTROID_BLOCK, CODE_ROWS = 4096, 4096
+# centroids that a batch of vectors is compared with at a time
+CENTROID_BLOCK = 4096
 
 
 def training_sample(gallery: DataFrame, rows: int | None, seed: int) -> DataFrame:
@@ -317,28 +318,31 @@ def score_codes(
 
     A probe's inner products with all centres of a part are a table, and a row's
     score is ``base`` and the sum of the table entries that its codes name.
+    These sums are made for the pairs that can be among the best by the product
+    with the decoded vectors in single precision, so none is missed.
     """
     parts, _, width = books.shape
+    decoded = np.hstack([books[part].astype(np.float32)[codes[:, part]] for part in range(parts)])
+    # no partial sum of a score is larger
+    longest = np.linalg.norm(decoded, axis=1).max(initial=0.0) * np.linalg.norm(probes, axis=1).max(initial=1.0) + np.abs(base).max(initial=0.0)
+    slack = 2 * (parts * width + 4) * SINGLE_ERROR * float(longest) + 10.0**-SCORE_DIGITS
     found = []
     for start in range(0, len(probe_ids), PROBE_CHUNK):
-        chunk = probes[start : start + PROBE_CHUNK].reshape(-1, parts, width)
-        tables = [chunk[:, part] @ books[part].T for part in range(parts)]
-        row, col, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        for low in range(0, len(ids), CODE_ROWS):
-            some = codes[low : low + CODE_ROWS]
-            total = np.repeat(base[start : start + len(chunk), None], len(some), axis=1)
+        chunk, given = probes[start : start + PROBE_CHUNK], base[start : start + PROBE_CHUNK]
+        pieces = chunk.reshape(-1, parts, width)
+        tables = [pieces[:, part] @ books[part].T for part in range(parts)]
+        single, single_base = chunk.astype(np.float32), given.astype(np.float32)[:, None]
+
+        def rough(columns: slice) -> np.ndarray:
+            return single @ decoded[columns].T + single_base
+
+        def exact(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+            total = given[row]
             for part in range(parts):
-                total += tables[part][:, some[:, part]]
-            total = np.round(total, SCORE_DIGITS) + 0.0
-            if len(some) > k:
-                floor = np.partition(total, len(some) - k, axis=1)[:, len(some) - k]
-                more, at = np.nonzero(total >= floor[:, None])
-            else:
-                more, at = (a.ravel() for a in np.indices(total.shape))
-            row, col = np.concatenate([row, more]), np.concatenate([col, at + low])
-            score = np.concatenate([score, total[more, at]])
-            best = first_k(row, ids[col], score, k)
-            row, col, score = row[best], col[best], score[best]
+                total += tables[part][row, codes[col, part]]
+            return total
+
+        row, col, score = best_of_slices(ids, k, np.full(len(chunk), -np.inf), slack, rough, exact)
         found.append((probe_ids[start + row], ids[col], score))
     return tuple(np.concatenate(column) for column in zip(*found))
 
@@ -404,7 +408,7 @@ class CellSearch:
             number = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
             probed = probed.withColumn("_part", number).withColumn("cell", F.col("cell") * parts + F.col("_part")).drop("_part")
         if isinstance(index, CellIndex):
-            return blocked_scores(probed.drop("base"), rows, k, self.block_rows)
+            return blocked_scores(probed.drop("base"), rows, k, self.block_rows, index.centroids.shape[1])
         held = probes.sparkSession.sparkContext.broadcast(index.books)
         residual = index.residual
 
@@ -418,7 +422,7 @@ class CellSearch:
                 left["probe_id"].to_numpy(), vectors / lengths[:, None], base, right["id"].to_numpy(), codes, held.value, k
             )
 
-        return blocked_scores(probed, rows, k, self.block_rows, score)
+        return blocked_scores(probed, rows, k, self.block_rows, index.centroids.shape[1], score)
 
     def __call__(self, probes: DataFrame, k: int, nprobe: int) -> DataFrame:
         return keep_best(self.scores(probes, k, 0, nprobe), k)

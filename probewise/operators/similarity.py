@@ -27,9 +27,15 @@ from probewise.session import durable
 SCORE_DIGITS = 6
 # a side held by every task: at most this many bytes of float64
 BROADCAST_BYTES = 64 << 20
-# rows of one block of a blocked search, and probes scored in one product
+# rows of one block of a blocked search at least, and probes scored in one product
 BLOCK_ROWS = 16_384
 PROBE_CHUNK = 512
+# vectors scored in one product
+SLICE_ROWS = 4096
+# float64 bytes of the vectors of a block, if these are small enough to be more than was asked for: larger blocks are shipped less often
+SHIP_BYTES = 16 << 20
+# blocks of a cell's probes at least, for tasks to share the work of one cell
+PROBE_BLOCKS = 8
 # routing vectors of a bounded search at most, and what bounds may be off by: rounding to six digits and angles
 ROUTES, BOUND_SLACK = 1024, 2e-6
 # rounding error of one single-precision operation
@@ -107,45 +113,76 @@ def first_k(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.
     return order[np.arange(len(row)) - np.searchsorted(row, row) < k]
 
 
-def near_rows(probes: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs that can be among the ``k`` best of a probe, with exact scores.
+def near_rows(rough: np.ndarray, floor: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of all rough scores that can be among the ``k`` best of a row.
 
-    The product is done in single precision; the few pairs within its error of
-    the k-th best are scored again in double precision, so none is missed.
+    ``floor`` is what the ``k``-th best of a row is known to reach, ``slack`` what
+    a rough score may be off by; few scores reach a good floor, so only without
+    one the ``k``-th best has to be looked for.
     """
-    rough = probes.astype(np.float32) @ vectors.astype(np.float32).T
-    count, width = vectors.shape
-    if count > k:
-        slack = np.float32(2 * (width + 2) * SINGLE_ERROR + 10.0**-SCORE_DIGITS)
-        floor = np.partition(rough, count - k, axis=1)[:, count - k] - slack
-        row, col = np.divmod(np.flatnonzero(rough >= floor[:, None]), count)
-    else:
-        row, col = (a.ravel() for a in np.indices(rough.shape))
-    exact = np.empty(len(row))
-    for start in range(0, len(row), BLOCK_ROWS):
-        part = slice(start, start + BLOCK_ROWS)
-        exact[part] = np.einsum("ij,ij->i", probes[row[part]], vectors[col[part]])
-    return row, col, np.round(exact, SCORE_DIGITS) + 0.0
+    count = rough.shape[1]
+    reach = rough >= (floor - slack).astype(np.float32)[:, None]
+    if count > k and np.count_nonzero(reach) > 8 * k * len(rough):
+        own = np.partition(rough, count - k, axis=1)[:, count - k]
+        reach &= rough >= (own - np.float32(2 * slack))[:, None]
+    return np.divmod(np.flatnonzero(reach), count)
+
+
+def best_of_slices(
+    ids: np.ndarray,
+    k: int,
+    floor: np.ndarray,
+    slack: float,
+    rough: Callable[[slice], np.ndarray],
+    exact: Callable[[np.ndarray, np.ndarray], np.ndarray],
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best columns of every row: (row, column, score rounded to six digits).
+
+    ``rough(columns)`` gives all scores of a slice in single precision, off by
+    ``slack`` at most with the rounding; the few that can count are scored by ``exact(row, column)``.
+    """
+    row, col, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    floor = floor.copy()
+    for low in range(0, len(ids), SLICE_ROWS):
+        more, at = near_rows(rough(slice(low, low + SLICE_ROWS)), floor, k, slack)
+        if not len(more):
+            continue
+        at = at + low
+        found = [exact(more[i : i + BLOCK_ROWS], at[i : i + BLOCK_ROWS]) for i in range(0, len(more), BLOCK_ROWS)]
+        row, col = np.concatenate([row, more]), np.concatenate([col, at])
+        score = np.concatenate([score, np.round(np.concatenate(found), SCORE_DIGITS) + 0.0])
+        best = first_k(row, ids[col], score, k)
+        row, col, score = row[best], col[best], score[best]
+        # rows are in order, so the last of k entries is the k-th best
+        last = np.flatnonzero(row[k - 1 :] == row[: max(0, len(row) - k + 1)]) + k - 1
+        floor[row[last]] = np.maximum(floor[row[last]], score[last])
+    return row, col, score
 
 
 def score_block(
-    probe_ids: np.ndarray, probes: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
+    probe_ids: np.ndarray, probes: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Top-k of every probe against a set of vectors: (probe ids, ids, scores).
+    """Top-k of every unit probe against a set of unit vectors: (probe ids, ids, scores).
 
-    Probes and vectors are taken in slices, so the score matrix stays small.
+    Probes and vectors are taken in slices, so the score matrix stays small. The
+    product is done in single precision; the few pairs within its error of the
+    k-th best are scored again in double precision, so none is missed. Scores
+    below a probe's ``floor`` may be left out.
     """
-    parts = []
+    parts, single = [], vectors.astype(np.float32)
+    slack = 2 * (vectors.shape[1] + 2) * SINGLE_ERROR + 10.0**-SCORE_DIGITS
+    floor = np.full(len(probes), -np.inf) if floor is None else floor
     for start in range(0, len(probe_ids), PROBE_CHUNK):
         chunk = probes[start : start + PROBE_CHUNK]
-        row, col, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        for low in range(0, len(ids), BLOCK_ROWS):
-            more = near_rows(chunk, vectors[low : low + BLOCK_ROWS], k)
-            row = np.concatenate([row, more[0]])
-            col = np.concatenate([col, more[1] + low])
-            score = np.concatenate([score, more[2]])
-            best = first_k(row, ids[col], score, k)
-            row, col, score = row[best], col[best], score[best]
+        rough = chunk.astype(np.float32)
+        row, col, score = best_of_slices(
+            ids,
+            k,
+            floor[start : start + PROBE_CHUNK],
+            slack,
+            lambda columns: rough @ single[columns].T,
+            lambda r, c: np.einsum("ij,ij->i", chunk[r], vectors[c]),
+        )
         parts.append((probe_ids[start + row], ids[col], score))
     return tuple(np.concatenate(column) for column in zip(*parts))
 
@@ -232,35 +269,46 @@ def scan_probes(probes: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
     return keep_best(probes.select("probe_id", "v").mapInArrow(scan, schema), k)
 
 
-def cell_plan(probes: DataFrame, gallery: DataFrame, block_rows: int) -> DataFrame:
+def cell_plan(probes: DataFrame, gallery: DataFrame, block_rows: int, width: int) -> DataFrame:
     """``(cell, psubs, gsubs)``: into how many blocks each cell's two sides are split.
 
-    A cell is never one group: however many rows it holds, a block of it has
-    about ``block_rows``.
+    A cell is never one group: however many rows it holds, a block of it has as
+    many as ``shipped_rows`` tells, and its probes are ``PROBE_BLOCKS`` blocks
+    if they fill as many of ``block_rows``.
     """
+    rows, most = F.count(F.lit(1)), shipped_rows(block_rows, width)
+    psubs = F.greatest(F.ceil(rows / most), F.least(F.ceil(rows / block_rows), F.lit(PROBE_BLOCKS)))
+    asked = probes.groupBy("cell").agg(psubs.cast("int").alias("psubs"))
+    held = gallery.groupBy("cell").agg(F.ceil(rows / most).cast("int").alias("gsubs"))
+    # one row per cell, and the centroids of all cells fit into a task
+    return F.broadcast(asked.join(held, "cell"))
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
 
-    # one row per cell, and the centroids of all cells fit into a task
-    return F.broadcast(blocks(probes, "psubs").join(blocks(gallery, "gsubs"), "cell"))
+def shipped_rows(block_rows: int, width: int) -> int:
+    """Rows of a block: ``block_rows``, or more if ``SHIP_BYTES`` hold more vectors.
+
+    Every block is sent to all of the other side, so what two sides ship is the
+    product of their rows by the rows of a block.
+    """
+    return max(block_rows, SHIP_BYTES // (8 * max(width, 1)))
 
 
 def blocked_scores(
     probes: DataFrame,
     gallery: DataFrame,
     k: int,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int,
+    width: int,
     score_pair: Callable[[pa.Table, pa.Table], tuple] | None = None,
 ) -> DataFrame:
-    """Local top-k per pair of blocks. Both sides carry a ``cell`` column.
+    """Local top-k per pair of blocks. Both sides carry a ``cell`` column, vectors have ``width`` elements.
 
     A probe meets every block of its cells, a gallery block meets every probe
-    block of its cell, and one pair of blocks is one product of their vectors
-    ``v``, or what ``score_pair`` makes of the two tables.
+    block of its cell, and one pair of blocks is scored by the vectors ``v``,
+    slice by slice, or is what ``score_pair`` makes of the two tables.
     """
     schema = result_schema(probes, gallery)
-    plan = cell_plan(probes, gallery, block_rows)
+    plan = cell_plan(probes, gallery, block_rows, width)
     keys = ["cell", "psub", "gsub"]
 
     def block_of(key: str, blocks: str):
@@ -301,10 +349,10 @@ def blocked_scores(
 
 def topk_blocked(probes: DataFrame, gallery: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact top-k for any number of probes: blocks against blocks."""
-    one = F.lit(0)
-    probes, gallery = usable_sides(probes, gallery)
+    one, width = F.lit(0), usual_width(gallery)
+    probes, gallery = usable_rows(probes, width), usable_rows(gallery, width)
     both = (probes.select("probe_id", "v", one.alias("cell")), gallery.select("id", "v", one.alias("cell")))
-    local = blocked_scores(*both, k, block_rows)
+    local = blocked_scores(*both, k, block_rows, width)
     return keep_best(local, k)
 
 
@@ -321,6 +369,15 @@ class RoutedBlocks:
     counts: np.ndarray
     rows: DataFrame
 
+    def bundles(self, most: int) -> np.ndarray:
+        """The number of each cell's bundle: cells that are shipped together, ``most`` rows of them or one larger cell."""
+        numbers, number, size = np.zeros(len(self.counts), np.int32), 0, 0
+        for cell, count in enumerate(self.counts):
+            if size and size + count > most:
+                number, size = number + 1, 0
+            numbers[cell], size = number, size + count
+        return numbers
+
     def bounds(self, probes: np.ndarray) -> np.ndarray:
         """What a row of each cell can score at most, for unit probes: angles obey the triangle inequality."""
         away = np.arccos(np.clip(probes @ self.routes.T, -1.0, 1.0))
@@ -362,20 +419,21 @@ def route_blocks(gallery: DataFrame, block_rows: int = BLOCK_ROWS, most: int = R
     return RoutedBlocks(routes, angle, counts, dealt.drop("angle"))
 
 
-def visits(asked: DataFrame, blocks: RoutedBlocks, first: bool) -> DataFrame:
-    """``(probe_id, v, cell)`` for ``asked(probe_id, v, floor)``.
+def visits(asked: DataFrame, blocks: RoutedBlocks, bundles: np.ndarray, first: bool) -> DataFrame:
+    """``(probe_id, v, floor, cell, inner)`` for ``asked(probe_id, v, floor)``.
 
     The ``first`` time each probe has the cell of its best bound, then all others
     whose bound reaches its floor; without a floor all have to be searched.
+    A probe has one row for each bundle, its ``cell``, of the cells ``inner``.
     """
-    held = asked.sparkSession.sparkContext.broadcast((blocks.routes, blocks.angle, blocks.counts))
-    schema = T.StructType([asked.schema["probe_id"], asked.schema["v"], T.StructField("cell", T.IntegerType())])
+    held = asked.sparkSession.sparkContext.broadcast((blocks.routes, blocks.angle, blocks.counts, bundles))
+    added = "cell int, inner array<int>"
+    schema = T.StructType([*asked.select("probe_id", "v", "floor").schema, *T.StructType.fromDDL(added).fields])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = RoutedBlocks(*held.value, None)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        routes, angle, counts, bundle_of = held.value
+        known = RoutedBlocks(routes, angle, counts, None)
+        for batch in (whole.slice(low, SLICE_ROWS) for whole in batches for low in range(0, whole.num_rows, SLICE_ROWS)):
             most = known.bounds(unit_matrix(batch.column("v")))
             row, cell = np.arange(len(most)), most.argmax(axis=1)
             if not first:
@@ -383,23 +441,59 @@ def visits(asked: DataFrame, blocks: RoutedBlocks, first: bool) -> DataFrame:
                 reach = most + BOUND_SLACK >= np.where(np.isnan(floor), -2.0, floor)[:, None]
                 reach[row, cell] = False
                 row, cell = np.nonzero(reach)
-            part = batch.select(["probe_id", "v"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32))], names=schema.names)
+            # cells of a bundle are next to each other
+            number = bundle_of[cell]
+            starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (number[1:] != number[:-1])][: len(row)])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)).astype(np.int32)), pa.array(cell.astype(np.int32)))
+            part = batch.select(["probe_id", "v", "floor"]).take(pa.array(row[starts]))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(number[starts]), lists], names=schema.names)
 
     return asked.select("probe_id", "v", "floor").mapInArrow(choose, schema)
 
 
+def score_cells(left: pa.Table, right: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Top-k of every probe among the cells ``inner`` that it asks for, of those of a bundle."""
+    ids, vectors, probes = right["id"].to_numpy(), unit_matrix(right["v"]), unit_matrix(left["v"])
+    floor = np.nan_to_num(left["floor"].to_numpy().astype(np.float64), nan=-np.inf)
+    asked = left["inner"].combine_chunks()
+    cells, rows = asked.flatten().to_numpy(), np.repeat(np.arange(len(left)), asked.value_lengths().to_numpy())
+    order = np.argsort(cells, kind="stable")
+    cells, rows = cells[order], rows[order]
+    own = right["inner"].to_numpy()
+    places = np.argsort(own, kind="stable")
+    own, found = own[places], (np.empty(0, np.int64), ids[:0], np.empty(0))
+    for cell in np.unique(own):
+        some = rows[np.searchsorted(cells, cell) : np.searchsorted(cells, cell, "right")]
+        if not len(some):
+            continue
+        at = places[np.searchsorted(own, cell) : np.searchsorted(own, cell, "right")]
+        more = score_block(some, probes[some], ids[at], vectors[at], k, floor[some])
+        found = tuple(np.concatenate(pair) for pair in zip(found, more))
+        if len(found[0]) > 2 * k * len(left):
+            best = first_k(*found, k)
+            found = tuple(column[best] for column in found)
+    best = first_k(*found, k)
+    return left["probe_id"].to_numpy()[found[0][best]], found[1][best], found[2][best]
+
+
 def bounded_search(probes: DataFrame, blocks: RoutedBlocks, k: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """The exact top-k and the ``(probe_id, cell)`` pairs that were searched for it."""
+    """The exact top-k and ``(probe_id, inner)``: the cells that were searched for it."""
+    width = blocks.routes.shape[1]
+    bundles = blocks.bundles(shipped_rows(block_rows, width))
+    number = F.get(F.array(*[F.lit(int(n)) for n in bundles]), F.col("cell"))
+    rows = blocks.rows.select("id", "v", number.alias("cell"), F.col("cell").alias("inner"))
+
+    def search(asked: DataFrame) -> DataFrame:
+        return blocked_scores(asked, rows, k, block_rows, width, lambda left, right: score_cells(left, right, k))
+
     none = F.lit(None).cast("double")
-    near = durable(visits(probes.select("probe_id", "v", none.alias("floor")), blocks, True))
-    found = durable(keep_best(blocked_scores(near, blocks.rows, k, block_rows), k))
+    near = durable(visits(probes.select("probe_id", "v", none.alias("floor")), blocks, bundles, True))
+    found = durable(keep_best(search(near), k))
     floors = found.where(F.col("rank") == k).select("probe_id", F.col("score").alias("floor"))
     begun = probes.select("probe_id", "v").join(floors, "probe_id", "left")
-    far = durable(visits(begun, blocks, False))
-    more = blocked_scores(far, blocks.rows, k, block_rows)
-    pairs = near.select("probe_id", "cell").unionByName(far.select("probe_id", "cell"))
-    return keep_best(found.select("probe_id", "id", "score").unionByName(more), k), pairs
+    far = durable(visits(begun, blocks, bundles, False))
+    pairs = near.select("probe_id", "inner").unionByName(far.select("probe_id", "inner"))
+    return keep_best(found.select("probe_id", "id", "score").unionByName(search(far)), k), pairs
 
 
 def topk_bounded(probes: DataFrame, gallery: DataFrame, k: int, block_rows: int = BLOCK_ROWS, routes: int = ROUTES) -> DataFrame:
@@ -407,8 +501,9 @@ def topk_bounded(probes: DataFrame, gallery: DataFrame, k: int, block_rows: int
 
     The gallery is dealt to cells around routing vectors. Every probe searches
     its best cell first; its k-th score there rules out all cells whose bound is
-    lower, so these two are neither shipped to each other nor multiplied. Cells
-    are cut into blocks of about ``block_rows``, as in ``topk_blocked``.
+    lower, so these two are not multiplied. Small cells are shipped in bundles,
+    and a probe goes once to each bundle with a cell for it; large ones are cut
+    into blocks, as in ``topk_blocked``.
     """
     probes, gallery = usable_sides(probes, gallery)
     return bounded_search(probes, route_blocks(gallery, block_rows, routes), k, block_rows)[0]
@@ -419,7 +514,7 @@ def block_report(probes: DataFrame, gallery: DataFrame, k: int, block_rows: int
     probes, gallery = usable_sides(probes, gallery)
     blocks = route_blocks(gallery, block_rows, routes)
     cells = int((blocks.counts > 0).sum())
-    searched = bounded_search(probes, blocks, k, block_rows)[1].agg(F.count(F.lit(1)).alias("searched"))
+    searched = bounded_search(probes, blocks, k, block_rows)[1].agg(F.coalesce(F.sum(F.size("inner")), F.lit(0)).alias("searched"))
     pairs = F.col("probes") * cells
     return (
         probes.agg(F.count(F.lit(1)).alias("probes"))

@@ -62,6 +62,18 @@ def test_bounded_search_skips_blocks(sides):
     assert report["probes"] == 120 and report["pairs"] == 120 * report["cells"] and report["skipped"] > 0.5
 
 
+def test_a_probe_is_shipped_once_to_a_bundle_of_cells(sides):
+    probes, gallery, p, g = sides
+    blocks = sim.route_blocks(g, 7)
+    cells = int((blocks.counts > 0).sum())
+    bundles = blocks.bundles(len(gallery) // 3)
+    assert cells > 10 and len(bundles) == len(blocks.counts) and 2 <= bundles.max() <= 6
+    far = sim.visits(p.select("probe_id", "v", F.lit(None).cast("double").alias("floor")), blocks, bundles, False).collect()
+    assert len(far) <= len(probes) * (bundles.max() + 1)
+    assert sum(len(r["inner"]) for r in far) == len(probes) * (cells - 1)
+    assert all(bundles[cell] == r["cell"] for r in far for cell in r["inner"])
+
+
 def test_bounded_search_of_odd_rows(spark):
     rng = np.random.default_rng(3)
     gallery = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]

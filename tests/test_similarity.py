@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from probewise.operators import approximate as ann
 from probewise.operators import similarity as sim
@@ -221,3 +222,33 @@ def test_best_cells_do_not_depend_on_blocks(n):
     whole = np.argsort(-(vectors @ centroids.T), axis=1, kind="stable")[:, :n]
     for block in (1, 2, 4, 100):
         assert (ann.best_cells(vectors, centroids, n, block) == whole).all()
+
+
+def test_small_blocks_are_not_shipped_to_each_other(spark):
+    def rows(key):
+        number = F.col("id")
+        return spark.range(3000).select(number.alias(key), F.array(F.rand(1), F.rand(2)).alias("v"), (number % 2).cast("int").alias("cell"))
+
+    # what a pair of blocks gets, as (probe id, id, score)
+    sizes = sim.blocked_scores(
+        rows("probe_id"), rows("id"), 3, 16, 2, lambda left, right: ([len(left)], [len(right)], [0.0])
+    ).collect()
+    assert sum(r["probe_id"] * r["id"] for r in sizes) == 2 * 1500 * 1500
+    assert sum(r["probe_id"] + r["id"] for r in sizes) <= (1 + sim.PROBE_BLOCKS) * 3000
+    assert len(sizes) == 2 * sim.PROBE_BLOCKS
+
+
+@pytest.mark.parametrize("order", ["rising", "falling", "equal"])
+def test_the_floor_of_a_slice_holds_for_the_next(order):
+    rng, count = np.random.default_rng(2), 3 * sim.SLICE_ROWS + 5
+    vectors = sim.unit_rows(rng.normal(size=(count, 4)))
+    probes = sim.unit_rows(np.vstack([vectors[:1], rng.normal(size=(4, 4))]))
+    vectors = vectors[np.argsort(vectors @ probes[0])] if order != "equal" else np.repeat(vectors[:1], count, axis=0)
+    vectors, ids = (vectors[::-1] if order == "falling" else vectors), rng.permutation(count)
+    whole = np.round(probes @ vectors.T, 6)
+    for k, floor in ((1, None), (7, None), (7, np.sort(whole, axis=1)[:, -7])):
+        rows, found, scores = sim.score_block(np.arange(5), probes, ids, vectors, k, floor)
+        for i in range(5):
+            best = np.lexsort((ids, -whole[i]))[:k]
+            assert list(found[rows == i]) == list(ids[best])
+            assert np.abs(scores[rows == i] - whole[i][best]).max() < 2e-6
