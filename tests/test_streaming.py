@@ -290,6 +290,122 @@ def test_a_hot_key_is_worked_on_slot_by_slot(spark, tmp_path):
     assert handed == [(60 * (i + 1), 60) for i in range(100)]
 
 
+class Stored(dict):
+    """A state variable, map or value, that counts its calls."""
+
+    calls = 0
+
+    def __getattribute__(self, name):
+        if name in ("keys", "getValue", "updateValue", "removeKey", "get", "update", "clear"):
+            Stored.calls += 1
+        return super().__getattribute__(name)
+
+    def keys(self):
+        return list(self)
+
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+    def get(self):
+        return self["value"] if "value" in self else None
+
+    def update(self, value):
+        self["value"] = value
+
+
+class Handle:
+    def __init__(self):
+        self.timers, self.states = set(), {}
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, Stored())
+
+    def getValueState(self, name, *_):
+        return self.states.setdefault(name, Stored())
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+class Handed:
+    """Hands on what it gets, and counts it."""
+
+    state = "seen long"
+
+    def begin(self):
+        return (0,)
+
+    def apply(self, key, state, rows):
+        return (state[0] + len(rows),), rows
+
+    def until(self, state):
+        return None
+
+
+def keyed_run(waits, steps):
+    """What is handed on of one key: the batches of a trigger, and the watermark after it, in milliseconds."""
+    fields = T.StructType.fromDDL("at long, id long, c string")
+    processor, handle, out = keyed.InTimeOrder(fields, "id", Handed(), 10, waits), Handle(), []
+    processor.init(handle)
+    Stored.calls = 0
+    for batches, passed in steps:
+        out += list(processor.handleInputRows(("k",), iter(batches), None))
+        for at in sorted(t for t in handle.timers if t <= passed):
+            handle.timers.remove(at)
+            out += list(processor.handleExpiredTimer(("k",), Watermark(passed), None))
+    rows = [tuple(r) for part in out for r in part[["at", "id"]].itertuples(index=False, name=None)]
+    return rows, handle, Stored.calls
+
+
+def far_apart(n, seed, low=0):
+    """Rows of as many slots of ten seconds, in any order."""
+    ids = list(range(low, low + n))
+    random.Random(seed).shuffle(ids)
+    return pd.DataFrame({"at": [i * 10_000_000 for i in ids], "id": ids, "c": [None if i % 3 else "x" for i in ids]})
+
+
+def test_rows_of_many_slots_take_few_calls_to_the_state():
+    rows, _, calls = keyed_run(False, [([far_apart(200, 1)], 0), ([far_apart(200, 2, 200)], 0)])
+    assert [r[1] for r in rows] == list(range(400)) and calls <= 4
+    rows, handle, calls = keyed_run(True, [([far_apart(200, 1)], 0), ([far_apart(200, 2, 200)], 10_000_000)])
+    assert [r[1] for r in rows] == list(range(400)) and calls <= 20
+    assert not handle.states["rows"]
+
+
+@pytest.mark.parametrize("part_rows", [1, 40, 130, 4096])
+def test_waiting_rows_come_in_order_however_they_are_stored(monkeypatch, part_rows):
+    monkeypatch.setattr(keyed, "PART_ROWS", part_rows)
+    rnd, rows = random.Random(part_rows), far_apart(300, 4)
+    rows["at"] = rows["at"] // 7
+    # a row comes up to 60 seconds late, and the watermark waits as long
+    rows = rows.iloc[sorted(range(300), key=lambda i: rows["at"][i] + rnd.uniform(0, 60e6))].reset_index(drop=True)
+    steps, latest = [], 0
+    for low in range(0, 300, 50):
+        batches = [rows[low : low + 20], rows[low + 20 : low + 50]]
+        latest = max(latest, int(rows["at"][low : low + 50].max()))
+        steps.append((batches, latest // 1000 - 60_000))
+    found, handle, _ = keyed_run(True, [*steps, ([], 10**9)])
+    assert found == sorted(zip(rows["at"], rows["id"])) and not handle.states["rows"]
+    assert handle.states["kept"]["value"][:3] == (0, 0, None) and handle.states["kept"]["value"][3] == 300
+
+
 def test_the_log_is_pruned_by_day(spark, tmp_path):
     now = datetime(2024, 6, 1, 12)
     rows = [("a", "admin", "/v1/x", 200, str(i), now - timedelta(hours=i)) for i in range(900)]
