@@ -452,14 +452,20 @@ def visits(asked: DataFrame, blocks: RoutedBlocks, bundles: np.ndarray, first: b
 
 
 def score_cells(left: pa.Table, right: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Top-k of every probe among the cells ``inner`` that it asks for, of those of a bundle."""
-    ids, vectors, probes = right["id"].to_numpy(), unit_matrix(right["v"]), unit_matrix(left["v"])
+    """Top-k of every probe among the cells ``inner`` that it asks for, of those of a bundle; more rows where ids repeat."""
+    ids, vectors, own = right["id"].to_numpy(), unit_matrix(right["v"]), right["inner"].to_numpy()
+    _, number, times = np.unique(ids, return_inverse=True, return_counts=True)
+    if times.max() > 1:
+        # an id counts once, so copies go and ids that still repeat get more places
+        kept = np.sort(np.unique(np.column_stack([number, vectors]), axis=0, return_index=True)[1])
+        ids, vectors, own = ids[kept], vectors[kept], own[kept]
+        k *= int(np.unique(number[kept], return_counts=True)[1].max())
+    probes = unit_matrix(left["v"])
     floor = np.nan_to_num(left["floor"].to_numpy().astype(np.float64), nan=-np.inf)
     asked = left["inner"].combine_chunks()
     cells, rows = asked.flatten().to_numpy(), np.repeat(np.arange(len(left)), asked.value_lengths().to_numpy())
     order = np.argsort(cells, kind="stable")
     cells, rows = cells[order], rows[order]
-    own = right["inner"].to_numpy()
     places = np.argsort(own, kind="stable")
     own, found = own[places], (np.empty(0, np.int64), ids[:0], np.empty(0))
     for cell in np.unique(own):

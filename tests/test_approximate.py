@@ -74,6 +74,12 @@ def test_a_probe_is_shipped_once_to_a_bundle_of_cells(sides):
     assert all(bundles[cell] == r["cell"] for r in far for cell in r["inner"])
 
 
+def test_bounded_search_counts_an_id_once(sides):
+    probes, gallery, p, g = sides
+    twice = g.unionByName(g).unionByName(g.select("id", F.transform("v", lambda x: x * 0.5).alias("v")))
+    assert rows_of(sim.topk_bounded(p, twice, 7, 7)) == brute_force(probes, gallery, 7)
+
+
 def test_bounded_search_of_odd_rows(spark):
     rng = np.random.default_rng(3)
     gallery = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]

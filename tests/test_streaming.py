@@ -381,7 +381,7 @@ def far_apart(n, seed, low=0):
     return pd.DataFrame({"at": [i * 10_000_000 for i in ids], "id": ids, "c": [None if i % 3 else "x" for i in ids]})
 
 
-def test_rows_of_many_slots_take_few_calls_to_the_state():
+def test_rows_of_many_slots_take_few_calls_to_the_state(spark):
     rows, _, calls = keyed_run(False, [([far_apart(200, 1)], 0), ([far_apart(200, 2, 200)], 0)])
     assert [r[1] for r in rows] == list(range(400)) and calls <= 4
     rows, handle, calls = keyed_run(True, [([far_apart(200, 1)], 0), ([far_apart(200, 2, 200)], 10_000_000)])
@@ -389,8 +389,15 @@ def test_rows_of_many_slots_take_few_calls_to_the_state():
     assert not handle.states["rows"]
 
 
+@pytest.mark.parametrize("waits", [False, True])
+def test_rows_without_a_time_are_left_out(spark, waits):
+    batch = pd.DataFrame({"at": [None, 2e7, 1e7], "id": [1, 2, 3], "c": ["x", None, "y"]})
+    rows, _, _ = keyed_run(waits, [([batch, batch[:1]], 0), ([batch[:1]], 10**6)])
+    assert rows == [(10**7, 3), (2 * 10**7, 2)]
+
+
 @pytest.mark.parametrize("part_rows", [1, 40, 130, 4096])
-def test_waiting_rows_come_in_order_however_they_are_stored(monkeypatch, part_rows):
+def test_waiting_rows_come_in_order_however_they_are_stored(spark, monkeypatch, part_rows):
     monkeypatch.setattr(keyed, "PART_ROWS", part_rows)
     rnd, rows = random.Random(part_rows), far_apart(300, 4)
     rows["at"] = rows["at"] // 7
