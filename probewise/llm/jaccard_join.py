@@ -13,7 +13,8 @@ classes, so within the sets of a signature a star of pairs is compared first,
 and pairs that the links so far already connect need no comparison. All other
 pairs of a signature are compared. Parts are more than needed, so that
 signatures without any shingle, which unlike sets would share, can be left out.
-Where a signature has very many open sets still, those sets are keyed anew by the rarest of their shingles, as many as two similar
+Where a signature has very many open sets still, as around a common passage, those
+of them without enough other signatures are keyed anew by the rarest of their shingles, as many as two similar
 sets can't all miss, which tells texts around a common passage apart.
 
 Before the exact comparison a pair is tested by counts of its shingles in hash
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from probewise.llm.common import BROADCAST_ROWS, let_go, query, read, sized
+from probewise.llm.common import BROADCAST_ROWS, let_go, query, read, saved, sized
 from probewise.llm.components import connected
 from probewise.session import durable
 
@@ -49,9 +50,11 @@ WAVES = 3
 CROWDED = 40
 #: Set keys that a task remembers, to send a set's signatures once.
 MEMORY = 300_000
+#: Shingle sets of a partition of a saved table, about.
+SET_ROWS = 500
 #: Shingles to a bucket of a set's counts, about.
 BUCKET = 8
-STEP = 256
+STEP = 1024
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -175,23 +178,19 @@ def parts_of(k: int, smallest: int, shape: tuple[int, int]) -> tuple[int, int]:
         surplus += 1
 
 
-def signatures(sets: list[np.ndarray], percent: int, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """``(number of the set, signature)`` of all sets, with those of a larger band that a set may belong to.
+def contents(sets: list[np.ndarray], percent: int, shape: tuple[int, int]) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """``(numbers of the sets, surplus, signatures, whether they are empty)`` of every band that some sets may belong to.
 
+    The last two are by set, part, and choice of the subparts that are left out.
     A band without differences (``k`` = 0) only joins equal sets and has none.
-    A signature of no shingle at all would be that of many sets. Similar sets
-    agree in ``surplus`` parts, so one that has fewer parts with such a
-    signature leaves these out: another part brings it together with the
-    other set, by a signature that has shingles there too.
     """
     k2, n2 = shape
     omitted = list(combinations(range(n2), k2))
-    keep = np.ones((len(omitted), n2), np.uint64)
+    keep = np.ones((len(omitted), n2), bool)
     for row, places in enumerate(omitted):
-        keep[row, list(places)] = 0
+        keep[row, list(places)] = False
     sizes = np.array([len(s) for s in sets], np.int64)
     table = bands(percent, int(sizes.max(initial=1)) * 100 // percent + 1)
-    owners, found = [], []
     for number, (low, high, k) in enumerate(table):
         members = np.flatnonzero((100 * sizes >= percent * low) & (sizes <= high) & (sizes > 0))
         if not k or not len(members):
@@ -210,21 +209,49 @@ def signatures(sets: list[np.ndarray], percent: int, shape: tuple[int, int]) ->
         filled = (np.bincount(place, minlength=length) > 0).reshape(-1, n2)
         subset = np.zeros((len(content), len(omitted)), np.uint64)
         empty = np.zeros(subset.shape, bool)
-        for row in range(len(omitted)):
-            kept = keep[row].astype(bool)
+        for row, kept in enumerate(keep):
             subset[:, row] = content[:, kept].sum(axis=1, dtype=np.uint64)
             empty[:, row] = ~filled[:, kept].any(axis=1)
-        lacking = empty.any(axis=1).reshape(len(members), -1).sum(axis=1)
-        sent = ~empty.reshape(len(members), -1) | (lacking >= surplus)[:, None]
         salt = (np.arange(parts, dtype=np.uint64)[:, None] * np.uint64(len(omitted)) + np.arange(len(omitted), dtype=np.uint64)) * ODD[0]
-        subset = mix(subset.reshape(len(members), -1) + salt.reshape(1, -1) + times(ODD[2], number + 1))
-        owners.append(np.repeat(members, sent.sum(axis=1)))
-        found.append(subset[sent].view(np.int64))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        by_set = (len(members), parts, len(omitted))
+        yield members, surplus, mix(subset.reshape(by_set) + salt + times(ODD[2], number + 1)).view(np.int64), empty.reshape(by_set)
+
+
+def signatures(sets: list[np.ndarray], percent: int, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """``(number of the set, signature)`` of all sets, with those of a larger band that a set may belong to.
+
+    A signature of no shingle at all would be that of many sets. Similar sets
+    agree in ``surplus`` parts, so one that has fewer parts with such a
+    signature leaves these out: another part brings it together with the
+    other set, by a signature that has shingles there too.
+    """
+    owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for members, surplus, subset, empty in contents(sets, percent, shape):
+        lacking = empty.any(axis=2).sum(axis=1)
+        sent = ~empty | (lacking >= surplus)[:, None, None]
+        owners.append(np.repeat(members, sent.sum(axis=(1, 2))))
+        found.append(subset[sent])
     return np.concatenate(owners), np.concatenate(found)
 
 
+def spare_signatures(sets: list[np.ndarray], percent: int, shape: tuple[int, int]) -> pd.DataFrame:
+    """``owner, band, part, spare, sig`` of the parts without empty signatures.
+
+    ``spare`` is how many such parts of a set in a band could be of no use
+    before it has none of the ``surplus`` left that it shares with any similar
+    set; where it is not positive, one row without a signature stands for all.
+    """
+    rows = []
+    for band, (members, surplus, subset, empty) in enumerate(contents(sets, percent, shape)):
+        lacking = empty.any(axis=2)
+        spare = surplus - lacking.sum(axis=1)
+        owner, part = np.nonzero(~lacking & (spare > 0)[:, None])
+        columns = {"owner": members[owner], "band": band, "part": part, "spare": spare[owner]}
+        rows += [pd.DataFrame(columns | {"sig": subset[owner, part, choice]}) for choice in range(subset.shape[2])]
+        rows.append(pd.DataFrame({"owner": members[spare <= 0], "band": band, "part": 0, "spare": 0, "sig": None}))
+    return pd.concat(rows) if rows else pd.DataFrame({c: [] for c in ("owner", "band", "part", "spare", "sig")})
+
+
 def in_steps(texts: pd.Series, width: int) -> Iterator[list[np.ndarray]]:
     """The shingle sets of a batch, some texts at a time: up to ``STEP``, fewer long ones."""
     some: list[str] = []
@@ -336,7 +363,7 @@ def shared_signatures(texts: DataFrame, width: int, percent: int) -> DataFrame:
     """
     found = None
     for wave in range(WAVES):
-        part = durable(groups(signature_rows(texts, width, percent, SHAPE, wave, WAVES)))
+        part = saved(groups(signature_rows(texts, width, percent, SHAPE, wave, WAVES)))
         found = part if found is None else found.union(part)
         let_go(texts.sparkSession)
     return found
@@ -348,19 +375,19 @@ class Sets:
     def __init__(self, nodes: DataFrame, rows: DataFrame, source: DataFrame, width: int, percent: int):
         self.width, self.percent = width, percent
         picked = rows.join(nodes, "node").groupBy("node").agg(F.min(F.struct("_key", "_t")).alias("_p"))
-        picked = durable(picked.select(F.col("node").alias("_node"), F.col("_p._key").alias("_pk"), F.col("_p._t").alias("_pt")))
+        picked = saved(picked.select(F.col("node").alias("_node"), F.col("_p._key").alias("_pk"), F.col("_p._t").alias("_pt")))
         few = picked.count() <= BROADCAST_ROWS
         match = (F.col("_t") == F.col("_pt")) & F.col("_key").eqNullSafe(F.col("_pk"))
         # one text for each node, by the key and the text's hash of one of its documents
         texts = source.join(F.broadcast(picked) if few else picked, match).select(F.col("_node").alias("node"), "_text")
         # too many to send: they are moved once, and read from there afterwards
         self.texts = texts if few else durable(texts)
-        self.counts = durable(self.texts.select("node", counted(width)("_text").alias("_c")).select("node", "_c.n", "_c.counts").dropDuplicates(["node"]))
+        self.counts = saved(self.texts.select("node", counted(width)("_text").alias("_c")).select("node", "_c.n", "_c.counts").dropDuplicates(["node"]))
 
     def of(self, nodes: DataFrame) -> DataFrame:
         """``node, s`` of some nodes, saved; a repeated row gives its set again."""
         # saved, or a condition on the sets would be tested on all texts, before the join
-        return durable(self.texts.join(sized(nodes), "node", "left_semi").select("node", shingles(self.width)("_text").alias("s")))
+        return saved(self.texts.join(sized(nodes), "node", "left_semi").select("node", shingles(self.width)("_text").alias("s")), SET_ROWS)
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b`` whose sets are similar enough, saved."""
@@ -369,12 +396,36 @@ class Sets:
         two = self.counts.select(F.col("node").alias("b"), F.col("n").alias("_nb"), F.col("counts").alias("_cb"))
         near = 100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")
         tested = pairs.join(one, "a").join(two, "b").where(near).where(may_link(percent)("_na", "_ca", "_nb", "_cb"))
-        left = durable(tested.select("a", "b", "_na", "_nb"))
-        nodes = durable(left.select(F.col("a").alias("node")).union(left.select("b")).distinct())
+        left = saved(tested.select("a", "b", "_na", "_nb"))
+        nodes = saved(left.select(F.col("a").alias("node")).union(left.select("b")).distinct())
         sets = self.of(nodes)
         both = left.join(sets.select(F.col("node").alias("a"), F.col("s").alias("_sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("_sb")), "b")
         common = F.size(F.array_intersect("_sa", "_sb"))
-        return durable(both.where((100 + percent) * common >= percent * (F.col("_na") + F.col("_nb"))).select("a", "b").distinct())
+        return saved(both.where((100 + percent) * common >= percent * (F.col("_na") + F.col("_nb"))).select("a", "b").distinct())
+
+    def only_crowded(self, crowded: DataFrame) -> DataFrame:
+        """The nodes of the crowded rows ``sig, node`` that may be similar to one which no other signature shows.
+
+        A set with fewer crowded or empty parts than it has in common with any similar
+        set shares a signature with that set that is neither, and was compared by it.
+        """
+        width, percent = self.width, self.percent
+
+        def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                start = 0
+                for sets in in_steps(frame["_text"], width):
+                    rows = spare_signatures(sets, percent, SHAPE)
+                    rows["node"] = frame["node"].to_numpy()[start : start + len(sets)][rows.pop("owner").to_numpy(np.int64)]
+                    start += len(sets)
+                    yield rows.astype({"sig": "Int64"})
+
+        nodes = saved(crowded.select("node").distinct())
+        texts = self.texts.join(sized(nodes), "node", "left_semi").select("node", "_text")
+        rows = texts.mapInPandas(emit, "node long, band int, part int, spare int, sig long")
+        hot = rows.join(sized(saved(crowded.select("sig").distinct())).withColumn("_hot", F.lit(1)), "sig", "left")
+        hot = hot.where("_hot = 1 OR spare <= 0").groupBy("node", "band").agg(F.count_distinct("part").alias("_n"), F.min("spare").alias("_spare"))
+        return saved(hot.where("_n >= _spare").select("node").distinct())
 
     def rare_shingles(self, nodes: DataFrame) -> DataFrame:
         """``sig, node, n, rest``: the rarest shingles of each set, as many as one of any similar pair must share.
@@ -421,26 +472,26 @@ class Links:
 
 
 def ordered_pairs(pairs: DataFrame) -> DataFrame:
-    return durable(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct())
+    return saved(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct())
 
 
 def settle(members: DataFrame, sets: Sets, links: Links, crowded: int | None) -> DataFrame | None:
     """Compare the sets of each signature until every pair is linked, known not to be, or connected.
 
-    Adds the links it finds; returns the nodes of crowded signatures that are still open.
+    Adds the links it finds; returns ``sig, node`` of crowded signatures that are still open.
     """
     # the text that others were copied from shares more signatures with more sets than its copies do
     often = members.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"))
-    weight = durable(members.join(often, "sig").groupBy("node").agg(F.sum("_n").alias("_weight")))
-    stars = durable(open_rows(members, links.label).join(weight, "node"))
+    weight = saved(members.join(often, "sig").groupBy("node").agg(F.sum("_n").alias("_weight")))
+    stars = saved(open_rows(members, links.label).join(weight, "node"))
     centers = stars.groupBy("sig").agg(F.max(F.struct("_weight", "node", "label")).alias("_center"))
     around = stars.join(centers, "sig").where("label != _center.label")
     pairs = ordered_pairs(around.select(F.col("_center.node").alias("x"), F.col("node").alias("y")))
     links.add(sets.linked(pairs))
-    still = durable(open_rows(members, links.label))
+    still = saved(open_rows(members, links.label))
     # sets of too different a size are told apart before anything else of them is moved
     sizes = still if "n" in members.columns else still.join(sets.counts.select("node", "n"), "node")
-    left = durable(sizes.join(still.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")), "sig"))
+    left = saved(sizes.join(still.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")), "sig"))
     few = left if crowded is None else left.where(F.col("_n") <= crowded)
     one, two = few.alias("o"), few.alias("t")
     match = (F.col("o.sig") == F.col("t.sig")) & (F.col("o.node") < F.col("t.node")) & (F.col("o.label") != F.col("t.label"))
@@ -450,23 +501,24 @@ def settle(members: DataFrame, sets: Sets, links: Links, crowded: int | None) ->
         common = F.least("o.rest", "t.rest")
         match = match & ((100 + sets.percent) * common >= sets.percent * (F.col("o.n") + F.col("t.n")))
     rest = one.join(two, match).select(F.col("o.node").alias("x"), F.col("t.node").alias("y"))
-    rest = durable(ordered_pairs(rest).join(pairs, ["a", "b"], "left_anti"))
+    rest = saved(ordered_pairs(rest).join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links.add(sets.linked(rest))
-    return None if crowded is None else durable(left.where(F.col("_n") > crowded).select("node").distinct())
+    return None if crowded is None else saved(left.where(F.col("_n") > crowded).select("sig", "node"))
 
 
 def classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """``_key, _t, n, _label`` of every row: key, text hash, size of its set, and its class, null where it has no shingles."""
     source = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_t", F.xxhash64("_text"))
-    rows = durable(source.select("_key", "_t", keyed(width)("_text").alias("_s")).select("_key", "_t", "_s.n", "_s.node"))
+    rows = saved(source.select("_key", "_t", keyed(width)("_text").alias("_s")).select("_key", "_t", "_s.n", "_s.node"))
     members = shared_signatures(source, width, percent)
     links = Links()
     if not members.isEmpty():
         sets = Sets(members.select("node").distinct(), rows, source, width, percent)
-        many = settle(members, sets, links, CROWDED)
+        crowded = settle(members, sets, links, CROWDED)
+        many = crowded if crowded.isEmpty() else sets.only_crowded(crowded)
         if not many.isEmpty():
-            settle(durable(sets.rare_shingles(many)), sets, links, None)
+            settle(saved(sets.rare_shingles(many)), sets, links, None)
     labelled = rows.withColumn("label", F.col("node")) if links.label is None else rows.join(links.label, "node", "left")
     return labelled.select("_key", "_t", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("_label"))
 
@@ -485,7 +537,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     placed = classified(docs, key, text, width, percent)
     # saved, so that the join below is one that Spark can split where a class is large
-    least = durable(placed.where(F.col("n") > 0).groupBy("_label").agg(F.min("_key").alias("_least")))
+    least = saved(placed.where(F.col("n") > 0).groupBy("_label").agg(F.min("_key").alias("_least")))
     full = placed.where(F.col("n") > 0).join(least, "_label").select("_key", "n", F.col("_least").alias("component_id"))
     empty = placed.where(F.col("n") == 0).select("_key", "n", F.col("_key").alias("component_id"))
     return full.union(empty).select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), "component_id")
@@ -498,12 +550,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     the smallest key the one with the smallest text hash, a null key only where
     the class has no other. Texts without shingles all stay, repeated rows once.
     """
-    placed = durable(classified(docs, key, text, width, percent))
+    placed = saved(classified(docs, key, text, width, percent))
     first = F.min(F.struct(F.col("_key").isNull().alias("_none"), "_key", "_t")).alias("_p")
     full = placed.where(F.col("n") > 0).groupBy("_label").agg(first).select(F.col("_p._key").alias("_k"), F.col("_p._t").alias("_h"))
     empty = placed.where(F.col("n") == 0).select(F.col("_key").alias("_k"), F.col("_t").alias("_h")).distinct()
     match = F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_h"))
-    kept = docs.join(sized(durable(full.union(empty))), match, "left_semi")
+    kept = docs.join(sized(saved(full.union(empty))), match, "left_semi")
     if placed.groupBy("_key", "_t").count().where("count > 1").isEmpty():
         return kept
     # only where rows repeat key and text are they looked for

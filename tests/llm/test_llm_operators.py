@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from probewise.llm import divergence, exact_dedup, html_text, jaccard_join, licenses, mixing, packing, rule_classifier, secrets, tokens
 from probewise.llm.catalog import QUERIES, SQL
+from probewise.llm.common import saved
 from probewise.llm.components import connected
 
 FOLDER = Path("/root/testdata/sf0.001")
@@ -142,7 +143,7 @@ def test_join_of_edited_texts(spark, monkeypatch, width, percent, crowded):
     """Families of edited copies around the threshold, a shared passage, and crowded signatures."""
     monkeypatch.setattr(jaccard_join, "CROWDED", crowded)
     rng = np.random.default_rng(5)
-    passage = [f"p{i}" for i in range(40)]
+    passage = [f"p{i}" for i in range(60)]
     texts = []
     for family in range(6):
         base = [f"f{family}w{i}" for i in rng.integers(0, 400, int(rng.integers(8, 120)))]
@@ -185,6 +186,33 @@ def test_similar_sets_share_a_signature():
             assert set(sigs[owner == 0]) & set(sigs[owner == 1])
 
 
+def test_texts_around_a_passage_are_settled_by_other_signatures(spark, monkeypatch):
+    """Sets of crowded signatures go no further where enough of their signatures aren't crowded."""
+    monkeypatch.setattr(jaccard_join, "CROWDED", 5)
+    asked, keyed_anew = [], []
+    only, rare = jaccard_join.Sets.only_crowded, jaccard_join.Sets.rare_shingles
+
+    def counted(seen, call):
+        return lambda sets, rows: (seen.append(rows.select("node").distinct().count()), call(sets, rows))[1]
+
+    monkeypatch.setattr(jaccard_join.Sets, "only_crowded", counted(asked, only))
+    monkeypatch.setattr(jaccard_join.Sets, "rare_shingles", counted(keyed_anew, rare))
+    rng = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([*(f"w{x}" for x in rng.integers(0, 10**6, 60)), *passage]) for _ in range(120)]
+    texts += [f"{t} more" for t in texts[:10]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()}
+    assert found == {i: i % 120 for i in range(130)}
+    assert sum(asked) >= 50 and 2 * sum(keyed_anew) < sum(asked)
+
+
+def test_saved_tables_have_partitions_for_their_rows(spark):
+    assert saved(spark.range(0, 100, 1, 40)).rdd.getNumPartitions() == 1
+    some = saved(spark.range(0, 100, 1, 40), 30)
+    assert some.rdd.getNumPartitions() == 4 and {r.id for r in some.collect()} == set(range(100))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (95, 100)]
     found = {r.node: r.label for r in connected(spark.createDataFrame(chain, "a long, b long")).collect()}
