@@ -22,6 +22,7 @@ from probewise.operators.similarity import (
     PROBE_CHUNK,
     SCORE_DIGITS,
     SINGLE_ERROR,
+    SLICE_ROWS,
     as_matrix,
     best_of_slices,
     blocked_scores,
@@ -105,9 +106,9 @@ def nearest_cells(
     )
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        # a vector is repeated for each of its cells, so few are taken at a time
+        step = max(1, SLICE_ROWS // n)
+        for batch in (whole.slice(low, step) for whole in batches for low in range(0, whole.num_rows, step)):
             vectors = as_matrix(batch.column("v")).astype(np.float64, copy=False)
             cells = best_cells(vectors, held.value, n)[:, first:]
             base = np.empty(cells.shape)
