@@ -36,6 +36,8 @@ SLICE_ROWS = 4096
 SHIP_BYTES = 16 << 20
 # blocks of a cell's probes at least, for tasks to share the work of one cell
 PROBE_BLOCKS = 8
+# best places that a task gathers for some probes of a block before it goes on with the next ones, about
+PLACES = 250_000
 # routing vectors of a bounded search at most, and what bounds may be off by: rounding to six digits and angles
 ROUTES, BOUND_SLACK = 1024, 2e-6
 # rounding error of one single-precision operation
@@ -464,22 +466,29 @@ def score_cells(left: pa.Table, right: pa.Table, k: int) -> tuple[np.ndarray, np
     floor = np.nan_to_num(left["floor"].to_numpy().astype(np.float64), nan=-np.inf)
     asked = left["inner"].combine_chunks()
     cells, rows = asked.flatten().to_numpy(), np.repeat(np.arange(len(left)), asked.value_lengths().to_numpy())
-    order = np.argsort(cells, kind="stable")
-    cells, rows = cells[order], rows[order]
     places = np.argsort(own, kind="stable")
-    own, found = own[places], (np.empty(0, np.int64), ids[:0], np.empty(0))
-    for cell in np.unique(own):
-        some = rows[np.searchsorted(cells, cell) : np.searchsorted(cells, cell, "right")]
-        if not len(some):
-            continue
-        at = places[np.searchsorted(own, cell) : np.searchsorted(own, cell, "right")]
-        more = score_block(some, probes[some], ids[at], vectors[at], k, floor[some])
-        found = tuple(np.concatenate(pair) for pair in zip(found, more))
-        if len(found[0]) > 2 * k * len(left):
-            best = first_k(*found, k)
-            found = tuple(column[best] for column in found)
-    best = first_k(*found, k)
-    return left["probe_id"].to_numpy()[found[0][best]], found[1][best], found[2][best]
+    own, parts = own[places], []
+    # what is gathered for a probe in passing is several times its result, so probes are taken some at a time
+    step = max(1, PLACES // k)
+    for low in range(0, len(left), step):
+        first, last = np.searchsorted(rows, [low, low + step])
+        order = np.argsort(cells[first:last], kind="stable")
+        asked_cells, asking = cells[first:last][order], rows[first:last][order]
+        found = (np.empty(0, np.int64), ids[:0], np.empty(0))
+        for cell in np.unique(own):
+            some = asking[np.searchsorted(asked_cells, cell) : np.searchsorted(asked_cells, cell, "right")]
+            if not len(some):
+                continue
+            at = places[np.searchsorted(own, cell) : np.searchsorted(own, cell, "right")]
+            more = score_block(some, probes[some], ids[at], vectors[at], k, floor[some])
+            found = tuple(np.concatenate(pair) for pair in zip(found, more))
+            if len(found[0]) > 2 * k * step:
+                best = first_k(*found, k)
+                found = tuple(column[best] for column in found)
+        best = first_k(*found, k)
+        parts.append((found[0][best], found[1][best], found[2][best]))
+    row, id_, score = (np.concatenate(column) for column in zip(*parts))
+    return left["probe_id"].to_numpy()[row], id_, score
 
 
 def bounded_search(probes: DataFrame, blocks: RoutedBlocks, k: int, block_rows: int) -> tuple[DataFrame, DataFrame]:

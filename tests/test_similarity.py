@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +253,31 @@ def test_the_floor_of_a_slice_holds_for_the_next(order):
             best = np.lexsort((ids, -whole[i]))[:k]
             assert list(found[rows == i]) == list(ids[best])
             assert np.abs(scores[rows == i] - whole[i][best]).max() < 2e-6
+
+
+def test_a_block_gathers_few_places_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = lambda n: pa.array(rng.normal(size=(n, 8)).tolist())
+    asked = pa.array([list(range(5))] * 300, pa.list_(pa.int32()))
+    left = pa.table({"probe_id": np.arange(300), "v": vectors(300), "floor": pa.nulls(300, pa.float64()), "inner": asked})
+    right = pa.table({"id": np.arange(400), "v": vectors(400), "inner": (np.arange(400) % 5).astype(np.int32)})
+    whole = sorted(zip(*sim.score_cells(left, right, 7)))
+    sizes, first = [], sim.first_k
+    monkeypatch.setattr(sim, "PLACES", 140, raising=False)
+    monkeypatch.setattr(sim, "first_k", lambda row, *rest: (sizes.append(len(row)), first(row, *rest))[1])
+    # a cell's share of each of the twenty probes, five cells at most
+    assert sorted(zip(*sim.score_cells(left, right, 7))) == whole and max(sizes) <= 5 * 140
+
+
+@pytest.mark.parametrize("n", [1, 6])
+def test_vectors_are_repeated_for_their_cells_some_at_a_time(spark, monkeypatch, n):
+    rng = np.random.default_rng(6)
+    rows, centroids = rng.normal(size=(9000, 4)), unit(rng.normal(size=(9, 4)))
+    df = spark.createDataFrame([(0, [0.0])], "id long, v array<double>")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, function, schema: function)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(9000)), pa.array(rows.tolist())], names=["id", "v"])
+    parts = list(ann.nearest_cells(df, "id", centroids, n)([batch]))
+    assert max(part.num_rows for part in parts) <= sim.SLICE_ROWS
+    found = pa.Table.from_batches(parts)
+    assert found["id"].to_pylist() == np.repeat(np.arange(9000), n).tolist()
+    assert found["cell"].to_pylist() == ann.best_cells(rows, centroids, n).ravel().tolist()
