@@ -234,22 +234,18 @@ def signatures(sets: list[np.ndarray], percent: int, shape: tuple[int, int]) ->
     return np.concatenate(owners), np.concatenate(found)
 
 
-def spare_signatures(sets: list[np.ndarray], percent: int, shape: tuple[int, int]) -> pd.DataFrame:
-    """``owner, band, part, spare, sig`` of the parts without empty signatures.
+def unsettled(sets: list[np.ndarray], hot: np.ndarray, percent: int, shape: tuple[int, int]) -> np.ndarray:
+    """Whether each set may be similar to another one with no signature in common but those of ``hot`` and empty ones.
 
-    ``spare`` is how many such parts of a set in a band could be of no use
-    before it has none of the ``surplus`` left that it shares with any similar
-    set; where it is not positive, one row without a signature stands for all.
+    A set shares ``surplus`` parts of a band with any similar set. So in some
+    band its parts with a hot signature and those with an empty one must be as many.
     """
-    rows = []
-    for band, (members, surplus, subset, empty) in enumerate(contents(sets, percent, shape)):
+    out = np.zeros(len(sets), bool)
+    for members, surplus, subset, empty in contents(sets, percent, shape):
         lacking = empty.any(axis=2)
-        spare = surplus - lacking.sum(axis=1)
-        owner, part = np.nonzero(~lacking & (spare > 0)[:, None])
-        columns = {"owner": members[owner], "band": band, "part": part, "spare": spare[owner]}
-        rows += [pd.DataFrame(columns | {"sig": subset[owner, part, choice]}) for choice in range(subset.shape[2])]
-        rows.append(pd.DataFrame({"owner": members[spare <= 0], "band": band, "part": 0, "spare": 0, "sig": None}))
-    return pd.concat(rows) if rows else pd.DataFrame({c: [] for c in ("owner", "band", "part", "spare", "sig")})
+        crowded = np.isin(subset, hot).any(axis=2) & ~lacking
+        out[members] |= lacking.sum(axis=1) + crowded.sum(axis=1) >= surplus
+    return out
 
 
 def in_steps(texts: pd.Series, width: int) -> Iterator[list[np.ndarray]]:
@@ -408,6 +404,7 @@ class Sets:
 
         A set with fewer crowded or empty parts than it has in common with any similar
         set shares a signature with that set that is neither, and was compared by it.
+        A set's crowded signatures go to its text, so a row is one set, however many signatures it has.
         """
         width, percent = self.width, self.percent
 
@@ -415,17 +412,15 @@ class Sets:
             for frame in frames:
                 start = 0
                 for sets in in_steps(frame["_text"], width):
-                    rows = spare_signatures(sets, percent, SHAPE)
-                    rows["node"] = frame["node"].to_numpy()[start : start + len(sets)][rows.pop("owner").to_numpy(np.int64)]
+                    some = frame.iloc[start : start + len(sets)]
                     start += len(sets)
-                    yield rows.astype({"sig": "Int64"})
-
-        nodes = saved(crowded.select("node").distinct())
-        texts = self.texts.join(sized(nodes), "node", "left_semi").select("node", "_text")
-        rows = texts.mapInPandas(emit, "node long, band int, part int, spare int, sig long")
-        hot = rows.join(sized(saved(crowded.select("sig").distinct())).withColumn("_hot", F.lit(1)), "sig", "left")
-        hot = hot.where("_hot = 1 OR spare <= 0").groupBy("node", "band").agg(F.count_distinct("part").alias("_n"), F.min("spare").alias("_spare"))
-        return saved(hot.where("_n >= _spare").select("node").distinct())
+                    # a signature is crowded for all sets that have it
+                    yield some.loc[unsettled(sets, np.concatenate(some["_hot"].to_list()), percent, SHAPE), ["node"]]
+
+        hot = saved(crowded.groupBy("node").agg(F.collect_set("sig").alias("_hot")), SET_ROWS)
+        texts = self.texts.join(sized(hot.select("node")), "node", "left_semi").select("node", "_text")
+        texts = texts.join(F.broadcast(hot) if crowded.count() <= BROADCAST_ROWS else hot, "node")
+        return saved(texts.mapInPandas(emit, "node long").distinct())
 
     def rare_shingles(self, nodes: DataFrame) -> DataFrame:
         """``sig, node, n, rest``: the rarest shingles of each set, as many as one of any similar pair must share.

@@ -207,6 +207,50 @@ def test_texts_around_a_passage_are_settled_by_other_signatures(spark, monkeypat
     assert sum(asked) >= 50 and 2 * sum(keyed_anew) < sum(asked)
 
 
+def test_sets_of_crowded_signatures_are_judged_in_their_rows(spark, monkeypatch):
+    """Python gives back at most a row a set, not one for each of its signatures."""
+    monkeypatch.setattr(jaccard_join, "CROWDED", 5)
+    made, only, frame = [], jaccard_join.Sets.only_crowded, type(spark.range(1))
+    plain = frame.mapInPandas
+
+    def counted(df, *given):
+        out = plain(df, *given)
+        made.append((df.count(), out.count()))
+        return out
+
+    def watched(sets, rows):
+        with monkeypatch.context() as m:
+            m.setattr(frame, "mapInPandas", counted)
+            return only(sets, rows)
+
+    monkeypatch.setattr(jaccard_join.Sets, "only_crowded", watched)
+    rng = np.random.default_rng(4)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([*(f"w{x}" for x in rng.integers(0, 10**6, rng.integers(5, 60))), *passage]) for _ in range(60)]
+    texts += [f"{t} more" for t in texts[:10]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for width, percent in ((4, 85), (5, 80)):
+        rows = jaccard_join.near_duplicates(docs, width=width, percent=percent).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows) == expected_classes(list(enumerate(texts)), width, percent)
+    assert made and all(10 <= sets <= 70 and rows <= sets for sets, rows in made)
+
+
+def test_sets_without_enough_other_signatures():
+    """``unsettled`` against the rule part by part."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2**63, int(n)).astype(np.uint64)) for n in [0, 1, 2, *rng.integers(3, 200, 40)]]
+    sets = [np.union1d(s, sets[20]) if i % 4 == 3 else s for i, s in enumerate(sets)]
+    found = np.unique(jaccard_join.signatures(sets, 85, jaccard_join.SHAPE)[1])
+    for share in (0, 0.02, 0.2, 1):
+        hot = rng.choice(found, int(share * len(found)), replace=False)
+        wanted, known = [False] * len(sets), set(hot.tolist())
+        for members, surplus, subset, empty in jaccard_join.contents(sets, 85, jaccard_join.SHAPE):
+            for member, sigs, lack in zip(members.tolist(), subset.tolist(), empty.tolist()):
+                useless = [any(none) or not known.isdisjoint(part) for part, none in zip(sigs, lack)]
+                wanted[member] |= sum(useless) >= surplus
+        assert jaccard_join.unsettled(sets, hot, 85, jaccard_join.SHAPE).tolist() == wanted
+
+
 def test_saved_tables_have_partitions_for_their_rows(spark):
     assert saved(spark.range(0, 100, 1, 40)).rdd.getNumPartitions() == 1
     some = saved(spark.range(0, 100, 1, 40), 30)
