@@ -23,11 +23,14 @@ from probewise.operators.similarity import (
     SCORE_DIGITS,
     SINGLE_ERROR,
     SLICE_ROWS,
+    SPARSE,
     as_matrix,
     best_of_slices,
     blocked_scores,
+    held_scores,
     keep_best,
     rescore,
+    rescore_passing,
     topk_blocked,
     unit_matrix,
     usable_rows,
@@ -48,6 +51,8 @@ NPROBE, NPROBE_FAST, NPROBE_SAFE = 16, 32, 128
 FALLBACK_MARGIN = 0.05
 # training rows advised per centroid
 ADVISED_ROWS_PER_CENTROID = 39
+# candidates that are joined with their vectors at most
+JOINED_CANDIDATES = 1_000_000
 # centroids that a batch of vectors is compared with at a time
 CENTROID_BLOCK = 4096
 
@@ -162,10 +167,48 @@ def ivf_assign(gallery: DataFrame, centroids: np.ndarray) -> CellIndex:
     return CellIndex(centroids, durable(nearest_cells(rows, "id", centroids, 1).select("id", "v", "cell")))
 
 
-def probed_cells(probes: DataFrame, index: CellIndex | CodeIndex, nprobe: int, first: int = 0) -> DataFrame:
-    """The cells at places ``first`` to ``nprobe - 1`` of every probe that can be compared."""
+def nearest_lists(df: DataFrame, key: str, centroids: np.ndarray, n: int, first: int = 0, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``(key, v, inner, base)``: as ``nearest_cells``, the cells of a vector and their products as lists.
+
+    Beyond ``limit`` a vector has a row, of lists of one, for each of its cells.
+    """
+    if centroids.nbytes > limit:
+        rows = nearest_cells(df, key, centroids, n, first, limit)
+        return rows.select(key, "v", F.array("cell").alias("inner"), F.array("base").alias("base"))
+    held = df.sparkSession.sparkContext.broadcast(centroids)
+    added = T.StructType.fromDDL("inner array<int>, base array<double>")
+    schema = T.StructType([df.schema[key], df.schema["v"], *added.fields])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(low, SLICE_ROWS) for whole in batches for low in range(0, whole.num_rows, SLICE_ROWS)):
+            vectors = as_matrix(batch.column("v")).astype(np.float64, copy=False)
+            cells = best_cells(vectors, held.value, n)[:, first:]
+            base = np.empty(cells.shape)
+            for place in range(cells.shape[1]):
+                base[:, place] = np.einsum("ij,ij->i", vectors, held.value[cells[:, place]])
+            offsets = pa.array(np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1])
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (cells.astype(np.int32), base)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=schema.names)
+
+    return df.select(key, "v").mapInArrow(assign, schema)
+
+
+def probed_lists(probes: DataFrame, index: CellIndex | CodeIndex, nprobe: int, first: int = 0) -> DataFrame:
+    """``(probe_id, v, inner, base)``: the cells at places ``first`` to ``nprobe - 1`` of every probe that can be compared."""
     nprobe = max(1, min(nprobe, len(index.centroids)))
-    return durable(nearest_cells(usable_rows(probes, index.centroids.shape[1]), "probe_id", index.centroids, nprobe, first))
+    return nearest_lists(usable_rows(probes, index.centroids.shape[1]), "probe_id", index.centroids, nprobe, first)
+
+
+def each_cell(listed: DataFrame) -> DataFrame:
+    """A row for each cell of the lists, with a ``cell`` and a ``base`` of its own."""
+    others = [name for name in listed.columns if name not in ("inner", "base")]
+    both = F.arrays_zip(F.col("inner").alias("cell"), F.col("base").alias("base"))
+    return listed.select(*others, F.inline(both))
+
+
+def probed_cells(probes: DataFrame, index: CellIndex | CodeIndex, nprobe: int, first: int = 0) -> DataFrame:
+    """``(probe_id, v, cell, base)``: a row for each of the cells of ``probed_lists``; written are the lists."""
+    return each_cell(durable(probed_lists(probes, index, nprobe, first)))
 
 
 def ivf_search(
@@ -182,6 +225,11 @@ def rows_of_cells(rows: DataFrame, probed: DataFrame) -> DataFrame:
     return rows.where(F.col("cell").isin(cells))
 
 
+def repeated(rows: DataFrame) -> bool:
+    """Whether ids are missing or occur more than once."""
+    return not rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").limit(1).isEmpty()
+
+
 def check_code_shape(dim: int, rows: int, nlist: int, parts: int, bits: int) -> str:
     """Raise for an impossible shape; return a note for a thin training set."""
     needed = max(nlist, 2**bits)
@@ -312,6 +360,33 @@ def code_index(index: CellIndex, books: np.ndarray, residual: bool = True, save:
     return CodeIndex(index.centroids, books, durable(coded) if save else coded, residual)
 
 
+class CodedRows:
+    """Gallery rows by their codes: a score is ``base`` and the table entries that the codes name, decoded it is one product."""
+
+    def __init__(self, codes: np.ndarray, books: np.ndarray) -> None:
+        self.codes, self.books = codes, books
+        self.decoded = np.hstack([book.astype(np.float32)[codes[:, part]] for part, book in enumerate(books)])
+        self.longest = float(np.linalg.norm(self.decoded, axis=1).max(initial=0.0))
+
+    def slack(self, base: np.ndarray, length: float = 1.0) -> float:
+        """What a rough score of probes of a ``length`` may be off by, with the rounding."""
+        # no partial sum of a score is larger
+        most = self.longest * max(length, 1.0) + np.abs(base).max(initial=0.0)
+        return 2 * (self.decoded.shape[1] + 4) * SINGLE_ERROR * float(most) + 10.0**-SCORE_DIGITS
+
+    def rough(self, probes: np.ndarray, base: np.ndarray, columns: slice) -> np.ndarray:
+        scores = probes.astype(np.float32) @ self.decoded[columns].T
+        scores += base.astype(np.float32)[:, None]
+        return scores
+
+    def exact(self, probes: np.ndarray, base: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        parts, _, width = self.books.shape
+        pieces, total = probes.reshape(-1, parts, width), base[row]
+        for part in range(parts):
+            total += (pieces[:, part] @ self.books[part].T)[row, self.codes[col, part]]
+        return total
+
+
 def score_codes(
     probe_ids: np.ndarray, probes: np.ndarray, base: np.ndarray, ids: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -322,26 +397,17 @@ def score_codes(
     These sums are made for the pairs that can be among the best by the product
     with the decoded vectors in single precision, so none is missed.
     """
-    parts, _, width = books.shape
-    decoded = np.hstack([books[part].astype(np.float32)[codes[:, part]] for part in range(parts)])
-    # no partial sum of a score is larger
-    longest = np.linalg.norm(decoded, axis=1).max(initial=0.0) * np.linalg.norm(probes, axis=1).max(initial=1.0) + np.abs(base).max(initial=0.0)
-    slack = 2 * (parts * width + 4) * SINGLE_ERROR * float(longest) + 10.0**-SCORE_DIGITS
+    rows = CodedRows(codes, books)
+    slack = rows.slack(base, np.linalg.norm(probes, axis=1).max(initial=1.0))
     found = []
     for start in range(0, len(probe_ids), PROBE_CHUNK):
         chunk, given = probes[start : start + PROBE_CHUNK], base[start : start + PROBE_CHUNK]
-        pieces = chunk.reshape(-1, parts, width)
-        tables = [pieces[:, part] @ books[part].T for part in range(parts)]
-        single, single_base = chunk.astype(np.float32), given.astype(np.float32)[:, None]
 
         def rough(columns: slice) -> np.ndarray:
-            return single @ decoded[columns].T + single_base
+            return rows.rough(chunk, given, columns)
 
         def exact(row: np.ndarray, col: np.ndarray) -> np.ndarray:
-            total = given[row]
-            for part in range(parts):
-                total += tables[part][row, codes[col, part]]
-            return total
+            return rows.exact(chunk, given, row, col)
 
         row, col, score = best_of_slices(ids, k, np.full(len(chunk), -np.inf), slack, rough, exact)
         found.append((probe_ids[start + row], ids[col], score))
@@ -365,7 +431,9 @@ def code_search(
     scores = CellSearch(index, block_rows).scores
     if rescore_from is None:
         return keep_best(scores(probes, k, 0, nprobe), k)
-    short = keep_best(scores(probes, widen * k, 0, nprobe), widen * k)
+    short = keep_best(scores(probes, widen * k, 0, nprobe), widen * k, together=True)
+    if probes.count() * widen * k > JOINED_CANDIDATES:
+        return keep_best(rescore_passing(short, probes, rescore_from, k, index.centroids.shape[1], block_rows), k)
     return keep_best(rescore(short, probes, rescore_from).select("probe_id", "id", "score"), k)
 
 
@@ -395,22 +463,41 @@ class CellSearch:
     def rows(self) -> DataFrame:
         return self.index.assigned if isinstance(self.index, CellIndex) else self.index.coded
 
-    def scores(self, probes: DataFrame, k: int, first: int, nprobe: int, parts: int = 1, part: Column | None = None) -> DataFrame:
-        """Local best rows among the cells at places ``first`` to ``nprobe - 1``.
+    def scores(self, probes: DataFrame, k: int, first: int, nprobe: int, tags: int = 1, tag: Column | None = None) -> DataFrame:
+        """``(probe_id, id, score, tag)``: local best rows among the cells at places ``first`` to ``nprobe - 1``.
 
-        With ``parts`` each cell is cut by the column ``part`` (0 to ``parts - 1``) of its
-        rows, and the ``k`` best rows of every cut come out.
+        The column ``tag`` (0 to ``tags - 1``) of the rows says in which table of several they come first, each with
+        all rows of the ones before: rows that are among the ``k`` best of a table come out. Without it, where
+        ids repeat, the best of each cell and block come out.
         """
+        index, rows = self.index, self.rows
+        listed = durable(probed_lists(probes, index, nprobe, first))
+        rows = rows_of_cells(rows, listed.select(F.explode("inner").alias("cell")))
+        width = index.centroids.shape[1]
+        if tag is None and repeated(rows):
+            return self.block_scores(each_cell(listed), rows, k).withColumn("tag", F.lit(0))
+        count = len(index.centroids)
+        rows = rows.withColumn("inner", F.col("cell")).withColumn("tag", F.lit(0) if tag is None else tag).where("tag IS NOT NULL")
+        listed = listed.withColumn("floor", F.lit(None).cast("double"))
+        if min(nprobe, count) - first >= SPARSE * count:
+            listed, rows = listed.withColumn("cell", F.lit(0)), rows.withColumn("cell", F.lit(0))
+        else:
+            one = {"inner": F.array("cell"), "base": F.array("base")}
+            listed = each_cell(listed).withColumns(one)
+        if isinstance(index, CellIndex):
+            return held_scores(listed, rows, k, self.block_rows, width, tags=tags)
+        held, residual = probes.sparkSession.sparkContext.broadcast(index.books), index.residual
+
+        if not residual:
+            listed = listed.withColumn("base", F.transform("base", lambda _: F.lit(0.0)))
+        return held_scores(listed, rows, k, self.block_rows, width, lambda codes: CodedRows(codes, held.value), tags)
+
+    def block_scores(self, probed: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+        """The ``k`` best rows of every cell and block for ``probed``, rows of one cell."""
         index = self.index
-        probed = probed_cells(probes, index, nprobe, first)
-        rows = rows_of_cells(self.rows, probed)
-        if part is not None:
-            rows = rows.withColumn("cell", F.col("cell") * parts + part)
-            number = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-            probed = probed.withColumn("_part", number).withColumn("cell", F.col("cell") * parts + F.col("_part")).drop("_part")
         if isinstance(index, CellIndex):
             return blocked_scores(probed.drop("base"), rows, k, self.block_rows, index.centroids.shape[1])
-        held = probes.sparkSession.sparkContext.broadcast(index.books)
+        held = probed.sparkSession.sparkContext.broadcast(index.books)
         residual = index.residual
 
         def score(left: pa.Table, right: pa.Table) -> tuple:
@@ -433,7 +520,7 @@ class CellSearch:
         old = kept.join(probes.select("probe_id").distinct(), "probe_id", "left_semi").select("probe_id", "id", "score")
         if first >= len(self.index.centroids) or nprobe <= first:
             return keep_best(old, k)
-        return keep_best(old.unionByName(self.scores(probes, k, first, nprobe)), k)
+        return keep_best(old.unionByName(self.scores(probes, k, first, nprobe).drop("tag")), k)
 
 
 Search = Callable[[DataFrame, int, int], DataFrame]

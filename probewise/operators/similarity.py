@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -38,8 +38,14 @@ SHIP_BYTES = 16 << 20
 PROBE_BLOCKS = 8
 # best places that a task gathers for some probes of a block before it goes on with the next ones, about
 PLACES = 250_000
+# gallery rows of a page at most, bytes of the pages that pass through one task, about, and best places of the probes that it holds
+PAGE_ROWS, STREAM_BYTES, HELD_PLACES = 2048, 256 << 20, 2_000_000
+# products that make a task worth its start; passing a row on takes as long as so many of them
+TASK_PRODUCTS, ROW_PRODUCTS = 200_000_000, 4000
 # routing vectors of a bounded search at most, and what bounds may be off by: rounding to six digits and angles
 ROUTES, BOUND_SLACK = 1024, 2e-6
+# share of the cells from which on a probe that asks for some of them is shipped once to the tasks that see all cells
+SPARSE = 1 / 8
 # rounding error of one single-precision operation
 SINGLE_ERROR = 2.0**-24
 
@@ -108,9 +114,25 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(lengths > 0, lengths, 1.0)
 
 
+def score_order(row: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The order by row, falling rounded score and id."""
+    whole = np.rint(scores * 10**SCORE_DIGITS)
+    if not len(row) or row.max() >= 1 << 21 or np.abs(whole).max() >= 1 << 40:
+        return np.lexsort((ids, -scores, row))
+    # row and score in one number, sorted at once; only ties need the ids
+    both = (row.astype(np.int64) << 42) - whole.astype(np.int64)
+    order = np.argsort(both)
+    both = both[order]
+    same = both[1:] == both[:-1]
+    if same.any():
+        tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        order[tied] = order[tied][np.lexsort((ids[order[tied]], both[tied]))]
+    return order
+
+
 def first_k(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` best entries of every row, best first; ties by id."""
-    order = np.lexsort((ids, -scores, row))
+    """Places of the ``k`` best entries of every row, best first; ties by id. Scores are rounded."""
+    order = score_order(row, ids, scores)
     row = row[order]
     return order[np.arange(len(row)) - np.searchsorted(row, row) < k]
 
@@ -204,12 +226,15 @@ def as_table(schema: T.StructType, columns: tuple) -> pa.Table:
     return pa.table(arrays, names=schema.names)
 
 
-def keep_best(scored: DataFrame, k: int) -> DataFrame:
+def keep_best(scored: DataFrame, k: int, together: bool = False) -> DataFrame:
     """Merge local results into ``(probe_id, id, score, distance, rank)``.
 
     A probe id has ``k`` rows in all, whatever the path and however often the id
-    occurs; a gallery id counts with its best score.
+    occurs; a gallery id counts with its best score. Rows of few repeats are
+    shipped once if those of a probe are put ``together`` first.
     """
+    if together:
+        scored = scored.repartition("probe_id")
     scored = scored.groupBy("probe_id", "id").agg(F.max("score").alias("score"))
     window = Window.partitionBy("probe_id").orderBy(F.col("score").desc(), F.col("id").asc())
     return (
@@ -349,6 +374,318 @@ def blocked_scores(
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
 
 
+def pages_of(gallery: DataFrame) -> DataFrame:
+    """``(cell, inner, tag, ids, data)``: rows of one cell and tag together, their vectors or codes as bytes.
+
+    A page is passed on as one row, so rows that go to many tasks cost their bytes and little more.
+    """
+    values = "codes" if "codes" in gallery.columns else "v"
+    single = values == "v" and isinstance(gallery.schema["v"].dataType.elementType, T.FloatType)
+    listed = T.StructType([T.StructField("ids", T.ArrayType(gallery.schema["id"].dataType)), T.StructField("data", T.BinaryType())])
+    schema = T.StructType([*T.StructType.fromDDL("cell int, inner int, tag int").fields, *listed])
+
+    def cut(table: pa.Table) -> pa.RecordBatch:
+        keys = [table[name].to_numpy() for name in ("cell", "inner", "tag")]
+        order = np.lexsort(keys[::-1])
+        keys = [key[order] for key in keys]
+        changes = np.any([key[1:] != key[:-1] for key in keys], axis=0)
+        starts = np.append(np.flatnonzero(np.append(True, changes)), len(order))
+        starts = np.concatenate([np.arange(a, b, PAGE_ROWS) for a, b in zip(starts, starts[1:])])
+        ends = np.append(starts[1:], len(order))
+        ids = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)).astype(np.int32)), table["id"].combine_chunks().take(pa.array(order)))
+        if values == "codes":
+            codes = table["codes"].to_pylist()
+            data = [b"".join(codes[i] for i in order[a:b]) for a, b in zip(starts, ends)]
+        else:
+            matrix = as_matrix(table["v"]).astype(np.float32 if single else np.float64, copy=False)[order]
+            data = [matrix[a:b].tobytes() for a, b in zip(starts, ends)]
+        return pa.RecordBatch.from_arrays([*[pa.array(key[starts].astype(np.int32)) for key in keys], ids, pa.array(data, pa.binary())], names=schema.names)
+
+    def page(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, count = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            count += batch.num_rows
+            if count >= 16 * PAGE_ROWS:
+                yield cut(pa.Table.from_batches(waiting))
+                waiting, count = [], 0
+        if count:
+            yield cut(pa.Table.from_batches(waiting))
+
+    return gallery.select("id", values, "cell", "inner", "tag").mapInArrow(page, schema)
+
+
+class VectorRows:
+    """Gallery rows as unit vectors."""
+
+    def __init__(self, vectors: np.ndarray) -> None:
+        self.vectors, self.single = vectors, vectors.astype(np.float32)
+
+    def slack(self, base: np.ndarray) -> float:
+        """What a rough score may be off by, with the rounding."""
+        return 2 * (self.vectors.shape[1] + 2) * SINGLE_ERROR + 10.0**-SCORE_DIGITS
+
+    def rough(self, probes: np.ndarray, base: np.ndarray, columns: slice) -> np.ndarray:
+        return probes.astype(np.float32) @ self.single[columns].T
+
+    def exact(self, probes: np.ndarray, base: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,ij->i", probes[row], self.vectors[col])
+
+
+class HeldProbes:
+    """The best rows so far of the probes that a task holds, while gallery rows pass.
+
+    With ``once`` an id takes one place, else it takes one wherever it occurs. Rows of a
+    ``tag`` may be left out if the tags up to it have ``k`` better ones.
+    """
+
+    def __init__(self, table: pa.Table, k: int, tags: int, once: bool) -> None:
+        vectors = as_matrix(table["v"]).astype(np.float64, copy=False)
+        lengths = np.linalg.norm(vectors, axis=1)
+        lengths[lengths == 0] = 1.0
+        self.ids, self.vectors, self.k, self.once = table["probe_id"].to_numpy(), vectors / lengths[:, None], k, once
+        inner = table["inner"].combine_chunks()
+        rows = np.repeat(np.arange(len(table)), inner.value_lengths().to_numpy())
+        cells = inner.flatten().to_numpy()
+        order = np.argsort(cells, kind="stable")
+        self.cells, self.rows = cells[order], rows[order]
+        self.base = table["base"].combine_chunks().flatten().to_numpy(zero_copy_only=False)[order] / lengths[self.rows]
+        floor = np.nan_to_num(table["floor"].to_numpy().astype(np.float64), nan=-np.inf)
+        self.floor = np.repeat(floor[None, :], tags, axis=0)
+        self.best = [(np.empty(0, np.int64), None, np.empty(0))] * tags
+        self.more: list[list[tuple]] = [[] for _ in range(tags)]
+        self.near = (None, None, None, None)
+
+    def asking(self, cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the probes that ask for a cell, their vectors and their products with its centroid."""
+        if self.near[0] != cell:
+            low, high = np.searchsorted(self.cells, [cell, cell + 1])
+            rows = self.rows[low:high]
+            every = len(rows) == len(self.vectors) and (rows == np.arange(len(rows))).all()
+            self.near = (cell, rows, self.vectors if every else self.vectors[rows], self.base[low:high])
+        return self.near[1:]
+
+    def meet(self, cell: int, tag: int, ids: np.ndarray, of: VectorRows) -> None:
+        """Score rows of one cell and tag, slice by slice."""
+        rows, vectors, base = self.asking(cell)
+        if not len(rows):
+            return
+        slack = of.slack(base)
+        k = self.k * int(np.unique(ids, return_counts=True)[1].max()) if self.once else self.k
+        for low in range(0, len(ids), SLICE_ROWS):
+            columns = slice(low, low + SLICE_ROWS)
+            for start in range(0, len(rows), PROBE_CHUNK):
+                part = slice(start, start + PROBE_CHUNK)
+                floor = self.floor[tag][rows[part]]
+                row, col = near_rows(of.rough(vectors[part], base[part], columns), floor, k, slack)
+                found = [
+                    of.exact(vectors[part], base[part], row[i : i + BLOCK_ROWS], col[i : i + BLOCK_ROWS] + low) for i in range(0, len(row), BLOCK_ROWS)
+                ]
+                if not found:
+                    continue
+                score = np.round(np.concatenate(found), SCORE_DIGITS) + 0.0
+                kept = np.flatnonzero(score >= floor[row])
+                if len(kept) > 2 * k * len(floor):
+                    # equal scores can be many
+                    kept = kept[first_k(row[kept], ids[col[kept] + low], score[kept], k)]
+                self.more[tag].append((rows[part][row[kept]], ids[col[kept] + low], score[kept]))
+            if sum(len(part[0]) for part in self.more[tag]) > len(self.best[tag][0]) // 2:
+                self.settle(tag)
+
+    def settle(self, tag: int) -> None:
+        parts = [part for part in (self.best[tag], *self.more[tag]) if len(part[0])]
+        self.more[tag] = []
+        if not parts:
+            return
+        row, ids, score = (np.concatenate(column) for column in zip(*parts))
+        if self.once:
+            order = np.lexsort((-score, ids, row))
+            row, ids, score = row[order], ids[order], score[order]
+            kept = np.append(True, (row[1:] != row[:-1]) | (ids[1:] != ids[:-1]))
+            row, ids, score = row[kept], ids[kept], score[kept]
+        best = first_k(row, ids, score, self.k)
+        row, ids, score = row[best], ids[best], score[best]
+        self.best[tag] = (row, ids, score)
+        # rows are in order, so the last of k entries is the k-th best
+        last = np.flatnonzero(row[self.k - 1 :] == row[: max(0, len(row) - self.k + 1)]) + self.k - 1
+        for own in self.floor[tag:]:
+            own[row[last]] = np.maximum(own[row[last]], score[last])
+
+    def result(self) -> Iterator[tuple]:
+        for tag in range(len(self.best)):
+            self.settle(tag)
+            row, ids, score = self.best[tag]
+            for low in range(0, len(row), PLACES):
+                part = slice(low, low + PLACES)
+                yield self.ids[row[part]], ids[part], score[part], np.full(len(row[part]), tag, np.int32)
+
+
+class HeldCandidates(HeldProbes):
+    """Held probes that are compared with the rows in their lists ``wanted`` only."""
+
+    def __init__(self, table: pa.Table, k: int, tags: int, once: bool) -> None:
+        super().__init__(table, k, tags, once)
+        wanted = table["wanted"].combine_chunks()
+        ids = wanted.flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(ids, kind="stable")
+        self.wanted, self.by = ids[order], np.repeat(np.arange(len(table)), wanted.value_lengths().to_numpy())[order]
+
+    def meet(self, cell: int, tag: int, ids: np.ndarray, of: VectorRows) -> None:
+        low, high = np.searchsorted(self.wanted, ids, "left"), np.searchsorted(self.wanted, ids, "right")
+        count = high - low
+        col = np.repeat(np.arange(len(ids)), count)
+        row = self.by[np.arange(len(col)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+        for i in range(0, len(row), BLOCK_ROWS):
+            r, c = row[i : i + BLOCK_ROWS], col[i : i + BLOCK_ROWS]
+            score = np.round(of.exact(self.vectors, self.base, r, c), SCORE_DIGITS) + 0.0
+            self.more[tag].append((r, ids[c], score))
+        if sum(len(part[0]) for part in self.more[tag]) > max(PLACES, len(self.best[tag][0])):
+            self.settle(tag)
+
+
+@dataclass
+class TaskPlan:
+    """Which tasks hold the probes of a cell and which of its gallery rows pass there."""
+
+    cells: list[tuple[int, int, int, list[int], list[int]]]
+    partitions: int
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        whole, many = pa.int32(), pa.list_(pa.int32())
+        fields = [("cell", whole), ("psubs", whole), ("gsubs", whole), ("numbers", many), ("parts", many)]
+        columns = zip(*self.cells) if self.cells else [()] * len(fields)
+        return F.broadcast(spark.createDataFrame(pa.table({name: pa.array(list(x), kind) for (name, kind), x in zip(fields, columns)})))
+
+
+def plan_tasks(
+    asked: dict[int, int], held: dict[int, int], hold: int, most: int, block_rows: int, row_bytes: int, parallelism: int
+) -> TaskPlan:
+    """Deal cells with ``asked`` probes and ``held`` gallery rows to tasks, and small tasks to one partition.
+
+    A task holds about ``hold`` probes. The rows of a cell are one stream, or several
+    if they have more than ``STREAM_BYTES``, or ``most`` rows while tasks are too few to be shared.
+    """
+    sizes = [(cell, asked[cell], held[cell]) for cell in sorted(asked.keys() & held.keys())]
+    psubs = [max(-(-p // hold), min(-(-p // block_rows), PROBE_BLOCKS)) for _, p, _ in sizes]
+    share = -(-2 * parallelism // max(1, sum(psubs)))
+    gsubs = [max(-(-g * row_bytes // STREAM_BYTES), min(share, -(-g // most))) for _, _, g in sizes]
+    work = [p * g // (n * m) + ROW_PRODUCTS * (p // n + g // m) for (_, p, g), n, m in zip(sizes, psubs, gsubs)]
+    enough = max(TASK_PRODUCTS, sum(w * n * m for w, n, m in zip(work, psubs, gsubs)) // max(1, 8 * parallelism))
+    cells, number, part, filled = [], 0, 0, 0
+    for (cell, _, _), n, m, w in zip(sizes, psubs, gsubs, work):
+        parts = []
+        for _ in range(n * m):
+            if filled and filled + w > enough:
+                part, filled = part + 1, 0
+            parts.append(part)
+            filled += w
+        cells.append((cell, n, m, list(range(number, number + n * m)), parts))
+        number += n * m
+    return TaskPlan(cells, part + 1)
+
+
+def held_scores(
+    probes: DataFrame,
+    gallery: DataFrame,
+    k: int,
+    block_rows: int,
+    width: int,
+    rows_of: Callable[[np.ndarray], VectorRows] | None = None,
+    tags: int = 1,
+    once: bool = False,
+    keep: type[HeldProbes] = HeldProbes,
+) -> DataFrame:
+    """``(probe_id, id, score, tag)``: local top-k of probes that are held while the gallery passes.
+
+    Probes are ``(cell, probe_id, v, inner, base, floor)``, the gallery is ``(cell, inner, tag, id)``
+    with vectors ``v`` or ``codes``. A probe meets the rows of its cell whose ``inner`` is in its
+    list. A task holds a block of the probes of a cell and keeps their best rows, while all pages of
+    the cell pass: what is shipped is the gallery once for each block of probes, and what comes
+    out is ``k`` rows a probe and tag for each stream of pages, not for each pair of blocks.
+    ``rows_of`` makes codes rows that can be scored.
+    """
+    spark, rows = probes.sparkSession, F.count(F.lit(1))
+    coded = "codes" in gallery.columns
+    single = not coded and isinstance(gallery.schema["v"].dataType.elementType, T.FloatType)
+    most = shipped_rows(block_rows, width)
+    hold = max(1, min(most, HELD_PLACES // (k * tags)))
+    # one row per cell, and the centroids of all cells fit into the driver
+    asked, held = (dict(map(tuple, df.groupBy("cell").agg(rows).collect())) for df in (probes, gallery))
+    row_bytes = 8 + (width if coded else width * (4 if single else 8))
+    plan = plan_tasks(asked, held, hold, most, block_rows, row_bytes, spark.sparkContext.defaultParallelism)
+    told = plan.table(spark)
+    schema = T.StructType([*result_schema(probes, gallery), T.StructField("tag", T.IntegerType())])
+
+    def copies(blocks: str):
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    place = F.col("psub") * F.col("gsubs") + F.col("gsub")
+    # probes come first, then the pages by their inner cells
+    task = F.shiftleft(F.get("numbers", place).cast("long"), 32)
+    left = (
+        probes.join(told, "cell")
+        .withColumn("psub", F.pmod(F.xxhash64("probe_id"), F.col("psubs")).cast("int"))
+        .withColumn("gsub", copies("gsubs"))
+        .select(F.get("parts", place).alias("_part"), task.alias("_at"), *[name for name in probes.columns if name != "cell"])
+    )
+    right = (
+        pages_of(gallery)
+        .join(told, "cell")
+        .withColumn("gsub", F.pmod(F.xxhash64("ids"), F.col("gsubs")).cast("int"))
+        .withColumn("psub", copies("psubs"))
+        .select(F.get("parts", place).alias("_part"), (task + F.col("inner") + 1).alias("_at"), "tag", "ids", "data")
+    )
+    both = left.unionByName(right, allowMissingColumns=True).repartitionById(plan.partitions, "_part").sortWithinPartitions("_at")
+
+    def meet(state: HeldProbes, run: pa.RecordBatch, cells: np.ndarray) -> None:
+        tag, ids, data = run.column("tag").to_numpy(), run.column("ids"), run.column("data")
+        sizes, order = ids.value_lengths().to_numpy(), np.lexsort((tag, cells))
+        low = 0
+        while low < len(order):
+            # pages of one cell and tag, as many as are scored together
+            cell, own, high, count = cells[order[low]], tag[order[low]], low, 0
+            while high < len(order) and count < BLOCK_ROWS and (cells[order[high]], tag[order[high]]) == (cell, own):
+                count += sizes[order[high]]
+                high += 1
+            some = order[low:high]
+            low = high
+            found = ids.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False)
+            raw = b"".join(data[int(i)].as_py() for i in some)
+            if coded:
+                of = rows_of(np.frombuffer(raw, np.uint8).reshape(len(found), -1))
+            else:
+                of = VectorRows(unit_rows(np.frombuffer(raw, np.float32 if single else np.float64).reshape(len(found), -1).astype(np.float64)))
+            state.meet(cell, own, found, of)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, waiting, state = -1, [], None
+        for batch in batches:
+            at = batch.column("_at").to_numpy()
+            key = np.where(at & 0xFFFFFFFF, at | 0xFFFFFFFF, at)
+            for run in np.split(np.arange(len(at)), np.flatnonzero(key[1:] != key[:-1]) + 1):
+                if not len(run):
+                    continue
+                part = batch.slice(run[0], len(run))
+                if at[run[0]] >> 32 != number:
+                    if state is not None:
+                        for found in state.result():
+                            yield from as_table(schema, found).to_batches()
+                    number, waiting, state = at[run[0]] >> 32, [], None
+                cells = (at[run] & 0xFFFFFFFF).astype(np.int64) - 1
+                if cells[0] < 0:
+                    waiting.append(part)
+                    continue
+                if state is None and waiting:
+                    state, waiting = keep(pa.Table.from_batches(waiting), k, tags, once), []
+                if state is not None:
+                    meet(state, part, cells)
+        if state is not None:
+            for found in state.result():
+                yield from as_table(schema, found).to_batches()
+
+    return both.drop("_part").mapInArrow(stream, schema)
+
+
 def topk_blocked(probes: DataFrame, gallery: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact top-k for any number of probes: blocks against blocks."""
     one, width = F.lit(0), usual_width(gallery)
@@ -506,9 +843,17 @@ def bounded_search(probes: DataFrame, blocks: RoutedBlocks, k: int, block_rows:
     found = durable(keep_best(search(near), k))
     floors = found.where(F.col("rank") == k).select("probe_id", F.col("score").alias("floor"))
     begun = probes.select("probe_id", "v").join(floors, "probe_id", "left")
-    far = durable(visits(begun, blocks, bundles, False))
+    # one row for each probe
+    far = durable(visits(begun, blocks, np.zeros_like(bundles), False))
     pairs = near.select("probe_id", "inner").unionByName(far.select("probe_id", "inner"))
-    return keep_best(found.select("probe_id", "id", "score").unionByName(search(far)), k), pairs
+    asked, searched = far.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("inner")), F.lit(0))).first()
+    if searched < SPARSE * asked * int((blocks.counts > 0).sum()):
+        asking = visits(far, blocks, bundles, False)
+    else:
+        asking, rows = far, rows.withColumn("cell", F.lit(0))
+    asking = asking.withColumn("base", F.transform("inner", lambda _: F.lit(0.0)))
+    more = held_scores(asking, rows.withColumn("tag", F.lit(0)), k, block_rows, width, once=True).drop("tag")
+    return keep_best(found.select("probe_id", "id", "score").unionByName(more), k), pairs
 
 
 def topk_bounded(probes: DataFrame, gallery: DataFrame, k: int, block_rows: int = BLOCK_ROWS, routes: int = ROUTES) -> DataFrame:
@@ -585,6 +930,20 @@ def rescore(candidates: DataFrame, probes: DataFrame, gallery: DataFrame) -> Dat
     return scored.withColumn("distance", F.round(1 - F.col("score"), SCORE_DIGITS))
 
 
+def rescore_passing(candidates: DataFrame, probes: DataFrame, gallery: DataFrame, k: int, width: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(probe_id, id, score)``: the local ``k`` best of ``rescore``, for many candidates of vectors of one ``width``.
+
+    Probes are held with the lists of their candidates while the gallery passes, so no
+    vector goes along with a candidate.
+    """
+    sized = is_usable("v") & (F.size("v") == width)
+    wanted = candidates.where("id IS NOT NULL").groupBy("probe_id").agg(F.collect_list("id").alias("wanted"))
+    one = {"cell": F.lit(0), "inner": F.array(F.lit(0)), "base": F.array(F.lit(0.0)), "floor": F.lit(None).cast("double")}
+    asked = durable(probes.where(sized).select("probe_id", "v").join(wanted, "probe_id")).withColumns(one)
+    stored = gallery.where(sized & F.col("id").isNotNull()).select("id", "v", *[F.lit(0).alias(name) for name in ("cell", "inner", "tag")])
+    return held_scores(asked, stored, k, block_rows, width, once=True, keep=HeldCandidates).drop("tag")
+
+
 def hydrate(candidates: DataFrame, embeddings: DataFrame, subjects: DataFrame, pipeline: str) -> DataFrame:
     """Attach subject and label to candidates; drop rows that are not live.
 

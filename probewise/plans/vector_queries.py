@@ -18,7 +18,7 @@ from probewise.operators.retrieval import topk_overlap
 from probewise.plans.flows import read_codes, read_index, write_codes, write_index
 from probewise.plans.registry import query
 from probewise.plans.sql_tables import cos, inner, length, unit
-from probewise.session import ensure_checkpoint_dir
+from probewise.session import durable, ensure_checkpoint_dir
 
 KEY_HEX = "000102030405060708090a0b0c0d0e0f101112131415161718191a1b1c1d1e1f"
 OTHER_KEY_HEX = "ff" * 32
@@ -482,7 +482,8 @@ def recall_by_search(probes: DataFrame, gallery: DataFrame, searches: dict) -> D
 @query("j3_j4_recall")
 def j3_j4_recall(spark, sf_dir):
     """Recall of trained cells and trained residual codes against exact search."""
-    probes, gallery = probe_rows(spark, sf_dir), gallery_rows(spark, sf_dir)
+    # every search reads the probes, which are made by a join
+    probes, gallery = durable(probe_rows(spark, sf_dir)), gallery_rows(spark, sf_dir)
     index = cell_index(spark, sf_dir)
     codes = ann.code_index(index, ann.code_train(index, parts=16, bits=6))
     searches = {f"cells_{n}": lambda n=n: ann.ivf_search(probes, index, 10, n) for n in (4, 8)}

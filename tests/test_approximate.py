@@ -245,3 +245,62 @@ def test_two_passes_equal_two_searches(sides):
     assert {r["search_mode"] for r in info.collect()} == {"fast", "safe_fallback"}
     fast = {r["probe_id"]: r["score"] for r in cells(p, 1, 1).collect()}
     assert any(r["best_score"] > fast[r["probe_id"]] for r in info.collect())
+
+
+# held probes
+
+
+@pytest.mark.parametrize("coded", [False, True])
+@pytest.mark.parametrize("nprobe", [1, 7])
+def test_a_search_of_cells_gives_back_the_best_rows_once(sides, coded, nprobe):
+    """Not the best of each cell: ``k`` rows a probe, whatever the number of cells that it asks for."""
+    probes, _, p, g = sides
+    index = ann.ivf_build(g, 10)
+    if coded:
+        index = ann.code_index(index, ann.code_train(index, parts=8, bits=4))
+    search = ann.CellSearch(index, 40)
+    local = search.scores(p, 4, 0, nprobe).drop("tag")
+    assert local.count() <= 4 * len(probes)
+    each = search.block_scores(ann.probed_cells(p, index, nprobe), search.rows, 4)
+    assert rows_of(sim.keep_best(local, 4)) == rows_of(sim.keep_best(each, 4))
+
+
+def test_the_cells_of_a_probe_are_written_as_one_row(sides):
+    probes, _, p, g = sides
+    index = ann.ivf_build(g, 10)
+    assert ann.probed_lists(p, index, 7).count() == len(probes)
+    assert ann.probed_cells(p, index, 7).count() == 7 * len(probes)
+
+
+def test_searches_with_text_ids_and_repeated_probes(spark, sides):
+    *_, p, g = sides
+    named = g.select(F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("id"), "v")
+    index = ann.ivf_assign(g, np.random.default_rng(5).normal(size=(10, DIM)))
+    same = ann.CellIndex(index.centroids, index.assigned.join(g.select("id"), "id").withColumn("id", F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 6, "0"))))
+
+    def numbered(df):
+        return {(a, int(b[1:]), c, d) for a, b, c, d in rows_of(df)}
+
+    twice = p.unionByName(p)
+    assert numbered(ann.ivf_search(twice, same, 5, 4)) == rows_of(ann.ivf_search(p, index, 5, 4))
+    assert numbered(sim.topk_bounded(twice, named, 5, 50)) == rows_of(sim.topk_exact(p, g, 5))
+
+
+def test_ids_that_repeat_take_the_places_of_their_cells(sides):
+    """As before: every cell gives its best, so copies in one leave places for the others."""
+    *_, p, g = sides
+    index = ann.ivf_build(g, 6)
+    twice = ann.CellIndex(index.centroids, index.assigned.unionByName(index.assigned))
+    wanted = sim.keep_best(sim.blocked_scores(ann.probed_cells(p, twice, 4).drop("base"), twice.assigned, 6, 16_384, DIM), 6)
+    assert ann.repeated(twice.assigned) and not ann.repeated(index.assigned)
+    assert rows_of(ann.ivf_search(p, twice, 6, 4)) == rows_of(wanted)
+
+
+def test_many_candidates_are_rescored_in_passing(sides, monkeypatch):
+    *_, p, g = sides
+    index = ann.ivf_build(g, 6)
+    codes = ann.code_index(index, ann.code_train(index, parts=8, bits=4))
+    joined = ann.code_search(p, codes, 5, 6, rescore_from=g)
+    monkeypatch.setattr(ann, "JOINED_CANDIDATES", 0)
+    monkeypatch.setattr(ann, "rescore", None)
+    assert rows_of(ann.code_search(p, codes, 5, 6, rescore_from=g)) == rows_of(joined)

@@ -281,3 +281,84 @@ def test_vectors_are_repeated_for_their_cells_some_at_a_time(spark, monkeypatch,
     found = pa.Table.from_batches(parts)
     assert found["id"].to_pylist() == np.repeat(np.arange(9000), n).tolist()
     assert found["cell"].to_pylist() == ann.best_cells(rows, centroids, n).ravel().tolist()
+
+
+# held probes
+
+
+def held_table(probes, cells, floor=None):
+    lists = lambda kind, x: pa.array([[x(c) for c in own] for own in cells], pa.list_(kind))
+    return pa.table({
+        "probe_id": np.arange(len(probes)) * 2,
+        "v": pa.array(probes.tolist()),
+        "inner": lists(pa.int32(), int),
+        "base": lists(pa.float64(), lambda _: 0.0),
+        "floor": pa.array([None] * len(probes) if floor is None else floor, pa.float64()),
+    })
+
+
+@pytest.mark.parametrize("once", [False, True])
+def test_held_probes_keep_the_best_of_all_that_pass(once):
+    rng = np.random.default_rng(8)
+    probes, vectors = rng.normal(size=(700, 3)), sim.unit_rows(rng.integers(-2, 3, (9000, 3)).astype(float))
+    # equal scores are many, and ids repeat where they count once
+    cells, tags = rng.integers(0, 3, 9000), rng.integers(0, 2, 9000)
+    ids = rng.permutation(9000) % (4000 if once else 9000)
+    asked = [sorted(rng.choice(3, rng.integers(1, 4), replace=False)) for _ in range(700)]
+    state = sim.HeldProbes(held_table(probes, asked), 6, 2, once)
+    for cell in range(3):
+        for low in range(0, 9000, 5000):
+            for tag in (1, 0):
+                at = np.flatnonzero((cells == cell) & (tags == tag) & (np.arange(9000) // 5000 == low // 5000))
+                state.meet(cell, tag, ids[at], sim.VectorRows(vectors[at]))
+        assert max(len(part[0]) for part in state.best) <= 6 * 700
+    found = [np.concatenate(column) for column in zip(*state.result())]
+    whole = np.round(sim.unit_rows(probes) @ vectors.T, 6) + 0.0
+    for i in range(0, 700, 23):
+        for most in range(2):
+            def best(some_ids, scores):
+                if once:
+                    some_ids, at = np.unique(some_ids, return_inverse=True)
+                    top = np.full(len(some_ids), -9.0)
+                    np.maximum.at(top, at, scores)
+                    scores = top
+                order = np.lexsort((some_ids, -scores))[:6]
+                return list(zip(some_ids[order], np.round(scores[order], 5)))
+
+            reach = np.isin(cells, asked[i]) & (tags <= most)
+            own = (found[0] == 2 * i) & (found[3] <= most)
+            assert best(found[1][own], found[2][own]) == best(ids[reach], whole[i][reach])
+
+
+def test_the_order_of_scores_is_that_of_three_keys():
+    rng = np.random.default_rng(9)
+    row, ids, scores = rng.integers(0, 50, 5000), rng.integers(0, 900, 5000), np.round(rng.integers(-9, 9, 5000) / 7, 6)
+    for a, b in ((row, ids), (row + (1 << 22), ids), (row, ids.astype(str).astype(object))):
+        wanted = np.lexsort((b, -scores, a))
+        order = sim.score_order(a, b, scores)
+        assert (a[order] == a[wanted]).all() and (b[order] == b[wanted]).all() and (scores[order] == scores[wanted]).all()
+
+
+def test_tasks_of_held_probes():
+    asked, held = {0: 100_000, 1: 10, 2: 5, 7: 9}, {0: 50_000, 1: 4_000_000, 2: 8, 9: 3}
+    plan = sim.plan_tasks(asked, held, 1000, 32_768, 16_384, 264, 4)
+    cells = {cell: rest for cell, *rest in plan.cells}
+    assert set(cells) == {0, 1, 2}
+    # blocks of probes for the first, streams of pages for the second, which are too many bytes for one
+    assert cells[0][:2] == [100, 1] and cells[1][:2] == [1, 4] and cells[2][:2] == [1, 1]
+    numbers = [n for _, _, own, _ in cells.values() for n in own]
+    assert numbers == list(range(105)) and max(p for *_, parts in cells.values() for p in parts) == plan.partitions - 1
+    # few tasks share the rows of a large cell
+    few = sim.plan_tasks({0: 10}, {0: 400_000}, 1000, 32_768, 16_384, 264, 4).cells[0]
+    assert few[1:3] == (1, 8)
+
+
+def test_rescoring_in_passing_equals_the_join(spark, tables):
+    probes, gallery, p, g = tables
+    odd = spark.createDataFrame([(900, [0.0] * 8), (901, None), (902, [1.0])], "id long, v array<double>")
+    stored = g.unionByName(odd.select(*g.columns))
+    near = sim.topk_exact(p, g, 9).select("probe_id", "id", "score")
+    near = near.unionByName(p.select("probe_id", F.explode(F.array(*[F.lit(i).cast("long") for i in (900, 901, 902, 999)])).alias("id"), F.lit(0.0).alias("score")))
+    wanted = sim.keep_best(sim.rescore(near, p, stored).select("probe_id", "id", "score"), 5)
+    width = sim.usual_width(g)
+    assert rows_of(sim.keep_best(sim.rescore_passing(near, p, stored, 5, width, block_rows=16), 5)) == rows_of(wanted)
