@@ -361,11 +361,11 @@ def code_index(index: CellIndex, books: np.ndarray, residual: bool = True, save:
 
 
 class CodedRows:
-    """Gallery rows by their codes: a score is ``base`` and the table entries that the codes name, decoded it is one product."""
+    """Gallery rows by their codes: a score is ``base`` and the product with the centres that the codes name."""
 
     def __init__(self, codes: np.ndarray, books: np.ndarray) -> None:
-        self.codes, self.books = codes, books
-        self.decoded = np.hstack([book.astype(np.float32)[codes[:, part]] for part, book in enumerate(books)])
+        self.decoded = np.hstack([book[codes[:, part]] for part, book in enumerate(books)])
+        self.single = self.decoded.astype(np.float32)
         self.longest = float(np.linalg.norm(self.decoded, axis=1).max(initial=0.0))
 
     def slack(self, base: np.ndarray, length: float = 1.0) -> float:
@@ -375,16 +375,12 @@ class CodedRows:
         return 2 * (self.decoded.shape[1] + 4) * SINGLE_ERROR * float(most) + 10.0**-SCORE_DIGITS
 
     def rough(self, probes: np.ndarray, base: np.ndarray, columns: slice) -> np.ndarray:
-        scores = probes.astype(np.float32) @ self.decoded[columns].T
+        scores = probes.astype(np.float32) @ self.single[columns].T
         scores += base.astype(np.float32)[:, None]
         return scores
 
     def exact(self, probes: np.ndarray, base: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
-        parts, _, width = self.books.shape
-        pieces, total = probes.reshape(-1, parts, width), base[row]
-        for part in range(parts):
-            total += (pieces[:, part] @ self.books[part].T)[row, self.codes[col, part]]
-        return total
+        return base[row] + np.einsum("ij,ij->i", probes[row], self.decoded[col])
 
 
 def score_codes(
@@ -392,10 +388,9 @@ def score_codes(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Top-k of every unit probe against coded rows of one cell: (probe ids, ids, scores).
 
-    A probe's inner products with all centres of a part are a table, and a row's
-    score is ``base`` and the sum of the table entries that its codes name.
-    These sums are made for the pairs that can be among the best by the product
-    with the decoded vectors in single precision, so none is missed.
+    A row's score is ``base`` and the product with the centres that its codes name, in
+    double precision for the pairs that can be among the best by the product
+    in single precision, so none is missed.
     """
     rows = CodedRows(codes, books)
     slack = rows.slack(base, np.linalg.norm(probes, axis=1).max(initial=1.0))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from probewise.operators.approximate import CellIndex, CellSearch, probed_cells
+from probewise.operators.approximate import CellIndex, CellSearch, probed_lists
 from probewise.operators.retrieval import OVERLAP_KS, latency_summary, topk_overlap
 from probewise.operators.similarity import usable_rows, usual_width
 from probewise.operators.vector_tables import index_bytes
@@ -67,9 +67,10 @@ def sized_search(method: Method, probes: DataFrame, k: int, shares: Sequence[flo
     """``(share, probe_id, id, score, rank)``: the top-k of every size, from one search."""
     tags = len(shares) + 1
     local = method.search.scores(probes, k, 0, method.nprobe, tags, tag_of("id", shares))
-    tagged = local.withColumn("_tag", tag_of("id", shares)).where(F.col("_tag") < len(shares))
+    # the sizes of a probe are ranked where its rows are
+    tagged = local.where(F.col("tag") < len(shares)).repartition("probe_id")
     listed = F.array(*[F.lit(float(s)) for s in shares])
-    sized = tagged.withColumn("share", F.explode(F.slice(listed, F.col("_tag") + 1, len(shares))))
+    sized = tagged.withColumn("share", F.explode(F.slice(listed, F.col("tag") + 1, len(shares))))
     window = Window.partitionBy("share", "probe_id").orderBy(F.desc("score"), "id")
     return (
         sized.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k).select("share", "probe_id", "id", "score", "rank")
@@ -80,7 +81,9 @@ def scanned_rows(method: Method, probes: DataFrame, shares: Sequence[float]) ->
     """``(share, probe_id, scanned)``: how many rows of each size a probe is compared with."""
     per_share = [F.count_if(tag_of("id", shares) <= number).alias(f"n{number}") for number in range(len(shares))]
     counts = method.search.rows.groupBy("cell").agg(*per_share)
-    cells = probed_cells(probes, method.search.index, method.nprobe).select("probe_id", "cell")
+    # the lists of cells are read by every pass over the result
+    listed = durable(probed_lists(probes, method.search.index, method.nprobe).select("probe_id", "inner"))
+    cells = listed.select("probe_id", F.explode("inner").alias("cell"))
     sums = [F.coalesce(F.sum(f"n{number}"), F.lit(0)).alias(f"n{number}") for number in range(len(shares))]
     totals = cells.join(counts, "cell", "left").groupBy("probe_id").agg(*sums)
     rows = F.array(*[F.struct(F.lit(float(s)).alias("share"), F.col(f"n{number}").alias("scanned")) for number, s in enumerate(shares)])

@@ -30,16 +30,18 @@ BROADCAST_BYTES = 64 << 20
 # rows of one block of a blocked search at least, and probes scored in one product
 BLOCK_ROWS = 16_384
 PROBE_CHUNK = 512
-# vectors scored in one product
-SLICE_ROWS = 4096
+# vectors scored in one product, and those of one product with held probes: its scores stay in a core's cache
+SLICE_ROWS, HELD_SLICE = 4096, 1024
 # float64 bytes of the vectors of a block, if these are small enough to be more than was asked for: larger blocks are shipped less often
 SHIP_BYTES = 16 << 20
 # blocks of a cell's probes at least, for tasks to share the work of one cell
 PROBE_BLOCKS = 8
 # best places that a task gathers for some probes of a block before it goes on with the next ones, about
 PLACES = 250_000
-# gallery rows of a page at most, bytes of the pages that pass through one task, about, and best places of the probes that it holds
-PAGE_ROWS, STREAM_BYTES, HELD_PLACES = 2048, 256 << 20, 2_000_000
+# gallery rows of a page at most, bytes of the pages that pass through one task, about
+PAGE_ROWS, STREAM_BYTES = 2048, 256 << 20
+# float64 bytes and best places of the probes that a task holds, about: the gallery is shipped once for all of them
+HELD_BYTES, HELD_PLACES = 32 << 20, 2_000_000
 # products that make a task worth its start; passing a row on takes as long as so many of them
 TASK_PRODUCTS, ROW_PRODUCTS = 200_000_000, 4000
 # routing vectors of a bounded search at most, and what bounds may be off by: rounding to six digits and angles
@@ -147,9 +149,15 @@ def near_rows(rough: np.ndarray, floor: np.ndarray, k: int, slack: float) -> tup
     count = rough.shape[1]
     reach = rough >= (floor - slack).astype(np.float32)[:, None]
     if count > k and np.count_nonzero(reach) > 8 * k * len(rough):
-        own = np.partition(rough, count - k, axis=1)[:, count - k]
-        reach &= rough >= (own - np.float32(2 * slack))[:, None]
-    return np.divmod(np.flatnonzero(reach), count)
+        crowded = np.flatnonzero(np.count_nonzero(reach, axis=1) > 8 * k)
+        own = np.partition(rough[crowded], count - k, axis=1)[:, count - k]
+        reach[crowded] &= rough[crowded] >= (own - np.float32(2 * slack))[:, None]
+    flat = reach.ravel()
+    if flat.size % 8:
+        return np.divmod(np.flatnonzero(flat), count)
+    # few are set, so eight are looked at together
+    words = np.flatnonzero(flat.view(np.uint64))
+    return np.divmod((words[:, None] * 8 + np.arange(8))[flat.reshape(-1, 8)[words]], count)
 
 
 def best_of_slices(
@@ -472,8 +480,8 @@ class HeldProbes:
             return
         slack = of.slack(base)
         k = self.k * int(np.unique(ids, return_counts=True)[1].max()) if self.once else self.k
-        for low in range(0, len(ids), SLICE_ROWS):
-            columns = slice(low, low + SLICE_ROWS)
+        for low in range(0, len(ids), HELD_SLICE):
+            columns = slice(low, low + HELD_SLICE)
             for start in range(0, len(rows), PROBE_CHUNK):
                 part = slice(start, start + PROBE_CHUNK)
                 floor = self.floor[tag][rows[part]]
@@ -608,7 +616,7 @@ def held_scores(
     coded = "codes" in gallery.columns
     single = not coded and isinstance(gallery.schema["v"].dataType.elementType, T.FloatType)
     most = shipped_rows(block_rows, width)
-    hold = max(1, min(most, HELD_PLACES // (k * tags)))
+    hold = max(1, min(max(block_rows, HELD_BYTES // (8 * max(width, 1))), HELD_PLACES // (k * tags)))
     # one row per cell, and the centroids of all cells fit into the driver
     asked, held = (dict(map(tuple, df.groupBy("cell").agg(rows).collect())) for df in (probes, gallery))
     row_bytes = 8 + (width if coded else width * (4 if single else 8))

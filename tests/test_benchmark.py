@@ -45,6 +45,18 @@ def test_one_search_serves_all_sizes(sides):
             assert {r["probe_id"]: r["count"] for r in counts.collect()} == {i: n for (s, i), n in work.items() if s == share and n}
 
 
+def test_a_size_takes_no_copies_of_the_probes(sides):
+    """The rows of all sizes come from one pass of the gallery: ``k`` rows a probe and tag, none for each cell."""
+    p, g = sides
+    shares = (0.2, 0.7)
+    index = ann.ivf_assign(g, np.array([r["v"] for r in g.limit(6).collect()]))
+    local = ann.CellSearch(index).scores(p, 5, 0, 6, 3, bench.tag_of("id", shares))
+    counts = {r["tag"]: r["count"] for r in local.groupBy("tag").count().collect()}
+    assert set(counts) <= {0, 1, 2} and max(counts.values()) <= 5 * 30
+    whole = bench.sized_search(bench.flat_method(g), p, 5, shares)
+    assert rows_of(bench.sized_search(bench.Method("ivf", "ivf", ann.CellSearch(index), 6), p, 5, shares)) == rows_of(whole)
+
+
 def test_failed_methods_stay(sides):
     p, g = sides
     index = ann.ivf_build(g, 4)
