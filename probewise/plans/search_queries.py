@@ -17,6 +17,7 @@ from probewise.plans.flows import ImageSearch
 from probewise.plans.registry import query
 from probewise.plans.sql_tables import cos, inner, unit
 from probewise.plans.vector_queries import gallery_rows, probe_rows
+from probewise.session import durable
 
 # fixed values: the calibrated threshold of the custom space and the default one of the other
 THRESHOLD, OTHER_THRESHOLD = 0.205047, 0.4
@@ -572,13 +573,13 @@ def given_methods(spark, sf_dir) -> list[bench.Method]:
     extra=SIZED,
 )
 def b8_given(spark, sf_dir):
-    return bench.benchmark_sizes(probe_rows(spark, sf_dir), gallery_rows(spark, sf_dir), given_methods(spark, sf_dir))[0]
+    return bench.benchmark_sizes(durable(probe_rows(spark, sf_dir)), gallery_rows(spark, sf_dir), given_methods(spark, sf_dir))[0]
 
 
 @query("b8_trained_sizes")
 def b8_trained(spark, sf_dir):
     """Trained cells and codes by size, with the seconds of each method's search."""
-    probes, gallery = probe_rows(spark, sf_dir), gallery_rows(spark, sf_dir)
+    probes, gallery = durable(probe_rows(spark, sf_dir)), gallery_rows(spark, sf_dir)
     index = ann.ivf_build(gallery, 16)
     codes = {"m": 16, "nbits": 4}
     methods = [
